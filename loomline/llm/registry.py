@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from loomline.llm import chat, decontaminate, mixing, sharding
+from loomline.llm import chat, decontaminate, langid, mixing, sharding, tokens, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_sharding": sharding.op2_sharding,
     "op4_mixing": mixing.op4_mixing,
     "op6_chat": chat.op6_chat,
+    "op7_token_counts": tokens.op7_token_counts,
+    "op8_language": langid.op8_language,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 

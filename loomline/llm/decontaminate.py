@@ -30,7 +30,8 @@ def shingle_rows(rows: DataFrame, key: str, width: int = WIDTH) -> DataFrame:
     names = [f"w{i}" for i in range(width)]
     count = F.greatest(F.size("w") - (width - 1), F.least(F.size("w"), F.lit(1)))
     zipped = words.select(key, F.arrays_zip(*[F.slice("w", F.lit(i + 1), count).alias(names[i]) for i in range(width)]).alias("z"))
-    return zipped.select(key, F.inline("z").alias(*names))
+    # inline_outer: for the inner form the optimizer filters on the whole expression, which would split every text many times over
+    return zipped.select(key, F.inline_outer("z").alias(*names)).filter("w0 is not null")
 
 
 def mark(width: int = WIDTH):

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomline.llm import chat, decontaminate, langid, mixing, sharding, tokens, toxicity
+from loomline.llm import chat, decontaminate, langid, mixing, neardup, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_sharding": sharding.op2_sharding,
+    "op3_near_duplicates": neardup.op3_near_duplicates,
     "op4_mixing": mixing.op4_mixing,
     "op6_chat": chat.op6_chat,
     "op7_token_counts": tokens.op7_token_counts,
@@ -16,6 +17,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_sharding": sharding.OP2_SQL,
+    "op3_near_duplicates": neardup.OP3_SQL,
     "op4_mixing": mixing.OP4_SQL,
     "op6_chat": chat.OP6_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from loomline.llm import chat, decontaminate, langid, mixing, neardup, sharding, tokens, toxicity
+from loomline.llm import chat, decontaminate, embeddings, langid, mixing, neardup, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_sharding": sharding.op2_sharding,
     "op3_near_duplicates": neardup.op3_near_duplicates,
     "op4_mixing": mixing.op4_mixing,
+    "op5_embedding_near_duplicates": embeddings.op5_embedding_near_duplicates,
     "op6_chat": chat.op6_chat,
     "op7_token_counts": tokens.op7_token_counts,
     "op8_language": langid.op8_language,

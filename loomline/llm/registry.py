@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomline.llm import chat, decontaminate, embeddings, langid, mixing, neardup, sharding, tokens, toxicity
+from loomline.llm import chat, decontaminate, embeddings, langid, mixing, neardup, pii, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_token_counts": tokens.op7_token_counts,
     "op8_language": langid.op8_language,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_personal_data": pii.op10_personal_data,
 }
 
 ORACLE_SQL = {

@@ -64,6 +64,36 @@ def thresholds(base: DataFrame, quotas: DataFrame) -> DataFrame:
     return edges.select("src", F.when(over, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("threshold"))
 
 
+def _source_key(source: Column) -> Column:
+    """The source as a join key that null has too."""
+    return F.when(source.isNull(), "0").otherwise(F.concat(F.lit("1"), source.cast("string")))
+
+
+def _hash(seed: str) -> Column:
+    return stable_key(F.col("doc_id"), F.lit(seed))
+
+
+def mix_plan(sized: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """src, source_size, target, passes, threshold by source, from rows of source, size, src and h (a written table)."""
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = source_targets(totals, weights, share, most)
+    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    quotas = targets.withColumn("passes", passes.cast("int")).withColumn("src", _source_key(F.col("source")))
+    quotas = written(quotas.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")), "quotas")
+    cut = thresholds(sized.select("src", "h", "size"), quotas)
+    plan = quotas.join(cut, "src", "left").select("src", "source_size", "target", "passes", F.coalesce("threshold", F.lit(-1)).alias("threshold"))
+    return written(plan, "plan")
+
+
+def _sized(docs: DataFrame, seed: str) -> DataFrame:
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_size(F.col("text")).alias("size"), _hash(seed).alias("h"))
+    return written(rows.withColumn("src", _source_key(F.col("source"))), "mix")
+
+
+def _repeats() -> Column:
+    return F.col("passes") + (F.col("h") <= F.col("threshold")).cast("int")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """doc_id, size, source_size, target, taken, repeats, source for every row of docs.
 
@@ -73,18 +103,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     are taken together. A null text has size 0, a null source is a source of its own; of empty sources
     nothing is taken. An empty table gives an empty result. Other columns are ignored.
     """
-    src = F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), F.col("source")))
-    base = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_size(F.col("text")).alias("size"), stable_key(F.col("doc_id"), F.lit(seed)).alias("h")).withColumn("src", src), "mix")
-    totals = base.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(totals, weights, share, most)
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    quotas = targets.withColumn("passes", passes.cast("int")).withColumn("src", src)
-    quotas = written(quotas.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")), "quotas")
-    cut = thresholds(base.select("src", "h", "size"), quotas)
-    plan = written(quotas.join(cut, "src", "left").select("src", "source_size", "target", "passes", F.coalesce("threshold", F.lit(-1)).alias("threshold")), "plan")
-    joined = base.join(small(plan, BROADCAST_SOURCES), "src")
-    repeats = F.col("passes") + (F.col("h") <= F.col("threshold")).cast("int")
-    return joined.select("doc_id", "size", "source_size", "target", (repeats * F.col("size")).cast("long").alias("taken"), repeats.alias("repeats"), "source")
+    sized = _sized(docs, seed)
+    joined = sized.join(small(mix_plan(sized, weights, share, most), BROADCAST_SOURCES), "src")
+    return joined.select("doc_id", "size", "source_size", "target", (_repeats() * F.col("size")).cast("long").alias("taken"), _repeats().alias("repeats"), "source")
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+    """docs themselves, each row as often as mix() takes it. Only the plan, a row per source, is joined; texts are not shuffled."""
+    plan = small(mix_plan(_sized(docs, seed), weights, share, most), BROADCAST_SOURCES)
+    plan = plan.select(*[F.col(c).alias(f"_{c}") for c in ("src", "passes", "threshold")])
+    keyed = docs.withColumns({"_h": _hash(seed), "_key": _source_key(F.col("source"))})
+    repeats = F.col("_passes") + (F.col("_h") <= F.col("_threshold")).cast("int")
+    taken = keyed.join(plan, F.col("_key") == F.col("_src")).withColumn("_times", repeats).filter("_times > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,11 @@ def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_c
     )
 
 
+def with_shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", name: str = "shard") -> DataFrame:
+    """docs with each row's shard, without a shuffle; a column of that name is replaced."""
+    return docs.withColumn(name, jump_shard(stable_key(F.col(id_col)), shards))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -16,3 +16,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not shared and "dir" not in _own:
         _own["dir"] = "file://" + tempfile.mkdtemp(prefix="spark-loomline-")
     return f"{(shared or _own['dir']).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to a new folder and read again: made once, however many later steps read it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -54,7 +54,7 @@ def citations_by_episode(log: DataFrame) -> DataFrame:
 
 def top_words(log: DataFrame, stop_words: DataFrame, n: int = 15) -> DataFrame:
     """The n most frequent terms of questions that are no stop words (column word); ties by word."""
-    words = log.filter("question is not null").select(F.explode(tokenize(F.col("question"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    words = log.filter("question is not null").select(F.explode_outer(tokenize(F.col("question"))).alias("word")).filter("word is not null").groupBy("word").agg(F.count("*").alias("n"))
     return words.join(stop_words.select("word").distinct(), "word", "left_anti").orderBy(F.desc("n"), "word").limit(n)
 
 

@@ -21,7 +21,7 @@ def keyword_index(docs: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]:
     no join for it. Documents without a term still count in n and avgdl.
     """
     terms = docs.select(key, tokenize(F.coalesce("text", F.lit(""))).alias("terms"))
-    rows = terms.select(key, F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term"))
+    rows = terms.select(key, F.size("terms").cast("long").alias("dl"), F.explode_outer("terms").alias("term")).filter("term is not null")
     postings = rows.groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
     term_df = postings.groupBy("term").agg(F.count("*").alias("df"))
     corpus = terms.agg(F.count("*").alias("n"), F.avg(F.size("terms").cast("double")).alias("avgdl"))

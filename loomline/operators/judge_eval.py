@@ -70,6 +70,6 @@ def bad_cases(results: DataFrame, n: int = 10, width: int = 90) -> DataFrame:
 
 def compare_runs(results: DataFrame) -> DataFrame:
     """answer_model, rate_plain, rate_rewritten, delta: good rates with and without rewriting."""
-    rate = F.count_if(F.col("score") == "good") / F.count("*")
+    rate = F.avg((F.col("score") == "good").cast("double"))
     wide = results.groupBy("answer_model").pivot("rewrite_mode", ["plain", "rewritten"]).agg(rate)
     return wide.select("answer_model", F.col("plain").alias("rate_plain"), F.col("rewritten").alias("rate_rewritten"), (F.col("rewritten") - F.col("plain")).alias("delta"))

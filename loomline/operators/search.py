@@ -33,7 +33,7 @@ def bm25_search(queries: DataFrame, index: dict[str, DataFrame], n: int = 10, k1
     The small side (distinct query terms with their df) meets the postings; a term that most documents hold does not gather in one task, as either the query
     terms are broadcast or Spark may split the join's large partitions.
     """
-    asked = queries.select("query_id", F.explode(tokenize(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    asked = queries.select("query_id", F.explode_outer(tokenize(F.coalesce("text", F.lit("")))).alias("term")).filter("term is not null").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     corpus = index["corpus"].select("n", "avgdl")  # one row
     known = asked.join(index["term_df"], "term").crossJoin(F.broadcast(corpus))
     known = known.withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))

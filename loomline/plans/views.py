@@ -166,9 +166,10 @@ def bm25_sql(name: str, docs: str, queries: str, n: int, k1: float = 1.5, b: flo
     """CTE `name` (query_id, doc_id, score, rank) over relations with doc_id, text and query_id, text."""
     tok = "regexp_extract_all(lower(text), '[a-z0-9'']+')"
     return f"""
-    {name}_d AS (SELECT doc_id, len({tok}) AS dl, unnest({tok}) AS term FROM {docs}),
-    {name}_n AS (SELECT count(*) AS n, avg(len({tok})) AS avgdl FROM {docs}),
-    {name}_tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM {name}_d GROUP BY ALL),
+    {name}_k AS (SELECT doc_id, {tok} AS terms FROM {docs}),
+    {name}_d AS (SELECT doc_id, len(terms) AS dl, unnest(terms) AS term FROM {name}_k),
+    {name}_n AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM {name}_k),
+    {name}_tf AS (SELECT doc_id, any_value(dl) AS dl, term, count(*) AS tf FROM {name}_d GROUP BY doc_id, term),
     {name}_df AS (SELECT term, count(*) AS df FROM {name}_tf GROUP BY 1),
     {name}_q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tok}) AS term FROM {queries}) GROUP BY ALL),
     {name}_s AS (SELECT query_id, doc_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * dl / avgdl)))) AS score

@@ -19,7 +19,8 @@ def stratified_sample(rows: DataFrame, n: int, seed: int, key: str = "id", strat
     short = quotas.agg((F.lit(n) - F.sum("quota")).alias("short"), F.min(F.struct((-F.col("c")).alias("c"), F.col(stratum).alias("s"))).alias("big"))
     quotas = quotas.crossJoin(F.broadcast(short)).withColumn("quota", F.col("quota") + F.when(F.col(stratum).eqNullSafe(F.col("big.s")), F.col("short")).otherwise(0))
     draw = F.row_number().over(Window.partitionBy(stratum).orderBy(md5_order(F.col(key), seed), key))
-    return rows.withColumn("_draw", draw).join(quotas.select(stratum, "quota"), stratum).filter(F.col("_draw") <= F.col("quota")).drop("_draw", "quota")
+    drawn = rows.withColumn("_draw", draw).filter(F.col("_draw") <= n)  # lets every task drop all but its first n of a stratum
+    return drawn.join(quotas.select(stratum, "quota"), stratum).filter(F.col("_draw") <= F.col("quota")).drop("_draw", "quota")
 
 
 def eval_worklist(records: DataFrame, models: DataFrame, results: DataFrame) -> DataFrame:

@@ -189,3 +189,14 @@ def feedback_stream(spark, d):
     stream = S.read_feedback_stream(spark, path, log.schema, "parquet")
     S.run_to_table(S.daily_label_counts(stream, "40 days"), out, scratch(spark, "stream-state"))
     return spark.read.parquet(out)
+
+
+@query(with_ctes("feedback") + "SELECT coalesce(rating, 9) AS rating, count(*) AS n, count(DISTINCT question) AS questions FROM feedback GROUP BY 1")
+def read_feedback(spark, d):
+    """The log as JSON lines with broken lines between, which are told apart."""
+    path = scratch(spark, "feedback")
+    log = V.feedback(spark, d).select("rating", "question", "model", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"))
+    lines = log.select(F.to_json(F.struct("*")).alias("value"))
+    lines.union(lines.limit(3).select(F.lit("{broken"))).write.text(path)
+    good = files.read_feedback(spark, path).filter("_corrupt_record is null")
+    return good.groupBy(F.coalesce("rating", F.lit(9)).alias("rating")).agg(F.count("*").alias("n"), F.countDistinct("question").alias("questions"))

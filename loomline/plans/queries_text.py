@@ -313,3 +313,46 @@ def read_qa(spark, d):
     grouped = V.pairs(spark, d).groupBy(F.col("episode").cast("int").alias("episode")).agg(F.array_sort(F.collect_list(F.struct("chapter_index", "no", pair.alias("p")))).alias("p"))
     grouped.select("episode", F.transform("p", lambda x: x["p"]).alias("faqs")).write.json(path)
     return files.read_qa(spark, path).select("faq_id", "question", "episode", F.array_join("timestamps", ",").alias("timestamps"))
+
+
+# round trips through files ---------------------------------------------------------------------------
+
+
+@query("SELECT page_id, html FROM pages")
+def read_pages(spark, d):
+    """Pages written as a file each and read whole; the id comes back from the path."""
+    from loomline.functions.scratch import scratch
+
+    path = scratch(spark, "pages")
+    table(spark, d, "pages").select("page_id", F.col("html").alias("value")).write.partitionBy("page_id").text(path)
+    read = files.read_pages(spark, f"{path}/*/")
+    return read.select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long").alias("page_id"), F.regexp_replace("html", r"\n$", "").alias("html"))
+
+
+@query(with_ctes(*SEG, "guests") + "SELECT s.episode, guest, count(DISTINCT chapter_index) + 1 AS n_chapters, count(*) AS n_segments FROM seg s JOIN guests g ON g.episode = s.episode GROUP BY 1, 2")
+def write_episodes(spark, d):
+    """Nested episodes with an empty chapter, written as one document each and read again."""
+    from loomline.functions.scratch import scratch
+
+    path = scratch(spark, "episodes")
+    files.write_episodes(_nested(spark, d).withColumn("episode", F.col("episode").cast("int")), path)
+    return intake.episode_summary(files.read_episodes(spark, path))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN event_id * 37 END AS seconds FROM events")
+def clock_to_seconds(spark, d):
+    """Clocks, every fifth malformed."""
+    clock = F.when(F.col("event_id") % 5 != 0, X.seconds_to_clock(F.col("event_id") * 37)).otherwise("no:clock")
+    return table(spark, d, "events").select("event_id", X.clock_to_seconds(clock).cast("long").alias("seconds"))
+
+
+@query(with_ctes(*CHUNKS) + "SELECT id, 'other' AS embedding_model FROM chunks WHERE chapter_index % 2 = 1")
+def read_index(spark, d):
+    """An index of two configurations, of which one is read."""
+    from loomline.functions.scratch import scratch
+
+    path = scratch(spark, "index")
+    chunks = V.chunks(spark, d).select("id", "text", "chapter_index")
+    odd = chunks.filter("chapter_index % 2 = 1").withColumns({"embedding_model": F.lit("other"), "max_words": F.lit(V.CAP)})
+    files.write_index(odd.union(chunks.withColumns({"embedding_model": F.lit(V.MODEL), "max_words": F.lit(V.CAP)})), path)
+    return files.read_index(spark, path, "other", V.CAP).select("id", "embedding_model")

@@ -200,6 +200,11 @@ def test_base_spans_equal_the_patterns(text):
     assert pii.base_spans(text) == plain_spans(text)
 
 
+def test_long_numbers():
+    zeros = "0" * 6000
+    assert pii.base_spans(f"{zeros}1.2.3.{zeros}") == [(0, 1, 12_006)] and pii.base_spans("9" * 6000) == [] and pii.base_spans("1." * 3000) != []
+
+
 def test_cards_and_luhn():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
     assert plain_spans("x 4111-1111 11111111 y") == pii.base_spans("x 4111-1111 11111111 y") == [(2, 2, 20)]

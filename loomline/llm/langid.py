@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomline.llm.common import crc_part, table
-from loomline.llm.textscan import LOWER, as_bytes, row_slices
+from loomline.llm.textscan import LOWER, SLICE, as_bytes, row_slices
 
 #: About so many rows are drawn, by a hash of the id, to fit the model on; all where there are fewer.
 SAMPLE_ROWS = 20_000
@@ -27,29 +27,32 @@ _FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _FOLD = _FOLD[LOWER]
 
 
-def grams(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of rows lo to hi, and their rows. Bytes that are no letters count as a space; A to Z are lower-cased.
+def grams(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of all n-grams of rows lo to hi, and their rows, in parts of about SLICE bytes, however long a row is.
 
-    An n-gram lies in one row; one of two spaces or more at its start is left out, so gaps of any length count alike.
+    Bytes that are no letters count as a space; A to Z are lower-cased. An n-gram lies in one row; one of two spaces or more at its
+    start is left out, so gaps of any length count alike.
     """
     begin, end = int(offsets[lo]), int(offsets[hi])
-    text = _FOLD[data[begin:end]].astype(np.uint32)
-    row = np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1]))
-    buckets, rows = [], []
-    for n in SIZES:
-        if len(text) < n:
-            continue
-        code = np.zeros(len(text) - n + 1, np.uint32)
-        for i in range(n):
-            code = (code << np.uint32(8)) | text[i : len(text) - n + 1 + i]
-        good = (row[: len(code)] == row[n - 1 :]) & ~((text[: len(code)] == 0x20) & (text[1 : len(code) + 1] == 0x20))
-        code = (code[good] + np.uint32(n)) * np.uint32(0x9E3779B1)
-        code ^= code >> np.uint32(15)
-        buckets.append(((code * np.uint32(0x85EBCA77)) >> np.uint32(17)).astype(np.int32))
-        rows.append(row[: len(good)][good])
-    if not buckets:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    return np.concatenate(buckets), np.concatenate(rows)
+    for at in range(begin, end, SLICE):
+        stop = min(at + SLICE + max(SIZES) - 1, end)
+        text = _FOLD[data[at:stop]].astype(np.uint32)
+        row = np.repeat(np.arange(hi - lo), np.diff(np.clip(offsets[lo : hi + 1], at, stop)))
+        buckets, rows = [], []
+        for n in SIZES:
+            places = min(len(text) - n + 1, SLICE)
+            if places <= 0:
+                continue
+            code = np.zeros(places, np.uint32)
+            for i in range(n):
+                code = (code << np.uint32(8)) | text[i : places + i]
+            good = (row[:places] == row[n - 1 : places + n - 1]) & ~((text[:places] == 0x20) & (text[1 : places + 1] == 0x20))
+            code = (code[good] + np.uint32(n)) * np.uint32(0x9E3779B1)
+            code ^= code >> np.uint32(15)
+            buckets.append(((code * np.uint32(0x85EBCA77)) >> np.uint32(17)).astype(np.int32))
+            rows.append(row[:places][good])
+        if buckets:
+            yield np.concatenate(buckets), np.concatenate(rows)
 
 
 class Model:
@@ -67,14 +70,13 @@ class Model:
         data, offsets = as_bytes(column)
         score = np.tile(self.prior, (len(column), 1))
         for lo, hi in row_slices(offsets):
-            bucket, row = grams(data, offsets, lo, hi)
-            cell = np.sort(row * BUCKETS + bucket)
-            first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
-            count = np.diff(np.append(first, len(cell)))
-            cells = cell[first]
-            at = cells // BUCKETS
-            for k in range(len(self.langs)):
-                score[lo:hi, k] += np.bincount(at, count * self.log_p[cells % BUCKETS, k], hi - lo)
+            for bucket, row in grams(data, offsets, lo, hi):
+                cell = np.sort(row * BUCKETS + bucket)
+                first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
+                count = np.diff(np.append(first, len(cell)))
+                at, column_of = cell[first] // BUCKETS, cell[first] % BUCKETS
+                for k in range(len(self.langs)):
+                    score[lo:hi, k] += np.bincount(at, count * self.log_p[column_of, k], hi - lo)
         best = score.argmax(1)
         share = 1 / np.exp(score - score.max(1, keepdims=True)).sum(1)
         return [self.langs[i] for i in best], share.tolist()
@@ -102,7 +104,8 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 3) -> Mod
                 held = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 seen[lang] = seen.get(lang, 0) + len(own)
                 for lo, hi in row_slices(offsets):
-                    held += np.bincount(grams(data, offsets, lo, hi)[0], minlength=BUCKETS)
+                    for bucket, _ in grams(data, offsets, lo, hi):
+                        held += np.bincount(bucket, minlength=BUCKETS)
         for lang, held in sums.items():
             at = np.flatnonzero(held)
             yield pa.RecordBatch.from_pydict({"lang": [lang] * (len(at) + 1), "bucket": np.append(at, -1).astype(np.int32), "n": np.append(held[at], seen[lang])})

@@ -115,6 +115,14 @@ def test_scores_equal_plain_counting(spark):
         assert model.langs[int(total.argmax())] == lang and abs(p.max() / p.sum() - score) < 1e-4
 
 
+def test_grams_of_long_rows_in_parts(monkeypatch):
+    column = pa.array(["some words of a text " * 9, "", "x", "more and more"])
+    whole = [np.concatenate(x) for x in zip(*langid.grams(*as_bytes(column), 0, 4), strict=True)]
+    monkeypatch.setattr(langid, "SLICE", 16)
+    parts = [np.concatenate(x) for x in zip(*langid.grams(*as_bytes(column), 0, 4), strict=True)]
+    assert sorted(zip(*map(np.ndarray.tolist, whole), strict=True)) == sorted(zip(*map(np.ndarray.tolist, parts), strict=True))
+
+
 # tokens ----------------------------------------------------------------------------------------------
 
 

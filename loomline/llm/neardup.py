@@ -94,7 +94,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     1. Sets that share too little with any other candidate to be linked go (exact bounds by the shingles that occur once).
     2. In each band bucket the set with the least of its own is the pivot; the others are verified against it, and classes formed.
     3. Members outside their bucket's pivot's class are verified against all other members that are not of
-       their class and that the bounds (sizes, own shingles, what each shares with the pivot) do not rule out.
+       their class and that the bounds (sizes, own shingles, what each shares with the pivot) do not rule out. A
+       pair is looked at in the first bucket that both share; as their classes differ, one is outside the pivot's there too.
 
     So no link between different texts that share a bucket is lost, and buckets of copies cost one
     comparison a member. The chance that a linked pair shares no bucket is at most 1e-5. Rows of a null doc_id link
@@ -126,9 +127,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     known = own.join(of, "rep", "left").join(of_pivot, "p", "left").join(seen, ["rep", "p"], "left")
     known = known.select("bucket", "rep", "n", "u", F.coalesce("component", "rep").alias("class"), F.coalesce("component_p", "p").alias("class_p"), F.when(F.col("rep") == F.col("p"), F.col("n_p")).otherwise(F.col("with_p")).alias("with_p"))
     known = written(known, "known")
-    out = known.filter(F.col("class") != F.col("class_p")).select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("rep", "n", "u", "class", "with_p")])
+    mixed = known.join(known.filter(F.col("class") != F.col("class_p")).select("bucket").distinct(), "bucket", "left_semi")
+    lists = mixed.groupBy("rep").agg(F.collect_set("bucket").alias("buckets"))
+    mixed = written(mixed.join(lists, "rep"), "mixed")
+    out = mixed.filter(F.col("class") != F.col("class_p")).select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("rep", "n", "u", "class", "with_p", "buckets")])
     apart = F.col("u") + F.col("o_u") + F.coalesce(F.abs(F.col("with_p") - F.col("o_with_p")), F.lit(0))
-    rest = out.join(known, "bucket").filter((F.col("class") != F.col("o_class")) & _can_link(percent, F.col("n"), F.col("o_n"), apart, F.col("u"), F.col("o_u")))
+    rest = out.join(mixed, "bucket").filter(
+        (F.col("class") != F.col("o_class"))
+        & _can_link(percent, F.col("n"), F.col("o_n"), apart, F.col("u"), F.col("o_u"))
+        & (F.array_min(F.array_intersect("buckets", "o_buckets")) == F.col("bucket"))
+    )
     rest = rest.select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct()
     more = written(_verified(rest, sets, percent).filter("linked"), "more")
     if not more.isEmpty():

@@ -9,11 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import table, written
+from loomline.llm.common import small, table, written
 from loomline.llm.components import components
 from loomline.llm.shingles import BAND_ROWS, band_count, band_keys, digest, distinct, shingle_marks, signature
 from loomline.llm.textscan import Words, as_bytes, row_slices
 
+#: Ids of candidates up to this many rows may be broadcast to the texts; more shuffle.
+BROADCAST_IDS = 500_000
+
 
 def _row_sets(column: pa.Array) -> Iterator[np.ndarray]:
     """The distinct shingle marks of each text."""
@@ -108,7 +111,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     banded = sig.select(F.col("doc_id").alias("rep"), "d0", "d1", "bands").join(reps, ["rep", "d0", "d1"], "left_semi").select("rep", F.explode("bands").alias("bucket"))
     live = banded.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("bucket")
     members = written(banded.join(live, "bucket", "left_semi"), "members")
-    near = texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    ids = written(members.select(F.col("rep").alias("doc_id")).distinct(), "candidates")
+    near = texts.join(small(ids, BROADCAST_IDS), "doc_id", "left_semi")
     sets = written(shingle_sets(near), "sets")
     first = _linkable(sets, percent)
     nodes = _linkable(sets.join(first.select("rep"), "rep", "left_semi"), percent)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import shared_dir, table
+from loomline.llm.common import shared_dir, small, table, written
 from loomline.llm.decontaminate import contained_items
 from loomline.llm.mixing import mixed_rows
 from loomline.llm.neardup import near_duplicates
@@ -17,6 +17,8 @@ from loomline.llm.toxicity import REJECT, score_texts, train
 #: Similarity in percent from which texts count as near-duplicates, and the share of a benchmark item that a document may not hold.
 NEAR_PERCENT, CONTAINED = 80, 0.8
 SHARDS = 24
+#: Ids of dropped documents that may be broadcast, so that texts are not shuffled; more shuffle.
+BROADCAST_IDS = 500_000
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +30,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each class of near-duplicates."""
     gone = near_duplicates(docs, NEAR_PERCENT).filter("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(written(gone, "gone"), BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
     leaks = contained_items(docs, table(spark, sf_dir, "benchmark"), CONTAINED).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(written(leaks, "leaks"), BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,10 +74,17 @@ _HYBRID = f"""hd AS (SELECT doc_id, text, embedding AS vector FROM documents JOI
 
 
 def _hybrid(spark, d, n=10):
+    """The keyword list and the texts are of all documents and items; the vector list is of those that have a vector.
+
+    The SQL above takes only documents and items with a vector in both lists; it gives the same where every one has one.
+    """
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    docs = table(spark, d, "documents").join(vectors, F.col("doc_id") == F.col("id")).select("doc_id", "text", "vector")
-    asked = table(spark, d, "benchmark").join(vectors, F.col("item_id") == F.col("id")).select(F.col("item_id").alias("query_id"), "text", "vector")
-    return search.hybrid_search(asked, index.keyword_index(docs), asked, docs, n, 10), asked, docs
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    known = vectors.withColumnRenamed("id", "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
+    asking = vectors.withColumnRenamed("id", "query_id").join(asked.select("query_id"), "query_id", "left_semi")
+    made = {name: stored(part, name) for name, part in index.keyword_index(docs).items()}
+    return search.hybrid_search(asked, made, asking, known, n, 10), asked, docs
 
 
 @query(f"WITH {_HYBRID} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM h")

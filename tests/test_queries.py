@@ -23,6 +23,17 @@ def test_ann_recall_against_exact(spark):
     assert len(exact & near) >= 0.5 * len(exact)
 
 
+def test_hybrid_and_rerank_find_documents_without_a_vector(spark, tmp_path):
+    texts = [(0, "red fox"), (1, "blue whale"), (2, "green owl sings"), (3, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "green owl"), (9, "blue")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (7, [1.0, 0.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {(r["query_id"], r["doc_id"]) for r in registry.QUERIES["hybrid_search"](spark, str(tmp_path)).collect()}
+    assert found == {(0, 2), (0, 0), (0, 1), (9, 1)}
+    best = {r["query_id"]: r["doc_id"] for r in registry.QUERIES["rerank"](spark, str(tmp_path)).filter("rank = 1").collect()}
+    assert best == {0: 2, 9: 1}
+
+
 def test_entry_runs(spark):
     import __spark_entry__
 

@@ -23,6 +23,13 @@ def test_ann_recall_against_exact(spark):
     assert len(exact & near) >= 0.5 * len(exact)
 
 
+def test_ann_recall_is_over_nine_tenths(spark):
+    for folder in (SMALL, "/root/testdata/sf0.1"):
+        exact = {(r["query_id"], r["doc_id"]) for r in registry.QUERIES["vector_search"](spark, folder).collect()}
+        near = {(r["query_id"], r["doc_id"]) for r in registry.QUERIES["ann_search"](spark, folder).collect()}
+        assert len(exact & near) >= 0.9 * len(exact)
+
+
 def test_hybrid_and_rerank_find_documents_without_a_vector(spark, tmp_path):
     texts = [(0, "red fox"), (1, "blue whale"), (2, "green owl sings"), (3, None)]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")

@@ -94,17 +94,24 @@ class Field:
     SLOT_BITS = 20
 
     def __init__(self, marks: np.ndarray):
+        """marks: sorted, each once, none 0."""
         self.marks = np.append(marks, np.uint64(0))
-        self.slots = np.full(1 << self.SLOT_BITS, len(marks), np.int32)
-        self.slots[(marks >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)] = np.arange(len(marks), dtype=np.int32)
+        starts = np.searchsorted(marks >> np.uint64(64 - self.SLOT_BITS), np.arange((1 << self.SLOT_BITS) + 1, dtype=np.uint64))
+        self.slots = starts[:-1].astype(np.int32)
+        self.longest = int(np.diff(starts).max())
         self.w = np.zeros(len(self.marks), np.float64)
         self.by_length = np.zeros(32)
         self.moves = np.zeros((2, 2))
 
     def known(self, marks: np.ndarray) -> np.ndarray:
-        """Index of each mark's weight; that of a mark without one is the last, which stays 0."""
+        """Index of each mark's weight; that of a mark without one is the last, which stays 0. All marks of a slot are looked at."""
+        none = len(self.marks) - 1
         at = self.slots[(marks >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)]
-        return np.where(self.marks[at] == marks, at, len(self.marks) - 1)
+        found = np.full(len(marks), none, np.int32)
+        for step in range(self.longest):
+            place = np.minimum(at + step, none)
+            found = np.where(self.marks[place] == marks, place, found)
+        return found
 
     def features(self, words: Words) -> tuple[list[np.ndarray], np.ndarray]:
         return [self.known(x) for x in feature_marks(words)], np.minimum(words.end - words.start, 31)

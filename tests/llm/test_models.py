@@ -240,3 +240,13 @@ def test_viterbi_equals_enumeration():
         at = np.flatnonzero(row == r)
         best = max(itertools.product(range(5), repeat=len(at)), key=lambda p: sum(score[i, y] for i, y in zip(at, p, strict=True)) + sum(field.moves[x, y] for x, y in itertools.pairwise(p)))
         assert got[at].tolist() == list(best)
+
+
+def test_field_keeps_features_that_share_a_slot():
+    first = np.uint64(5) << np.uint64(64 - toxicity.Field.SLOT_BITS)
+    marks = np.sort(np.append(first + np.arange(1, 4, dtype=np.uint64), np.random.default_rng(0).integers(1, 2**64, 100_000, dtype=np.uint64)))
+    marks = np.unique(marks)
+    field = toxicity.Field(marks)
+    assert (field.known(marks) == np.arange(len(marks))).all()
+    assert (field.known(np.array([0, first + np.uint64(9)], np.uint64)) == len(marks)).all()
+    assert (toxicity.Field(marks[:0]).known(marks[:3]) == 0).all()

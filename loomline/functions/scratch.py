@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,16 +12,39 @@ from pyspark.sql import DataFrame, SparkSession
 _own: dict[str, str] = {}
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset: the warehouse, which all executors of a cluster see; in local mode a
+    temporary folder, removed when Python ends."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if "dir" not in _own:
+        path = tempfile.mkdtemp(prefix="spark-loomline-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _own["dir"] = "file://" + path
+    return _own["dir"]
+
+
+def session_dir(spark: SparkSession) -> str:
+    """One folder for all that this application writes on its way; clear() removes it."""
+    return f"{shared_dir(spark)}/loomline-{spark.conf.get('spark.app.id')}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that spark.checkpoint.dir names; in a temporary one only where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and "dir" not in _own:
-        _own["dir"] = "file://" + tempfile.mkdtemp(prefix="spark-loomline-")
-    return f"{(shared or _own['dir']).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder in session_dir()."""
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to a new folder and read again: made once, however many later steps read it."""
+    """df written to a new folder and read again: made once, however many later steps read it, and read again after executors are lost."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes session_dir(). For the end of an application: results that are not stored elsewhere by then read from it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,40 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomline.functions.scratch import stored
+from loomline.functions.sizing import broadcast_if_small
+
 #: Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-_own_dir: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if "dir" not in _own_dir:
-        _own_dir["dir"] = "file://" + tempfile.mkdtemp(prefix="spark-loomline-")
-    return _own_dir["dir"]
-
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder: read again after executors are lost, never computed twice."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomline/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, tag)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df (a written table) with a broadcast hint if it has at most `rows` rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return broadcast_if_small(df, rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -150,36 +150,86 @@ def test_ties_are_those_of_the_tokenizer(pieces, word):
 # embeddings ------------------------------------------------------------------------------------------
 
 
-def test_links_against_brute_force(spark):
+def plain_links(rows, least=0.9):
+    """Rows (id, vector) as sorted (id, n_links, component) by comparing all pairs."""
+    fine = [i for i, (_, v) in enumerate(rows) if v and all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    n_links, label = [0] * len(rows), list(range(len(rows)))
+    unit = {i: np.array(rows[i][1], float) / np.linalg.norm(np.array(rows[i][1], float)) for i in fine}
+    near = {i: [j for j in fine if j != i and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= least] for i in fine}
+    for i in fine:
+        n_links[i] = len(near[i])
+    changed = True
+    while changed:
+        changed = False
+        for i in fine:
+            low = min([label[i], *(label[j] for j in near[i])])
+            changed |= low < label[i]
+            label[i] = low
+    least_id = {}
+    for i, (own, _) in enumerate(rows):
+        if own is not None:
+            least_id[label[i]] = min(own, least_id.get(label[i], own))
+    return sorted((str(own), n_links[i], str(least_id.get(label[i]))) for i, (own, _) in enumerate(rows))
+
+
+def planted_vectors():
+    """Groups of several widths, repeated rows and vectors, odd rows, null ids and several lengths."""
     rng = np.random.default_rng(0)
-    base = rng.normal(size=(500, 16))
+    base = rng.normal(size=(200, 16))
     base /= np.linalg.norm(base, axis=1, keepdims=True)
-    copies = np.concatenate([base[i] + rng.normal(size=(n, 16)) * s for i, n, s in ((0, 120, 0.02), (1, 60, 0.08), (2, 5, 0.05), (3, 1, 0.1))])
-    x = np.concatenate([base, copies, base[:3] * 2])
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None), (9001, [0.0] * 16), (9002, [float("nan")] + [1.0] * 15), (9003, [1.0, 2.0]), (9004, [None] + [1.0] * 15), (9005, [float("inf")] + [1.0] * 15), (None, [1.0] * 16)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS cell", "2 AS n_links")
-    got = {r["vec_id"]: r for r in embeddings.near_vectors(frame).collect()}
-    assert len(got) == len(rows)
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    linked = u @ u.T >= 0.9
-    np.fill_diagonal(linked, False)
-    found = np.array([got[i]["n_links"] for i in range(len(x))])
-    assert (found <= linked.sum(1)).all() and found.sum() >= 0.95 * linked.sum()
-    assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in range(9000, 9006))
-    assert got[0]["component_id"] == 0 and got[len(x) - 3]["component_id"] == 0
+    copies = [base[i] + rng.normal(size=(n, 16)) * s for i, n, s in ((0, 120, 0.02), (1, 90, 0.06), (2, 60, 0.08), (3, 5, 0.05), (4, 1, 0.1))]
+    x = np.concatenate([base, *copies, base[:3] * 2, np.repeat(base[5:6], 50, 0)])
+    odd = [(9000, None), (9001, [0.0] * 16), (9002, [float("nan")] + [1.0] * 15), (9003, [1.0, 2.0]), (9004, [None] + [1.0] * 15), (9005, [float("inf")] + [1.0] * 15), (9006, []), (9007, [1.0]), (9008, [2.0]), (9009, [-1.0]), (9010, [1.0, 2.1])]
+    again = [(None, base[0].tolist()), (None, [1.0, 2.0, 3.0]), (None, [1.0, 2.0, 3.0]), (0, x[0].tolist()), (0, x[0].tolist()), (7, base[9].tolist())]
+    return [(i, v.tolist()) for i, v in enumerate(x)] + odd + again
+
+
+@pytest.mark.parametrize("settings", [{}, {"ROOM_ROWS": 40, "BALL_ANGLE": 0.25, "BALL_LEAST": 4}])
+def test_links_equal_all_pairs(spark, monkeypatch, settings):
+    """Also with rooms met in parts, and with balls so wide that members must be verified."""
+    for name, value in settings.items():
+        monkeypatch.setattr(embeddings, name, value)
+    rows = planted_vectors()
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS cell", "2 AS n_links", "3 AS item", "4 AS v", "5 AS rooms").repartition(3)
+    got = embeddings.near_vectors(frame).collect()
+    assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in got) == plain_links(rows)
+    assert all(r["kept"] == (r["component_id"] is None or r["vec_id"] == r["component_id"]) for r in got)
     assert embeddings.near_vectors(frame.limit(0)).count() == 0
-    one = embeddings.near_vectors(frame.filter("vec_id = 5")).collect()
-    assert [(r["n_links"], r["component_id"]) for r in one] == [(0, 5)]
+    one = embeddings.near_vectors(frame.filter("vec_id = 11")).collect()
+    assert [(r["n_links"], r["component_id"]) for r in one] == [(0, 11)]
+
+
+def test_recall_with_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "CELL_ROWS", 8)
+    rows = [r for r in planted_vectors() if r[0] is not None and r[1] and len(r[1]) == 16 and r[0] < 9000]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    want = plain_links(rows)
+    found = sorted((str(r["vec_id"]), r["n_links"]) for r in got.collect())
+    assert all(f[1] <= w[1] for f, w in zip(found, want, strict=True))
+    assert sum(n for _, n in found) >= 0.95 * sum(n for _, n, _ in want)
+
+
+def test_query_equals_all_pairs_and_the_sampled_recall(spark):
+    rows = [tuple(r) for r in table(spark, SMALL, "embeddings").select("vec_id", "embedding").collect()]
+    got = embeddings.op5_embedding_near_duplicates(spark, SMALL)
+    assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
+    assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in got.collect()) == plain_links(rows)
+    sampled = embeddings.links_by_brute_force(spark.createDataFrame(planted_vectors()[:400], "vec_id long, embedding array<double>"), sample=50).collect()
+    want = {i: n for i, n, _ in plain_links(planted_vectors()[:400])}
+    assert len(sampled) > 20 and all(want[str(r["vec_id"])] == r["n_links"] for r in sampled)
 
 
 def test_traversal_visits_the_nearest_cells():
     rng = np.random.default_rng(1)
-    index = embeddings.MultiIndex(rng.normal(size=(6, 4)), rng.normal(size=(5, 4)))
+    index = embeddings.MultiIndex(rng.normal(size=(6, 4)), rng.normal(size=(5, 4)), groups=2, visits=12)
     x = rng.normal(size=(20, 8))
     a, b = index.halves(x)
+    got, rooms = index.place(x)
     for k in range(20):
         order = sorted(range(30), key=lambda c: a[k, c // 5] + b[k, c % 5])
-        assert index.traverse(a[k], b[k], 12) == order[:12] and index.cells(x)[k] == order[0]
+        assert got[k].tolist() == order[:12] and ((rooms >= 0) & (rooms < 4)).all()
+    assert (index.traverse(a, b, 99)[:, :12] == got).all() and index.traverse(a, b, 99).shape == (20, 30)
+    assert (index.either_rank(x, x) == 0).all()
 
 
 # personal data ---------------------------------------------------------------------------------------

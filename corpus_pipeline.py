@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import shared_dir, small, table, written
+from loomline.functions.scratch import scratch
+from loomline.llm.common import small, table, written
 from loomline.llm.decontaminate import contained_items
 from loomline.llm.mixing import mixed_rows
 from loomline.llm.neardup import near_duplicates
@@ -61,7 +60,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on `documents`: the documents that stay, as often as the mix takes them, with their shard."""
     docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    base = scratch(spark, "corpus-pipeline")
     for place, (name, stage) in enumerate(STAGES):
         path = f"{base}/{place}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)

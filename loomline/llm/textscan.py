@@ -85,6 +85,15 @@ class Words:
         self.row, self.start, self.end, self.mark, *self.prefix = joined
         self.rows = hi - lo
 
+    @classmethod
+    def parts(cls, data, offsets, lo, hi, prefixes=(), fold=True, alnum_only=False, marks=True, most=SLICE) -> Iterator[Words]:
+        """Rows lo to hi in parts of about `most` bytes that end at a space (or a row); `row` counts from lo in each."""
+        for a, b in _cuts(data, int(offsets[lo]), int(offsets[hi]), most):
+            part = cls.__new__(cls)
+            part.row, part.start, part.end, part.mark, *part.prefix = _scan(data, offsets[lo : hi + 1], a, b, prefixes, fold, alnum_only, marks)
+            part.rows = hi - lo
+            yield part
+
     def bounds(self) -> np.ndarray:
         """Index of each row's first word, and the number of words at the end."""
         return np.searchsorted(self.row, np.arange(self.rows + 1))

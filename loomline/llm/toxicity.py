@@ -10,19 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.common import crc_part, table
+from loomline.llm.common import crc_part, table, written
 from loomline.llm.textscan import Words, as_bytes, code_points, row_slices
 
-#: Bounds of the sample that the field is fitted on: rows of each label, and bytes of a text.
-TOXIC_ROWS, CLEAN_ROWS, SAMPLE_BYTES = 600, 4000, 65_536
+#: Bounds of the sample that the field is fitted on: rows of each label, bytes of a text (longer ones are scored, but not learned from), and how many
+#: times as many labelled ids are drawn, so that ids without such a text do not use up the sample.
+TOXIC_ROWS, CLEAN_ROWS, SAMPLE_BYTES, DRAW = 600, 4000, 65_536, 4
 #: A document is predicted toxic from this score on.
 REJECT = 0.3
 #: Byte lengths of the word beginnings that are features.
 PREFIXES = (4, 5, 6)
-#: Features in fewer sample documents than this get no weight.
-LEAST_DF = 3
-#: Toxic documents may be so many times as frequent among texts of one kind (a language, say) as overall.
-LOCAL_SHARE = 3
+#: Features in fewer sample documents than this, or in less than this share of them, get no weight.
+LEAST_DF, LEAST_SHARE = 3, 0.01
+#: Passes over the sample, strength of the Gaussian prior on weights, share of a feature's (shrunk) log-odds that its weight starts from, documents that
+#: shrink them, and weight of a clean document, which the sample holds fewer of than the corpus.
+EPOCHS, PRIOR, START, SHRINK, CLEAN_WEIGHT = 6, 0.1, 0.5, 2.0, 1.5
 BLOCK = 32
 
 
@@ -130,23 +132,39 @@ def scan(data, offsets, lo, hi) -> Words:
     return Words(data, offsets, lo, hi, prefixes=PREFIXES, alnum_only=True)
 
 
+def windows(data, offsets, lo, hi) -> Iterator[Words]:
+    """The words of rows lo to hi; a row of more than SLICE bytes comes in parts, each a chain of its own, so that memory does not grow with a row."""
+    for part in Words.parts(data, offsets, lo, hi, prefixes=PREFIXES, alnum_only=True):
+        yield part
+
+
 def first_marks(words: Words) -> np.ndarray:
     first = np.ones(len(words.row), bool)
     first[1:] = words.row[1:] != words.row[:-1]
     return first
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, epochs: int = 12, rate: float = 0.5) -> Field | None:
-    """A field fitted by AdaGrad on the log-likelihood of labelled tokens; None without both labels.
+def log_clean(p: np.ndarray, pair: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Log of each row's chance that none of its tokens is toxic: that of its first, times those of each next one behind a clean one."""
+    first = ~pair.any(1)
+    toxic = p.copy()
+    rest = ~first
+    toxic[rest] = pair[rest, 1] / np.maximum(pair[rest, 0] + pair[rest, 1], 1e-300)
+    return np.bincount(row, np.log1p(-np.minimum(toxic, 1 - 1e-12)), rows)
+
+
+def fit(texts: pa.Array, toxic: np.ndarray, epochs: int = EPOCHS, rate: float = 0.5) -> Field | None:
+    """A field fitted by AdaGrad on the log-likelihood of document labels; None without both labels or without words.
 
-    The labels mark documents; a token of a toxic document is labelled toxic if one of its features occurs in toxic
-    documents beyond what chance allows over all features tested (a binomial bound), and mostly there.
+    A document is toxic if at least one of its tokens is. So a clean one is a chain whose labels are all known (no token is toxic), and a toxic one
+    is the chain constrained to any labelling but that one; the gradient is the difference of expected features
+    with and without the constraint, both by forward-backward. Which tokens are toxic is nowhere given.
     """
     data, offsets = as_bytes(texts)
     toxic = toxic.astype(bool)
     if not toxic.any() or toxic.all():
         return None
-    slices = list(row_slices(offsets, 1 << 19))
+    slices = list(row_slices(offsets, 1 << 18))
     seen = []
     for lo, hi in slices:
         words = scan(data, offsets, lo, hi)
@@ -162,60 +180,59 @@ def fit(texts: pa.Array, toxic: np.ndarray, epochs: int = 12, rate: float = 0.5)
         return None
     n = np.add.reduceat(np.concatenate([x[1] for x in seen])[order], at)
     hit = np.add.reduceat(np.concatenate([x[2] for x in seen])[order], at)
-    often = n >= LEAST_DF
-    m, n, hit = m[often], n[often], hit[often]
-    field = Field(m)
-    share = min(max(0.5, toxic.mean()), LOCAL_SHARE * toxic.mean())
-    rateof = np.clip(hit / np.maximum(n, 1), 1e-9, 1 - 1e-9)
-    surprise = n * (rateof * np.log(rateof / share) + (1 - rateof) * np.log((1 - rateof) / (1 - share)))
-    telling = np.append((surprise > np.log(max(len(m), 2)) + 2) & (rateof >= 0.9), False)
-
-    field.by_length[:] = -4.0
-    g_w, g_len, g_moves = np.full(len(field.w), 1e-3), np.full(32, 1e-3), np.full((2, 2), 1e-3)
+    often = n >= max(LEAST_DF, LEAST_SHARE * len(toxic))
+    field = Field(m[often])
+    n, hit = n[often], hit[often]
+    share = toxic.mean()
+    odds = np.log((hit + SHRINK * share) / (n - hit + SHRINK * (1 - share))) - np.log(share / (1 - share))
+    field.w[:-1] = START * np.maximum(odds, 0.0)
+
     batches = []
     for lo, hi in slices:
         words = scan(data, offsets, lo, hi)
-        known, length = field.features(words)
-        label = toxic[words.row + lo] & np.any([telling[x] for x in known], axis=0) if len(words.row) else np.zeros(0, bool)
-        batches.append(([x.astype(np.int32) for x in known], length.astype(np.int8), label, first_marks(words)))
+        if len(words.row):
+            known, length = field.features(words)
+            batches.append((lo, hi, [x.astype(np.int32) for x in known], length.astype(np.int8), words.row.astype(np.int32), first_marks(words)))
+    tokens = sum(len(x[4]) for x in batches)
+    field.by_length[:] = np.log(0.1 * len(toxic) / max(tokens, 1))
+    g_w, g_len, g_moves = np.full(len(field.w), 1e-1), np.full(32, 1.0), np.full((2, 2), 1.0)
     for _ in range(epochs):
-        for known, length, label, first in batches:
-            if not len(label):
-                continue
+        for lo, hi, known, length, row, first in batches:
             p, pair = marginals(field.theta((known, length)), first, field.moves)
-            gap = label - p
-            step_w = sum(np.bincount(x, gap, len(field.w)) for x in known) - 1e-2 * field.w
+            none = np.minimum(np.exp(log_clean(p, pair, row, hi - lo)), 1 - 1e-9)
+            push = np.where(toxic[lo:hi], none / (1 - none), -CLEAN_WEIGHT)
+            gap = push[row] * p
+            step_w = sum(np.bincount(x, gap, len(field.w)) for x in known) - PRIOR * field.w / len(batches)
             step_w[-1] = 0
             step_len = np.bincount(length, gap, 32)
-            true = np.where(first, -1, 2 * np.roll(label, 1) + label)
-            step_moves = (np.bincount(true[~first], minlength=4) - pair.sum(0)).reshape(2, 2)
-            for weight, step, grown in ((field.w, step_w, g_w), (field.by_length, step_len, g_len), (field.moves, step_moves, g_moves)):
+            step_moves = np.array([np.bincount(row, x, hi - lo) @ push for x in pair.T])
+            step_moves[0] -= np.bincount(row, ~first, hi - lo) @ push
+            for weight, step, grown in ((field.w, step_w, g_w), (field.by_length, step_len, g_len), (field.moves, step_moves.reshape(2, 2), g_moves)):
                 grown += step * step
                 weight += rate * step / np.sqrt(grown)
     return field
 
 
-def tag(field: Field, column: pa.Array, floor: float = 0.05, cut: float = 0.5) -> tuple[list[float], list[list[dict]]]:
-    """Score and toxic spans (code points, end exclusive) of each text.
-
-    The score is the chance that any token is toxic by the marginals, those under `floor` left out so that length alone gives none.
-    """
+def tag(field: Field, column: pa.Array, cut: float = 0.5) -> tuple[list[float], list[list[dict]]]:
+    """Score and toxic spans (code points, end exclusive) of each text: the chance that any token is toxic, and the tokens that are so by `cut` or more."""
     data, offsets = as_bytes(column)
     scores, spans = np.zeros(len(column)), [[] for _ in range(len(column))]
+    at = (-1, 0, 0)  # row, byte and code point behind the last span
     for lo, hi in row_slices(offsets):
-        words = scan(data, offsets, lo, hi)
-        p, _ = marginals(field.theta(field.features(words)), first_marks(words), field.moves)
-        at = np.flatnonzero(p >= floor)
         clean = np.zeros(hi - lo)
-        np.add.at(clean, words.row[at], np.log1p(-np.minimum(p[at], 1 - 1e-12)))
-        scores[lo:hi] = 1 - np.exp(clean)
-        hits = np.flatnonzero(p >= cut)
-        if len(hits):
-            runs = np.split(hits, np.flatnonzero((np.diff(hits) > 1) | (np.diff(words.row[hits]) != 0)) + 1)
+        for words in windows(data, offsets, lo, hi):
+            p, pair = marginals(field.theta(field.features(words)), first_marks(words), field.moves)
+            clean += log_clean(p, pair, words.row, hi - lo)
+            hits = np.flatnonzero(p >= cut)
+            runs = np.split(hits, np.flatnonzero((np.diff(hits) > 1) | (np.diff(words.row[hits]) != 0)) + 1) if len(hits) else []
             for run in runs:
-                row, begin = int(words.row[run[0]]) + lo, int(offsets[words.row[run[0]] + lo])
-                start = code_points(data, begin, int(words.start[run[0]]))
-                spans[row].append({"start": start, "end": start + code_points(data, int(words.start[run[0]]), int(words.end[run[-1]])), "p": float(p[run].max())})
+                row, begin, end = int(words.row[run[0]]) + lo, int(words.start[run[0]]), int(words.end[run[-1]])
+                if row != at[0]:
+                    at = (row, int(offsets[row]), 0)
+                start = at[2] + code_points(data, at[1], begin)
+                at = (row, end, start + code_points(data, begin, end))
+                spans[row].append({"start": start, "end": at[2], "p": float(p[run].max())})
+        scores[lo:hi] = -np.expm1(clean)
     return scores.tolist(), spans
 
 
@@ -224,17 +241,21 @@ _ARROW_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), (
 
 
 def sample(docs: DataFrame, labels: DataFrame, seed: int = 7) -> DataFrame:
-    """doc_id, text, toxic of at most TOXIC_ROWS and CLEAN_ROWS training rows, drawn by a hash of the id.
+    """text, toxic of at most TOXIC_ROWS and CLEAN_ROWS training rows with a text of at most SAMPLE_BYTES, drawn by a hash of the id.
 
-    Training rows have crc32(doc_id as text) mod 4 other than 2; an id labelled more than once is toxic if one label says so.
+    Training rows have crc32(doc_id as text) mod 4 other than 2; an id labelled more than once is toxic if one label says so. Labelled ids
+    are drawn by a threshold on the hash, DRAW times as many as wanted, and the sample is taken from those that have a text.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (crc_part(F.col("doc_id")) != 2))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic")).withColumn("draw", F.xxhash64(F.lit(seed), "doc_id"))
-    drawn = [known.filter(F.col("toxic") == flag).orderBy("draw", "doc_id").limit(rows) for flag, rows in ((True, TOXIC_ROWS), (False, CLEAN_ROWS))]
-    ids = drawn[0].union(drawn[1]).select("doc_id", "toxic")
-    short = docs.filter(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text")
-    rows = short.join(F.broadcast(ids), "doc_id").withColumn("draw", F.xxhash64(F.lit(seed), "doc_id"))  # at most TOXIC_ROWS + CLEAN_ROWS ids
-    return rows.orderBy("draw", "doc_id", "text").limit(TOXIC_ROWS + CLEAN_ROWS).select("text", "toxic")
+    wanted = {True: TOXIC_ROWS, False: CLEAN_ROWS}
+    share = {r["toxic"]: min(1.0, DRAW * wanted[r["toxic"]] / r["n"]) for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    under = lambda flag: F.pmod("draw", F.lit(1 << 30)) < int((1 << 30) * share.get(flag, 1.0))
+    ids = written(known.filter(F.when(F.col("toxic"), under(True)).otherwise(under(False))), "labelled")
+    texts = docs.filter(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # DRAW times the sample's ids
+    texts = written(texts, "sample")
+    parts = [texts.filter(F.col("toxic") == flag).orderBy("draw", "doc_id", "text").limit(rows) for flag, rows in wanted.items()]
+    return parts[0].union(parts[1]).orderBy("draw", "doc_id", "text").select("text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Field | None:
@@ -242,26 +263,29 @@ def train(docs: DataFrame, labels: DataFrame) -> Field | None:
     return fit(rows.column("text"), np.asarray(rows.column("toxic").to_pylist(), bool)) if rows.num_rows else None
 
 
-def score_texts(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataFrame:
-    """docs with score and toxic_spans. Null and empty texts score 0; so does every text without a field (no labels).
+def score_texts(docs: DataFrame, field: Field | None, text_col: str = "text", names: tuple[str, str] = ("score", "toxic_spans")) -> DataFrame:
+    """docs with two more columns, the score and the toxic spans.
 
-    Extra columns pass through, but for those named score and toxic_spans, which are replaced.
+    Null and empty texts and those without words score 0; so does every text without a field (no labels of both kinds).
+    Texts longer than SLICE bytes are scored whole, in parts that are chains of their own. The score is a function of
+    the text alone: equal texts tie, repeated rows are scored each. An empty table gives an empty result. Extra columns pass
+    through, but for those of the names given, which are replaced.
     """
-    rest = docs.drop("score", "toxic_spans")
-    schema = T.StructType([*rest.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("toxic_spans", SPANS)])
+    rest = docs.drop(*names)
+    schema = T.StructType([*rest.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], SPANS)])
     shared = docs.sparkSession.sparkContext.broadcast(field)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col))
             scores, spans = ([0.0] * len(column), [[]] * len(column)) if shared.value is None else tag(shared.value, column)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(spans, _ARROW_SPANS)], names=[*batch.schema.names, "score", "toxic_spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(spans, _ARROW_SPANS)], names=[*batch.schema.names, *names])
 
     return rest.mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, toxic_spans for every row of docs; fitted on a bounded sample of the labels."""
+    """doc_id, held_out, score, predicted, toxic_spans for every row of docs, by a field fitted on a bounded sample of the labels (see score_texts for odd rows)."""
     scored = score_texts(docs.select("doc_id", "text"), train(docs, labels))
     return scored.select("doc_id", (crc_part(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"), "toxic_spans")
 

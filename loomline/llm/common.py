@@ -43,16 +43,31 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Rows numbered from 0 in the given order without a single-task sort: range partitions, then offsets.
-
-    Only one count per range partition is gathered (in a window over those counts), never rows.
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, sums: dict[str, str] | None = None) -> DataFrame:
+    """Rows numbered from 0 in the given order, and running sums (new name to column, the row itself included), without a
+    single-task sort: range partitions, then offsets.
+
+    Only one count and sum per range partition are gathered (in a window over those), never rows.
     """
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parts = written(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "numbered")
-    counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    totals = {"_n": F.lit(1), **{f"_of_{k}": F.col(c) for k, c in (sums or {}).items()}}
+    held = parts.groupBy("_part").agg(*[F.sum(c).alias(k) for k, c in totals.items()])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    ranked = parts.withColumn("_rank", within).join(F.broadcast(offsets), "_part")  # one row per partition
-    return ranked.withColumn(name, F.col("_before") + F.col("_rank") - 1).drop("_part", "_rank", "_before")
+    offsets = held.select("_part", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_before{k}") for k in totals])
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = parts.withColumns({f"_to{k}": F.sum(c).over(within) for k, c in totals.items()}).join(F.broadcast(offsets), "_part")  # one row per partition
+    upto = {k: F.col(f"_before{k}") + F.col(f"_to{k}") for k in totals}
+    return ranked.select(*df.columns, (upto["_n"] - 1).cast("long").alias(name), *[upto[f"_of_{k}"].alias(k) for k in sums or {}])

@@ -88,6 +88,35 @@ def test_mixing_odd_and_targets(spark, odd_documents, no_documents):
     assert copies == {k: v for k, v in repeats.items() if v}
 
 
+def test_mixing_meets_targets_with_null_and_repeated_ids(spark):
+    rows = [(None, "w " * 20, "a", 7, 8)] * 40 + [(1, "x y z", "a", 7, 8)] * 3 + [(i, "q " * (i % 7), "b" if i % 2 else None, 7, 8) for i in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, h long, times long").repartition(5)
+    got = mixing.mix(frame).collect()
+    for source, size in (("a", 20), ("b", 6), (None, 6)):
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= size / 2
+    want = sorted(str((r["doc_id"], r["size"], r["source"], r["repeats"])) for r in got)
+    assert want == sorted(str((r["doc_id"], r["size"], r["source"], r["repeats"])) for r in mixing.mix(frame.repartition(2)).collect())
+    mixed = mixing.mixed_rows(frame)
+    assert mixed.columns == frame.columns and mixed.filter("h <> 7 or times <> 8").count() == 0
+    assert mixed.agg(F.sum(mixing.word_size(F.col("text")))).first()[0] == sum(r["taken"] for r in got)
+
+
+def test_targets_equal_filling_round_by_round(spark):
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 7, 40):
+        sizes = [int(x) for x in rng.integers(0, 1000, n)]
+        frame = spark.createDataFrame([(f"s{i:02}", s) for i, s in enumerate(sizes)], "source string, source_size long")
+        got = {r["source"]: r["target"] for r in mixing.source_targets(frame).collect()}
+        weight, level = [(3, 1, 2)[i % 3] for i in range(n)], 0.0
+        for _ in range(n + 1):
+            full = [2 * s <= w * level for s, w in zip(sizes, weight, strict=True)]
+            if all(full):
+                break
+            level = (1.5 * sum(sizes) - sum(2 * s for s, f in zip(sizes, full, strict=True) if f)) / sum(w for w, f in zip(weight, full, strict=True) if not f)
+        assert np.allclose([got[f"s{i:02}"] for i in range(n)], [min(2 * s, w * level) for s, w in zip(sizes, weight, strict=True)], atol=1e-5)
+
+
 def test_scorers_odd(spark, odd_documents, no_documents):
     field = toxicity.fit(__import__("pyarrow").array(["good", "bad words"] * 20), np.array([0, 1] * 20))
     got = by_id(toxicity.score_texts(odd_documents, field))
@@ -125,7 +154,31 @@ def test_chat_odd(spark):
 def test_contained_items_odd(spark, odd_documents, no_documents):
     item = " ".join(f"t{i}" for i in range(40))
     items = spark.createDataFrame([(1, item), (2, "same WORDS here"), (3, ""), (4, None), (None, "x"), (5, "a b c d e")], "item_id long, text string")
-    docs = odd_documents.select("doc_id", "text").union(spark.createDataFrame([(50, "before " + item.upper() + " after"), (51, item[: len(item) * 3 // 4]), (52, item), (52, item), (53, "x a b c d e y")], "doc_id long, text string"))
+    docs = odd_documents.select("doc_id", "text", "key").unionByName(spark.createDataFrame([(50, "before " + item.upper() + " after"), (51, item[: len(item) * 3 // 4]), (52, item), (52, item), (53, "x a b c d e y")], "doc_id long, text string"), allowMissingColumns=True).selectExpr("*", "1 AS w0", "2 AS mark", "3 AS n_item", "4 AS item_id", "5 AS need")
     got = sorted((r["doc_id"], r["item_id"], r["n_item"], r["n_shared"]) for r in decontaminate.contained_items(docs, items).collect())
     assert got == [(6, 2, 1, 1), (7, 2, 1, 1), (8, 2, 1, 1), (50, 1, 36, 36), (52, 1, 36, 36), (53, 5, 1, 1)]
+    assert got == sorted((r["doc_id"], r["item_id"], r["n_item"], r["n_shared"]) for r in decontaminate.contained_items(docs, items.selectExpr("*", "1 AS rate", "2 AS mark", "3 AS n_item")).collect())
     assert decontaminate.contained_items(no_documents, items).count() == 0 and decontaminate.contained_items(docs, items.limit(0)).count() == 0
+
+
+def test_containment_of_all_sizes_equals_brute_force(spark):
+    """Items of one to 600 shingles, contained to 60 % and more, in one piece or scattered over a long document."""
+    rng = np.random.default_rng(8)
+    items, docs = [], []
+    for i, n in enumerate([1, 4, 5, 9, 30, 40, 70, 130, 300, 600]):
+        words = [f"i{i}w{k}" for k in range(n + 4 if n > 1 else 3)]
+        items.append((i, " ".join(words)))
+        for j in range(12):
+            cut = [w if rng.random() > 0.008 * (j % 6) else f"x{j}" for w in words]
+            filler = [f"f{x}" for x in rng.integers(0, 3000, 800)]
+            at = sorted(rng.integers(0, 800, 2).tolist()) if j % 2 else [300, 300]
+            half = len(cut) // 2
+            docs.append((100 * i + j, " ".join(filler[: at[0]] + cut[:half] + filler[at[0] : at[1]] + cut[half:] + filler[at[1] :])))
+    sets = {}
+    for kind, rows in (("i", items), ("d", docs)):
+        for key, text in rows:
+            w = text.split()
+            sets[kind, key] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    want = sorted((d, i, len(sets["i", i]), len(sets["i", i] & sets["d", d])) for d, _ in docs for i, _ in items if len(sets["i", i] & sets["d", d]) >= 0.8 * len(sets["i", i]))
+    got = decontaminate.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == want and len(want) > 40

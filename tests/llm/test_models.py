@@ -15,7 +15,7 @@ from loomline.llm import embeddings, langid, pii, tokens, toxicity
 from loomline.llm.common import table
 from loomline.llm.textscan import Words, as_bytes
 
-SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+SMALL, MEDIUM, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
 # words -----------------------------------------------------------------------------------------------
@@ -69,22 +69,81 @@ def test_marginals_equal_enumeration_or_recursion(n):
         assert np.allclose(p[a:b], ones / total) and np.allclose(pair[a:b], both / total)
 
 
-def test_toxicity_held_out(spark):
-    docs, labels = table(spark, MEDIUM, "documents"), table(spark, MEDIUM, "labels")
+@pytest.mark.parametrize("n", [1, 2, 7])
+def test_document_score_equals_enumeration(n):
+    rng = np.random.default_rng(n)
+    theta, moves = rng.normal(size=2 * n), rng.normal(size=(2, 2))
+    first = np.arange(2 * n) % n == 0
+    p, pair = toxicity.marginals(theta, first, moves)
+    got = toxicity.log_clean(p, pair, np.repeat([0, 1], n), 2)
+    for r in (0, 1):
+        weights = [np.exp(sum(theta[r * n + i] * y for i, y in enumerate(path)) + sum(moves[x, y] for x, y in itertools.pairwise(path))) for path in itertools.product((0, 1), repeat=n)]
+        assert np.isclose(got[r], np.log(weights[0] / sum(weights)))
+
+
+def plain_score(field, text):
+    """Chance that any word is toxic by a plain forward recursion over the words of a text."""
+    if not text or not text.split():
+        return 0.0
+    words = Words(*as_bytes(pa.array([text])), prefixes=toxicity.PREFIXES, alnum_only=True)
+    place = {int(m): i for i, m in enumerate(field.marks[:-1])}
+    marks = [[int(x) for x in m] for m in toxicity.feature_marks(words)]
+    theta = [field.by_length[min(int(words.end[t] - words.start[t]), 31)] + sum(field.w[place[m[t]]] if m[t] in place else 0.0 for m in marks) for t in range(len(words.row))]
+    clean, total = 0.0, np.array([0.0, theta[0]])
+    for t in range(1, len(theta)):
+        clean += field.moves[0, 0]
+        total = np.array([np.logaddexp(*(total + field.moves[:, y])) + y * theta[t] for y in (0, 1)])
+    return 1 - np.exp(clean - np.logaddexp(*total))
+
+
+def test_query_scores_equal_the_plain_recursion(spark):
+    docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
+    field = toxicity.train(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r for r in toxicity.op1_toxicity(spark, SMALL).collect()}
+    assert len(got) == len(texts)
+    for i, r in got.items():
+        if len(texts[i] or "") < 20_000:
+            assert np.isclose(r["score"], plain_score(field, texts[i]), atol=1e-9)
+        assert r["predicted"] == int(r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
+@pytest.mark.parametrize(("folder", "false_ones"), [(MEDIUM, 1), (LARGE, 4)])
+def test_toxicity_held_out(spark, folder, false_ones):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     got = toxicity.classify(docs, labels).join(labels, "doc_id").filter("held_out").toPandas()
     toxic = got[got.toxic == 1]
-    assert (got[got.toxic == 0].predicted == 0).all() and (toxic.predicted == 1).mean() > 0.5
-    assert got.score.between(0, 1).all()
-    held = {r["doc_id"]: r["held_out"] for r in toxicity.classify(docs, labels).select("doc_id", "held_out").collect()}
-    assert len(held) == docs.count() and all(v == (zlib.crc32(str(k).encode()) % 4 == 2) for k, v in held.items())
+    assert (toxic.predicted == 1).mean() >= 0.9 and (got[got.toxic == 0].predicted == 1).sum() <= false_ones
+    assert got.score.between(0, 1).all() and (got.score > 0).all() and got.score.nunique() > 0.8 * len(got)
+
+
+def test_sample_is_drawn_from_ids_with_a_text(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TOXIC_ROWS", 3)
+    monkeypatch.setattr(toxicity, "CLEAN_ROWS", 5)
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(400)] + [(7, 0, 0), (None, 0, 1), (9, 0, None)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(i, "x" * (70_000 if i % 5 == 0 else 9)) for i in range(200)], "doc_id long, text string")
+    got = [tuple(r) for r in toxicity.sample(docs, labels).collect()]
+    assert sorted(t for _, t in got) == [False] * 5 + [True] * 3 and all(len(t) == 9 for t, _ in got)
 
 
 def test_spans_are_the_toxic_words():
     texts = [f"you are a friend said {i} stay calm today" for i in range(60)] + [f"you are a zorgle! said {i} today" for i in range(30)]
     field = toxicity.fit(pa.array(texts), np.array([0] * 60 + [1] * 30))
-    scores, spans = toxicity.tag(field, pa.array(["é a zorgle, calm", "words stay calm", None, ""]))
+    scores, spans = toxicity.tag(field, pa.array(["é a zorgle, calm", "words stay calm", None, "", "a zorgle and é a zorgle!"]))
     assert [(s["start"], s["end"]) for s in spans[0]] == [(4, 11)] and scores[0] > 0.9
-    assert scores[1:] == [0.0, 0.0, 0.0] and toxicity.fit(pa.array(["a"]), np.array([0])) is None
+    assert [(s["start"], s["end"]) for s in spans[4]] == [(2, 8), (17, 24)]
+    assert scores[1] < 0.1 and scores[2:4] == [0.0, 0.0] and toxicity.fit(pa.array(["a"]), np.array([0])) is None
+
+
+def test_long_rows_are_scored_in_parts(monkeypatch):
+    texts = [f"you are a friend said {i} stay calm today" for i in range(60)] + [f"you are a zorgle! said {i} today" for i in range(30)]
+    field = toxicity.fit(pa.array(texts), np.array([0] * 60 + [1] * 30))
+    long = pa.array(["stay calm " * 300 + "zorgle " + "stay calm " * 300, "calm"])
+    whole, spans = toxicity.tag(field, long)
+    windows = toxicity.windows
+    monkeypatch.setattr(toxicity, "windows", lambda *a: (w for w in Words.parts(*a, prefixes=toxicity.PREFIXES, alnum_only=True, most=500)))
+    parts, same = toxicity.tag(field, long)
+    assert windows is not toxicity.windows and np.allclose(whole, parts, atol=0.01) and [(x["start"], x["end"]) for x in spans[0]] == [(x["start"], x["end"]) for x in same[0]] == [(3000, 3006)]
 
 
 # language --------------------------------------------------------------------------------------------
@@ -277,6 +336,36 @@ def test_personal_data_rows(spark):
         assert set(filter(None, pii.joined(base).split(","))) <= set(r["spans"].split(","))
 
 
+def test_added_spans_on_held_out_rows(spark):
+    """The written table in four parts, each found by a field that has not seen it."""
+    drawn = pii.labelled_windows(table(spark, MEDIUM, "documents")).toArrow()
+    found = marked = wrong = 0
+    for part in range(4):
+        features, labels = pii.written_windows(-part - 1)
+        windows, states = drawn.column("features").to_pylist(), drawn.column("labels").to_pylist()
+        field = pii.fit_field(features + windows, labels + states, [pii.WRITTEN_WEIGHT] * len(labels) + [1.0] * len(states))
+        texts, spans = pii.written_rows(part)
+        for want, (base, every) in zip(spans, pii.tag(field, pa.array(texts)), strict=True):
+            added = [x for x in every if x not in base]
+            marked += len(want)
+            found += sum(any(a < z and b > x and k == kind for a, k, b in every) for x, kind, z in want)
+            wrong += sum(not any(a < z and b > x for x, _, z in want) for a, _, b in added)
+    assert found >= 0.35 * marked and wrong <= 4
+
+
+def test_decoding_near_telling_words():
+    rng = np.random.default_rng(4)
+    field = pii.ShapeField()
+    field.w, field.moves = rng.normal(size=field.w.shape).astype(np.float32), rng.normal(size=field.moves.shape).astype(np.float32)
+    data, offsets = as_bytes(pa.array(["plain words only", "a b c d e f g 12 h i j k l m n", "", "x 1"]))
+    words = Words(data, offsets, marks=False)
+    features = pii.shape_features(data, words)
+    state = field.decode_near(features, words.row)
+    assert not state[words.row == 0].any()
+    at = np.flatnonzero(words.row == 1)
+    assert (state[at[2:13]] == field.decode(features[at[2:13]], np.zeros(11, int))).all() and not state[at[:2]].any() and not state[at[13:]].any()
+
+
 def test_viterbi_equals_enumeration():
     rng = np.random.default_rng(2)
     field = pii.ShapeField()

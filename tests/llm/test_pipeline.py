@@ -53,3 +53,27 @@ def test_run_is_registered(spark):
 
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     assert corpus_pipeline.run(spark, SMALL).filter("shard is null").count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows, null ids, empty tables and columns whose names the stages use."""
+    long = " ".join(f"word{i % 977} and{i % 31}" for i in range(40_000))
+    leak = spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").first()["text"]
+    rows = [
+        (1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\t ", "en", "a", 0), (5, long + " more", "en", "b", 1), (4, long, "en", "b", 1), (7, "same words here", "fr", None, 1), (6, "same words here", "fr", "a", 1),
+        (8, "Same WORDS here", "fr", "a", 1), (8, "Same WORDS here", "fr", "a", 1), (None, "no id at all in this one", "en", "c", 1), (None, "no id at all in this one", "en", "c", 1), (None, leak, "en", "c", 1), (8, leak, "en", "c", 1),
+    ]
+    clashing = ("score", "toxic_spans", "_h", "_key", "shard", "row", "key", "class", "times", "copy", "h", "src", "edge", "size")
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *[f"{i} AS {c}" for i, c in enumerate(clashing)]).repartition(3)
+    ids = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, frame, SMALL)
+        assert out.columns == frame.columns + ["shard_"] * (name == "sharding")
+        assert all(out.filter(f"{c} <> {i}").isEmpty() for i, c in enumerate(clashing))
+        ids[name] = sorted(str(r["doc_id"]) for r in out.collect())
+        assert stage(spark, frame.limit(0), SMALL).count() == 0
+    every = sorted(str(r[0]) for r in rows)
+    assert ids["toxicity"] == every and ids["sharding"] == every
+    assert ids["minhash_near_dedup"] == sorted(["1", "2", "3", "4", "6", "None", "8"])
+    assert ids["benchmark_decontamination"] == sorted(str(r[0]) for r in rows if r[1] != leak)
+    assert set(ids["mixing"]) <= set(every)

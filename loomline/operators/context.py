@@ -6,15 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Fixed value: the form of a source, by episode, guest, chapter, start and end.
+SOURCE = 'Episode %s · %s · chapter "%s" · %s-%s'
+
+
+def source(doc: Column) -> Column:
+    """What a chunk struct cites, after SOURCE; a missing guest is `Unknown`, other missing parts are empty."""
+    known = lambda c, other="": F.coalesce(c.cast("string"), F.lit(other))
+    return F.format_string(SOURCE, known(doc["episode"]), known(doc["guest"], "Unknown"), known(doc["chapter"]), known(doc["start_ts"]), known(doc["end_ts"]))
+
+
 def source_line(n: Column, doc: Column) -> Column:
-    """`[n] Episode e · guest · chapter "c" · start-end` of a chunk struct."""
-    return F.format_string('[%d] Episode %s · %s · chapter "%s" · %s-%s', n, doc["episode"].cast("string"), doc["guest"], doc["chapter"], doc["start_ts"], doc["end_ts"])
+    """`[n]` and the source of a chunk struct."""
+    return F.concat(F.format_string("[%d] ", n), source(doc))
 
 
 def build_context(retrieved: DataFrame) -> DataFrame:
     """query_id, context: numbered blocks of a query's chunks by rank, each a source line and the text."""
     doc = F.struct("episode", "guest", "chapter", "start_ts", "end_ts")
-    block = F.concat(F.format_string("[%d] (", F.col("rank")), F.substring_index(source_line(F.col("rank"), doc), "] ", -1), F.lit(")\n"), F.col("text"))
+    block = F.concat(F.format_string("[%d] (", F.col("rank")), source(doc), F.lit(")\n"), F.coalesce("text", F.lit("")))
     return retrieved.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))), lambda r: r["block"]), "\n\n").alias("context"))
 
 

@@ -9,22 +9,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.functions.scratch import stored
 from loomline.functions.text import tokenize
 
 Encoder = Callable[[list[str]], np.ndarray]
 
 
 def keyword_index(docs: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]:
-    """postings (term, key, tf, dl), term_df (term, df), corpus (n, avgdl).
+    """postings (term, key, tf, dl), term_df (term, df), corpus (n, avgdl). The postings are stored, and the rest is counted from them.
 
     Terms are counted after one explode with map-side sums; every posting carries its document's length, so that searching needs
     no join for it. Documents without a term still count in n and avgdl.
     """
     terms = docs.select(key, tokenize(F.coalesce("text", F.lit(""))).alias("terms"))
     rows = terms.select(key, F.size("terms").cast("long").alias("dl"), F.explode_outer("terms").alias("term")).filter("term is not null")
-    postings = rows.groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    postings = stored(rows.groupBy("term", key, "dl").agg(F.count("*").alias("tf")), "postings")
     term_df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    corpus = terms.agg(F.count("*").alias("n"), F.avg(F.size("terms").cast("double")).alias("avgdl"))
+    n = docs.count()
+    corpus = postings.agg(F.lit(n).cast("long").alias("n"), (F.coalesce(F.sum("tf"), F.lit(0)) / F.lit(max(n, 1))).alias("avgdl"))
     return {"postings": postings, "term_df": term_df, "corpus": corpus}
 
 
@@ -50,8 +52,8 @@ def upsert_by_id(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     return both.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_v")
 
 
-def hashing_encoder(dims: int = 64) -> Encoder:
-    """Offline default: signed hashing of terms, scaled to norm 1. Any function from texts to a matrix can take its place."""
+def hashing_encoder(dims: int = 64, scaled: bool = True) -> Encoder:
+    """Offline default: signed hashing of terms, scaled to norm 1 unless the sums themselves are asked for. Any function from texts to a matrix can take its place."""
     import re
     import zlib
 
@@ -64,7 +66,7 @@ def hashing_encoder(dims: int = 64) -> Encoder:
                 h = zlib.crc32(t.encode())
                 out[i, h % dims] += 1.0 if h & 0x10000 else -1.0
         norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.maximum(norm, 1e-9)
+        return out / np.maximum(norm, 1e-9) if scaled else out
 
     return encode
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -16,8 +17,9 @@ SEGMENT_CLASS, NAME_CLASS, TIME_CLASS, TEXT_CLASS, TITLE_CLASS = "ts-segment", "
 _VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"])
 
 
-def is_transcript_page(html: Column) -> Column:
-    return F.coalesce(html.contains(SEGMENT_CLASS), F.lit(False))
+def is_transcript_page(html: Column, mark: str = SEGMENT_CLASS) -> Column:
+    """Whether a page carries the mark of dialogue; false for null."""
+    return F.coalesce(html.contains(mark), F.lit(False))
 
 
 def page_info(pages: DataFrame, title: Column) -> DataFrame:
@@ -35,11 +37,13 @@ def drop_known_episodes(pages: DataFrame, known: DataFrame, order: list[str]) ->
 
 
 class _Walker(HTMLParser):
-    """Chapter headings and segments of a page in document order."""
+    """Chapter headings and segments of a page in document order. Open tags and what they are get counted, so a text costs no walk over all that is open."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[list] = []  # tag, what it is
+        self.open: list[tuple] = []  # tag, what it is
+        self.tags: Counter = Counter()
+        self.inside: Counter = Counter()
         self.nodes: list[dict] = []
         self.segments: list[dict] = []  # open segments
         self.titles: list[list[str]] = []
@@ -66,16 +70,18 @@ class _Walker(HTMLParser):
                 if mark in classes and self.segments[-1][name] is None:
                     self.segments[-1][name] = []
                     what = name
-        elif tag == "a" and self.segments and self.segments[-1]["href"] is None and any(w == "time" for _, w in self.open):
+        elif tag == "a" and self.segments and self.segments[-1]["href"] is None and self.inside["time"]:
             self.segments[-1]["href"] = at.get("href") or ""
         if tag not in _VOID:
-            self.open.append([tag, what])
+            self.open.append((tag, what))
+            self.tags[tag] += 1
+            self.inside[what] += 1
 
     def handle_endtag(self, tag):
-        if not any(t == tag for t, _ in self.open):
-            return
-        while self.open:
+        while self.tags[tag]:
             t, what = self.open.pop()
+            self.tags[t] -= 1
+            self.inside[what] -= 1
             if what == "heading":
                 self.heading = None
             elif what == "segment":
@@ -86,12 +92,11 @@ class _Walker(HTMLParser):
     def handle_data(self, data):
         if self.heading is not None:
             self.heading["text"].append(data)
-        inside = {w for _, w in self.open}
-        if "title" in inside:
+        if self.inside["title"]:
             self.titles[-1].append(data)
         if self.segments:
             for name in ("name", "time", "text"):
-                if name in inside:
+                if self.inside[name]:
                     self.segments[-1][name].append(data)
 
 

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.functions.sizing import broadcast_if_small
+
+#: Models up to this many are broadcast to the records.
+BROADCAST_MODELS = 10_000
+
 
 def md5_order(col: Column, seed: int) -> Column:
     """A seeded order that any SQL engine can repeat."""
@@ -24,9 +29,10 @@ def stratified_sample(rows: DataFrame, n: int, seed: int, key: str = "id", strat
 
 
 def eval_worklist(records: DataFrame, models: DataFrame, results: DataFrame) -> DataFrame:
-    """Records by models (a stated, short list) less the pairs already scored good or bad."""
+    """Records by models less the pairs already scored good or bad. Models are a short list, broadcast if it is."""
+    asked = broadcast_if_small(models.select("answer_model").distinct(), BROADCAST_MODELS)
     done = results.filter(F.col("score").isin("good", "bad")).select("faq_id", "answer_model").distinct()
-    return records.crossJoin(F.broadcast(models.select("answer_model").distinct())).join(done, ["faq_id", "answer_model"], "left_anti")
+    return records.crossJoin(asked).join(done, ["faq_id", "answer_model"], "left_anti")
 
 
 def drop_stale_results(results: DataFrame, worklist: DataFrame) -> DataFrame:

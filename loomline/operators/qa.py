@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Names under which a response may list its pairs, and boundaries of a pair.
 LIST_KEYS = ("qa_pairs", "faqs", "pairs", "results")
 BOUNDARIES = ("ok", "merge", "long_split")
+#: Fixed value: a fenced block of a response.
+FENCED = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
 CHAPTER_KEYS = ["episode", "chapter_index"]
 
 
@@ -41,7 +43,7 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     batch. A bare list is the list of pairs.
     """
     content = F.coalesce(F.col("content"), F.lit(""))
-    fenced = F.regexp_extract(content, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    fenced = F.regexp_extract(content, FENCED, 1)
     data = F.coalesce(_whole_json(content), _whole_json(fenced), _whole_json(_outer(content)))
     parsed = responses.select(*CHAPTER_KEYS, "batch", data.alias("data"))
     lists = F.coalesce(F.try_variant_get("data", "$", "array<variant>"), *[F.try_variant_get("data", f"$.{k}", "array<variant>") for k in LIST_KEYS])
@@ -119,7 +121,7 @@ def merge_batch_status(status: DataFrame) -> DataFrame:
 
 
 def order_qa(pairs: DataFrame, chapters: DataFrame) -> DataFrame:
-    """pairs with `place` in their episode: by chapter order (unknown chapters last), then id."""
-    order = chapters.select("episode", "chapter", F.col("chapter_index").alias("ord")).distinct()
+    """pairs with `place` in their episode: by chapter order (unknown chapters last; of chapters of one title the first counts), then id."""
+    order = chapters.groupBy("episode", "chapter").agg(F.min("chapter_index").alias("ord"))
     placed = pairs.join(order, ["episode", "chapter"], "left")
     return placed.withColumn("place", F.row_number().over(Window.partitionBy("episode").orderBy(F.coalesce("ord", F.lit(999)), "id"))).drop("ord")

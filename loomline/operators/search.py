@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +16,8 @@ from loomline.functions.text import tokenize
 
 #: Query terms up to this many rows are broadcast to the postings; more shuffle.
 BROADCAST_TERMS = 500_000
-#: Query vectors of a block: that many times the dimension, as doubles, go to every executor at once.
-QUERY_BLOCK = 4096
+#: Queries and documents of a block of the exact search, and documents of a part of a cell of the other.
+QUERY_BLOCK, DOC_BLOCK, CELL_BLOCK = 16_384, 131_072, 131_072
 
 
 def top(scored: DataFrame, n: int, method: str | None = None, digits: int = 6) -> DataFrame:
@@ -38,57 +39,59 @@ def bm25_search(queries: DataFrame, index: dict[str, DataFrame], n: int = 10, k1
     corpus = index["corpus"].select("n", "avgdl")  # one row
     known = asked.join(index["term_df"], "term").crossJoin(F.broadcast(corpus))
     known = known.withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    known = broadcast_if_small(known.select("query_id", "term", "qtf", "idf", "avgdl"), BROADCAST_TERMS)
+    known = broadcast_if_small(stored(known.select("query_id", "term", "qtf", "idf", "avgdl"), "asked"), BROADCAST_TERMS)
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = index["postings"].withColumnRenamed(key, "doc_id").join(known, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("idf") * tf).alias("score"))
     return top(scored.filter("score > 0"), n)
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    """Query ids and matrices in blocks; one block at a time is on the driver."""
-    ids, rows = [], []
-    for r in queries.select("query_id", "vector").filter("vector is not null").toLocalIterator():
-        ids.append(r[0])
-        rows.append(np.asarray(r[1], np.float64))
-        if len(ids) == QUERY_BLOCK:
-            yield ids, np.stack(rows)
-            ids, rows = [], []
-    if ids:
-        yield ids, np.stack(rows)
+def _best(scores: np.ndarray, names: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each row's n best by rounded score, ties by name; entries of -inf are none."""
+    rounded = np.round(scores, 6)
+    if rounded.shape[1] > n:
+        worst = -np.partition(-rounded, n - 1, axis=1)[:, n - 1]
+        rounded = np.where(rounded >= worst[:, None], rounded, -np.inf)
+    q, at = np.nonzero(rounded > -np.inf)
+    place = np.argsort(np.argsort(names, kind="stable"), kind="stable")
+    order = np.lexsort((place[at], -rounded[q, at], q))
+    q, at = q[order], at[order]
+    rank = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[rank < n], at[rank < n]
+
+
+def _met(docs: pa.Table, queries: pa.Table, n: int) -> pa.Table:
+    """query_id, doc_id, score of the n best of a block of documents for each query of a block."""
+    parts = []
+    if docs.num_rows and queries.num_rows:
+        x, names = _unit(docs.column("vector").to_numpy()), docs.column("doc_id").to_numpy()
+        for lo in range(0, queries.num_rows, 256):
+            asked = queries.slice(lo, 256)
+            scores = _unit(asked.column("vector").to_numpy()) @ x.T
+            q, at = _best(scores, names, n)
+            parts.append(pa.table({"query_id": asked.column("query_id").take(pa.array(q)), "doc_id": docs.column("doc_id").take(pa.array(at)), "score": pa.array(scores[q, at], pa.float64())}))
+    none = pa.table({"query_id": queries.column("query_id").slice(0, 0), "doc_id": docs.column("doc_id").slice(0, 0), "score": pa.array([], pa.float64())})
+    return pa.concat_tables(parts) if parts else none
 
 
 def vector_search(queries: DataFrame, docs: DataFrame, n: int = 10) -> DataFrame:
     """Exact cosine ranking of queries (query_id, vector) against docs (doc_id, vector); negative scores rank too.
 
-    Queries go out in blocks; every Arrow batch of documents is one matrix product, of which each query keeps its n best, and
-    the lists merge by query. Null vectors rank nowhere.
+    Both sides are cut into blocks by a hash; each pair of blocks meets in a task as matrix products, of which every query keeps its n best, and the
+    lists merge by query. Documents are sent once for each QUERY_BLOCK queries. Null vectors rank nowhere.
     """
-    parts = []
-    spark = docs.sparkSession
+    queries = stored(queries.select("query_id", "vector").filter("vector is not null"), "queries")
+    docs = docs.select("doc_id", "vector").filter("vector is not null")
+    rows = docs.count()
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    over, down = -(-queries.count() // QUERY_BLOCK) or 1, max(-(-rows // DOC_BLOCK), min(cores, -(-rows // 4096)), 1)
     kind_q, kind_d = dict(queries.dtypes)["query_id"], dict(docs.dtypes)["doc_id"]
-    for ids, matrix in _blocks(queries):
-        shared = spark.sparkContext.broadcast((ids, matrix / (np.linalg.norm(matrix, axis=1, keepdims=True) + 1e-9)))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, unit = shared.value
-            for frame in batches:
-                if not len(frame):
-                    continue
-                x = np.stack(frame["vector"].to_numpy()).astype(np.float64)
-                scores = unit @ (x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)).T
-                names = frame["doc_id"].to_numpy()
-                by_name = np.argsort(names, kind="stable")
-                order = by_name[np.argsort(-np.round(scores[:, by_name], 6), axis=1, kind="stable")[:, :n]]
-                q = np.repeat(np.arange(len(ids)), order.shape[1])
-                yield pd.DataFrame({"query_id": np.asarray(ids, dtype=object)[q], "doc_id": names[order.ravel()], "score": scores[q, order.ravel()]})
-
-        parts.append(docs.select("doc_id", "vector").filter("vector is not null").mapInPandas(run, f"query_id {kind_q}, doc_id {kind_d}, score double"))
-    if not parts:
-        return top(queries.join(docs, F.lit(False)).select("query_id", "doc_id", F.lit(0.0).alias("score")), n)
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.union(part)
-    return top(whole, n)
+    block = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = docs.withColumns({"_d": block("doc_id", down), "_q": every(over)})
+    right = queries.withColumn("_q", block("query_id", over)).withColumn("_d", every(down))
+
+    pairs = left.groupBy("_d", "_q").cogroup(right.groupBy("_d", "_q"))
+    return top(pairs.applyInArrow(lambda docs, queries: _met(docs, queries, n), f"query_id {kind_q}, doc_id {kind_d}, score double"), n)
 
 
 def _nearness(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -121,7 +124,7 @@ def ann_search(queries: DataFrame, docs: DataFrame, n: int = 10, cells: int | No
 
     Without `cells` there are twice the root of the row count, 1,024 at most. Without `probes`, as many cells are visited as
     hold the share `recall` of the true neighbours of at most `checked` queries, measured by brute force over all rows.
-    Null vectors rank nowhere. Cells are visited inside tasks on Arrow batches, so a large cell stays spread over them.
+    Null vectors rank nowhere. Queries are sent to the cells they visit; a cell of more than CELL_BLOCK documents is met in parts.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -145,39 +148,24 @@ def ann_search(queries: DataFrame, docs: DataFrame, n: int = 10, cells: int | No
                 yield frame.assign(cell=_nearness(_unit(frame["vector"]), shared_centres.value).argmax(1))
 
     placed = stored(data.mapInPandas(place, f"doc_id {kind_d}, vector {kind_v}, cell long"), "placed")
-    probes = probes or _probes(queries, placed, centres, n, recall, checked)
-    parts = []
-    for ids, matrix in _blocks(queries):
-        unit = _unit(matrix)
-        near = np.argsort(-_nearness(unit, centres), axis=1, kind="stable")[:, :probes]
-        visits = np.zeros((len(ids), len(centres)), bool)
-        np.put_along_axis(visits, near, True, axis=1)
-        shared = spark.sparkContext.broadcast((ids, unit, visits))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, unit, visits = shared.value
-            for frame in batches:
-                if not len(frame):
-                    continue
-                frame = frame.sort_values("doc_id", kind="stable")
-                names, cell, x = frame["doc_id"].to_numpy(), frame["cell"].to_numpy(), _unit(frame["vector"])
-                for lo in range(0, len(ids), 256):
-                    scores = np.full((min(256, len(ids) - lo), len(names)), -np.inf)
-                    for c in np.unique(cell):
-                        asking, there = np.flatnonzero(visits[lo : lo + 256, c]), np.flatnonzero(cell == c)
-                        scores[np.ix_(asking, there)] = unit[lo + asking] @ x[there].T
-                    order = np.argsort(-np.round(scores, 6), axis=1, kind="stable")[:, :n]
-                    best = np.take_along_axis(scores, order, axis=1)
-                    q, at = np.nonzero(best > -np.inf)
-                    yield pd.DataFrame({"query_id": np.asarray(ids, dtype=object)[lo + q], "doc_id": names[order[q, at]], "score": best[q, at]})
-
-        parts.append(placed.mapInPandas(run, f"query_id {kind_q}, doc_id {kind_d}, score double"))
-    if not parts:
-        return vector_search(queries, docs, n)
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.union(part)
-    return top(whole, n)
+    probes = min(len(centres), probes or _probes(queries, placed, centres, n, recall, checked))
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            if len(frame):
+                near = np.argsort(-_nearness(_unit(frame["vector"]), shared_centres.value), axis=1, kind="stable")[:, :probes]
+                yield frame.assign(cell=near.tolist())
+
+    asked = queries.select("query_id", "vector").filter("vector is not null")
+    asked = asked.mapInPandas(visit, f"query_id {kind_q}, vector {dict(queries.dtypes)['vector']}, cell array<long>").withColumn("cell", F.explode("cell"))
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(CELL_BLOCK)).cast("int").alias("parts"))  # at most 1,024 rows
+    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    there = placed.join(F.broadcast(sizes), "cell").select("cell", "doc_id", "vector", part.alias("part"))
+    cuts = sizes.withColumnRenamed("parts", "cuts")
+    asked = asked.join(F.broadcast(cuts), "cell").select("cell", "query_id", "vector", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("part"))
+
+    pairs = there.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part"))
+    return top(pairs.applyInArrow(lambda docs, queries: _met(docs, queries, n), f"query_id {kind_q}, doc_id {kind_d}, score double"), n)
 
 
 def rrf_fuse(lists: list[DataFrame], k: int = 60, n: int = 10) -> DataFrame:

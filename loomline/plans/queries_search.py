@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomline.functions.scratch import stored
 from loomline.operators import context, index, rank_eval, search
 from loomline.plans import views as V
-from loomline.plans.views import CHUNKS, SEG, bm25_sql, cosine_sql, rrf_sql, table, with_ctes
+from loomline.plans.views import CHUNKS, SEG, bm25_sql, cosine_sql, hashed_sql, rrf_sql, table, with_ctes
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -64,27 +64,23 @@ _PLAIN = f"{bm25_sql('r1', 'documents', 'bq', 10)}, {bm25_sql('r2', 'documents',
 
 @query(f"WITH {_BENCH}, {_PLAIN}, {rrf_sql('r', ['r1', 'r2'], 10)}" + " SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r")
 def rrf_fuse(spark, d):
-    made = {name: stored(part, name) for name, part in index.keyword_index(table(spark, d, "documents")).items()}
+    made = index.keyword_index(table(spark, d, "documents"))
     lists = [search.bm25_search(_bench(spark, d), made, 10), search.bm25_search(_bench(spark, d), made, 10, 1.2, 0.0)]
     return _rounded(search.rrf_fuse(lists, n=10), 6)
 
 
-_HYBRID = f"""hd AS (SELECT doc_id, text, embedding AS vector FROM documents JOIN embeddings ON vec_id = doc_id), hq AS (SELECT item_id AS query_id, text, embedding AS vector FROM benchmark JOIN embeddings ON vec_id = item_id),
-{bm25_sql('h1', 'hd', 'hq', 10)}, {cosine_sql('h2', 'hd', 'hq', 10)}, {rrf_sql('h', ['h1', 'h2'], 10)}"""
+_HYBRID = f"""{_BENCH}, hd AS (SELECT doc_id, embedding AS vector FROM documents JOIN embeddings ON vec_id = doc_id), hq AS (SELECT item_id AS query_id, embedding AS vector FROM benchmark JOIN embeddings ON vec_id = item_id),
+{bm25_sql('h1', 'documents', 'bq', 10)}, {cosine_sql('h2', 'hd', 'hq', 10)}, {rrf_sql('h', ['h1', 'h2'], 10)}"""
 
 
 def _hybrid(spark, d, n=10):
-    """The keyword list and the texts are of all documents and items; the vector list is of those that have a vector.
-
-    The SQL above takes only documents and items with a vector in both lists; it gives the same where every one has one.
-    """
+    """The keyword list and the texts are of all documents and items; the vector list is of those that have a vector."""
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     docs = table(spark, d, "documents").select("doc_id", "text")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     known = vectors.withColumnRenamed("id", "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
     asking = vectors.withColumnRenamed("id", "query_id").join(asked.select("query_id"), "query_id", "left_semi")
-    made = {name: stored(part, name) for name, part in index.keyword_index(docs).items()}
-    return search.hybrid_search(asked, made, asking, known, n, 10), asked, docs
+    return search.hybrid_search(asked, index.keyword_index(docs), asking, known, n, 10), asked, docs
 
 
 @query(f"WITH {_HYBRID} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM h")
@@ -95,7 +91,7 @@ def hybrid_search(spark, d):
 _OVERLAP = "len(list_intersect(list_distinct(regexp_extract_all(lower({q}), '[a-z0-9'']+')), regexp_extract_all(lower({t}), '[a-z0-9'']+'))) / len(list_distinct(regexp_extract_all(lower({q}), '[a-z0-9'']+')))::DOUBLE"
 
 
-@query(f"""WITH {_HYBRID}, s AS (SELECT h.query_id, h.doc_id, h.rank AS was, coalesce({_OVERLAP.format(q='q.text', t='d.text')}, 0) AS score FROM h JOIN hd d ON d.doc_id = h.doc_id JOIN hq q ON q.query_id = h.query_id)
+@query(f"""WITH {_HYBRID}, s AS (SELECT h.query_id, h.doc_id, h.rank AS was, coalesce({_OVERLAP.format(q='q.text', t='d.text')}, 0) AS score FROM h JOIN documents d ON d.doc_id = h.doc_id JOIN bq q ON q.query_id = h.query_id)
 SELECT * FROM (SELECT query_id, doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, was, doc_id) AS rank FROM s) WHERE rank <= 5""")
 def rerank(spark, d):
     ranked, asked, docs = _hybrid(spark, d)
@@ -105,28 +101,32 @@ def rerank(spark, d):
 # over chunks of the dialogue -------------------------------------------------------------------------
 
 _ON_CHUNKS = with_ctes(*CHUNKS, "golden", "gold")[:-1] + f""", cd AS (SELECT id AS doc_id, text FROM chunks),
-{bm25_sql('m1', 'cd', 'golden', 10)}, {bm25_sql('m2', 'cd', 'golden', 10, 1.5, 0.0)}, {rrf_sql('m3', ['m1', 'm2'], 10)},
+{bm25_sql('m1', 'cd', 'golden', 10)}, {hashed_sql('vd', 'cd', 'doc_id')}, {hashed_sql('vq', 'golden', 'query_id')}, {cosine_sql('m2', 'vd', 'vq', 10)}, {rrf_sql('m3', ['m1', 'm2'], 10)},
 m4s AS (SELECT h.query_id, h.doc_id, h.rank AS was, coalesce({_OVERLAP.format(q='q.text', t='d.text')}, 0) AS score FROM m3 h JOIN cd d ON d.doc_id = h.doc_id JOIN golden q ON q.query_id = h.query_id),
 m4 AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, was, doc_id) AS rank FROM m4s),
-ranked AS (SELECT 'bm25' AS method, query_id, doc_id, rank FROM m1 UNION ALL SELECT 'flat', query_id, doc_id, rank FROM m2 UNION ALL SELECT 'fused', query_id, doc_id, rank FROM m3 UNION ALL SELECT 'fused+rerank', query_id, doc_id, rank FROM m4),
-methods AS (SELECT unnest(['bm25', 'flat', 'fused', 'fused+rerank', 'none']) AS method),
+ranked AS (SELECT 'bm25' AS method, query_id, doc_id, rank FROM m1 UNION ALL SELECT 'vector', query_id, doc_id, rank FROM m2 UNION ALL SELECT 'hybrid', query_id, doc_id, rank FROM m3 UNION ALL SELECT 'hybrid+rerank', query_id, doc_id, rank FROM m4),
+methods AS (SELECT unnest(['bm25', 'vector', 'hybrid', 'hybrid+rerank', 'none']) AS method),
 wanted AS (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY 1),
 found AS (SELECT method, query_id, min(rank) AS first_hit, count(*) AS found FROM ranked JOIN gold USING (query_id, doc_id) GROUP BY 1, 2),
 hits AS (SELECT m.method, w.query_id, first_hit, coalesce(found, 0) AS found, n_gold FROM wanted w CROSS JOIN methods m LEFT JOIN found f ON f.method = m.method AND f.query_id = w.query_id)
 """
-METHODS = ["bm25", "flat", "fused", "fused+rerank", "none"]
+METHODS = ["bm25", "vector", "hybrid", "hybrid+rerank", "none"]
+
+
+def _sums_encoder():
+    """The hashing encoder without scaling, which the cosine does in double precision."""
+    return index.hashing_encoder(64, scaled=False)
 
 
 def _chunk_lists(spark, d):
-    """Four rankings of the golden queries over the chunks: two keyword settings, their fusion, and that rescored."""
-    asked = V.golden_queries(spark, d).select("query_id", "text")
+    """Four rankings of the golden queries over the chunks: by keywords, by vectors, both fused, and that rescored."""
+    asked = stored(V.golden_queries(spark, d).select("query_id", "text"), "asked")
     chunks = stored(V.chunks(spark, d), "chunks")
     docs = chunks.select(F.col("id").alias("doc_id"), "text")
-    made = {name: stored(part, name) for name, part in index.keyword_index(docs).items()}
-    first, flat = (stored(search.bm25_search(asked, made, 10, 1.5, b), "ranked") for b in (0.75, 0.0))
-    fused = stored(search.rrf_fuse([first, flat], n=10), "fused")
-    rescored = search.rerank(fused, asked, docs, 10)
-    return {"bm25": first, "flat": flat, "fused": fused, "fused+rerank": rescored}, asked, chunks
+    words = stored(search.bm25_search(asked, index.keyword_index(docs), 10), "ranked")
+    vectors = stored(search.vector_search(index.embed_texts(asked, _sums_encoder), index.embed_texts(docs, _sums_encoder), 10), "ranked")
+    both = stored(search.rrf_fuse([words, vectors], n=10), "fused")
+    return {"bm25": words, "vector": vectors, "hybrid": both, "hybrid+rerank": search.rerank(both, asked, docs, 10)}, asked, chunks
 
 
 def _hits(spark, d):
@@ -189,13 +189,13 @@ def resume_queries(spark, d):
 @query(_ON_CHUNKS + "SELECT query_id, rank, doc_id, chapter, start_ts, end_ts, c.text AS text FROM m3 JOIN chunks c ON c.id = m3.doc_id")
 def lookup_chunks(spark, d):
     lists, _, chunks = _chunk_lists(spark, d)
-    unknown = lists["fused"].filter("rank = 1").withColumn("doc_id", F.lit("no such chunk"))
-    return search.lookup_chunks(lists["fused"].union(unknown), chunks).select("query_id", "rank", "doc_id", "chapter", "start_ts", "end_ts", "text")
+    unknown = lists["hybrid"].filter("rank = 1").withColumn("doc_id", F.lit("no such chunk"))
+    return search.lookup_chunks(lists["hybrid"].union(unknown), chunks).select("query_id", "rank", "doc_id", "chapter", "start_ts", "end_ts", "text")
 
 
 def _retrieved(spark, d, rescore=True):
     lists, asked, chunks = _chunk_lists(spark, d)
-    return search.retrieve(lists["fused"], asked, chunks, 5, rescore)
+    return search.retrieve(lists["hybrid"], asked, chunks, 5, rescore)
 
 
 @query(_ON_CHUNKS + "SELECT query_id, rank, doc_id, round(score, 4) AS score, chapter FROM m4 JOIN chunks c ON c.id = m4.doc_id WHERE rank <= 5")

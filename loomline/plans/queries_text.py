@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomline.functions import text as X
 from loomline.operators import chunking, index, intake, qa
 from loomline.plans import views as V
-from loomline.plans.views import CHUNKS, SEG, table, with_ctes
+from loomline.plans.views import hashed_sql, CHUNKS, SEG, table, with_ctes
 from loomline.sources import files
 
 QUERIES: dict = {}
@@ -48,7 +48,7 @@ def candidate_urls(spark, d):
 @query("SELECT page_id FROM pages WHERE contains(html, 'class=\"ad\"')")
 def is_transcript_page(spark, d):
     """The marker is a parameter: the test pages carry no dialogue marks."""
-    return table(spark, d, "pages").filter(F.col("html").contains('class="ad"')).select("page_id")
+    return table(spark, d, "pages").filter(intake.is_transcript_page(F.col("html"), 'class="ad"')).select("page_id")
 
 
 @query(f"WITH {_TITLED} SELECT page_id, title, TRY_CAST(regexp_extract(title, 'Podcast #(\\d+)', 1) AS INTEGER) AS episode, nullif(trim(regexp_extract(title, 'Transcript for\\s+(.+?):', 1)), '') AS guest FROM titled")
@@ -214,9 +214,12 @@ def write_index(spark, d):
     return files.read_index(spark, path, V.MODEL, V.CAP)
 
 
-@query()
+@query(with_ctes(*CHUNKS)[:-1] + f""", texts AS (SELECT id, text FROM chunks), {hashed_sql('v', 'texts', 'id')}, x AS (SELECT id, vector, sqrt(list_sum(list_transform(vector, lambda x: x * x))) AS norm FROM v)
+SELECT id, pos - 1 AS place, round(vector[pos] / greatest(norm, 1e-9), 4) AS value FROM (SELECT *, unnest(range(1, 65)) AS pos FROM x) WHERE vector[pos] <> 0""")
 def embed_texts(spark, d):
-    return index.embed_texts(V.chunks(spark, d).select("id", "text")).select("id", F.size("vector").alias("dims"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"))
+    """Every number of every vector that is not zero."""
+    rows = index.embed_texts(V.chunks(spark, d).select("id", "text")).select("id", F.posexplode("vector").alias("place", "value")).filter("value <> 0")
+    return rows.select("id", F.col("place").cast("long").alias("place"), F.round(F.col("value").cast("double"), 4).alias("value"))
 
 
 _TOK = "regexp_extract_all(lower(text), '[a-z0-9'']+')"

@@ -177,11 +177,23 @@ def bm25_sql(name: str, docs: str, queries: str, n: int, k1: float = 1.5, b: flo
     {name} AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM {name}_s WHERE score > 0) WHERE rank <= {n})"""
 
 
+def hashed_sql(name: str, texts: str, key: str, dims: int = 64) -> str:
+    """CTE `name` (key, vector) of signed hashed terms over a relation with that key and text; crc32 by its table."""
+    sums = ", ".join(f"coalesce(sum(sign) FILTER (place = {i}), 0)::DOUBLE" for i in range(dims))
+    return f"""
+    {name}_c AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i))),
+    {name}_t AS (SELECT {key}, unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS term FROM {texts}),
+    {name}_h AS (SELECT term, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(term)), '..'), lambda x: ('0x' || x)::BIGINT)),
+      lambda acc, x: xor(acc >> 8, t[(xor(acc, x) & 255) + 1]))) AS h FROM (SELECT DISTINCT term FROM {name}_t), {name}_c),
+    {name}_p AS (SELECT {key}, h % {dims} AS place, CASE WHEN h & 65536 > 0 THEN 1 ELSE -1 END AS sign FROM {name}_t JOIN {name}_h USING (term)),
+    {name} AS (SELECT {key}, [{sums}] AS vector FROM {name}_p RIGHT JOIN {texts} USING ({key}) GROUP BY 1)"""
+
+
 def cosine_sql(name: str, docs: str, queries: str, n: int) -> str:
     """CTE `name` over relations with doc_id, vector and query_id, vector."""
     return f"""
     {name} AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM (
-      SELECT query_id, doc_id, list_cosine_similarity(q.vector::DOUBLE[], d.vector::DOUBLE[]) AS score FROM {queries} q, {docs} d)) WHERE rank <= {n})"""
+      SELECT query_id, doc_id, coalesce(nullif(list_cosine_similarity(q.vector::DOUBLE[], d.vector::DOUBLE[]), 'nan'::DOUBLE), 0) AS score FROM {queries} q, {docs} d)) WHERE rank <= {n})"""
 
 
 def rrf_sql(name: str, lists: list[str], n: int, k: int = 60) -> str:

@@ -21,9 +21,18 @@ def daily_label_counts(log: DataFrame, late: str = "1 day", key: str = "feedback
 
 
 def run_to_table(stream: DataFrame, folder: str, checkpoint: str) -> None:
-    """Reads what is there, writes the counts of every closed or open day once more per batch (complete mode) and stops."""
+    """Reads what is there, writes the counts that changed and stops; read_counts() reads them.
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(folder)
+    Update mode drops the state of days beyond the watermark. Each batch has a folder of its own, so a batch that is tried
+    again replaces its own rows and no others.
+    """
 
-    stream.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def read_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """day, label, n as of the last batch that changed them; counts only grow."""
+    return spark.read.parquet(folder).groupBy("day", "label").agg(F.max("n").alias("n"))

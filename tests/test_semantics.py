@@ -261,7 +261,7 @@ def test_stream_drops_repeats_and_equals_batch(spark, tmp_path):
     log = spark.createDataFrame(rows, "feedback_id long, rating int, ts timestamp")
     log.union(log).write.parquet(f"{tmp_path}/in")
     stream.run_to_table(stream.daily_label_counts(stream.read_feedback_stream(spark, f"{tmp_path}/in", log.schema, "parquet"), "10 days"), f"{tmp_path}/out", f"{tmp_path}/state")
-    got = sorted((str(r["day"]), r["label"], r["n"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    got = sorted((str(r["day"]), r["label"], r["n"]) for r in stream.read_counts(spark, f"{tmp_path}/out").collect())
     want = log.withColumn("label", feedback.rating_label()).groupBy(F.to_date("ts").alias("day"), "label").count().collect()
     assert got == sorted((str(r["day"]), r["label"], r["count"]) for r in want)
 
@@ -272,3 +272,71 @@ def test_episode_and_qa_files(spark, tmp_path):
     (tmp_path / "qa").mkdir()
     (tmp_path / "qa" / "a.json").write_text('{"episode": 7, "faqs": [{"id": null, "question": "q", "answer": "a"}, {"id": "z", "question": "q", "answer": "a", "episode": 8}]}')
     assert sorted((r["faq_id"], r["episode"]) for r in files.read_qa(spark, f"file://{tmp_path}/qa").collect()) == [("7-q1", 7), ("z", 8)]
+
+
+def test_indented_files_and_lines_are_read(spark, tmp_path):
+    import json
+
+    episode = {"episode": 3, "guest": "G", "chapters": [{"title": "A", "segments": [{"speaker": "G", "timestamp": "00:00:01", "text": "hi"}]}, {"title": "B", "segments": []}]}
+    pairs = {"episode": 7, "faqs": [{"id": None, "question": "q", "answer": "a", "source_timestamps": ["00:00:01"]}]}
+    for form, indent in (("indented", 2), ("lines", None)):
+        for name, what in (("episodes", episode), ("qa", pairs)):
+            (tmp_path / form / name).mkdir(parents=True)
+            for k in (0, 1):
+                (tmp_path / form / name / f"{k}.json").write_text("\n" + json.dumps({**what, "episode": what["episode"] + k}, indent=indent))
+        read = files.flatten_episodes(files.read_episodes(spark, f"file://{tmp_path}/{form}/episodes")).collect()
+        assert sorted((r["episode"], r["chapter"], r["text"]) for r in read) == [(3, "A", "hi"), (4, "A", "hi")]
+        assert sorted((r["faq_id"], r["timestamps"]) for r in files.read_qa(spark, f"file://{tmp_path}/{form}/qa").collect()) == [("7-q1", ["00:00:01"]), ("8-q1", ["00:00:01"])]
+
+
+def test_brackets_in_a_context(spark):
+    rows = spark.createDataFrame([("q", 1, 5, None, 'Part [one] more "x"', "00:00:01", "00:00:02", "t"), ("q", 2, 5, "G", None, "00:00:03", "00:00:04", None)], "query_id string, rank int, episode int, guest string, chapter string, start_ts string, end_ts string, text string")
+    assert context.build_context(rows).first()["context"] == '[1] (Episode 5 · Unknown · chapter "Part [one] more "x"" · 00:00:01-00:00:02)\nt\n\n[2] (Episode 5 · G · chapter "" · 00:00:03-00:00:04)\n'
+
+
+def test_chapters_of_one_title(spark):
+    pairs = spark.createDataFrame([(1, "B", "1-02-001"), (1, "A", "1-01-001"), (1, "A", "1-03-001"), (1, "?", "1-00-001")], "episode int, chapter string, id string")
+    chapters = spark.createDataFrame([(1, "A", 1), (1, "B", 2), (1, "A", 3)], "episode int, chapter string, chapter_index int")
+    assert [(r["id"], r["place"]) for r in qa.order_qa(pairs, chapters).orderBy("place").collect()] == [("1-01-001", 1), ("1-03-001", 2), ("1-02-001", 3), ("1-00-001", 4)]
+
+
+def test_many_open_tags_are_walked_once():
+    import time
+
+    began = time.time()
+    rows = intake.walk_page("<h1 class='entry-title'>T</h1>" + "<p>x" * 60_000 + "<div class='ts-segment'><span class='ts-name'>N</span><span class='ts-text'>hi</span></div>")
+    assert [r[1] for r in rows] == ["title", "segment"] and time.time() - began < 5
+
+
+def test_vector_blocks_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(search, "DOC_BLOCK", 7)
+    import numpy as np
+
+    x = np.random.default_rng(1).integers(-2, 3, (40, 3)).astype(float)
+    rows = spark.createDataFrame([(f"d{i:02}", v.tolist()) for i, v in enumerate(x)] + [("null", None)], "doc_id string, vector array<double>")
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(10)] + [(99, None)], "query_id long, vector array<double>")
+    got = sorted((r["query_id"], r["rank"], r["doc_id"]) for r in search.vector_search(asked, rows, 5).collect())
+    unit = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)
+    want = [(q, k + 1, f"d{i:02}") for q in range(10) for k, i in enumerate(sorted(range(40), key=lambda i: (-round(float(unit[q] @ unit[i]), 6), i))[:5])]
+    assert got == want
+
+
+def test_entry_without_the_llm_packages():
+    """With a package of the subpackage missing, and with the subpackage and the pipeline gone, the other queries stay."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    for gone in (["ahocorasick"], ["loomline.llm", "corpus_pipeline"], ["corpus_pipeline"]):
+        code = f"import sys\nfor n in {gone!r}: sys.modules[n] = None\nimport __spark_entry__ as e\nq = e.queries()\nassert 'bm25_search' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)\nprint('op3_near_duplicates' in q)"
+        out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, timeout=120, check=True).stdout
+        assert out.strip() == str(gone == ["corpus_pipeline"] and _llm_is_there())
+
+
+def _llm_is_there() -> bool:
+    try:
+        import loomline.llm.registry  # noqa: F401
+    except ImportError:
+        return False
+    return True

@@ -2,40 +2,43 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomline.functions.text import word_count
 
 
 def greedy_pack(rows: DataFrame, keys: list[str], cap: int) -> DataFrame:
-    """rows (keys, pos, words) with pack, from 1: a pack ends before the row that would take it over `cap`; a larger row stands alone.
+    """rows (with pos and words) with pack, from 1: a pack ends before the row that would take it over `cap`; a larger row stands alone.
 
-    The state is one running sum, so a group streams through one fold; only keys, places and numbers go to the helper.
+    Rows stream through one fold in order of keys and pos; the state is the running sum of the group at hand, so no group is held in memory.
     """
-    kinds = dict(rows.dtypes)
+    schema = T.StructType([*rows.schema.fields, T.StructField("pack", T.IntegerType())])
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos", kind="stable")
-        packs, pack, total, empty = [], 1, 0, True
-        for w in group["words"].tolist():
-            if not empty and total + w > cap:
-                pack, total = pack + 1, 0
-            packs.append(pack)
-            total, empty = total + w, False
-        return group.assign(pack=packs)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, pack, total, empty = None, 1, 0, True
+        for batch in batches:
+            packs = []
+            for key, w in zip(zip(*[batch.column(k).to_pylist() for k in keys], strict=True), batch.column("words").to_pylist(), strict=True):
+                if key != group:
+                    group, pack, total, empty = key, 1, 0, True
+                if not empty and total + w > cap:
+                    pack, total = pack + 1, 0
+                packs.append(pack)
+                total, empty = total + w, False
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packs, pa.int32())], names=[*batch.schema.names, "pack"])
 
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, "pos", "words"]) + ", pack int"
-    return rows.select(*keys, "pos", "words").groupBy(*keys).applyInPandas(fold, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "pos", "words").mapInArrow(fold, schema)
 
 
 def batch_segments(segments: DataFrame, cap: int = 2500) -> DataFrame:
     """segments with words and batch (from 0) inside their chapter."""
-    keys = ["episode", "chapter_index"]
-    counted = segments.withColumn("words", word_count(F.col("text")))
-    packed = greedy_pack(counted, keys, cap).select(*keys, "pos", (F.col("pack") - 1).alias("batch"))
-    return counted.join(packed, [*keys, "pos"])
+    packed = greedy_pack(segments.withColumn("words", word_count(F.col("text"))), ["episode", "chapter_index"], cap)
+    return packed.withColumn("batch", F.col("pack") - 1).drop("pack")
 
 
 def chunk_segments(segments: DataFrame, guests: DataFrame, cap: int = 500) -> DataFrame:

@@ -12,6 +12,9 @@ from loomline.llm.common import stable_key, table, written
 #: Fixed values of the published jump hash: the multiplier of its generator.
 JUMP_MULTIPLIER = 2862933555777941757
 
+#: Equal rows that one task may give their slots.
+EQUAL_ROWS = 1 << 16
+
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
     """Shard of each 64-bit key. Growing `shards` by one moves only keys that go to the new shard."""
@@ -44,8 +47,8 @@ def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_c
     The id alone (and the number of shards) decides; rows with one id share a shard, a null id counts as the
     word null, a null text has size 8 and the crc32 of no bytes (0). Slots number a shard's rows without gaps: rows fall
     into `slot_buckets` hash buckets per shard, each numbered on its own and shifted by the counts of the
-    buckets before it, so that no shard is sorted in one task. Equal rows get different slots in any order.
-    An empty table gives an empty result. Other columns are ignored.
+    buckets before it, so that no shard is sorted in one task. Equal rows are one row with a number until they get their slots, so that many of
+    them are no load for a task; more than EQUAL_ROWS are dealt to several. Very long texts are measured in place and never shuffled. An empty table gives an empty result. Other columns are ignored.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(
@@ -60,17 +63,19 @@ def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_c
         jump_shard(F.col("key"), shards).alias("shard"),
         jump_shard(F.col("key"), shards + 1).alias("grown_shard"),
     )
-    placed = written(placed, "shards")
-    counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    keys = ["shard", "bucket", "doc_id", "size", "text_crc32", "grown_shard"]
+    groups = written(placed.groupBy(*keys).agg(F.count("*").alias("n")), "shards")
+    counts = groups.groupBy("shard", "bucket").agg(F.sum("n").alias("held"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32")
-    ranked = placed.withColumn("rank", F.row_number().over(within))
-    joined = ranked.join(F.broadcast(offsets), ["shard", "bucket"])  # at most shards * slot_buckets rows
-    return joined.select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        (F.col("before") + F.col("rank") - 1).cast("long").alias("slot"), "grown_shard",
-    )
+    offsets = counts.select("shard", "bucket", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = groups.withColumn("upto", F.sum("n").over(within)).join(F.broadcast(offsets), ["shard", "bucket"])  # at most shards * slot_buckets rows
+    first = ranked.select(*keys, "n", (F.col("before") + F.col("upto") - F.col("n")).alias("first"))
+    block = first.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / EQUAL_ROWS))))
+    block = block.withColumn("last", F.least(F.col("n"), (F.col("block") + 1) * EQUAL_ROWS) - 1)
+    few, many = block.filter(F.col("n") <= EQUAL_ROWS), block.filter(F.col("n") > EQUAL_ROWS).repartition("block", "doc_id", "text_crc32")
+    rows = few.union(many).withColumn("slot", F.explode(F.sequence(F.col("first") + F.col("block") * EQUAL_ROWS, F.col("first") + F.col("last"))))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
 def with_shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", name: str = "shard") -> DataFrame:

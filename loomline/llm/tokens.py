@@ -46,36 +46,34 @@ class Counter:
             self.automaton.add_word(piece, (len(piece), score))
         if len(self.automaton):
             self.automaton.make_automaton()
+        self.longest = max((len(p) for p, _ in vocabulary), default=1)
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
         self.cache: dict[bytes, int] = {}
 
     def count(self, word: str) -> int:
-        """Pieces of a word after its space mark."""
+        """Pieces of a word after its space mark. Only as many places are kept as the longest piece has characters, however long the word is."""
         text = SPACE_MARK + word
-        n = len(text)
-        best, pieces, unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        n, ring = len(text), min(len(text), self.longest) + 1
+        best, pieces, unknown = [0.0] * ring, [0] * ring, [False] * ring
         at, top, count, single = 1, -math.inf, 0, False  # place behind the piece, best score and count there, a one-character piece ends there
-        for last, (length, score) in self.automaton.iter(text) if len(self.automaton) else ():  # by end, the longest first
-            if last >= at:
-                while True:
-                    if not single and best[at - 1] + self.unknown > top:
-                        top, count, unknown[at] = best[at - 1] + self.unknown, pieces[at - 1] + (not unknown[at - 1]), True
-                    best[at], pieces[at] = top, count
-                    at, top, single = at + 1, -math.inf, False
-                    if last < at:
-                        break
-            begin = at - length
-            value = best[begin] + score
-            if value > top:
-                top, count = value, pieces[begin] + 1
-            if length == 1:
-                single = True
+        ends = self.automaton.iter(text) if len(self.automaton) else iter(())  # by end, the longest first
+        last, (length, score) = next(ends, (n, (0, 0.0)))
         while at <= n:
-            if not single and best[at - 1] + self.unknown > top:
-                top, count, unknown[at] = best[at - 1] + self.unknown, pieces[at - 1] + (not unknown[at - 1]), True
-            best[at], pieces[at] = top, count
+            while last < at:
+                begin = (at - length) % ring
+                value = best[begin] + score
+                if value > top:
+                    top, count = value, pieces[begin] + 1
+                if length == 1:
+                    single = True
+                last, (length, score) = next(ends, (n, (0, 0.0)))
+            before, here = (at - 1) % ring, at % ring
+            lone = not single and best[before] + self.unknown > top
+            if lone:
+                top, count = best[before] + self.unknown, pieces[before] + (not unknown[before])
+            best[here], pieces[here], unknown[here] = top, count, lone
             at, top, single = at + 1, -math.inf, False
-        return pieces[n]
+        return pieces[n % ring]
 
     def count_bytes(self, word: bytes) -> int:
         if len(word) > CACHE_BYTES:
@@ -103,7 +101,11 @@ class Counter:
 
 
 def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], text_col: str = "text") -> DataFrame:
-    """docs with n_tokens: 0 for a null text and for one without words. Extra columns pass through; one named n_tokens is replaced."""
+    """docs with n_tokens: 0 for a null text and for one without words.
+
+    Very long texts and words count whole. Ties between pieces go by the tokenizer's rules (see Counter); repeated rows are counted each. An
+    empty table gives an empty result. Extra columns pass through; one named n_tokens is replaced.
+    """
     rest = docs.drop("n_tokens")
     schema = T.StructType([*rest.schema.fields, T.StructField("n_tokens", T.LongType())])
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # a vocabulary file, whatever the corpus

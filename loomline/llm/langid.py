@@ -18,6 +18,8 @@ SAMPLE_ROWS = 20_000
 BUCKETS = 1 << 15
 #: Lengths of the n-grams in bytes of UTF-8.
 SIZES = (2, 3, 4)
+#: Languages of a model at most: it is broadcast, at BUCKETS floats a language.
+MOST_LANGS = 1000
 UNKNOWN = "und"
 SMOOTHING = 0.5
 
@@ -110,6 +112,9 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 3) -> Mod
             at = np.flatnonzero(held)
             yield pa.RecordBatch.from_pydict({"lang": [lang] * (len(at) + 1), "bucket": np.append(at, -1).astype(np.int32), "n": np.append(held[at], seen[lang])})
 
+    names = rows.select("lang").distinct().limit(MOST_LANGS + 1).count()
+    if names > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages; is this the language column?")
     parts = rows.mapInArrow(count, "lang string, bucket int, n long")
     counted = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counted.column("lang").to_pylist()))
@@ -127,7 +132,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 3) -> Mod
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score. A text that is null or has no letter gives `und` and 0, as every text does without a model.
 
-    Extra columns pass through, but for those named lang_pred and score, which are replaced.
+    Very long texts are scored whole, in parts. Ties go to the first language by name; repeated rows are scored each. An empty table gives an empty result. Extra columns pass through, but for those named lang_pred and score, which are replaced.
     """
     rest = docs.drop("lang_pred", "score")
     schema = T.StructType([*rest.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -16,6 +16,8 @@ from loomline.llm.textscan import Words, as_bytes, row_slices
 
 #: Ids of candidates up to this many rows may be broadcast to the texts; more shuffle.
 BROADCAST_IDS = 500_000
+#: Shingles of the sets that leave a task together.
+SET_MARKS = 1 << 22
 
 
 def _row_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -55,8 +57,13 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [x.view(np.int64) for x in _row_sets(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), _lists(sets)], names=["rep", "n", "sh"])
+            sets, begin, held = [], 0, 0
+            for place, marks in enumerate(_row_sets(batch.column(1)), 1):
+                sets.append(marks.view(np.int64))
+                held += len(marks)
+                if held > SET_MARKS or place == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(sets)), pa.array([len(x) for x in sets], pa.int64()), _lists(sets)], names=["rep", "n", "sh"])
+                    sets, begin, held = [], place, 0
 
     return texts.mapInArrow(run, "rep long, n long, sh array<long>")
 
@@ -103,7 +110,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     So no link between different texts that share a bucket is lost, and buckets of copies cost one
     comparison a member. The chance that a linked pair shares no bucket is at most 1e-5. Rows of a null doc_id link
     with nothing (component_id null, kept true); a repeated row has its first one's class. doc_id is the identity of
-    a text: rows of one doc_id with different texts count as linked. Other columns are ignored.
+    a text: rows of one doc_id with different texts count as linked. Very long texts are compared whole and need memory for the set of one
+    text at a time. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = written(signatures(texts, percent), "signatures")

@@ -47,7 +47,7 @@ def render(turns: DataFrame, kept: DataFrame, open_mark: str = "<|{}|>\n", close
 def format_chats(turns: DataFrame) -> DataFrame:
     """Maximal conversations, rendered. One conversation is the unit of work, as its result is one text.
 
-    An empty table gives an empty result; other columns are ignored.
+    Very long texts are carried whole. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     return render(turns, collapse_snapshots(turns))
 

@@ -31,6 +31,16 @@ def test_sharding_odd(odd_documents, no_documents):
     assert sharding.with_shard(odd_documents, 4).count() == 12
 
 
+def test_equal_rows_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "EQUAL_ROWS", 4)
+    rows = spark.createDataFrame([(None, "same")] * 23 + [(1, "a")] * 4 + [(i, "b") for i in range(30)], "doc_id long, text string").repartition(3)
+    got = sharding.shard_rows(rows, 3).collect()
+    assert sum(r["doc_id"] is None for r in got) == 23 and len(got) == 57
+    for shard in range(3):
+        slots = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+
+
 def test_near_duplicates_odd(odd_documents, no_documents):
     got = by_id(neardup.near_duplicates(odd_documents, 85))
     assert got[1]["n_shingles"] == got[2]["n_shingles"] == got[3]["n_shingles"] == 0
@@ -145,10 +155,10 @@ def test_chat_odd(spark):
         (5, None, None, None), (6, 0, "user", "hi "), (None, 0, "user", "lost"), (7, 0, "user", "a"), (7, 0, "user", "a"), (8, 0, "user", "a"), (9, 5, "user", "twin"), (10, 1, "user", "twin"),
     ]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS place", "2 AS h0", "3 AS n_turns")
-    got = {r["conv_id"]: (r["n_turns"], r["chat"]) for r in chat.format_chats(frame.drop("n_turns")).collect()}
+    got = {r["conv_id"]: (r["n_turns"], r["chat"]) for r in chat.format_chats(frame).collect()}
     assert set(got) == {3, 4, 5, 6, 7, 9} and got[3][0] == 3 and got[5][1] == "<|unknown|>\n\n<|end|>\n"
     assert got[4][1].startswith("<|user|>\nhi\n<|end|>\n<|assistant|>\nyo\n")
-    assert chat.format_chats(frame.drop("n_turns").limit(0)).count() == 0
+    assert chat.format_chats(frame.limit(0)).count() == 0
 
 
 def test_contained_items_odd(spark, odd_documents, no_documents):

@@ -191,8 +191,8 @@ def test_counts_equal_the_unigram_tokenizer(spark):
     vocabulary = tokens.load_vocabulary()
     unigram = Tokenizer(models.Unigram([("<unk>", min(s for _, s in vocabulary)), *vocabulary], unk_id=0, byte_fallback=False)).model
     count = lambda t: sum(len(unigram.tokenize(tokens.SPACE_MARK + w)) for w in re.findall(r"[^\x20\x09-\x0D]+", t))
-    docs = table(spark, SMALL, "documents").limit(60)
-    got = {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(docs, vocabulary).collect()}
+    docs = table(spark, SMALL, "documents")
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.op7_token_counts(spark, SMALL).collect()}
     assert got == {r["doc_id"]: count(r["text"]) for r in docs.collect()}
 
 
@@ -206,6 +206,15 @@ def test_ties_are_those_of_the_tokenizer(pieces, word):
     assert tokens.Counter(vocabulary).count(word) == len(unigram.tokenize(tokens.SPACE_MARK + word))
 
 
+def test_long_words_keep_few_places():
+    from tokenizers import Tokenizer, models
+
+    vocabulary = [("a", -2.0), ("ab", -2.5), ("aba", -3.0), ("▁", -1.0), ("▁a", -1.5), ("bb", -4.0)]
+    unigram = Tokenizer(models.Unigram([("<unk>", -4.0), *vocabulary], unk_id=0, byte_fallback=False)).model
+    word = "".join(np.random.default_rng(5).choice(list("aabbc"), 3000).tolist())
+    assert tokens.Counter(vocabulary).count(word) == len(unigram.tokenize(tokens.SPACE_MARK + word))
+
+
 # embeddings ------------------------------------------------------------------------------------------
 
 

@@ -244,7 +244,7 @@ def sample(docs: DataFrame, labels: DataFrame, seed: int = 7) -> DataFrame:
     """text, toxic of at most TOXIC_ROWS and CLEAN_ROWS training rows with a text of at most SAMPLE_BYTES, drawn by a hash of the id.
 
     Training rows have crc32(doc_id as text) mod 4 other than 2; an id labelled more than once is toxic if one label says so. Labelled ids
-    are drawn by a threshold on the hash, DRAW times as many as wanted, and the sample is taken from those that have a text.
+    are drawn by a threshold on the hash, DRAW times as many as wanted, and the sample is taken from those that have a text (the least, where an id has several).
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (crc_part(F.col("doc_id")) != 2))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic")).withColumn("draw", F.xxhash64(F.lit(seed), "doc_id"))
@@ -253,9 +253,10 @@ def sample(docs: DataFrame, labels: DataFrame, seed: int = 7) -> DataFrame:
     under = lambda flag: F.pmod("draw", F.lit(1 << 30)) < int((1 << 30) * share.get(flag, 1.0))
     ids = written(known.filter(F.when(F.col("toxic"), under(True)).otherwise(under(False))), "labelled")
     texts = docs.filter(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # DRAW times the sample's ids
-    texts = written(texts, "sample")
-    parts = [texts.filter(F.col("toxic") == flag).orderBy("draw", "doc_id", "text").limit(rows) for flag, rows in wanted.items()]
-    return parts[0].union(parts[1]).orderBy("draw", "doc_id", "text").select("text", "toxic")
+    texts = written(texts.groupBy("doc_id", "toxic", "draw").agg(F.min("text").alias("text")), "sample")  # one text an id
+    parts = [texts.filter(F.col("toxic") == flag).select("doc_id", "draw").orderBy("draw", "doc_id").limit(rows) for flag, rows in wanted.items()]
+    chosen = written(parts[0].union(parts[1]).select("doc_id"), "chosen")
+    return texts.join(F.broadcast(chosen), "doc_id", "left_semi").orderBy("draw", "doc_id").select("text", "toxic")  # TOXIC_ROWS + CLEAN_ROWS ids
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Field | None:

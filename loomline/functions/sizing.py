@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def is_small(df: DataFrame, rows: int) -> bool:
+    """Whether df has at most `rows` rows; no more than one row beyond is counted."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if it has at most `rows` rows, else df itself, so that Spark shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if is_small(df, rows) else df

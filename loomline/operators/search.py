@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.scratch import stored
-from loomline.functions.sizing import broadcast_if_small
+from loomline.functions.sizing import is_small
 from loomline.functions.text import tokenize
 
 #: Query terms up to this many rows are broadcast to the postings; more shuffle.
@@ -32,16 +32,21 @@ def bm25_search(queries: DataFrame, index: dict[str, DataFrame], n: int = 10, k1
     """Okapi ranking of every query (query_id, text) in one job.
 
     Query terms count with multiplicity; idf = ln(1 + (N - df + 0.5) / (df + 0.5)); only scores over 0 rank.
-    The small side (distinct query terms with their df) meets the postings; a term that most documents hold does not gather in one task, as either the query
-    terms are broadcast or Spark may split the join's large partitions.
+    Where the query terms are few enough to be broadcast, the postings they need are dealt by document, so that a document's scores are summed and
+    each query's best are picked inside the task that holds it, and only those move on. Where they are not, postings and query terms meet in a
+    shuffled join, whose large partitions Spark may split, and partial scores are shuffled by query and document.
     """
     asked = queries.select("query_id", F.explode_outer(tokenize(F.coalesce("text", F.lit("")))).alias("term")).filter("term is not null").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     corpus = index["corpus"].select("n", "avgdl")  # one row
     known = asked.join(index["term_df"], "term").crossJoin(F.broadcast(corpus))
     known = known.withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    known = broadcast_if_small(stored(known.select("query_id", "term", "qtf", "idf", "avgdl"), "asked"), BROADCAST_TERMS)
+    known = stored(known.select("query_id", "term", "qtf", "idf", "avgdl"), "asked")
+    postings = index["postings"].withColumnRenamed(key, "doc_id")
+    if is_small(known, BROADCAST_TERMS):
+        known = F.broadcast(known)
+        postings = postings.join(F.broadcast(known.select("term").distinct()), "term", "left_semi").repartition("doc_id")
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = index["postings"].withColumnRenamed(key, "doc_id").join(known, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("idf") * tf).alias("score"))
+    scored = postings.join(known, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("idf") * tf).alias("score"))
     return top(scored.filter("score > 0"), n)
 
 

@@ -2,9 +2,10 @@
 
 import pytest
 
+from loomline.operators import index, search
 from loomline.plans import registry
 
-from .conftest import SMALL
+from .conftest import SMALL, rows_of
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
@@ -30,6 +31,21 @@ def test_hybrid_and_rerank_find_documents_without_a_vector(spark, tmp_path):
     assert best == {0: 2, 9: 1}
 
 
+def test_keyword_search_is_the_same_with_and_without_a_broadcast(spark, monkeypatch):
+    rows = [(0, "red fox red"), (1, "red"), (2, "the fox sees the owl"), (2, "owl"), (3, None), (4, ""), (None, "fox")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "red fox red"), (1, "owl"), (2, "absent"), (3, None), (4, "the fox the owl")], "query_id long, text string")
+    made = index.keyword_index(docs)
+    near = rows_of(*_rows(search.bm25_search(asked, made, 3)))
+    monkeypatch.setattr(search, "BROADCAST_TERMS", 0)
+    far = rows_of(*_rows(search.bm25_search(asked, made, 3)))
+    assert near == far and {r[1] for r in near[1]} == {"0", "1", "4"}
+
+
+def _rows(df):
+    return df.columns, [tuple(r) for r in df.collect()]
+
+
 def test_entry_runs(spark):
     import __spark_entry__
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomline.llm import boilerplate, chat, decontaminate, embeddings, langid, mixing, neardup, pii, sharding, tokens, toxicity
+from loomline.llm import boilerplate, chat, decontaminate, embeddings, langid, mixing, neardup, pii, sharding, tokens, toxicity, whitening
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_personal_data": pii.op10_personal_data,
     "op12_html_text": boilerplate.op12_html_text,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLE_SQL = {

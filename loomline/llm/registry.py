@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomline.llm import boilerplate, chat, decontaminate, embeddings, langid, mixing, neardup, pii, sharding, tokens, toxicity, whitening
+from loomline.llm import boilerplate, chat, decontaminate, embeddings, langid, mixing, neardup, phrases, pii, sharding, tokens, toxicity, whitening
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language": langid.op8_language,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_personal_data": pii.op10_personal_data,
+    "op11_phrases": phrases.op11_phrases,
     "op12_html_text": boilerplate.op12_html_text,
     "op13_whitening": whitening.op13_whitening,
 }
@@ -25,5 +26,6 @@ ORACLE_SQL = {
     "op4_mixing": mixing.OP4_SQL,
     "op6_chat": chat.OP6_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
+    "op11_phrases": phrases.OP11_SQL,
     "op12_html_text": boilerplate.OP12_SQL,
 }

@@ -13,13 +13,20 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Where it is unset: the warehouse, which all executors of a cluster see; in local mode a
-    temporary folder, removed when Python ends."""
+    """The folder that spark.checkpoint.dir names. Where it is unset: the warehouse; in local mode a temporary folder, removed when Python ends.
+
+    A warehouse on a file: path is each machine's own on a cluster, so it is refused there.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        warehouse = spark._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.sql.warehouse.dir"))
+        scheme = warehouse.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+        if scheme == "file" and not master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset and the warehouse lies on a file: path, which the machines of a cluster do not share; set spark.checkpoint.dir to a shared folder")
+        return warehouse.toString().rstrip("/")
     if "dir" not in _own:
         path = tempfile.mkdtemp(prefix="spark-loomline-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
@@ -44,6 +51,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, by: list[str], order: list[str]) -> DataFrame:
+    """df written as an external table of buckets by the hash of `by`, sorted in each, in a new folder. df is best dealt out that way already, so that a bucket is one file.
+
+    Joins and groupings on `by` then need no exchange of this side. The table is known to the session's catalog under a name of its own.
+    """
+    spark = df.sparkSession
+    table = f"loomline_{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", scratch(spark, name)).bucketBy(buckets, *by).sortBy(*order).saveAsTable(table)
+    return spark.table(table)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes session_dir(). For the end of an application: results that are not stored elsewhere by then read from it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))

@@ -6,28 +6,61 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.functions.scratch import stored
+from loomline.functions.scratch import bucketed, stored
+from loomline.functions.sizing import spread
 from loomline.functions.text import tokenize
 
 Encoder = Callable[[list[str]], np.ndarray]
 
 
+#: Documents of a block of postings, blocks of a slice of a term (so that no bucket holds all of a frequent one), and buckets at most.
+BLOCK_DOCS, SLICE_BLOCKS, BUCKETS = 1024, 64, 4096
+
+
+def term_counts(terms: Column) -> Column:
+    """term and tf of each distinct term of an array, counted as runs of the sorted array: no shuffle and no row a term."""
+    whole = F.array_sort(terms)
+    starts = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
+    runs = lambda s, at: F.transform(at, lambda i, j: F.struct(F.element_at(s, i).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(s) + 1) - i).alias("tf")))
+    counted = lambda s: F.element_at(F.transform(F.array(starts(s)), lambda at: runs(s, at)), 1)
+    return F.when(F.size(terms) > 0, F.element_at(F.transform(F.array(whole), counted), 1))
+
+
+def postings_of(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """term, block, key, tf, dl: a row a posting of a table of blocks; further columns stay."""
+    rest = [c for c in blocks.columns if c not in ("postings", "max_tf", "min_dl", "n", "cf")]
+    return blocks.select(*rest, F.inline("postings")).withColumnRenamed("key", key)
+
+
 def keyword_index(docs: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]:
-    """postings (term, key, tf, dl), term_df (term, df), corpus (n, avgdl). The postings are stored, and the rest is counted from them.
+    """blocks (term, slice, block, postings, max_tf, min_dl, n, cf), terms (term, df, max_tf, min_dl, cf), corpus (n, avgdl), postings (term, key, tf, dl).
 
-    Terms are counted after one explode with map-side sums; every posting carries its document's length, so that searching needs
-    no join for it. Documents without a term still count in n and avgdl.
+    A document's terms are counted in its row; one exchange deals them by term and slice, and a block gathers the postings of a term in some BLOCK_DOCS
+    documents that a hash of the key chooses, with what bounds their scores: the largest tf and the least length. Blocks are written once, bucketed
+    by term (and slice, where a term has more than SLICE_BLOCKS blocks), so later jobs join them without an exchange. Rows of one key count as one document, whose length for a term is that of the rows that hold it.
+    Documents without a term still count in n and avgdl. `postings` unfolds the blocks.
     """
-    terms = docs.select(key, tokenize(F.coalesce("text", F.lit(""))).alias("terms"))
-    rows = terms.select(key, F.size("terms").cast("long").alias("dl"), F.explode_outer("terms").alias("term")).filter("term is not null")
-    postings = stored(rows.groupBy("term", key, "dl").agg(F.count("*").alias("tf")), "postings")
-    term_df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    docs = spread(docs)
     n = docs.count()
-    corpus = postings.agg(F.lit(n).cast("long").alias("n"), (F.coalesce(F.sum("tf"), F.lit(0)) / F.lit(max(n, 1))).alias("avgdl"))
-    return {"postings": postings, "term_df": term_df, "corpus": corpus}
+    blocks = max(1, -(-n // BLOCK_DOCS))
+    slices = max(1, blocks // SLICE_BLOCKS)
+    buckets = min(BUCKETS, max(docs.sparkSession.sparkContext.defaultParallelism, blocks // 8))
+    by = ["term", "slice"] if slices > 1 else ["term"]
+
+    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    terms = docs.select(F.col(key).alias("key"), block.alias("block"), tokenize(F.coalesce("text", F.lit(""))).alias("terms"))
+    counted = terms.select("key", "block", F.size("terms").alias("dl"), term_counts(F.col("terms")).alias("counts"))
+    # inline_outer: for the inner form the optimizer filters on the whole expression, which would count every text several times
+    rows = counted.select("key", "block", "dl", F.inline_outer("counts")).filter("term is not null").withColumn("slice", F.col("block") % slices).repartition(buckets, *by)
+    merged = rows.groupBy("term", "slice", "block", "key").agg(F.sum("tf").alias("tf"), F.sum("dl").alias("dl"))
+    packed = merged.groupBy("term", "slice", "block").agg(F.collect_list(F.struct("key", "tf", "dl")).alias("postings"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.count("*").alias("n"), F.sum("tf").alias("cf"))
+    stored_blocks = bucketed(packed, "blocks", buckets, by, ["term", "block"])
+    terms = stored(stored_blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"), F.sum("cf").alias("cf")), "terms")
+    corpus = terms.agg(F.lit(n).cast("long").alias("n"), (F.coalesce(F.sum("cf"), F.lit(0)) / F.lit(max(n, 1))).alias("avgdl"))
+    return {"blocks": stored_blocks, "terms": terms, "corpus": corpus, "postings": postings_of(stored_blocks, key).select("term", key, "tf", "dl")}
 
 
 def new_chunks(chunks: DataFrame, index: DataFrame, model: str, cap: int, force: bool = False) -> DataFrame:

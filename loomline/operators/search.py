@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.scratch import stored
+from loomline.functions.sizing import broadcast_if_small as small
 from loomline.functions.sizing import is_small
 from loomline.functions.text import tokenize
 
 #: Query terms up to this many rows are broadcast to the postings; more shuffle.
 BROADCAST_TERMS = 500_000
+#: Postings of a query that a search with pruning adds up first, and how that grows; how far below the floor the last terms stay; what a comparison of scores leaves to rounding; postings in all from which pruning is worth its rounds.
+HEAD, GROWTH, REACH, SLACK, MANY_POSTINGS = 1000, 2, 0.85, 2e-6, 100_000_000
 #: Queries and documents of a block of the exact search, and documents of a part of a cell of the other.
 QUERY_BLOCK, DOC_BLOCK, CELL_BLOCK = 16_384, 131_072, 131_072
 
@@ -28,28 +31,114 @@ def top(scored: DataFrame, n: int, method: str | None = None, digits: int = 6) -
     return ranked
 
 
-def bm25_search(queries: DataFrame, index: dict[str, DataFrame], n: int = 10, k1: float = 1.5, b: float = 0.75, key: str = "doc_id") -> DataFrame:
-    """Okapi ranking of every query (query_id, text) in one job.
+def _asked_terms(queries: DataFrame, index: dict[str, DataFrame], k1: float, b: float) -> DataFrame:
+    """query_id, term, weight (qtf * idf), df, avgdl, most (the largest score that a posting of the term can add), stored."""
+    asked = queries.select("query_id", F.explode_outer(tokenize(F.coalesce("text", F.lit("")))).alias("term")).filter("term is not null").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    known = asked.join(index["terms"], "term").crossJoin(F.broadcast(index["corpus"].select("n", "avgdl")))  # one row
+    weight = F.col("qtf") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    known = known.withColumn("weight", weight).withColumn("most", F.col("weight") * _tf_part(F.col("max_tf"), F.col("min_dl"), k1, b))
+    return stored(known.select("query_id", "term", "weight", "df", "avgdl", "most"), "asked")
+
+
+def _tf_part(tf: Column, dl: Column, k1: float, b: float) -> Column:
+    """Grows with tf and falls with dl."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
+
 
-    Query terms count with multiplicity; idf = ln(1 + (N - df + 0.5) / (df + 0.5)); only scores over 0 rank.
-    Where the query terms are few enough to be broadcast, the postings they need are dealt by document, so that a document's scores are summed and
-    each query's best are picked inside the task that holds it, and only those move on. Where they are not, postings and query terms meet in a
-    shuffled join, whose large partitions Spark may split, and partial scores are shuffled by query and document.
+def _added_up(terms: DataFrame, blocks: DataFrame, k1: float, b: float) -> DataFrame:
+    """query_id, block, doc_id, score: what the given terms of each query add, over all their postings.
+
+    Where the terms are few enough to be broadcast, the blocks they need are dealt by block, so that a document's scores are summed and each query's
+    best are picked inside the task that holds it. Where they are not, they meet the blocks in a join by term and slice, for which the blocks' buckets need no exchange.
     """
-    asked = queries.select("query_id", F.explode_outer(tokenize(F.coalesce("text", F.lit("")))).alias("term")).filter("term is not null").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    corpus = index["corpus"].select("n", "avgdl")  # one row
-    known = asked.join(index["term_df"], "term").crossJoin(F.broadcast(corpus))
-    known = known.withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    known = stored(known.select("query_id", "term", "qtf", "idf", "avgdl"), "asked")
-    postings = index["postings"].withColumnRenamed(key, "doc_id")
-    if is_small(known, BROADCAST_TERMS):
-        known = F.broadcast(known)
-        postings = postings.join(F.broadcast(known.select("term").distinct()), "term", "left_semi").repartition("doc_id")
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = postings.join(known, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("idf") * tf).alias("score"))
+    if is_small(terms, BROADCAST_TERMS):
+        needed = blocks.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").repartition("block")
+        met = needed.join(F.broadcast(terms), "term")
+    else:
+        slices = blocks.agg(F.max("slice")).first()[0] or 0
+        terms = terms.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices)))) if slices else terms
+        met = blocks.join(terms, ["term", "slice"] if slices else "term")
+    rows = met.select("query_id", "block", "weight", "avgdl", F.inline("postings"))
+    return rows.groupBy("query_id", "block", F.col("key").alias("doc_id")).agg(F.sum(F.col("weight") * _tf_part(F.col("tf"), F.col("dl"), k1, b)).alias("score"))
+
+
+def _nth(scored: DataFrame, n: int) -> DataFrame:
+    """query_id, floor: the n-th best score of each query; none where there are fewer."""
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"))))
+    return ranked.filter(F.col("rank") <= n).groupBy("query_id").agg(F.min("score").alias("floor"), F.max("rank").alias("found")).filter(F.col("found") == n).select("query_id", "floor")
+
+
+def _pruned(known: DataFrame, index: dict[str, DataFrame], n: int, k1: float, b: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scores of all documents that may be among each query's n best; the terms of which all postings were added up; and what was looked up for single documents.
+
+    Each query's terms are added up in order of what they can add most, in rounds of HEAD, HEAD * GROWTH, ... postings. The n-th best sum so far is a floor: no document under it ranks. The terms at the
+    end of the order that together cannot reach the share REACH of the floor are left for last, as a document that holds nothing else cannot rank; rounds end when only those are left. What then cannot reach the floor with the most
+    that they can add goes, and only for what stays are their postings looked up, a few terms at a time, with the floor raised in between. Sums in floating point are compared with SLACK to spare.
+    """
+    by_most = Window.partitionBy("query_id").orderBy(F.desc("most"), "term")
+    order = known.withColumn("before", F.coalesce(F.sum("df").over(by_most.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    order = order.withColumn("rest", F.sum("most").over(by_most.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    order = stored(order.withColumns({"added": F.lit(False), "last": F.lit(False)}), "order")
+    budget, sums, floors = HEAD, None, None
+    while sums is None or not order.filter("not added and not last").isEmpty():
+        now = ~F.col("added") & ~F.col("last") & (F.col("before") < budget)
+        new = _added_up(order.filter(now), index["blocks"], k1, b)
+        sums = new if sums is None else sums.unionByName(new).groupBy("query_id", "block", "doc_id").agg(F.sum("score").alias("score"))
+        sums = stored(sums, "sums")
+        floors = stored(_nth(sums, n), "floors")
+        reached = order.withColumn("added", F.col("added") | now).join(small(floors, BROADCAST_TERMS), "query_id", "left")
+        out_of_reach = ~F.col("added") & F.coalesce(F.col("rest") < REACH * F.col("floor") - SLACK, F.lit(False))
+        order = stored(reached.withColumn("last", out_of_reach).drop("floor"), "order")
+        budget *= GROWTH
+    whole = order.filter("not last")
+    last = order.filter("last").withColumn("place", F.row_number().over(by_most) - 1)
+    near, looked, lo, hi = sums, None, 0, 1
+    while True:
+        reach = last.filter(F.col("place") >= lo).groupBy("query_id").agg(F.sum("most").alias("reach"))
+        near = near.join(small(floors, BROADCAST_TERMS), "query_id", "left").join(small(reach, BROADCAST_TERMS), "query_id", "left")
+        near = near.filter(F.col("floor").isNull() | (F.col("score") + F.coalesce("reach", F.lit(0.0)) >= F.col("floor") - SLACK))
+        near = stored(near.select("query_id", "block", "doc_id", "score"), "near")
+        terms = last.filter((F.col("place") >= lo) & (F.col("place") < hi))
+        if terms.isEmpty():
+            break
+        found = stored(_looked_up(near, terms, index["blocks"], k1, b), "looked")
+        looked = found if looked is None else looked.unionByName(found)
+        near = stored(near.unionByName(found).groupBy("query_id", "block", "doc_id").agg(F.sum("score").alias("score")), "sums")
+        floors = stored(_nth(near, n), "floors")
+        lo, hi = hi, 2 * hi + 1
+    return near.select("query_id", "doc_id", "score"), whole, looked if looked is not None else near.limit(0)
+
+
+def _looked_up(near: DataFrame, terms: DataFrame, blocks: DataFrame, k1: float, b: float) -> DataFrame:
+    """query_id, block, doc_id, score: what single documents (near) get of the given terms. Only blocks that hold such a document are unfolded."""
+    wanted = stored(near.select("query_id", "block", "doc_id").join(small(terms, BROADCAST_TERMS).select("query_id", "term", "weight", "avgdl"), "query_id"), "wanted")
+    held = blocks.join(small(stored(wanted.select("term", "block").distinct(), "spots"), BROADCAST_TERMS), ["term", "block"])
+    rows = held.select("term", "block", F.inline("postings"))
+    met = rows.join(small(wanted, BROADCAST_TERMS).withColumnsRenamed({"term": "t", "block": "at"}), (F.col("term") == F.col("t")) & (F.col("block") == F.col("at")) & F.col("key").eqNullSafe(F.col("doc_id")))
+    return met.select("query_id", "block", "doc_id", (F.col("weight") * _tf_part(F.col("tf"), F.col("dl"), k1, b)).alias("score"))
+
+
+def bm25_search(queries: DataFrame, index: dict[str, DataFrame], n: int = 10, k1: float = 1.5, b: float = 0.75, prune: bool | None = None) -> DataFrame:
+    """Okapi ranking of every query (query_id, text) in one job, exact.
+
+    Query terms count with multiplicity; idf = ln(1 + (N - df + 0.5) / (df + 0.5)); only scores over 0 rank. With `prune`, postings that cannot bring a document among the n best are not
+    scored (see _pruned); without it all postings of the terms are. Both give the same rows; by default the number of postings decides, as rounds take a few jobs each.
+    """
+    known = _asked_terms(queries, index, k1, b)
+    if prune is None:
+        prune = (known.agg(F.sum("df")).first()[0] or 0) >= MANY_POSTINGS
+    scored = _pruned(known, index, n, k1, b)[0] if prune else _added_up(known, index["blocks"], k1, b).select("query_id", "doc_id", "score")
     return top(scored.filter("score > 0"), n)
 
 
+def bm25_work(queries: DataFrame, index: dict[str, DataFrame], n: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """query_id, postings (of all its terms), scored (those that a search with pruning adds up or looks up)."""
+    known = _asked_terms(queries, index, k1, b)
+    _, whole, looked = _pruned(known, index, n, k1, b)
+    added = whole.select("query_id", F.col("df").alias("scored")).unionByName(looked.select("query_id", F.lit(1).cast("long").alias("scored")))
+    return known.groupBy("query_id").agg(F.sum("df").alias("postings")).join(added.groupBy("query_id").agg(F.sum("scored").alias("scored")), "query_id")
+
+
 def _best(scores: np.ndarray, names: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of each row's n best by rounded score, ties by name; entries of -inf are none."""
     rounded = np.round(scores, 6)

@@ -230,7 +230,7 @@ p AS (SELECT term, doc_id, any_value(dl) AS dl, count(*) AS tf FROM t GROUP BY 1
 SELECT term, doc_id, dl, tf, df FROM p JOIN f USING (term)""")
 def keyword_index(spark, d):
     made = index.keyword_index(table(spark, d, "documents"))
-    return made["postings"].join(made["term_df"], "term").select("term", "doc_id", "dl", "tf", "df")
+    return index.postings_of(made["blocks"].join(made["terms"].select("term", "df"), "term")).select("term", "doc_id", "dl", "tf", "df")
 
 
 # extraction ------------------------------------------------------------------------------------------

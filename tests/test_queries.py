@@ -1,6 +1,8 @@
 """Every query of the library against its SQL on the smallest tables."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomline.operators import index, search
 from loomline.plans import registry
@@ -46,6 +48,43 @@ def _rows(df):
     return df.columns, [tuple(r) for r in df.collect()]
 
 
+def _collection(spark, seed, n=400):
+    rng = np.random.default_rng(seed)
+    words = [f"w{i}" for i in range(300)]
+    text = lambda k: " ".join(words[i] for i in np.minimum(rng.zipf(1.3, k), 300) - 1)
+    docs = [(i, text(int(rng.integers(0, 60)))) for i in range(n)] + [(0, "w0 w1 w1"), (None, "w2 w2 w3"), (n, None)]
+    asked = [(i, text(int(rng.integers(0, 12)))) for i in range(25)]
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, text string")
+
+
+@pytest.mark.parametrize(("seed", "broadcast"), [(1, 500_000), (2, 0)])
+def test_pruned_keyword_search_equals_full_scoring(spark, monkeypatch, seed, broadcast):
+    monkeypatch.setattr(search, "BROADCAST_TERMS", broadcast)
+    monkeypatch.setattr(search, "HEAD", 5)
+    monkeypatch.setattr(index, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(index, "SLICE_BLOCKS", 8)
+    docs, asked = _collection(spark, seed)
+    made = index.keyword_index(docs)
+    assert made["blocks"].select("slice").distinct().count() > 1
+    full = rows_of(*_rows(search.bm25_search(asked, made, 5, prune=False).drop("method")))
+    assert rows_of(*_rows(search.bm25_search(asked, made, 5, prune=True))) == full
+    work = search.bm25_work(asked, made, 5).collect()
+    assert all(r["scored"] <= r["postings"] for r in work) and sum(r["scored"] for r in work) < 0.8 * sum(r["postings"] for r in work)
+
+
+def test_postings_are_plain_counts_and_join_without_an_exchange(spark):
+    docs, _ = _collection(spark, 3)
+    made = index.keyword_index(docs)
+    got = {(r["doc_id"], r["term"]): (r["tf"], r["dl"]) for r in made["postings"].collect()}
+    texts = {}
+    for r in docs.filter("text is not null").collect():
+        texts.setdefault(r["doc_id"], []).append(r["text"].split())
+    want = {(d, t): (sum(w.count(t) for w in own), sum(len(w) for w in own if t in w)) for d, own in texts.items() for t in {t for w in own for t in w}}
+    assert got == want
+    again = made["blocks"].groupBy("term").agg(F.sum("n"))
+    assert "Exchange" not in again._jdf.queryExecution().executedPlan().toString()
+
+
 def test_entry_runs(spark):
     import __spark_entry__
 

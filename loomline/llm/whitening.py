@@ -21,6 +21,8 @@ SWEEPS = 40
 #: Multiplier of the grid on which vectors are fitted.
 GRID = 256
 SEED = 13
+#: Tasks that add up the sums of the others.
+REDUCERS = 8
 #: Vectors of a part of a batch; the grid's entries end at this size.
 PART, LARGEST = 4096, 1 << 61
 
@@ -70,23 +72,29 @@ class Space:
 
 
 def _summed(fit: DataFrame, width: int, make: Callable[[np.ndarray], np.ndarray], dims: int) -> np.ndarray:
-    """Sum over the fit list of make(part), an array of `width` numbers. Tasks add up their parts and executors the tasks' sums by cell; `width` numbers reach the driver."""
+    """Sum over the fit list of make(part), an array of `width` numbers. Tasks add up their parts, REDUCERS tasks the tasks' sums, and the driver theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width)
-        some = False
+        total, some = np.zeros(width), False
         for batch in batches:
             x = _matrix(batch.column(0), dims)
             for lo in range(0, len(x), PART):
                 total += make(x[lo : lo + PART])
                 some = True
         if some:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(total)], names=["cell", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    got = fit.mapInArrow(run, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).toArrow()
-    out = np.zeros(width)
-    out[got.column("cell").to_numpy()] = got.column("v").to_numpy()
-    return out
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, some = np.zeros(width), False
+        for batch in batches:
+            for own in batch.column(0):
+                total += np.frombuffer(own.as_py())
+                some = True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    sums = fit.mapInArrow(run, "sums binary").repartition(REDUCERS).mapInArrow(add, "sums binary").collect()  # REDUCERS rows at most
+    return sum((np.frombuffer(r["sums"]) for r in sums), np.zeros(width))
 
 
 def _times(fit: DataFrame, space: Space, q: np.ndarray) -> np.ndarray:

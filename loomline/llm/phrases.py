@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -227,46 +228,54 @@ def _texts(data: np.ndarray, words: Words, first: np.ndarray, length: np.ndarray
     return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out[keep]))
 
 
-class _Sums:
-    """Counts of phrases by 128-bit hash, with their text; added up until they are many."""
+_COUNTS = pa.schema([("a", pa.uint64()), ("b", pa.uint64()), ("n", pa.int64()), ("lang", pa.large_string()), ("phrase", pa.large_string())])
 
-    def __init__(self):
-        self.parts: list[tuple] = []
-        self.size = 0
 
-    def add(self, *columns) -> None:
-        self.parts.append(columns)
-        self.size += len(columns[0])
+def _added(counts: pa.Table) -> pa.Table:
+    """One row a phrase, which a and b (128 bits of hash) tell apart, in order of a."""
+    if not counts.num_rows:
+        return counts
+    a, b = counts.column("a").to_numpy(), counts.column("b").to_numpy()
+    order = np.lexsort((b, a))
+    first = np.flatnonzero(np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))
+    n = np.add.reduceat(counts.column("n").to_numpy()[order], first)
+    out = counts.take(pa.array(order[first]))
+    return out.set_column(2, "n", pa.array(n))
 
-    def out(self) -> Iterator[pa.RecordBatch]:
-        if not self.parts:
-            return
-        a, b, n = (np.concatenate([p[i] for p in self.parts]) for i in range(3))
-        lang, phrase = (pa.chunked_array([p[i] for p in self.parts]) for i in (3, 4))
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        n = np.add.reduceat(n[order], first)
-        for lo in range(0, len(first), ROWS):
-            at = pa.array(order[first[lo : lo + ROWS]])
-            yield pa.RecordBatch.from_arrays([lang.take(at).combine_chunks().cast(pa.string()), phrase.take(at).combine_chunks().cast(pa.string()), pa.array(n[lo : lo + ROWS])], names=["lang", "phrase", "n"])
-        self.parts, self.size = [], 0
+
+def _packed(counts: pa.Table, power: int) -> Iterator[pa.RecordBatch]:
+    """Counts in a binary value a bucket of hashes, so that they move and are added up as columns, not row by row."""
+    counts = _added(counts)
+    bucket = (counts.column("a").to_numpy() >> np.uint64(64 - power)).astype(np.int32)
+    cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else np.zeros(1, int)
+    for lo in range(0, len(cuts) - 1, 256):
+        blobs = []
+        for x, y in zip(cuts[lo : lo + 256], cuts[lo + 1 : lo + 257], strict=False):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _COUNTS, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+                writer.write_table(counts.slice(x, y - x).combine_chunks())
+            blobs.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[lo : lo + len(blobs)]]), pa.array(blobs, pa.binary())], names=["bucket", "counts"])
 
 
 def count_exactly(rows: DataFrame, filters: list[Filter], support: int = SUPPORT) -> DataFrame:
-    """lang, phrase, n: words and phrases with `support` occurrences or more, and each language's number of words under the empty phrase. Counts are by text, so no hash decides them."""
+    """lang, phrase, n: words and phrases with `support` occurrences or more, and each language's number of words under the empty phrase.
+
+    Tasks add up what they find by 128-bit hash and send it packed in buckets of hashes, of which there are some for each task, so that a bucket stays small however large the corpus is.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(filters)
+    power = min(20, max(6, (4 * rows.rdd.getNumPartitions()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, totals = _Sums(), {}
+        held, size, totals = [], 0, {}
         for batch, data, langs, _, words in _batches(batches, 2):
             found = []
             for n, at, hashes in phrases(words, langs, shared.value, len(shared.value)):
                 new = at + n > words.seen
                 if n == 1:
                     for row, k in zip(*np.unique(words.row[at[new]], return_counts=True), strict=True):
-                        lang = batch.column(1)[int(row)].as_py()
-                        totals[lang] = totals.get(lang, 0) + int(k)
+                        own = (batch.column(1)[int(row)].as_py(), int(langs[row]))
+                        totals[own] = totals.get(own, 0) + int(k)
                 new &= shared.value[n - 1](hashes[0])
                 order = np.argsort(hashes[0][new], kind="stable")
                 at, a, b = at[new][order], hashes[0][new][order], hashes[1][new][order]
@@ -275,14 +284,27 @@ def count_exactly(rows: DataFrame, filters: list[Filter], support: int = SUPPORT
                     found.append((at[first], np.full(len(first), n), a[first], b[first], np.diff(np.append(first, len(at)))))
             if found:
                 at, length, a, b, n = (np.concatenate(x) for x in zip(*found, strict=True))
-                sums.add(a, b, n, batch.column(1).take(pa.array(words.row[at])), _texts(data, words, at, length))
-            if sums.size >= PHRASES:
-                yield from sums.out()
-        yield from sums.out()
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([""] * len(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], names=["lang", "phrase", "n"])
-
-    counted = rows.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    return counted.filter((F.col("n") >= support) | (F.col("phrase") == ""))
+                held.append(pa.table([pa.array(a), pa.array(b), pa.array(n), batch.column(1).take(pa.array(words.row[at])).cast(pa.large_string()), _texts(data, words, at, length)], schema=_COUNTS))
+                size += len(at)
+            if size >= PHRASES:  # what is alike in the parts so far is one row from here on; what is still as much leaves the task
+                held = [_added(pa.concat_tables(held))]
+                size = held[0].num_rows
+                if size >= PHRASES // 2:
+                    yield from _packed(held[0], power)
+                    held, size = [], 0
+        names, keys = [x for x, _ in totals], np.array([k for _, k in totals], np.uint64)
+        held.append(pa.table([pa.array(keys, pa.uint64()), pa.array(np.zeros(len(names), np.uint64)), pa.array(list(totals.values()), pa.int64()), pa.array(names, pa.large_string()), pa.array([""] * len(names), pa.large_string())], schema=_COUNTS))
+        yield from _packed(pa.concat_tables(held), power)
+
+    def add(counts: pa.Table) -> pa.Table:
+        parts = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in counts.column("counts")]
+        whole = _added(pa.concat_tables(parts))
+        n, phrase = whole.column("n").to_numpy(), whole.column("phrase")
+        often = whole.filter(pa.array((n >= support) | pc.equal(phrase, "").to_numpy()))
+        return pa.table([often.column("lang").cast(pa.string()), often.column("phrase").cast(pa.string()), often.column("n")], names=["lang", "phrase", "n"])
+
+    packed = rows.mapInArrow(run, "bucket int, counts binary")
+    return packed.groupBy("bucket").applyInArrow(add, "lang string, phrase string, n long")
 
 
 def collocations(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, inside: int = INSIDE, top: int | None = TOP) -> DataFrame:

@@ -44,10 +44,11 @@ def batch_segments(segments: DataFrame, cap: int = 2500) -> DataFrame:
 def chunk_segments(segments: DataFrame, guests: DataFrame, cap: int = 500) -> DataFrame:
     """Chunks: id, episode, guest, chapter, chapter_index, start_ts, end_ts (the last segment's start), text.
 
-    Packs of a chapter are chunks; their number runs through the episode in order of chapter and pack.
+    Packs of a chapter are chunks; their number runs through the episode in order of chapter and pack. A line without a speaker is Unknown's, one without text is empty.
+    Segments without an episode or chapter belong to no chunk; keyless_segments() has them.
     """
-    batched = batch_segments(segments, cap)
-    row = F.struct("pos", "timestamp", F.concat(F.col("speaker"), F.lit(": "), F.col("text")).alias("line"))
+    batched = batch_segments(segments.filter("episode is not null and chapter_index is not null"), cap)
+    row = F.struct("pos", "timestamp", F.concat(F.coalesce("speaker", F.lit("Unknown")), F.lit(": "), F.coalesce("text", F.lit(""))).alias("line"))
     packed = batched.groupBy("episode", "chapter_index", "batch").agg(F.first("chapter").alias("chapter"), F.array_sort(F.collect_list(row)).alias("rows"))
     number = F.row_number().over(Window.partitionBy("episode").orderBy("chapter_index", "batch"))
     numbered = packed.withColumn("n", number)
@@ -58,3 +59,8 @@ def chunk_segments(segments: DataFrame, guests: DataFrame, cap: int = 500) -> Da
         F.element_at("rows", 1)["timestamp"].alias("start_ts"), F.element_at("rows", -1)["timestamp"].alias("end_ts"),
         F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("text"),
     )
+
+
+def keyless_segments(segments: DataFrame) -> DataFrame:
+    """The segments that no chunk can hold, for want of an episode or chapter."""
+    return segments.filter("episode is null or chapter_index is null")

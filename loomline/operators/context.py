@@ -29,13 +29,13 @@ def build_context(retrieved: DataFrame) -> DataFrame:
 
 
 def cite_sources(answers: DataFrame) -> DataFrame:
-    """answers (raw, docs) with sources and answer: lines of the cited numbers in order, of all documents if none is valid; appended unless the answer says `source`."""
-    numbers = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("raw", F.lit(r"\[(\d+)\]")), lambda x: x.try_cast("int"))))
+    """answers (raw, docs) with sources and answer: lines of the cited numbers in order, of all documents if none is valid; appended unless the answer says `source`. A null answer is an empty one."""
+    numbers = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("raw", F.lit("")), F.lit(r"\[(\d+)\]")), lambda x: x.try_cast("int"))))
     valid = F.filter(numbers, lambda n: (n > 0) & (n <= F.size("docs")))
     used = F.when(F.size(valid) > 0, valid).when(F.size("docs") > 0, F.sequence(F.lit(1), F.size("docs"))).otherwise(F.array().cast("array<int>"))
     lines = F.transform(used, lambda n: source_line(n, F.element_at("docs", n)))
-    said = F.col("raw").rlike("(?i)source")
-    return answers.withColumn("sources", lines).withColumn("answer", F.when(said, F.col("raw")).otherwise(F.concat("raw", F.lit("\n\nSources:\n"), F.array_join("sources", "\n"))))
+    raw = F.coalesce("raw", F.lit(""))
+    return answers.withColumn("sources", lines).withColumn("answer", F.when(raw.rlike("(?i)source"), raw).otherwise(F.concat(raw, F.lit("\n\nSources:\n"), F.array_join("sources", "\n"))))
 
 
 def questions_to_rewrite(questions: DataFrame, cache: DataFrame, model: str) -> DataFrame:

@@ -75,11 +75,9 @@ def eval_coverage(queries: DataFrame, results: DataFrame, gold: DataFrame) -> Da
 
 
 def resume_queries(queries: DataFrame, results: DataFrame, config: dict[str, object], limit: int | None = None, order: str = "query_id") -> DataFrame:
-    """Queries without a result of status ok under an equal configuration; the first `limit` by the column `order` (the place in the file, say) where asked."""
+    """Queries without a result of status ok under an equal configuration. With `limit`, of the first so many queries by the column `order` (the place in the file, say), so a rerun with one limit does no more than the first run."""
     same = results
     for name, value in config.items():
         same = same.filter(F.col(name).eqNullSafe(F.lit(value)))
-    todo = queries.join(same.filter("status = 'ok'").select("query_id").distinct(), "query_id", "left_anti")
-    return todo.orderBy(order, "query_id").limit(limit) if limit else todo
-
-
+    asked = queries.orderBy(*dict.fromkeys([order, "query_id"])).limit(limit) if limit else queries
+    return asked.join(same.filter("status = 'ok'").select("query_id").distinct(), "query_id", "left_anti")

@@ -21,6 +21,8 @@ BROADCAST_TERMS = 500_000
 HEAD, GROWTH, REACH, SLACK, MANY_POSTINGS = 1000, 2, 0.85, 2e-6, 100_000_000
 #: Queries and documents of a block of the exact search, and documents of a part of a cell of the other.
 QUERY_BLOCK, DOC_BLOCK, CELL_BLOCK = 16_384, 131_072, 131_072
+#: Queries that may be broadcast, in rows and bytes; documents of a part that meets them; bytes of a block of vectors.
+QUERY_ROWS, QUERY_BYTES, DOC_PART, BLOCK_BYTES = 4096, 64 << 20, 8192, 128 << 20
 
 
 def top(scored: DataFrame, n: int, method: str | None = None, digits: int = 6) -> DataFrame:
@@ -167,25 +169,60 @@ def _met(docs: pa.Table, queries: pa.Table, n: int) -> pa.Table:
     return pa.concat_tables(parts) if parts else none
 
 
+def _few(queries: DataFrame) -> pa.Table | None:
+    """The queries, if they are few and small enough to be broadcast."""
+    rows, longest = queries.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    return queries.toArrow() if rows <= QUERY_ROWS and rows * longest * 8 <= QUERY_BYTES else None
+
+
+def _best_of_parts(docs: DataFrame, asked: pa.Table, n: int, schema: str) -> DataFrame:
+    """query_id, doc_id, score of the n best of each part of DOC_PART documents: documents stay where they are, the queries are sent to them."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, asked.schema) as writer:
+        writer.write_table(asked)
+    shared = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())  # QUERY_BYTES at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = pa.ipc.open_stream(shared.value).read_all()
+        held, rows = [], 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, DOC_PART):
+                held.append(batch.slice(lo, DOC_PART))
+                rows += held[-1].num_rows
+                if rows >= DOC_PART:
+                    yield from _met(pa.Table.from_batches(held), queries, n).to_batches()
+                    held, rows = [], 0
+        if held:
+            yield from _met(pa.Table.from_batches(held), queries, n).to_batches()
+
+    return docs.mapInArrow(run, schema)
+
+
 def vector_search(queries: DataFrame, docs: DataFrame, n: int = 10) -> DataFrame:
-    """Exact cosine ranking of queries (query_id, vector) against docs (doc_id, vector); negative scores rank too.
+    """Exact cosine ranking of queries (query_id, vector) against docs (doc_id, vector); negative scores rank too. Null vectors rank nowhere.
 
-    Both sides are cut into blocks by a hash; each pair of blocks meets in a task as matrix products, of which every query keeps its n best, and the
-    lists merge by query. Documents are sent once for each QUERY_BLOCK queries. Null vectors rank nowhere.
+    Queries of up to QUERY_ROWS rows and QUERY_BYTES are broadcast: documents are read once and do not move, and each part of a task sends on its n best. More queries are cut into blocks by a hash,
+    as are the documents (written first, so that what makes them runs once); each pair of blocks meets in a task as matrix products. Blocks are bounded in bytes.
     """
     queries = stored(queries.select("query_id", "vector").filter("vector is not null"), "queries")
     docs = docs.select("doc_id", "vector").filter("vector is not null")
-    rows = docs.count()
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    over, down = -(-queries.count() // QUERY_BLOCK) or 1, max(-(-rows // DOC_BLOCK), min(cores, -(-rows // 4096)), 1)
     kind_q, kind_d = dict(queries.dtypes)["query_id"], dict(docs.dtypes)["doc_id"]
+    schema = f"query_id {kind_q}, doc_id {kind_d}, score double"
+    asked = _few(queries)
+    if asked is not None:
+        return top(_best_of_parts(docs, asked, n, schema), n)
+    docs = stored(docs, "docs")
+    rows, longest = docs.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    per = max(1, min(DOC_BLOCK, BLOCK_BYTES // (8 * longest)))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    over, down = -(-queries.count() // min(QUERY_BLOCK, per)) or 1, max(-(-rows // per), min(cores, -(-rows // 4096)), 1)
     block = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     left = docs.withColumns({"_d": block("doc_id", down), "_q": every(over)})
     right = queries.withColumn("_q", block("query_id", over)).withColumn("_d", every(down))
 
     pairs = left.groupBy("_d", "_q").cogroup(right.groupBy("_d", "_q"))
-    return top(pairs.applyInArrow(lambda docs, queries: _met(docs, queries, n), f"query_id {kind_q}, doc_id {kind_d}, score double"), n)
+    return top(pairs.applyInArrow(lambda docs, queries: _met(docs, queries, n), schema), n)
 
 
 def _nearness(x: np.ndarray, centres: np.ndarray) -> np.ndarray:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomline.functions import text as X
-from loomline.operators import chunking, index, intake, qa
+from loomline.operators import chunking, encoding, index, intake, qa
 from loomline.plans import views as V
 from loomline.plans.views import hashed_sql, CHUNKS, SEG, table, with_ctes
-from loomline.sources import files
+from loomline.sources import documents, files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -233,6 +233,43 @@ def keyword_index(spark, d):
     return index.postings_of(made["blocks"].join(made["terms"].select("term", "df"), "term")).select("term", "doc_id", "dl", "tf", "df")
 
 
+@query(with_ctes(*CHUNKS) + "SELECT id, text, 64 AS dims FROM chunks")
+def update_index(spark, d):
+    """A stored vector index brought up to date twice: with the even chapters (and an old text of some), then with all chunks."""
+    from loomline.functions.scratch import scratch, stored
+
+    path = scratch(spark, "vector-index")
+    chunks = stored(V.chunks(spark, d).select("id", "text", "chapter_index"), "chunks")
+    first = chunks.filter("chapter_index % 2 = 0").withColumn("text", F.when(F.col("chapter_index") % 4 == 0, F.concat(F.lit("old: "), F.col("text"))).otherwise(F.col("text")))
+    encoding.update_index(first, path, max_words=V.CAP, buckets=8)
+    encoding.update_index(chunks, path, max_words=V.CAP, buckets=8)
+    return encoding.read_vector_index(spark, path, V.MODEL, V.CAP).select("id", "text", F.size("vector").alias("dims"))
+
+
+def _mixed_files(spark, d):
+    """Turns as JSON files: some on lines with broken lines between, some indented, several documents a file."""
+    from loomline.functions.scratch import scratch
+
+    path = scratch(spark, "mixed")
+    turns = table(spark, d, "conversations")
+    doc = F.struct("conv_id", "turn", "role", "text")
+    broken = turns.filter("turn = 0 and conv_id % 3 = 1").select(F.concat(F.lit('{"conv_id": '), F.col("conv_id").cast("string"), F.lit(', "text": "')).alias("value"))
+    broken.union(turns.filter("conv_id % 3 <> 0").select(F.to_json(doc).alias("value"))).repartition(4).write.text(path)
+    turns.filter("conv_id % 3 = 0").select(F.to_json(doc, {"pretty": "true"}).alias("value")).repartition(3).write.mode("append").text(path)
+    return path
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def read_documents(spark, d):
+    """Every document of files of all forms, whatever is broken beside it."""
+    return documents.read_json(spark, _mixed_files(spark, d), "conv_id long, turn long, role string, text string")
+
+
+@query("""SELECT '{"conv_id": ' || conv_id || ', "text": "' AS reject FROM conversations WHERE turn = 0 AND conv_id % 3 = 1""")
+def read_rejects(spark, d):
+    return documents.read_rejects(spark, _mixed_files(spark, d)).select("reject")
+
+
 # extraction ------------------------------------------------------------------------------------------
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomline import schemas
+from loomline.sources.documents import read_json
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -14,17 +14,6 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
 
 
-def _indented(spark: SparkSession, path: str) -> bool:
-    """Whether a JSON document of this path goes over several lines: its first written line is no JSON of its own."""
-    first = spark.read.text(path).filter(F.trim("value") != "").select(F.try_parse_json("value").isNull().alias("part")).first()
-    return bool(first and first["part"])
-
-
-def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON documents, one a line or indented over the lines of a file; the files of one path are of one form."""
-    return spark.read.schema(schema).option("multiLine", _indented(spark, path)).json(path)
-
-
 def read_episodes(spark: SparkSession, path: str) -> DataFrame:
     return read_json(spark, path, schemas.EPISODE)
 

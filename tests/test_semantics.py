@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomline.functions import text as X
@@ -340,3 +341,124 @@ def _llm_is_there() -> bool:
     except ImportError:
         return False
     return True
+
+
+def test_each_file_is_judged_by_itself(spark, tmp_path):
+    from loomline.sources import documents
+
+    files_of = {
+        "lines.json": '{"a": 1}\n\n{"a": 2}\n', "first_broken.json": '{"a": \n{"a": 3}\n{"a": 4}\n', "indented.json": '{\n  "a": 5,\n  "b": [\n    {"c": 1}\n  ]\n}\n', "several.json": '{\n "a": 6\n}\n{\n "a": 7\n}\n{"a": 8}{"a": 9}\n',
+        "array.json": '[{"a": 10},\n {"a": 11}]', "broken_indented.json": '{\n  "a": 12,\n  "b": [{"c": 1}\n', "words.json": 'no json\n"text"\n12\n{"a": 13}\n', "marked.json": '﻿{"a": 14}\n', "empty.json": "", "blank.json": " \n\n",
+    }
+    for name, text in files_of.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    got = sorted(r["a"] for r in documents.read_json(spark, str(tmp_path), "a int").collect())
+    assert got == [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 13, 14]
+    rejects = {(r["path"].rpartition("/")[2], r["reject"]) for r in documents.read_rejects(spark, str(tmp_path)).collect()}
+    assert rejects == {("first_broken.json", '{"a":'), ("broken_indented.json", '{\n  "a": 12,\n  "b": [{"c": 1}'), ("words.json", 'no json\n"text"\n12')}
+
+
+def test_large_files_keep_their_lines(spark, tmp_path, monkeypatch):
+    from loomline.sources import documents
+
+    monkeypatch.setattr(documents, "WHOLE_BYTES", 10)
+    (tmp_path / "a.json").write_text('{"a": \n{"a": 3}\n')
+    assert [r["a"] for r in documents.read_json(spark, str(tmp_path), "a int").collect()] == [3]
+    assert [r["reject"] for r in documents.read_rejects(spark, str(tmp_path)).collect()] == ['{"a":']
+
+
+def _counting(folder):
+    """An encoder that leaves a line a text in a file of its own, and stops at a text that says so while the folder has no file `go`."""
+
+    def make():
+        import os
+        import uuid
+
+        import numpy as np
+
+        def encode(texts):
+            if "stop" in texts and not os.path.exists(f"{folder}/go"):
+                raise RuntimeError("stopped")
+            with open(f"{folder}/{uuid.uuid4().hex}.calls", "w") as f:
+                f.writelines(t.replace("\n", " ") + "\n" for t in texts)
+            return np.array([[len(t), 1.0] for t in texts], np.float32)
+
+        return encode
+
+    return make
+
+
+def _calls(folder):
+    return sorted(line for f in folder.glob("*.calls") for line in f.read_text().splitlines())
+
+
+def test_texts_are_encoded_once_and_a_stopped_run_goes_on(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    from loomline.operators import encoding
+    from loomline.sources import snapshots
+
+    store, seen = str(tmp_path / "store"), tmp_path / "seen"
+    seen.mkdir()
+    rows = spark.createDataFrame([(i, f"text {i % 40} " + "x" * (i % 7)) for i in range(120)] + [(200, None), (201, "")], "id long, text string")
+    texts = {r["text"] or "" for r in rows.collect()}
+    assert encoding.encode_into(rows, store, _counting(seen), batch=4, wave_chars=200) == len(texts)
+    assert _calls(seen) == sorted(texts) and len(snapshots.entries(spark, store)) > 3
+    assert encoding.encode_into(rows, store, _counting(seen)) == 0 and len(_calls(seen)) == len(texts)
+    got = encoding.with_vectors(rows, store).collect()
+    assert len(got) == 122 and all(r["vector"][0] == len(r["text"] or "") for r in got)
+
+    more = rows.union(spark.createDataFrame([(300 + i, f"new {i}") for i in range(60)] + [(400, "stop")], "id long, text string"))
+    try:
+        encoding.encode_into(more, store, _counting(seen), batch=1, wave_chars=60, parts=1)
+        raise AssertionError("did not stop")
+    except PySparkException:
+        pass
+    kept = snapshots.read_snapshot(spark, store, model="hashing-64").count()
+    (seen / "go").touch()
+    before = len(_calls(seen))
+    assert encoding.encode_into(more, store, _counting(seen), batch=1, wave_chars=60) == len(texts) + 61 - kept
+    assert len(_calls(seen)) - before == len(texts) + 61 - kept and snapshots.read_snapshot(spark, store, model="hashing-64").count() == len(texts) + 61
+
+
+def test_searches_encode_each_text_once(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"doc {i}") for i in range(50)], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, f"ask {i}") for i in range(5)], "query_id long, text string")
+    search.vector_search(index.embed_texts(asked, _counting(tmp_path)), index.embed_texts(docs, _counting(tmp_path)), 3).collect()
+    assert len(_calls(tmp_path)) == 55
+
+
+def test_snapshots_rewrite_touched_buckets_alone(spark, tmp_path):
+    from loomline.sources import snapshots
+
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(f"k{i}", i) for i in range(200)], "id string, v long")
+    assert snapshots.upsert(rows, path, buckets=8) == 1
+    old = {e["bucket"]: e["folder"] for e in snapshots.entries(spark, path)}
+    one = spark.createDataFrame([("k5", 500), ("k5", 400), ("new", 1)], "id string, v long")
+    assert snapshots.upsert(one, path) == 2
+    touched = {r["b"] for r in one.select(snapshots.bucket_of("id", 8).alias("b")).collect()}
+    assert {b for b, f in old.items() if {e["bucket"]: e["folder"] for e in snapshots.entries(spark, path)}[b] != f} == touched
+    got = {r["id"]: r["v"] for r in snapshots.read_snapshot(spark, path).collect()}
+    assert len(got) == 201 and got["k5"] == 400 and got["new"] == 1 and got["k7"] == 7
+    assert snapshots.read_snapshot(spark, path, 1).filter("id = 'k5'").first()["v"] == 5  # the old version stays readable
+    with pytest.raises(RuntimeError):
+        snapshots.commit(spark, path, [], 1)  # another writer was first
+    assert snapshots.last_version(spark, path) == 2 and snapshots.upsert(one.limit(0), path) == 2
+
+
+def test_null_speakers_texts_and_answers(spark):
+    rows = [(1, 1, "c", 0, None, "00:00:01", "hello there"), (1, 1, "c", 1, "A", "00:00:02", None), (1, None, "c", 2, "A", "00:00:03", "lost")]
+    seg = spark.createDataFrame(rows, "episode int, chapter_index int, chapter string, pos int, speaker string, timestamp string, text string")
+    got = chunking.chunk_segments(seg, spark.createDataFrame([(1, "A")], "episode int, guest string")).collect()
+    assert [(r["id"], r["text"]) for r in got] == [("1-01-001", "Unknown: hello there\nA: ")] and chunking.keyless_segments(seg).count() == 1
+    doc = "struct<id:string,episode:int,guest:string,chapter:string,start_ts:string,end_ts:string,text:string>"
+    answers = spark.createDataFrame([(None, [("a", 1, "g", "c", "00:00:01", "00:00:02", "t")])], f"raw string, docs array<{doc}>")
+    assert context.cite_sources(answers).first()["answer"].startswith("\n\nSources:\n[1] ")
+
+
+def test_resume_takes_the_first_queries_before_it_drops_finished_ones(spark):
+    asked = spark.createDataFrame([(f"q{i}", 9 - i) for i in range(6)], "query_id string, place int")
+    done = spark.createDataFrame([("q5", "ok", 10), ("q0", "ok", 10)], "query_id string, status string, depth int")
+    assert sorted(r["query_id"] for r in rank_eval.resume_queries(asked, done, {"depth": 10}, limit=3, order="place").collect()) == ["q3", "q4"]
+    assert rank_eval.resume_queries(asked, done, {"depth": 10}, limit=1, order="place").count() == 0

@@ -235,7 +235,59 @@ def _unit(vectors) -> np.ndarray:
     return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)
 
 
-def _probes(queries: DataFrame, placed: DataFrame, centres: np.ndarray, n: int, recall: float, checked: int) -> int:
+def _lloyd(x: np.ndarray, k: int, rounds: int = 10, seed: int = 1) -> np.ndarray:
+    """k centres of a bounded sample; fewer where it has fewer vectors. Centres without a vector stay where they are."""
+    centres = x[np.random.default_rng(seed).permutation(len(x))[:k]].copy()
+    for _ in range(rounds):
+        near = np.concatenate([_nearness(x[lo : lo + 4096], centres).argmax(1) for lo in range(0, len(x), 4096)])
+        n = np.bincount(near, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, x)
+        centres[n > 0] = sums[n > 0] / n[n > 0, None]
+    return centres
+
+
+class Quantizer:
+    """Cells and codes of unit vectors, fitted on a bounded sample.
+
+    A cell is a centre and a centre of what that leaves, so k cells take twice the root of k centres, and placing a vector takes as many comparisons. A code is, for each of `books` stretches of
+    dimensions of what the cell leaves, the nearest of 256 words.
+    """
+
+    def __init__(self, sample: np.ndarray, cells: int, books: int):
+        side = max(1, round(cells**0.5))
+        self.first = _lloyd(sample, side)
+        left = sample - self.first[_nearness(sample, self.first).argmax(1)]
+        self.second = _lloyd(left, -(-cells // side), seed=2)
+        left = left - self.second[_nearness(left, self.second).argmax(1)]
+        self.cuts = np.linspace(0, sample.shape[1], min(books, sample.shape[1]) + 1).astype(int)
+        self.books = [_lloyd(np.ascontiguousarray(left[:, lo:hi]), 256, seed=3) for lo, hi in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cell and code (a byte a book) of each vector."""
+        one = _nearness(x, self.first).argmax(1)
+        left = x - self.first[one]
+        two = _nearness(left, self.second).argmax(1)
+        left = left - self.second[two]
+        codes = [_nearness(left[:, lo:hi], book).argmax(1) for lo, hi, book in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)]
+        return one * len(self.second) + two, np.stack(codes, 1).astype(np.uint8)
+
+    def nearness(self, queries: np.ndarray) -> np.ndarray:
+        """For each query and cell, what grows as their distance falls."""
+        size = (self.first**2).sum(1)[:, None] + (self.second**2).sum(1) + 2 * self.first @ self.second.T
+        both = (queries @ self.first.T)[:, :, None] + (queries @ self.second.T)[:, None, :]
+        return (2 * both - size).reshape(len(queries), -1)
+
+    def scores(self, queries: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
+        """Estimated products of queries with vectors of a cell: a table look-up a book."""
+        base = queries @ (self.first[cell // len(self.second)] + self.second[cell % len(self.second)])
+        out = np.repeat(base[:, None], len(codes), 1)
+        for i, (lo, hi) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True)):
+            out += (queries[:, lo:hi] @ self.books[i].T)[:, codes[:, i]]
+        return out
+
+
+def _probes(queries: DataFrame, placed: DataFrame, quantizer: Quantizer, n: int, recall: float, checked: int) -> int:
     """The least number of nearest cells that hold the share `recall` of the n true neighbours of at most `checked` queries, found by brute force."""
     drawn = queries.filter("vector is not null").orderBy(F.xxhash64("query_id"), "query_id").limit(checked).select("query_id", "vector").toPandas()
     if not len(drawn):
@@ -244,59 +296,83 @@ def _probes(queries: DataFrame, placed: DataFrame, centres: np.ndarray, n: int,
     true = vector_search(asked, placed, n).join(placed.select("doc_id", "cell"), "doc_id").select("query_id", "cell").toPandas()
     if not len(true):
         return 1
-    order = np.argsort(-_nearness(_unit(drawn["vector"]), centres), axis=1, kind="stable")
+    order = np.argsort(-quantizer.nearness(_unit(drawn["vector"])), axis=1, kind="stable")
     place = np.argsort(order, axis=1)[true["query_id"].to_numpy(), true["cell"].to_numpy()]
-    within = np.cumsum(np.bincount(place, minlength=len(centres))) / len(place)
+    within = np.cumsum(np.bincount(place, minlength=order.shape[1])) / len(place)
     return int(np.argmax(within >= recall)) + 1
 
 
-def ann_search(queries: DataFrame, docs: DataFrame, n: int = 10, cells: int | None = None, probes: int | None = None, sample: int = 20_000, recall: float = 0.95, checked: int = 300) -> DataFrame:
-    """Approximate cosine ranking: k-means cells of unit vectors fitted on at most `sample` of them, the `probes` nearest cells visited, exact scores there.
-
-    Without `cells` there are twice the root of the row count, 1,024 at most. Without `probes`, as many cells are visited as
-    hold the share `recall` of the true neighbours of at most `checked` queries, measured by brute force over all rows.
-    Null vectors rank nowhere. Queries are sent to the cells they visit; a cell of more than CELL_BLOCK documents is met in parts.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    data = docs.filter("vector is not null").select("doc_id", "vector")
-    rows = data.count()
-    if not rows:
-        return vector_search(queries, docs, n)
-    fitted = data.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("vector").cast("array<double>").alias("v"))
-    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)) + 1e-9
-    k = cells or min(1024, max(1, round(2 * rows**0.5)))
-    model = KMeans(k=k, seed=1, maxIter=10).fit(fitted.select(array_to_vector(F.transform("v", lambda x: x / size)).alias("features")))
-    centres = np.stack(model.clusterCenters())
-    spark = docs.sparkSession
-    shared_centres = spark.sparkContext.broadcast(centres)
+def ann_candidates(queries: DataFrame, docs: DataFrame, n: int = 10, budget: int = 200, cells: int | None = None, probes: int | None = None, sample: int = 20_000, recall: float = 0.97, checked: int = 300, books: int = 16) -> tuple[DataFrame, DataFrame]:
+    """query_id, doc_id of the `budget` best candidates of each query by estimated scores, and the documents' stored vectors (doc_id, vector)."""
+    data = stored(docs.filter("vector is not null").select("doc_id", "vector"), "vectors")
+    spark, rows = docs.sparkSession, data.count()
     kind_q, kind_d, kind_v = dict(queries.dtypes)["query_id"], dict(docs.dtypes)["doc_id"], dict(docs.dtypes)["vector"]
+    asked = stored(queries.select("query_id", "vector").filter("vector is not null"), "queries")
+    if not rows:
+        return asked.select("query_id").crossJoin(data.select("doc_id")).limit(0), data
+    fitted = data.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("vector").toPandas()["vector"]
+    quantizer = Quantizer(_unit(fitted), cells or max(1, round(2 * rows**0.5)), books)
+    shared = spark.sparkContext.broadcast(quantizer)  # twice the root of the cells, and 256 words a book
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             if len(frame):
-                yield frame.assign(cell=_nearness(_unit(frame["vector"]), shared_centres.value).argmax(1))
+                cell, codes = shared.value.place(_unit(frame["vector"]))
+                yield frame.assign(cell=cell, code=[c.tobytes() for c in codes])
 
-    placed = stored(data.mapInPandas(place, f"doc_id {kind_d}, vector {kind_v}, cell long"), "placed")
-    probes = min(len(centres), probes or _probes(queries, placed, centres, n, recall, checked))
+    placed = stored(data.mapInPandas(place, f"doc_id {kind_d}, vector {kind_v}, cell long, code binary"), "placed")
+    probes = probes or _probes(asked, placed, quantizer, n, recall, checked)
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             if len(frame):
-                near = np.argsort(-_nearness(_unit(frame["vector"]), shared_centres.value), axis=1, kind="stable")[:, :probes]
+                near = np.argsort(-shared.value.nearness(_unit(frame["vector"])), axis=1, kind="stable")[:, :probes]
                 yield frame.assign(cell=near.tolist())
 
-    asked = queries.select("query_id", "vector").filter("vector is not null")
-    asked = asked.mapInPandas(visit, f"query_id {kind_q}, vector {dict(queries.dtypes)['vector']}, cell array<long>").withColumn("cell", F.explode("cell"))
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(CELL_BLOCK)).cast("int").alias("parts"))  # at most 1,024 rows
+    visiting = asked.mapInPandas(visit, f"query_id {kind_q}, vector {kind_v}, cell array<long>").withColumn("cell", F.explode("cell"))
+    sizes = stored(placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(CELL_BLOCK)).cast("int").alias("parts")), "sizes")
     part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    there = placed.join(F.broadcast(sizes), "cell").select("cell", "doc_id", "vector", part.alias("part"))
-    cuts = sizes.withColumnRenamed("parts", "cuts")
-    asked = asked.join(F.broadcast(cuts), "cell").select("cell", "query_id", "vector", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("part"))
-
-    pairs = there.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part"))
-    return top(pairs.applyInArrow(lambda docs, queries: _met(docs, queries, n), f"query_id {kind_q}, doc_id {kind_d}, score double"), n)
+    there = placed.select("cell", "doc_id", "code").join(small(sizes, BROADCAST_TERMS), "cell").select("cell", "doc_id", "code", part.alias("part"))
+    visiting = visiting.join(small(sizes, BROADCAST_TERMS), "cell").select("cell", "query_id", "vector", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+    def estimate(docs: pa.Table, queries: pa.Table) -> pa.Table:
+        parts = []
+        if docs.num_rows and queries.num_rows:
+            codes = np.frombuffer(b"".join(docs.column("code").to_pylist()), np.uint8).reshape(docs.num_rows, -1)
+            cell, names = docs.column("cell")[0].as_py(), docs.column("doc_id").to_numpy()
+            for lo in range(0, queries.num_rows, 64):
+                own = queries.slice(lo, 64)
+                scores = shared.value.scores(_unit(own.column("vector").to_numpy()), cell, codes)
+                q, at = _best(scores, names, budget)
+                parts.append(pa.table({"query_id": own.column("query_id").take(pa.array(q)), "doc_id": docs.column("doc_id").take(pa.array(at)), "score": pa.array(scores[q, at], pa.float64())}))
+        none = pa.table({"query_id": queries.column("query_id").slice(0, 0), "doc_id": docs.column("doc_id").slice(0, 0), "score": pa.array([], pa.float64())})
+        return pa.concat_tables(parts) if parts else none
+
+    pairs = there.groupBy("cell", "part").cogroup(visiting.groupBy("cell", "part"))
+    found = top(pairs.applyInArrow(estimate, f"query_id {kind_q}, doc_id {kind_d}, score double"), budget)
+    return found.select("query_id", "doc_id"), data
+
+
+def _exact(query: Column, doc: Column) -> Column:
+    """Cosine in double precision, as in _unit()."""
+    of = lambda v: v.cast("array<double>")
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    size = lambda v: F.sqrt(total(F.transform(v, lambda x: x * x))) + 1e-9
+    return total(F.zip_with(of(query), of(doc), lambda x, y: x * y)) / (size(of(query)) * size(of(doc)))
+
+
+def ann_search(queries: DataFrame, docs: DataFrame, n: int = 10, budget: int = 200, **options) -> DataFrame:
+    """Approximate cosine ranking in three steps: nearest cells, estimated scores of what lies in them, exact scores of the `budget` best of those.
+
+    Cells follow the root of the row count without a limit. As many are visited as hold 0.97 of the true neighbours of at most 300 queries, measured by brute force (options of ann_candidates() set
+    this). Vectors in visited cells are met as codes of a byte a book; exact vectors are read for `budget` documents a query, whatever the number of rows. Null vectors rank nowhere. Queries are sent to the cells they
+    visit; a cell of more than CELL_BLOCK documents is met in parts.
+    """
+    found, data = ann_candidates(queries, docs, n, budget, **options)
+    found = stored(found, "candidates")
+    held = data.join(small(found.select("doc_id").distinct(), BROADCAST_TERMS), "doc_id", "left_semi").withColumnRenamed("vector", "held")
+    rows = found.join(held, "doc_id").join(queries.select("query_id", "vector"), "query_id")
+    return top(rows.select("query_id", "doc_id", _exact(F.col("vector"), F.col("held")).alias("score")), n)
 
 
 def rrf_fuse(lists: list[DataFrame], k: int = 60, n: int = 10) -> DataFrame:

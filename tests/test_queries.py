@@ -89,3 +89,17 @@ def test_entry_runs(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 5
+
+
+def test_candidates_of_a_query_do_not_follow_the_rows(spark):
+    rng = np.random.default_rng(4)
+    for rows in (300, 3000):
+        x = rng.standard_normal((rows, 12)).astype(np.float32)
+        docs = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "doc_id long, vector array<float>")
+        asked = spark.createDataFrame([(i, v) for i, v in enumerate((x[:15] + 0.1).tolist())], "query_id long, vector array<float>")
+        found, _ = search.ann_candidates(asked, docs, 5, budget=60)
+        assert {r["n"] for r in found.groupBy("query_id").agg(F.count("*").alias("n")).collect()} <= set(range(1, 61))
+        exact = {(r["query_id"], r["doc_id"]): r["score"] for r in search.vector_search(asked, docs, 5).collect()}
+        near = {(r["query_id"], r["doc_id"]): r["score"] for r in search.ann_search(asked, docs, 5, budget=60).collect()}
+        assert len(exact.keys() & near.keys()) >= 0.9 * len(exact) and all(abs(near[k] - exact[k]) < 1e-9 for k in exact.keys() & near.keys())
+    assert search.ann_search(asked, docs.limit(0), 5).count() == 0

@@ -9,6 +9,8 @@ from loomline.functions.text import tokenize, word_count
 
 #: Labels of ratings, and the right-open bins of answer lengths.
 LABELS = {1: "helpful", -1: "not helpful"}
+#: Size of a quantile sketch: larger is nearer.
+SKETCH = 4096
 BINS = (0, 50, 100, 150, 200, 300, 500, 1000)
 
 
@@ -74,7 +76,22 @@ def latency_series(parsed: DataFrame) -> DataFrame:
     return parsed.filter("retrieval_ms is not null and ts is not null").select("ts", "retrieval_ms")
 
 
-def latency_by_day(parsed: DataFrame) -> DataFrame:
-    """day, n, p50 (approximate), longest."""
+def latency_sketches(parsed: DataFrame, k: int = SKETCH) -> DataFrame:
+    """day, n, longest, sketch: a mergeable quantile sketch a day, to be stored."""
     known = latency_series(parsed).groupBy(F.to_date("ts").alias("day"))
-    return known.agg(F.count("*").alias("n"), F.percentile_approx("retrieval_ms", 0.5, 10_000).alias("p50"), F.max("retrieval_ms").alias("longest"))
+    return known.agg(F.count("*").alias("n"), F.max("retrieval_ms").alias("longest"), F.kll_sketch_agg_double(F.col("retrieval_ms").cast("double"), F.lit(k)).alias("sketch"))
+
+
+def latency_quantiles(sketches: DataFrame, unit: str = "day", quantiles: dict[str, float] | None = None, k: int = SKETCH) -> DataFrame:
+    """unit, n, a column a quantile (p50, p95), longest by `unit` of time (day, week, month): from stored sketches alone, the log is not read.
+
+    A quantile is the least value whose rank reaches it. Up to about k rows a unit it is exact; beyond, its rank is off by some 2 / k of the rows (0.05 % at k = 4096) with 99 % confidence.
+    """
+    merged = sketches.groupBy(F.to_date(F.date_trunc(unit, "day")).alias(unit)).agg(F.sum("n").alias("n"), F.max("longest").alias("longest"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+    wanted = quantiles or {"p50": 0.5, "p95": 0.95}
+    return merged.select(unit, "n", *[F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(name) for name, q in wanted.items()], "longest")
+
+
+def latency_by_day(parsed: DataFrame) -> DataFrame:
+    """day, n, p50, p95, longest; see latency_quantiles()."""
+    return latency_quantiles(latency_sketches(parsed))

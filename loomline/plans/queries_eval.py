@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomline.functions.scratch import scratch
+from loomline.functions.scratch import scratch, stored
 from loomline.operators import feedback as B
 from loomline.operators import judge_eval as J
 from loomline.plans import views as V
 from loomline.plans.views import SEG, STOP_WORDS, table, with_ctes
 from loomline.sources import files
+from loomline.streaming import days
 from loomline.streaming import feedback as S
 
 QUERIES: dict = {}
@@ -163,9 +164,18 @@ def latency_series(spark, d):
     return B.latency_series(_parsed(spark, d)).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "retrieval_ms")
 
 
-@query(with_ctes("feedback") + "SELECT ts::DATE AS day, count(*) AS n, max(retrieval_ms) AS longest FROM feedback WHERE ts IS NOT NULL AND retrieval_ms IS NOT NULL GROUP BY 1")
+_LATENCY = " count(*) AS n, quantile_disc(retrieval_ms, 0.5) AS p50, quantile_disc(retrieval_ms, 0.95) AS p95, max(retrieval_ms) AS longest FROM feedback WHERE ts IS NOT NULL AND retrieval_ms IS NOT NULL GROUP BY 1"
+
+
+@query(with_ctes("feedback") + "SELECT ts::DATE AS day," + _LATENCY)
 def latency_by_day(spark, d):
-    return B.latency_by_day(_parsed(spark, d)).drop("p50")
+    return B.latency_by_day(_parsed(spark, d))
+
+
+@query(with_ctes("feedback") + "SELECT date_trunc('week', ts)::DATE AS week," + _LATENCY)
+def latency_by_week(spark, d):
+    """Sketches of days, stored and merged by week without the log."""
+    return B.latency_quantiles(stored(B.latency_sketches(_parsed(spark, d)), "sketches"), "week")
 
 
 @query(with_ctes("feedback") + "SELECT feedback_id, rating, question, model, array_to_string([k || '-01-001', (k + 1) || '-02-002'], ',') AS doc_ids FROM feedback")
@@ -191,6 +201,18 @@ def feedback_stream(spark, d):
     return S.read_counts(spark, out)
 
 
+@query(with_ctes("feedback") + """, l AS (SELECT (ts + INTERVAL 1 HOUR)::DATE AS day FROM feedback WHERE ts IS NOT NULL), s AS (SELECT min(day) AS lo, max(day) AS hi FROM l),
+c AS (SELECT unnest(generate_series(lo::TIMESTAMP, hi::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM s)
+SELECT c.day, count(l.day) AS n FROM c LEFT JOIN l ON l.day = c.day GROUP BY 1""")
+def feedback_days_stream(spark, d):
+    """The log, sent twice, as a stream with state a day: counts of all ratings by local day, equal to the batch."""
+    path, out = scratch(spark, "days-in"), scratch(spark, "days-out")
+    log = V.feedback(spark, d).select("feedback_id", "rating", "ts", "question", "model")
+    log.union(log).repartitionByRange(4, "ts").write.parquet(path)
+    days.run_days(S.read_feedback_stream(spark, path, log.schema, "parquet"), out, scratch(spark, "days-state"), late="40 days")
+    return days.read_daily_counts(spark, out)
+
+
 @query(with_ctes("feedback") + "SELECT coalesce(rating, 9) AS rating, count(*) AS n, count(DISTINCT question) AS questions FROM feedback GROUP BY 1")
 def read_feedback(spark, d):
     """The log as JSON lines with broken lines between, which are told apart."""

@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -462,3 +463,37 @@ def test_resume_takes_the_first_queries_before_it_drops_finished_ones(spark):
     done = spark.createDataFrame([("q5", "ok", 10), ("q0", "ok", 10)], "query_id string, status string, depth int")
     assert sorted(r["query_id"] for r in rank_eval.resume_queries(asked, done, {"depth": 10}, limit=3, order="place").collect()) == ["q3", "q4"]
     assert rank_eval.resume_queries(asked, done, {"depth": 10}, limit=1, order="place").count() == 0
+
+
+def test_days_as_a_stream_equal_the_batch(spark, tmp_path):
+    """Late, repeated and restarted input; local days, days without rows, timers that close a day."""
+    from loomline.streaming import days
+
+    rows = [(i, [1, -1, 0, None][i % 4], datetime(2026, 1, 1 + 2 * (i % 3), 23, i % 60), f"q{i}", None if i % 5 else "m") for i in range(60)]
+    more = [(100 + i, 1, datetime(2026, 1, 4, 1, i), f"late {i}", "m") for i in range(5)] + rows[:7] + [(300, 1, datetime(2026, 1, 12, 12), "last", None), (301, 1, None, "no time", None)]
+    schema = "feedback_id long, rating int, ts timestamp, question string, model string"
+    spark.createDataFrame(rows, schema).repartition(2).write.parquet(f"{tmp_path}/in")
+    source = lambda: stream.read_feedback_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, "parquet")
+    days.run_days(source(), f"{tmp_path}/out", f"{tmp_path}/state", late="3 days")
+    spark.createDataFrame(more, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    days.run_days(source(), f"{tmp_path}/out", f"{tmp_path}/state", late="3 days")
+    whole = feedback.feedback_parse(spark.createDataFrame(rows + more[:5] + more[-2:], schema))
+    timed = whole.filter("ts is not null")
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(days.read_daily_counts(spark, f"{tmp_path}/out")) == plain(feedback.daily_counts(whole))
+    assert plain(days.read_label_counts(spark, f"{tmp_path}/out")) == plain(feedback.label_counts(timed))
+    latest = days.read_latest(spark, f"{tmp_path}/out")
+    assert feedback.recent_questions(latest).collect() == feedback.recent_questions(whole).collect()
+    closed = {str(r["day"]): r["closed"] for r in days.read_day_labels(spark, f"{tmp_path}/out").collect()}
+    assert closed["2026-01-02"] and not closed["2026-01-12"]
+
+
+def test_sketches_keep_their_rank_error_over_merges(spark):
+    rows = spark.range(60_000).selectExpr("timestamp_seconds(id * 10) AS ts", "cast(pmod(xxhash64(id), 1000003) AS double) AS retrieval_ms")
+    exact = sorted(r["retrieval_ms"] for r in rows.collect())
+    k = 512
+    made = feedback.latency_quantiles(feedback.latency_sketches(rows, k), "month", k=k).first()
+    for name, q in (("p50", 0.5), ("p95", 0.95)):
+        rank = np.searchsorted(exact, made[name], "right") / len(exact)
+        assert abs(rank - q) < 4 / k
+    assert made["n"] == 60_000

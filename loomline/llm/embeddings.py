@@ -23,7 +23,7 @@ FIT_WORD_ROWS, FIT_ROWS, PROBE_ROWS = 64, 65_536, 300
 EDGE_RECALL, TARGET_RECALL = 0.9, 0.995
 #: Cells are shipped in rooms of about ROOM_ROWS vectors; a room that holds more than twice that is met in parts.
 ROOM_ROWS = 16_384
-#: A batch's vectors of one cell within BALL_ANGLE of one of them are handled as one ball if there are BALL_LEAST; tries a cell, and members at most.
+#: A batch's vectors of one cell within BALL_ANGLE (a quarter of the links' angle, where that is less) of one of them are handled as one ball if there are BALL_LEAST; tries a cell, and members at most.
 BALL_ANGLE, BALL_LEAST, BALL_TRIES, BALL_MOST = math.pi / 32, 32, 64, 1024
 #: Angles this near to a limit are left to the verification of members.
 MARGIN = 1e-7
@@ -218,13 +218,13 @@ def _visits_of_links(rows: DataFrame, indexes: dict[int, MultiIndex], probes: di
 # Balls -----------------------------------------------------------------------------------------------
 
 
-def balls(x: np.ndarray, cell: np.ndarray, d0: np.ndarray, d1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def balls(x: np.ndarray, cell: np.ndarray, d0: np.ndarray, d1: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """For the unit rows of a batch: the row that stands for each, and the radius of that one's ball.
 
     Equal rows stand together at radius 0. In a cell with BALL_LEAST different rows, those within BALL_ANGLE of one of
-    them become its ball; what is left after BALL_TRIES centres stands for itself, as do all other rows.
+    them become its ball, but at most a quarter of the angle of `least`, so that all rows of a ball are linked; what is left after BALL_TRIES centres stands for itself, as do all other rows.
     """
-    n = len(x)
+    n, widest = len(x), min(BALL_ANGLE, math.acos(least) / 4)
     _, first, same = np.unique(np.stack([d0, d1], 1), axis=0, return_index=True, return_inverse=True)
     stands, radius = first[same.ravel()], np.zeros(n)
     own = np.flatnonzero((stands == np.arange(n)) & (np.bincount(stands, minlength=n) < BALL_LEAST))
@@ -237,7 +237,7 @@ def balls(x: np.ndarray, cell: np.ndarray, d0: np.ndarray, d1: np.ndarray) -> tu
                 break
             angle = np.arccos(np.clip(x[left] @ x[left[0]], -1, 1))
             angle[0] = 0.0
-            near = np.flatnonzero(angle <= BALL_ANGLE)[:BALL_MOST]
+            near = np.flatnonzero(angle <= widest)[:BALL_MOST]
             if len(near) >= BALL_LEAST:
                 centre_of[left[near]] = left[0]
                 radius[left[0]] = angle[near].max() + MARGIN
@@ -248,7 +248,7 @@ def balls(x: np.ndarray, cell: np.ndarray, d0: np.ndarray, d1: np.ndarray) -> tu
     return stands, radius[stands]
 
 
-def _placed(rows: DataFrame, indexes: dict[int, MultiIndex]) -> DataFrame:
+def _placed(rows: DataFrame, indexes: dict[int, MultiIndex], least: float) -> DataFrame:
     """rid, vec_id, v and, for vectors that can have links: the row that stands for it, ball radius, and on rows that stand for
     others their number and least vec_id; digests; visited cells and their rooms."""
     kind = rows.schema["v"].dataType.simpleString()
@@ -269,7 +269,7 @@ def _placed(rows: DataFrame, indexes: dict[int, MultiIndex]) -> DataFrame:
                 index, d[0, at], d[1, at] = shared.value[x.shape[1]], *digests(x)
                 x = unit(x)
                 cells, into = index.place(x)
-                stands, radius = balls(x, cells[:, 0], d[0, at], d[1, at])
+                stands, radius = balls(x, cells[:, 0], d[0, at], d[1, at], least)
                 item[at], there[at], r[at] = rid[at[stands]], True, radius
                 np.add.at(w, at[stands], 1)
                 np.minimum.at(low, at[stands], np.where(known[at], ids[at], np.iinfo(np.int64).max))
@@ -444,7 +444,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
     wide = not (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType))
     stored_as = F.col(vector_col).cast("array<double>") if wide else F.col(vector_col)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), stored_as.alias("v")).withColumn("rid", F.monotonically_increasing_id())
-    placed = _placed(rows, fit_indexes(rows, least))
+    placed = _placed(rows, fit_indexes(rows, least), least)
 
     centres = placed.filter("rid = item")
     equal = centres.filter("r = 0").groupBy("d0", "d1").agg(F.min("item").alias("rep"), F.sum("w").alias("all"), F.min("lo").alias("low"), F.count("*").alias("n"))

@@ -177,3 +177,18 @@ def test_whitening_certifies_near_ties(spark):
     fit = spark.createDataFrame([([int(v) for v in r],) for r in np.unique(np.floor(x * 4096).astype(int), axis=0)], "x array<long>")
     space = whitening.fit_components(fit, whitening._sums(fit, 30))
     assert (space.residuals <= 1e-13 * space.values[0]).all() and np.allclose(space.vectors.T @ space.vectors, np.eye(4), atol=1e-12)
+
+
+@pytest.mark.parametrize("least", [0.95, 0.99, 0.997, 0.999])
+def test_links_of_any_threshold_equal_all_pairs(spark, least):
+    """A crowd as wide as the limit angle or wider, where balls must follow the threshold."""
+    from loomline.llm import embeddings
+
+    rng = np.random.default_rng(int(1000 * least))
+    centre = rng.standard_normal((3, 16))
+    x = np.concatenate([c / np.linalg.norm(c) + rng.standard_normal((120, 16)) * w for c, w in zip(centre, (0.004, 0.012, 0.03), strict=True)]).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    linked = unit @ unit.T >= least
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_vectors(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").coalesce(1), least).collect()}
+    want = linked.sum(1) - 1
+    assert abs(sum(got.values()) - want.sum()) <= 0.01 * want.sum() and all(got[i] <= want[i] for i in got)

@@ -141,6 +141,35 @@ def parse_segments(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return nodes.select(key, "node_pos", "kind", "chapter_id", "speaker", parse_timestamp(F.col("time_text"), F.col("href")).alias("timestamp"), "text")
 
 
+def page_segments(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """key, node_pos, chapter_index, chapter, speaker, timestamp, text: segments with their chapters from one walk of the page, equal to assign_chapters(parse_segments(pages)) without its window and its shuffle by page.
+
+    The walk meets headings and segments in order, so it knows the chapter at hand (0 and null before any heading). A page that cannot be parsed gives no segments; parse_segments() has it as a reject.
+    """
+    kind = dict(pages.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [key, "node_pos", "chapter_index", "chapter", "speaker", "time_text", "href", "text"]
+        for batch in batches:
+            rows = []
+            for page, html in zip(batch[key], batch["html"], strict=True):
+                try:
+                    nodes = walk_page(html or "")
+                except Exception:  # noqa: BLE001  any malformed page
+                    continue
+                number, title = 0, None
+                for place, what, _, speaker, time_text, href, text in nodes:
+                    if what == "chapter":
+                        number, title = number + 1, text
+                    elif what == "segment":
+                        rows.append((page, place, number, title, speaker, time_text, href, text))
+            yield pd.DataFrame(rows, columns=names)
+
+    schema = f"{key} {kind}, node_pos long, chapter_index long, chapter string, speaker string, time_text string, href string, text string"
+    found = pages.select(key, "html").mapInPandas(run, schema)
+    return found.select(key, "node_pos", "chapter_index", "chapter", "speaker", parse_timestamp(F.col("time_text"), F.col("href")).alias("timestamp"), "text")
+
+
 def assign_chapters(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     """Segments with chapter_index (0: before any heading) and chapter title of the latest heading before them."""
     so_far = Window.partitionBy(key).orderBy("node_pos").rowsBetween(Window.unboundedPreceding, 0)

@@ -130,6 +130,12 @@ def assign_chapters(spark, d):
     return intake.assign_chapters(intake.parse_segments(_html(spark, d))).select("page_id", "chapter_index", "chapter", "speaker", "text")
 
 
+@query(with_ctes(*SEG) + rf"SELECT episode AS page_id, chapter_index::BIGINT AS chapter_index, chapter, speaker, {_CLOCK} AS timestamp, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM seg")
+def page_segments(spark, d):
+    """Segments with chapters from one walk of each page."""
+    return intake.page_segments(_html(spark, d)).select("page_id", "chapter_index", "chapter", "speaker", "timestamp", "text")
+
+
 @query(with_ctes(*SEG, "guests") + "SELECT episode, guest FROM guests")
 def detect_guest(spark, d):
     return V.guests(spark, d)

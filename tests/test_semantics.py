@@ -497,3 +497,15 @@ def test_sketches_keep_their_rank_error_over_merges(spark):
         rank = np.searchsorted(exact, made[name], "right") / len(exact)
         assert abs(rank - q) < 4 / k
     assert made["n"] == 60_000
+
+
+def test_chapters_of_one_walk_equal_those_of_a_window(spark):
+    seg = lambda name, text: f'<div class="ts-segment"><span class="ts-name">{name}</span><span class="ts-timestamp">(00:00:0{len(text)})</span><span class="ts-text">{text}</span></div>'
+    head = lambda i, title: f'<h2 id="chapter{i}_x">{title}</h2>'
+    pages = [(1, seg("A", "a") + head(1, "One") + seg("B", "bb") + head(2, "") + head(3, "Three") + seg("", "ccc")), (2, None), (3, head(1, "Empty")), (4, seg("A", "a") * 3)]
+    frame = spark.createDataFrame(pages, "page_id long, html string")
+    once = intake.page_segments(frame)
+    columns = ["page_id", "node_pos", "chapter_index", "chapter", "speaker", "timestamp", "text"]
+    window = intake.assign_chapters(intake.parse_segments(frame)).select(*columns)
+    assert sorted(map(str, once.select(*columns).collect())) == sorted(map(str, window.collect())) and once.count() == 6
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()

@@ -20,10 +20,14 @@ from loomline.llm.textscan import Words, as_bytes, code_points, row_slices
 KINDS = ("email", "ip", "card", "phone")
 #: Bounds of the windows drawn from the corpus: documents looked at, windows kept, words on either side of a telling word, and bytes of a text.
 SAMPLE_DOCS, SAMPLE_WINDOWS, AROUND, SAMPLE_BYTES = 6000, 4000, 5, 65_536
+#: Words of a document, wherever they stand, whose windows may be drawn too.
+ANY_WORDS = 1
+#: How far a word must be from every kind to be none for certain; room for rounding.
+CERTAIN = 1e-3
 #: How often a row of the written table counts against a drawn window.
 WRITTEN_WEIGHT = 8.0
-#: Bytes whose words are decoded together, and words of a chain at most; a longer run of telling words is cut.
-DECODE_BYTES, CHAIN_WORDS = 1 << 23, 4096
+#: Bytes whose words are decoded together.
+DECODE_BYTES = 1 << 23
 #: The written labelled table: what people write that the base patterns do not match, marked by kind, among look-alikes that are no personal data.
 WRITTEN = """
 write to {email jane.doe (at) example.org} today|mail {email jane [at] example.com} or call|contact {email info(at)example.net} for more
@@ -44,7 +48,18 @@ in 2020-11-05 logs|order 4711 (open)|a 5 x 7 grid (small)|isbn 978 (old)|(at) la
 token = 9f86d081 of|build 20230917 (nightly)|area 51 (closed)|10 000 000 rows (20 tasks)|ratio 16:9 or 4:3|temperature 21.5 (max 30.2)|pi 3.14159 (about)
 """
 
+#: Ways to write each kind that the base patterns do not match, from which more rows are made: A is a name, B a domain's first part, C its last, d a digit (of a card that passes its check, of a part up to 255 where D).
+WAYS = {
+    "email": ["A (at) B.C", "A [at] B.C", "A(at)B.C", "A[at]B.C", "A @ B.C", "A @B.C", "A@ B.C", "A (at) B (dot) C", "A [at] B [dot] C", "A@B (dot) C", "A AT(B)C", "A (arobase) B.C", "A(arroba)B.C", "A {at} B.C", "A [at] B (dot) C"],
+    "phone": ["(0dd) ddddddd", "0ddd ddddddd", "0ddd-ddddddd", "(ddd) ddd-dddd", "ddd-ddd-dddd", "ddd.ddd.dddd", "0dd/dddddddd", "00dd dd dddd dddd", "0dddd dddddd", "0dd / ddd ddd dd", "0d dd dd dd dd", "ddd ddd ddd", "(0)dd dddddd", "1-ddd-ddd-dddd", "0ddd dddddddd", "dd dd dd dd dd"],
+    "card": ["dddd.dddd.dddd.dddd", "dddd/dddd/dddd/dddd", "dddd_dddd_dddd_dddd", "dddd dddd dddd dddd,", "dddd-dddd-dddd-dddd.", "(dddddddddddddddd)", "dddd  dddd  dddd  dddd", "dddd_dddddd_ddddd"],
+    "ip": ["D.D .D.D", "D . D . D . D", "D-D-D-D", "D[.]D[.]D[.]D", "D(.)D(.)D(.)D", "D,D,D,D", "D.D.D .D", "D. D. D. D", "D[.]D.D.D"],
+}
+MADE_ROWS, MADE_WEIGHT = 600, 2.0
+
 _AT = re.compile(r"@([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")
+#: What stands for an at sign and for a point in addresses that are not to be read by machines: a mark, a short word in brackets, or the word.
+_AT_LIKE, _DOT_LIKE = re.compile(r"@|[(\[{]\s*\w{1,8}\s*[)\]}]|\bat\b", re.I), re.compile(r"\w\.\w|[(\[{]\s*\w{1,8}\s*[)\]}].*[(\[{]\s*\w{1,8}\s*[)\]}]|\bdot\b", re.I)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: A digit run that fails from its start fails from its middle too, so matches may only begin where no digit is before.
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
@@ -87,13 +102,15 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def plausible(kind: int, text: str) -> bool:
-    """Whether an added span can be of its kind by its numbers: four parts up to 255, a passing check digit, a dialable length."""
+    """Whether an added span can be of its kind: a name's at and a point in some writing; four parts up to 255, a passing check digit, a dialable length."""
     digits = re.findall("[0-9]+", text)
     if kind == 1:
         return len(digits) == 4 and all(len(d) <= 3 and int(d) <= 255 for d in digits)
     if kind == 2:
         return 12 <= len("".join(digits)) <= 19 and luhn("".join(digits))
-    return kind == 0 or 7 <= len("".join(digits)) <= 15
+    if kind == 0:
+        return bool(_AT_LIKE.search(text) and _DOT_LIKE.search(text))
+    return 7 <= len("".join(digits)) <= 15
 
 
 # Word shapes -----------------------------------------------------------------------------------------
@@ -147,24 +164,41 @@ class ShapeField:
     def scores(self, features: np.ndarray) -> np.ndarray:
         return sum(self.w[features[:, k]] for k in range(features.shape[1]))
 
-    def decode_near(self, features: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """States of words within AROUND of a telling one, run by run; none elsewhere. A run is a chain, cut at CHAIN_WORDS."""
+    def _most(self) -> np.ndarray:
+        """For each kind, the most that a word's moves can gain by it over none, whatever its neighbours are and where a text begins or ends."""
+        m = self.moves.astype(np.float64)
+        into, out = m - m[:, :1], m - m[:1]  # into[p, s]: from p to s and not to none; out[s, q]: from s to q and not from none
+        return np.maximum(into.max(0), 0) + np.maximum(out.max(1), 0)
+
+    def decode_all(self, features: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The likeliest states of all words of each row, as decode() over whole rows gives them.
+
+        A word that loses by every kind, more than any moves can make up for, is none in the best sequence: with none in its place any other one would score more. Such words part a row into runs that do not depend on
+        each other, and only those are decoded, each with the none before and behind it.
+        """
         out = np.zeros(len(row), np.int8)
-        marked = np.flatnonzero(_TELLING[features[:, 0]]) if len(row) else np.zeros(0, np.int64)
-        if not len(marked):
+        if not len(row):
             return out
-        near = np.zeros(len(row) + 1, np.int32)
-        np.add.at(near, np.maximum(marked - AROUND, np.searchsorted(row, row[marked], "left")), 1)
-        np.add.at(near, np.minimum(marked + AROUND + 1, np.searchsorted(row, row[marked], "right")), -1)
-        at = np.flatnonzero(np.cumsum(near[:-1]))
-        begins = np.append(True, (np.diff(at) > 1) | (np.diff(row[at]) != 0))
-        chain = np.cumsum(begins)
-        place = np.arange(len(at)) - np.flatnonzero(begins)[chain - 1]
-        out[at] = self.decode(features[at], chain * (1 << 32) + place // CHAIN_WORDS)
+        gain = np.full(len(row), -np.inf)
+        most = self._most()
+        none = sum(self.w[features[:, k], 0].astype(np.float64) for k in range(features.shape[1]))
+        for s in range(1, self.STATES):
+            np.maximum(gain, sum(self.w[features[:, k], s].astype(np.float64) for k in range(features.shape[1])) - none + most[s], out=gain)
+        open_ = gain > -CERTAIN
+        near = open_.copy()
+        same = row[1:] == row[:-1]
+        near[1:] |= open_[:-1] & same
+        near[:-1] |= open_[1:] & same
+        at = np.flatnonzero(near)
+        if not len(at):
+            return out
+        # a run ends where words were skipped, a row ends, or two words stand side by side that are both none for certain
+        begins = np.append(True, (np.diff(at) > 1) | (row[at][1:] != row[at][:-1]) | (~open_[at][1:] & ~open_[at][:-1]))
+        out[at] = np.where(open_[at], self.decode(features[at], np.cumsum(begins), ~open_[at]), 0)
         return out
 
-    def decode(self, features: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """The likeliest state of every word (Viterbi, all rows of the batch side by side; ties: the lower state)."""
+    def decode(self, features: np.ndarray, row: np.ndarray, none: np.ndarray | None = None) -> np.ndarray:
+        """The likeliest state of every word (Viterbi, all rows of the batch side by side; ties: the lower state). Words marked in `none` are of no kind."""
         n = len(row)
         out = np.zeros(n, np.int8)
         if not n:
@@ -174,6 +208,8 @@ class ShapeField:
         order = np.argsort(-length, kind="stable")
         begin, length = begin[order], length[order]
         score = self.scores(features)
+        if none is not None:
+            score[none, 1:] = -1e9
         back = np.zeros((n, self.STATES), np.int8)
         best = score[begin].copy()
         for t in range(1, int(length[0])):
@@ -273,9 +309,35 @@ def written_rows(part: int | None = None, parts: int = 4) -> tuple[list[str], li
     return texts, spans
 
 
-def written_windows(part: int | None = None) -> tuple[list[list[list[int]]], list[list[int]]]:
-    """Features and labels of the written table's rows."""
-    texts, spans = written_rows(part)
+def made_rows(n: int = MADE_ROWS, seed: int = 5) -> tuple[list[str], list[list[tuple[int, int, int]]]]:
+    """Texts and marked spans made from WAYS: one span a row among words of no kind."""
+    rng = np.random.default_rng(seed)
+    pick = lambda x: x[int(rng.integers(len(x)))]
+    word = lambda: "".join(pick("abcdefghijklmnopqrstuvwxyz") for _ in range(int(rng.integers(2, 9))))
+    texts, spans = [], []
+    for i in range(n):
+        kind = KINDS[i % len(KINDS)]
+        name = pick([word, lambda: f"{word()}.{word()}", lambda: f"{word()}_{word()}", lambda: f"{word()}-{int(rng.integers(99))}"])()
+        filled = pick(WAYS[kind])
+        if kind == "email":
+            filled = re.sub("[ABC](?![T])", lambda m, name=name: {"A": name, "B": word(), "C": pick(["com", "org", "net", "de", "fr", "es"])}[m[0]], filled)
+        else:
+            while True:
+                value = re.sub("[dD]", lambda m: str(int(rng.integers(256 if m[0] == "D" else 10))), filled)
+                if kind != "card" or luhn(re.sub("[^0-9]", "", value)):
+                    break
+            filled = value
+        before = " ".join([*(word() for _ in range(int(rng.integers(0, 5)))), pick(["", "at", "call", "tel", "mail", "card", "from", "is"])]).strip()
+        after = " ".join(word() for _ in range(int(rng.integers(0, 5))))
+        start = len(before) + bool(before)
+        texts.append(f"{before} {filled} {after}".strip() if before else f"{filled} {after}".strip())
+        spans.append([(start, KINDS.index(kind), start + len(filled))])
+    return texts, spans
+
+
+def written_windows(part: int | None = None, made: int = MADE_ROWS) -> tuple[list[list[list[int]]], list[list[int]]]:
+    """Features and labels of the written table's rows, and of those made from WAYS."""
+    texts, spans = (x + y for x, y in zip(written_rows(part), made_rows(made), strict=True))
     data, offsets = as_bytes(pa.array(texts))
     features, labels = [], []
     for row, marked in enumerate(spans):
@@ -290,7 +352,7 @@ def labelled_windows(docs: DataFrame, seed: int = 13) -> DataFrame:
     """features, labels of word windows of the corpus, labelled by the base patterns: what the field must leave alone or agree with.
 
     Drawn from about SAMPLE_DOCS documents of at most SAMPLE_BYTES, by a threshold on a hash of the id: AROUND words on either side of each
-    telling word. At most SAMPLE_WINDOWS, by a hash of their place.
+    telling word, and of ANY_WORDS words of each document. Windows with an at sign outside the base spans are left out, as it may be one that people write otherwise. At most SAMPLE_WINDOWS, by a hash of their place.
     """
     n = docs.count()
     share = int((1 << 30) * min(1.0, SAMPLE_DOCS / max(n, 1)))
@@ -303,9 +365,10 @@ def labelled_windows(docs: DataFrame, seed: int = 13) -> DataFrame:
             for row in range(len(offsets) - 1):
                 words = Words(data, offsets, row, row + 1, marks=False)
                 shapes = shape_features(data, words)
-                marked = np.flatnonzero(_TELLING[shapes[:, 0]]) if len(shapes) else []
-                if not len(marked):
+                if not len(shapes):
                     continue
+                any_word = [int(hashlib.md5(f"{batch.column(0)[row]}:any:{j}".encode()).hexdigest()[:12], 16) % len(shapes) for j in range(ANY_WORDS)]
+                marked = np.union1d(np.flatnonzero(_TELLING[shapes[:, 0]]), any_word)
                 label, _ = _word_labels(data[offsets[row] : offsets[row + 1]].tobytes(), words, int(offsets[row]))
                 last = -1
                 for i in marked:
@@ -313,6 +376,8 @@ def labelled_windows(docs: DataFrame, seed: int = 13) -> DataFrame:
                         continue
                     lo, hi = max(0, i - AROUND), min(len(label), i + AROUND + 1)
                     last = hi - 1
+                    if ((shapes[lo:hi, 0] >> 3 & 1 == 1) & (label[lo:hi] == 0)).any():
+                        continue
                     draws.append(int.from_bytes(hashlib.md5(f"{batch.column(0)[row]}:{i}".encode()).digest()[:7], "big"))
                     features.append(shapes[lo:hi].tolist())
                     labels.append(label[lo:hi].tolist())
@@ -327,7 +392,8 @@ def train(docs: DataFrame, part: int | None = None) -> ShapeField:
     rows = labelled_windows(docs).toArrow()
     features, labels = written_windows(part)
     drawn = rows.column("features").to_pylist()
-    return fit_field(features + drawn, labels + rows.column("labels").to_pylist(), [WRITTEN_WEIGHT] * len(labels) + [1.0] * len(drawn))
+    weights = [WRITTEN_WEIGHT] * (len(labels) - MADE_ROWS) + [MADE_WEIGHT] * MADE_ROWS + [1.0] * len(drawn)
+    return fit_field(features + drawn, labels + rows.column("labels").to_pylist(), weights)
 
 
 def tag(field: ShapeField | None, column: pa.Array) -> Iterator[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
@@ -338,7 +404,7 @@ def tag(field: ShapeField | None, column: pa.Array) -> Iterator[tuple[list[tuple
     for lo, hi in row_slices(offsets, DECODE_BYTES):
         by_row: dict[int, list[tuple[int, int, int]]] = {}  # start byte, kind, end byte
         for words in Words.parts(data, offsets, lo, hi, marks=False, most=DECODE_BYTES) if field else ():
-            state = field.decode_near(shape_features(data, words), words.row)
+            state = field.decode_all(shape_features(data, words), words.row)
             hit = np.flatnonzero(state)
             runs = np.split(hit, np.flatnonzero((np.diff(hit) > 1) | (np.diff(words.row[hit]) != 0) | (np.diff(state[hit]) != 0)) + 1) if len(hit) else []
             for run in runs:

@@ -358,20 +358,7 @@ def test_added_spans_on_held_out_rows(spark):
             marked += len(want)
             found += sum(any(a < z and b > x and k == kind for a, k, b in every) for x, kind, z in want)
             wrong += sum(not any(a < z and b > x for x, _, z in want) for a, _, b in added)
-    assert found >= 0.35 * marked and wrong <= 4
-
-
-def test_decoding_near_telling_words():
-    rng = np.random.default_rng(4)
-    field = pii.ShapeField()
-    field.w, field.moves = rng.normal(size=field.w.shape).astype(np.float32), rng.normal(size=field.moves.shape).astype(np.float32)
-    data, offsets = as_bytes(pa.array(["plain words only", "a b c d e f g 12 h i j k l m n", "", "x 1"]))
-    words = Words(data, offsets, marks=False)
-    features = pii.shape_features(data, words)
-    state = field.decode_near(features, words.row)
-    assert not state[words.row == 0].any()
-    at = np.flatnonzero(words.row == 1)
-    assert (state[at[2:13]] == field.decode(features[at[2:13]], np.zeros(11, int))).all() and not state[at[:2]].any() and not state[at[13:]].any()
+    assert found >= 0.8 * marked and wrong <= 4
 
 
 def test_viterbi_equals_enumeration():

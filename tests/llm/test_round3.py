@@ -192,3 +192,63 @@ def test_links_of_any_threshold_equal_all_pairs(spark, least):
     got = {r["vec_id"]: r["n_links"] for r in embeddings.near_vectors(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").coalesce(1), least).collect()}
     want = linked.sum(1) - 1
     assert abs(sum(got.values()) - want.sum()) <= 0.01 * want.sum() and all(got[i] <= want[i] for i in got)
+
+
+@pytest.fixture(scope="module")
+def shape_field():
+    from loomline.llm import pii
+
+    return {part: pii.fit_field(*pii.written_windows(part)) for part in (None, -1, -2, -3, -4)}
+
+
+def test_all_words_are_decoded_as_in_whole_chains(shape_field):
+    """Words left out are those that no field gives a kind: by a trained field and by random ones."""
+    import pyarrow as pa
+
+    from loomline.llm import pii
+    from loomline.llm.textscan import Words, as_bytes
+
+    rng = np.random.default_rng(0)
+    words = ["plain", "a@b.c", "12", "(at)", "[x]", "+49", "Upper", "x_y", "4111", "é", "1.2.3.4", "www.a-b.c"]
+    texts = [" ".join(words[i] for i in rng.integers(0, len(words), int(rng.integers(0, 60)))) for _ in range(200)] + ["", "plain " * 6000 + "call 030 1234567"]
+    data, offsets = as_bytes(pa.array(texts))
+    found = Words(data, offsets, 0, len(texts), marks=False)
+    features = pii.shape_features(data, found)
+    fields = [shape_field[None]]
+    for scale in (0.3, 1.0, 4.0):
+        field = pii.ShapeField()
+        field.w = rng.normal(size=field.w.shape).astype(np.float32) * scale
+        field.w[:, 0] += scale
+        field.moves = rng.normal(size=field.moves.shape).astype(np.float32)
+        fields.append(field)
+    for field in fields:
+        assert (field.decode_all(features, found.row) == field.decode(features, found.row)).all()
+
+
+def test_written_forms_are_found_on_held_out_rows(shape_field):
+    import pyarrow as pa
+
+    from loomline.llm import pii
+
+    hit = total = 0
+    for part in range(4):
+        texts, spans = pii.written_rows(part)
+        for (_, every), want in zip(pii.tag(shape_field[-part - 1], pa.array(texts)), spans, strict=True):
+            total += len(want)
+            hit += sum(any(a < b and e > x and k == kind for a, k, e in every) for x, kind, b in want)
+    assert hit >= 0.8 * total
+    texts, spans = pii.made_rows(400, 99)
+    found = [any(a < b and e > x and k == kind for a, k, e in every) for (_, every), [(x, kind, b)] in zip(pii.tag(shape_field[None], pa.array(texts)), spans, strict=True)]
+    assert sum(found) >= 0.85 * len(found)
+
+
+def test_plain_texts_get_no_added_span(spark):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from loomline.llm import pii
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    field = pii.train(spark.read.parquet(path))
+    added = [s for base, every in pii.tag(field, pq.read_table(path).column("text").combine_chunks()) for s in set(every) - set(base)]
+    assert len(added) <= 4

@@ -18,7 +18,7 @@ from loomline.functions.text import tokenize
 #: Query terms up to this many rows are broadcast to the postings; more shuffle.
 BROADCAST_TERMS = 500_000
 #: Postings of a query that a search with pruning adds up first, and how that grows; how far below the floor the last terms stay; what a comparison of scores leaves to rounding; postings in all from which pruning is worth its rounds.
-HEAD, GROWTH, REACH, SLACK, MANY_POSTINGS = 1000, 2, 0.85, 2e-6, 100_000_000
+HEAD, GROWTH, REACH, SLACK, MANY_POSTINGS = 4000, 4, 0.85, 2e-6, 1_000_000_000
 #: Queries and documents of a block of the exact search, and documents of a part of a cell of the other.
 QUERY_BLOCK, DOC_BLOCK, CELL_BLOCK = 16_384, 131_072, 131_072
 #: Queries that may be broadcast, in rows and bytes; documents of a part that meets them; bytes of a block of vectors.

@@ -64,14 +64,16 @@ def with_vectors(rows: DataFrame, path: str, model: str = "hashing-64") -> DataF
 def update_index(chunks: DataFrame, path: str, make_encoder: Callable[[], Encoder] = hashing_encoder, model: str = "hashing-64", max_words: int = 500, buckets: int = 64) -> int:
     """Brings the vector index at `path` up to date with `chunks` (id, text, ...): encodes the texts it has no vector of, puts new and changed chunks over the old ones, and returns the version that readers see.
 
-    Vectors are kept under path/vectors by text, chunks under path/chunks in buckets by id; chunks of another model or size stay beside these.
+    Vectors are kept under path/vectors by text, chunks under path/chunks in buckets by id, each with a filter of its ids and texts that spares most new chunks the lookup; chunks of another model or size stay beside these.
     """
-    from loomline.operators.index import changed_chunks
+    from loomline.operators.index import CHUNK_KEYS, changed_chunks
 
-    held = read_vector_index(chunks.sparkSession, path, model, max_words)
-    fresh = stored(chunks if held is None else changed_chunks(chunks, held), "fresh")
+    spark = chunks.sparkSession
+    held = read_vector_index(spark, path, model, max_words)
+    known, parts = snapshots.read_filter(spark, f"{path}/chunks", model=model, max_words=max_words)
+    fresh = stored(chunks if held is None else changed_chunks(chunks, held, known, snapshots.bucket_of("id", parts) if parts else None), "fresh")
     encode_into(fresh, f"{path}/vectors", make_encoder, model)
-    return snapshots.upsert(with_vectors(fresh, f"{path}/vectors", model), f"{path}/chunks", "id", buckets, model=model, max_words=max_words)
+    return snapshots.upsert(with_vectors(fresh, f"{path}/vectors", model), f"{path}/chunks", "id", buckets, CHUNK_KEYS, model=model, max_words=max_words)
 
 
 def read_vector_index(spark, path: str, model: str, max_words: int, version: int | None = None) -> DataFrame | None:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomline.functions.scratch import bucketed, stored
 from loomline.functions.sizing import spread
 from loomline.functions.text import tokenize
+from loomline.operators.membership import absent
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -63,18 +64,21 @@ def keyword_index(docs: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]:
     return {"blocks": stored_blocks, "terms": terms, "corpus": corpus, "postings": postings_of(stored_blocks, key).select("term", key, "tf", "dl")}
 
 
-def new_chunks(chunks: DataFrame, index: DataFrame, model: str, cap: int, force: bool = False) -> DataFrame:
-    """Chunks whose id the index does not hold under the same configuration; all with force."""
+def new_chunks(chunks: DataFrame, index: DataFrame, model: str, cap: int, force: bool = False, known: DataFrame | None = None) -> DataFrame:
+    """Chunks whose id the index does not hold under the same configuration; all with force. known: a key_filter of those ids, which spares the join what it rules out."""
     if force:
         return chunks
-    held = index.filter((F.col("embedding_model") == model) & (F.col("max_words") == cap)).select("id").distinct()
-    return chunks.join(held, "id", "left_anti")
+    return absent(chunks, index.filter((F.col("embedding_model") == model) & (F.col("max_words") == cap)), ["id"], known)
 
 
-def changed_chunks(chunks: DataFrame, index: DataFrame) -> DataFrame:
-    """Chunks that are new or whose text differs from the indexed one."""
-    held = index.select("id", F.xxhash64("text").alias("_held")).distinct()
-    return chunks.withColumn("_held", F.xxhash64("text")).join(held, ["id", "_held"], "left_anti").drop("_held")
+#: What a chunk is known by in an index.
+CHUNK_KEYS = {"id": "id", "_held": "xxhash64(text)"}
+
+
+def changed_chunks(chunks: DataFrame, index: DataFrame, known: DataFrame | None = None, part: Column | None = None) -> DataFrame:
+    """Chunks that are new or whose text differs from the indexed one. known, part: a key_filter over CHUNK_KEYS and what its parts are."""
+    held = index.selectExpr(*[f"{e} AS {name}" for name, e in CHUNK_KEYS.items()])
+    return absent(chunks.withColumn("_held", F.expr(CHUNK_KEYS["_held"])), held, [*CHUNK_KEYS], known, part).drop("_held")
 
 
 def upsert_by_id(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.text import normalize_whitespace, parse_timestamp, title_episode, title_guest
+from loomline.operators.membership import absent
 
 #: Marks of transcript pages.
 SEGMENT_CLASS, NAME_CLASS, TIME_CLASS, TEXT_CLASS, TITLE_CLASS = "ts-segment", "ts-name", "ts-timestamp", "ts-text", "entry-title"
@@ -28,9 +29,9 @@ def page_info(pages: DataFrame, title: Column) -> DataFrame:
     return pages.withColumns({"title": clean, "episode": title_episode(clean), "guest": title_guest(clean)})
 
 
-def drop_known_episodes(pages: DataFrame, known: DataFrame, order: list[str]) -> DataFrame:
-    """Pages whose episode is not stored yet, one page per episode (the first by `order`); pages without a number all pass."""
-    fresh = pages.join(known.select("episode").distinct(), "episode", "left_anti")
+def drop_known_episodes(pages: DataFrame, known: DataFrame, order: list[str], known_filter: DataFrame | None = None) -> DataFrame:
+    """Pages whose episode is not stored yet, one page per episode (the first by `order`); pages without a number all pass. known_filter: a key_filter of the stored episodes."""
+    fresh = absent(pages, known, ["episode"], known_filter)
     first = F.row_number().over(Window.partitionBy("episode").orderBy(*order)) == 1
     numbered = fresh.filter("episode is not null").withColumn("_first", first).filter("_first").drop("_first")
     return numbered.unionByName(fresh.filter("episode is null"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.operators.membership import absent
+
 #: Names under which a response may list its pairs, and boundaries of a pair.
 LIST_KEYS = ("qa_pairs", "faqs", "pairs", "results")
 BOUNDARIES = ("ok", "merge", "long_split")
@@ -99,10 +101,9 @@ def qa_stats(valid: DataFrame) -> DataFrame:
     return counts.join(tokens, "episode", "left")
 
 
-def pending_batches(batches: DataFrame, status: DataFrame) -> DataFrame:
-    """Batches that no run has finished."""
-    done = status.filter("ok").select(*CHAPTER_KEYS, "batch").distinct()
-    return batches.join(done, [*CHAPTER_KEYS, "batch"], "left_anti")
+def pending_batches(batches: DataFrame, status: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Batches that no run has finished. known: a key_filter of the finished ones."""
+    return absent(batches, status.filter("ok"), [*CHAPTER_KEYS, "batch"], known)
 
 
 def keep_known_chapters(pairs: DataFrame, status: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomline.functions import text as X
-from loomline.operators import chunking, encoding, index, intake, qa
+from loomline.operators import chunking, encoding, index, intake, membership, qa
 from loomline.plans import views as V
 from loomline.plans.views import hashed_sql, CHUNKS, SEG, table, with_ctes
 from loomline.sources import documents, files
@@ -201,6 +201,17 @@ def new_chunks(spark, d):
     return index.new_chunks(chunks, _held(chunks), V.MODEL, V.CAP).select("id", "text")
 
 
+@query(with_ctes(*CHUNKS) + "SELECT id, text FROM chunks WHERE chapter_index % 2 = 0")
+def new_chunks_filtered(spark, d):
+    """As new_chunks, through a stored filter of the held ids."""
+    from loomline.functions.scratch import stored
+
+    chunks = stored(V.chunks(spark, d), "chunks")
+    held = _held(chunks)
+    known = stored(membership.key_filter(held.filter((F.col("embedding_model") == V.MODEL) & (F.col("max_words") == V.CAP)), ["id"]), "filter")
+    return index.new_chunks(chunks, held, V.MODEL, V.CAP, known=known).select("id", "text")
+
+
 @query(with_ctes(*CHUNKS) + "SELECT id, chapter, CASE WHEN chapter_index % 2 = 0 THEN 'new: ' || text ELSE text END AS text FROM chunks")
 def upsert_by_id(spark, d):
     chunks = V.chunks(spark, d).select("id", "chapter", "text", "chapter_index")
@@ -332,6 +343,16 @@ def pending_batches(spark, d):
     return qa.pending_batches(status.select("episode", "chapter_index", "batch").distinct(), status)
 
 
+@query(with_ctes(*_STATUS) + "SELECT episode, chapter_index, batch FROM batches b WHERE NOT EXISTS (SELECT 1 FROM status s WHERE s.episode = b.episode AND s.chapter_index = b.chapter_index AND s.batch = b.batch AND ok)")
+def pending_batches_filtered(spark, d):
+    """As pending_batches, through a stored filter of the finished ones."""
+    from loomline.functions.scratch import stored
+
+    status = stored(V.batch_status(spark, d), "status")
+    known = stored(membership.key_filter(status.filter("ok"), ["episode", "chapter_index", "batch"]), "filter")
+    return qa.pending_batches(status.select("episode", "chapter_index", "batch").distinct(), status, known)
+
+
 @query(with_ctes(*_STATUS) + """SELECT episode, chapter_index, array_to_string(list_sort(list(batch) FILTER (ok)), ',') AS done_batches, coalesce(array_to_string(list_sort(list(batch) FILTER (NOT ok)), ','), '') AS failed_batches, bool_and(ok) AS complete
 FROM (SELECT episode, chapter_index, batch, bool_or(ok) AS ok FROM status GROUP BY ALL) GROUP BY 1, 2""")
 def merge_batch_status(spark, d):

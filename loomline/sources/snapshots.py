@@ -48,14 +48,24 @@ def bucket_of(key: str, buckets: int):
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def upsert(new: DataFrame, path: str, key: str = "id", buckets: int = 64, **noted: object) -> int:
+def read_filter(spark: SparkSession, path: str, version: int | None = None, **noted: object) -> tuple[DataFrame | None, int]:
+    """The key filter of a version's folders with the given notes, whose parts are buckets, and the number of buckets; None where a folder has no filter."""
+    mine = [e for e in entries(spark, path, version) if all(e.get(k) == v for k, v in noted.items())]
+    if not mine or not all(e.get("filter") for e in mine):
+        return None, 0
+    return spark.read.parquet(*[f"{path}/{e['filter']}" for e in mine]), mine[0]["buckets"]
+
+
+def upsert(new: DataFrame, path: str, key: str = "id", buckets: int = 64, filter_keys: dict[str, str] | None = None, **noted: object) -> int:
     """Puts rows over those of the same key in the snapshot at `path` (under the given notes) and returns its new version.
 
     Only buckets that hold a key of `new` are read and written again, in one job and one new folder a bucket; the others keep their files. The manifest is swapped at the end: a failure before
     that leaves the old snapshot as it was. Applying the same rows twice gives the same rows. Of several new rows of one key the least by all columns stays. The number of buckets is fixed by the first call.
+    filter_keys: names and expressions of what rows are known by; each bucket then has a key filter over them beside its rows, written again with them.
     """
     from loomline.functions.scratch import stored
     from loomline.operators.index import upsert_by_id
+    from loomline.operators.membership import key_filter
 
     spark = new.sparkSession
     version = last_version(spark, path)
@@ -71,5 +81,11 @@ def upsert(new: DataFrame, path: str, key: str = "id", buckets: int = 64, **note
     run = f"data/{uuid.uuid4().hex}"
     rows.repartition(len(touched), "_bucket").write.partitionBy("_bucket").parquet(f"{path}/{run}")
     changed = {b: {**noted, "bucket": b, "buckets": buckets, "folder": f"{run}/_bucket={b}"} for b in touched}
+    if filter_keys:
+        made = spark.read.parquet(f"{path}/{run}").selectExpr("_bucket", *[f"{e} AS {name}" for name, e in filter_keys.items()])
+        key_filter(made, [*filter_keys], F.col("_bucket")).withColumn("_bucket", F.col("part")).repartition(len(touched), "_bucket").write.partitionBy("_bucket").parquet(f"{path}/{run}-filter")
+        keyed = {r["_bucket"] for r in spark.read.parquet(f"{path}/{run}-filter").select("_bucket").distinct().collect()}  # numbers of buckets
+        for b in keyed:
+            changed[b]["filter"] = f"{run}-filter/_bucket={b}"
     kept = [e for e in held if not (e.get("bucket") in changed and e in mine.values())]
     return commit(spark, path, kept + list(changed.values()), version)

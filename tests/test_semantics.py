@@ -509,3 +509,62 @@ def test_chapters_of_one_walk_equal_those_of_a_window(spark):
     window = intake.assign_chapters(intake.parse_segments(frame)).select(*columns)
     assert sorted(map(str, once.select(*columns).collect())) == sorted(map(str, window.collect())) and once.count() == 6
     assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+
+
+def test_membership_filter_gives_the_exact_anti_join(spark, monkeypatch):
+    from loomline.functions.scratch import stored
+    from loomline.operators import membership
+
+    held = spark.range(0, 60_000).select((F.col("id") * 7).alias("k"), F.lit("a").alias("s")).union(spark.createDataFrame([(None, "a"), (7, None)], "k long, s string"))
+    rows = spark.range(0, 20_000).select((F.col("id") * 5).alias("k"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("s"), F.lit(1).alias("extra")).union(spark.createDataFrame([(None, "a", 1), (7, None, 1), (35, "a", 1)], "k long, s string, extra int"))
+    keys, part = ["k", "s"], F.pmod(F.xxhash64("k"), F.lit(4))
+    want = sorted(rows.join(held, keys, "left_anti").select("k", "s", "extra").collect(), key=str)
+    for known, by in ((stored(membership.key_filter(held, keys), "f"), None), (stored(membership.key_filter(held, keys, part), "f"), part)):
+        assert known.count() >= 60_000 * membership.BITS_A_KEY / membership.BLOCK_BITS and known.filter("length(bits) != 4096").count() == 0
+        maybe = membership.possibly_known(rows, keys, known, "maybe", by)
+        assert maybe.columns == ["k", "s", "extra", "maybe"]
+        sure = rows.join(held, keys, "left_semi")
+        assert sure.join(maybe.filter("not maybe"), keys, "left_semi").count() == 0  # none that is held is ruled out
+        passed = maybe.filter("maybe").count()
+        assert sure.count() <= passed <= sure.count() + 0.02 * 20_000
+        assert "Exchange hashpartitioning" not in maybe._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+        for few in (1_000_000, 0):  # keys found are broadcast, or possible hits shuffled
+            monkeypatch.setattr(membership, "BROADCAST_KEYS", few)
+            assert sorted(membership.absent(rows, held, keys, known, by).select("k", "s", "extra").collect(), key=str) == want
+    monkeypatch.setattr(membership, "FILTER_BYTES", 4096)  # too large a filter is not used
+    assert not membership.fits(known) and sorted(membership.absent(rows, held, keys, known, by).select("k", "s", "extra").collect(), key=str) == want
+
+
+def test_membership_filter_on_odd_tables(spark):
+    from loomline.operators import membership
+
+    none = spark.createDataFrame([], "k long")
+    rows = spark.createDataFrame([(1,), (1,), (None,)], "k long")
+    assert membership.key_filter(none, ["k"]).count() == 0
+    assert membership.absent(rows, none, ["k"], membership.key_filter(none, ["k"])).count() == 3
+    assert membership.absent(none, rows, ["k"], membership.key_filter(rows, ["k"])).count() == 0
+    assert membership.absent(rows, rows, ["k"], membership.key_filter(rows, ["k"])).collect() == [(None,)]
+    ints = rows.selectExpr("int(k) AS k")
+    assert membership.absent(ints, rows, ["k"], membership.key_filter(rows, ["k"])).collect() == [(None,)]  # hashes of other types differ, so the filter is left aside
+    doubles = spark.createDataFrame([(0.0,)], "k double")
+    assert membership.absent(spark.createDataFrame([(-0.0,)], "k double"), doubles, ["k"], membership.key_filter(doubles, ["k"])).count() == 0
+
+
+def test_snapshots_keep_filters_of_touched_buckets(spark, tmp_path):
+    from loomline.operators import index, membership
+    from loomline.sources import snapshots
+
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(f"k{i}", f"text {i}") for i in range(200)], "id string, text string")
+    snapshots.upsert(rows, path, buckets=8, filter_keys=index.CHUNK_KEYS)
+    old = {e["bucket"]: e["filter"] for e in snapshots.entries(spark, path)}
+    more = spark.createDataFrame([("k5", "other text"), ("new", "text")], "id string, text string")
+    assert snapshots.upsert(more, path, filter_keys=index.CHUNK_KEYS) == 2
+    new = {e["bucket"]: e["filter"] for e in snapshots.entries(spark, path)}
+    assert {b for b, f in old.items() if new[b] != f} == {r["b"] for r in more.select(snapshots.bucket_of("id", 8).alias("b")).collect()}
+    known, parts = snapshots.read_filter(spark, path)
+    asked = rows.union(more).union(spark.createDataFrame([("k6", "changed"), ("k900", "text 9")], "id string, text string"))
+    got = index.changed_chunks(asked, snapshots.read_snapshot(spark, path), known, snapshots.bucket_of("id", parts))
+    assert sorted(tuple(r) for r in got.collect()) == [("k5", "text 5"), ("k6", "changed"), ("k900", "text 9")]
+    snapshots.upsert(more, path)  # a bucket written without a filter: none is read
+    assert snapshots.read_filter(spark, path) == (None, 0) and not membership.fits(None)

@@ -85,6 +85,11 @@ def _can_link(percent: int, n_a: Column, n_b: Column, apart: Column, u_a: Column
     return (need * (both - apart) >= 2 * percent * both) & (need * F.least(n_a - u_a, n_b - u_b) >= percent * both)
 
 
+def _room(percent: int, n: Column, u: Column) -> Column:
+    """What a set leaves for a link: two sets can be linked only if their rooms add up to 0 or more (_can_link with nothing known but sizes and own shingles)."""
+    return (100 - percent) * n - (100 + percent) * u
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, both (shingles in common), linked; exact, on full sets."""
     left = sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sh").alias("sh_a"))
@@ -95,6 +100,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "both", ((100 + percent) * F.col("both") >= percent * (F.col("n_a") + F.col("n_b"))).alias("linked"))
 
 
+def _met(members: DataFrame, percent: int) -> DataFrame:
+    """Members outside their pivot's class (columns o_*) beside all other members of their bucket, but for pairs that _room rules out.
+
+    Two members without room for a link are never linked, so they do not meet: sides are joined by bucket and whether there is room. A bucket of m
+    texts of one template, each with too much of its own, gives no pairs, not m squared.
+    """
+    room = _room(percent, F.col("n"), F.col("u"))
+    most = members.groupBy("bucket").agg(F.max(room).alias("most"))
+    live = members.join(most, "bucket").filter(room + F.col("most") >= 0).select(*members.columns, (room >= 0).alias("room"))
+    sides = F.when(F.col("room"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    out = live.filter(F.col("class") != F.col("class_p")).select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("rep", "n", "u", "class", "with_p", "buckets")], F.explode(sides).alias("room"))
+    return out.join(live, ["bucket", "room"])
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: classes of texts linked by a Jaccard similarity of percent% or more.
 
@@ -142,9 +161,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     mixed = known.join(known.filter(F.col("class") != F.col("class_p")).select("bucket").distinct(), "bucket", "left_semi")
     lists = mixed.groupBy("rep").agg(F.collect_set("bucket").alias("buckets"))
     mixed = written(mixed.join(lists, "rep"), "mixed")
-    out = mixed.filter(F.col("class") != F.col("class_p")).select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("rep", "n", "u", "class", "with_p", "buckets")])
     apart = F.col("u") + F.col("o_u") + F.coalesce(F.abs(F.col("with_p") - F.col("o_with_p")), F.lit(0))
-    rest = out.join(mixed, "bucket").filter(
+    rest = _met(mixed, percent).filter(
         (F.col("class") != F.col("o_class"))
         & _can_link(percent, F.col("n"), F.col("o_n"), apart, F.col("u"), F.col("o_u"))
         & (F.array_min(F.array_intersect("buckets", "o_buckets")) == F.col("bucket"))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loomline.llm import boilerplate, phrases, whitening
 from loomline.llm.boilerplate import blocks, main_text
@@ -252,3 +253,40 @@ def test_plain_texts_get_no_added_span(spark):
     field = pii.train(spark.read.parquet(path))
     added = [s for base, every in pii.tag(field, pq.read_table(path).column("text").combine_chunks()) for s in set(every) - set(base)]
     assert len(added) <= 4
+
+
+def test_boilerplate_texts_do_not_meet_in_pairs(spark):
+    """50,000 texts of one template with too much of their own in one bucket: only those with room for a link meet others."""
+    from loomline.llm import neardup
+
+    row = F.col("id")
+    members = spark.range(50_000).select(
+        F.lit(1).cast("long").alias("bucket"), row.alias("rep"), F.lit(110).cast("long").alias("n"), F.when(row == 7, 0).otherwise(18).cast("long").alias("u"),
+        row.alias("class"), F.lit(0).cast("long").alias("class_p"), F.lit(None).cast("long").alias("with_p"), F.array(F.lit(1).cast("long")).alias("buckets"),
+    )
+    assert neardup._met(members.filter("rep <> 7"), 80).count() == 0
+    with_one = neardup._met(members, 80)
+    room = lambda n, u: 20 * n - 180 * u
+    assert room(110, 0) + room(110, 18) >= 0 > 2 * room(110, 18) and with_one.count() == 50_000 + 49_998  # 7 with all, and all outside the pivot's class but 7 with 7
+
+
+def test_templates_with_own_words_are_told_apart(spark):
+    """Classes of template texts, some linked and some not, by comparison of all pairs."""
+    from loomline.llm import neardup
+
+    rng = np.random.default_rng(5)
+    base = [f"t{i}" for i in range(100)]
+    texts = [" ".join(base[:60] + [f"o{i}x{j}" for j in range(14)] + base[60:]) for i in range(120)]
+    texts += [" ".join(base[:60] + [f"p{i}"] + base[60:]) for i in range(6)] + [" ".join(base)] + [t + " z" for t in texts[:10]]
+    texts += [" ".join(rng.permutation(base)) for _ in range(5)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    for percent in (80, 85):
+        least = list(range(len(texts)))
+        for _ in range(4):
+            for a in range(len(texts)):
+                for b in range(a):
+                    both = len(sets[a] & sets[b])
+                    if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                        least[a] = least[b] = min(least[a], least[b])
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, percent).collect()} == dict(enumerate(least))

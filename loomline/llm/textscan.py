@@ -86,9 +86,10 @@ class Words:
         self.rows = hi - lo
 
     @classmethod
-    def parts(cls, data, offsets, lo, hi, prefixes=(), fold=True, alnum_only=False, marks=True, most=SLICE) -> Iterator[Words]:
-        """Rows lo to hi in parts of about `most` bytes that end at a space (or a row); `row` counts from lo in each."""
-        for a, b in _cuts(data, int(offsets[lo]), int(offsets[hi]), most):
+    def parts(cls, data, offsets, lo, hi, prefixes=(), fold=True, alnum_only=False, marks=True, most=SLICE, backwards=False) -> Iterator[Words]:
+        """Rows lo to hi in parts of about `most` bytes that end at a space (or a row), the last one first if `backwards`; `row` counts from lo in each."""
+        cuts = _cuts(data, int(offsets[lo]), int(offsets[hi]), most)
+        for a, b in reversed(list(cuts)) if backwards else cuts:
             part = cls.__new__(cls)
             part.row, part.start, part.end, part.mark, *part.prefix = _scan(data, offsets[lo : hi + 1], a, b, prefixes, fold, alnum_only, marks)
             part.rows = hi - lo

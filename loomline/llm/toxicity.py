@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomline.llm.common import crc_part, table, written
-from loomline.llm.textscan import Words, as_bytes, code_points, row_slices
+from loomline.llm.textscan import SLICE, Words, as_bytes, code_points, row_slices
 
 #: Bounds of the sample that the field is fitted on: rows of each label, bytes of a text (longer ones are scored, but not learned from), and how many
 #: times as many labelled ids are drawn, so that ids without such a text do not use up the sample.
@@ -26,6 +26,8 @@ LEAST_DF, LEAST_SHARE = 3, 0.01
 #: shrink them, and weight of a clean document, which the sample holds fewer of than the corpus.
 EPOCHS, PRIOR, START, SHRINK, CLEAN_WEIGHT = 6, 0.1, 0.5, 2.0, 1.5
 BLOCK = 32
+#: Bytes of a part of a long text.
+PART = SLICE
 
 
 def scan_chain(m: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,32 +64,56 @@ def scan_chain(m: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     return (ra / s).T.ravel()[:n], (rb / s).T.ravel()[:n]
 
 
-def marginals(theta: np.ndarray, first: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(state 1) of each token and, for each token that is not a row's first, P(previous, this) as (n, 4) in the order 00, 01, 10, 11.
+def odds_of(theta: np.ndarray) -> np.ndarray:
+    return np.exp(np.clip(theta, -30, 30))
+
+
+def backward(e: np.ndarray, first: np.ndarray, a: np.ndarray, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """beta of each token, scaled: beta[t-1] = A diag(e[t]) beta[t]; where t is a row's first token, beta[t-1] starts anew at (1, 1). after: beta of the last token, if its row goes on."""
+    one = np.ones(len(e))
+    last = np.append(first[1:], True)
+    nxt = np.append(e[1:], 1.0)
+    m = [np.where(last, one, a[0, 0]), np.where(last, one, a[0, 1] * nxt), np.where(last, one, a[1, 0]), np.where(last, one, a[1, 1] * nxt)]
+    if after is not None:
+        m[0][-1] = m[1][-1] = after[0]
+        m[2][-1] = m[3][-1] = after[1]
+    ba, bb = scan_chain(tuple(x[::-1] for x in m))
+    return ba[::-1], bb[::-1]
+
 
-    theta: log-odds weight of state 1; first: marks of rows' first tokens; moves: 2x2 log weights [from, to].
+def chain_marginals(theta: np.ndarray, first: np.ndarray, moves: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P(state 1) of each token; for each token that is not a row's first, P(previous, this) as (n, 4) in the order 00, 01, 10, 11; and the last token's forward vector.
+
+    theta: log-odds weight of state 1; first: marks of rows' first tokens; moves: 2x2 log weights [from, to]. Of a chain that is
+    cut, `before` is the forward vector of the token ahead of the first one (which is then not marked) and `after` the backward vector of the last one.
     """
     n = len(theta)
     if not n:
-        return np.zeros(0), np.zeros((0, 4))
-    e = np.exp(np.clip(theta, -30, 30))
+        return np.zeros(0), np.zeros((0, 4)), np.full(2, 0.5)
+    e = odds_of(theta)
     a = np.exp(moves)
-    one = np.ones(n)
-    fa, fb = scan_chain((np.where(first, 1.0, a[0, 0]), np.where(first, 1.0, a[1, 0]), e * np.where(first, 1.0, a[0, 1]), e * np.where(first, 1.0, a[1, 1])))
-    # backward: beta[t-1] = A diag(e[t]) beta[t]; where t is a row's first token, beta[t-1] starts anew at (1, 1)
-    last = np.append(first[1:], True)
-    nxt = np.append(e[1:], 1.0)
-    ba, bb = scan_chain(tuple(x[::-1] for x in (np.where(last, one, a[0, 0]), np.where(last, one, a[0, 1] * nxt), np.where(last, one, a[1, 0]), np.where(last, one, a[1, 1] * nxt))))
-    ba, bb = ba[::-1], bb[::-1]
+    m = [np.where(first, 1.0, a[0, 0]), np.where(first, 1.0, a[1, 0]), e * np.where(first, 1.0, a[0, 1]), e * np.where(first, 1.0, a[1, 1])]
+    if before is not None:
+        m[0][0] = m[1][0] = m[0][0] * before[0] + m[1][0] * before[1]
+        m[2][0] = m[3][0] = m[2][0] * before[0] + m[3][0] * before[1]
+    fa, fb = scan_chain(tuple(m))
+    ba, bb = backward(e, first, a, after)
     p0, p1 = fa * ba, fb * bb
     p = p1 / (p0 + p1)
     pair = np.zeros((n, 4))
     pa0, pb0 = np.roll(fa, 1), np.roll(fb, 1)
+    if before is not None:
+        pa0[0], pb0[0] = before
     for k, (prev, i, j) in enumerate(((pa0, 0, 0), (pa0, 0, 1), (pb0, 1, 0), (pb0, 1, 1))):
         pair[:, k] = prev * a[i, j] * (e * bb if j else ba)
     pair /= pair.sum(1, keepdims=True)
     pair[first] = 0
-    return p, pair
+    return p, pair, np.array([fa[-1], fb[-1]])
+
+
+def marginals(theta: np.ndarray, first: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first two of chain_marginals, of whole chains."""
+    return chain_marginals(theta, first, moves)[:2]
 
 
 class Field:
@@ -132,10 +158,26 @@ def scan(data, offsets, lo, hi) -> Words:
     return Words(data, offsets, lo, hi, prefixes=PREFIXES, alnum_only=True)
 
 
-def windows(data, offsets, lo, hi) -> Iterator[Words]:
-    """The words of rows lo to hi; a row of more than SLICE bytes comes in parts, each a chain of its own, so that memory does not grow with a row."""
-    for part in Words.parts(data, offsets, lo, hi, prefixes=PREFIXES, alnum_only=True):
-        yield part
+def windows(data, offsets, lo, hi, backwards: bool = False) -> Iterator[Words]:
+    """The words of rows lo to hi; a row of more than PART bytes comes in parts, so that memory does not grow with a row."""
+    return Words.parts(data, offsets, lo, hi, prefixes=PREFIXES, alnum_only=True, most=PART, backwards=backwards)
+
+
+def behind(field: Field, data, offsets, lo, hi) -> list[np.ndarray | None]:
+    """For each part of windows() the backward vector of its last token, from a walk over the parts from the end; None where no row goes on behind it. No walk where there is one part."""
+    if offsets[hi] - offsets[lo] <= PART:
+        return [None] if offsets[hi] > offsets[lo] else []
+    out, row, vector = [], -1, None
+    for words in windows(data, offsets, lo, hi, backwards=True):
+        if not len(words.row):
+            out.append(None)
+            continue
+        out.append(vector if words.row[-1] == row else None)
+        e, a = odds_of(field.theta(field.features(words))), np.exp(field.moves)
+        ba, bb = backward(e, first_marks(words), a, out[-1])
+        vector = a @ np.array([ba[0], e[0] * bb[0]])
+        row, vector = words.row[0], vector / vector.sum()
+    return out[::-1]
 
 
 def first_marks(words: Words) -> np.ndarray:
@@ -214,16 +256,26 @@ def fit(texts: pa.Array, toxic: np.ndarray, epochs: int = EPOCHS, rate: float =
 
 
 def tag(field: Field, column: pa.Array, cut: float = 0.5) -> tuple[list[float], list[list[dict]]]:
-    """Score and toxic spans (code points, end exclusive) of each text: the chance that any token is toxic, and the tokens that are so by `cut` or more."""
+    """Score and toxic spans (code points, end exclusive) of each text: the chance that any token is toxic, and the tokens that are so by `cut` or more.
+
+    A text in parts is one chain: forward and backward vectors are carried over its cuts, and spans that meet at one are one span.
+    """
     data, offsets = as_bytes(column)
     scores, spans = np.zeros(len(column)), [[] for _ in range(len(column))]
     at = (-1, 0, 0)  # row, byte and code point behind the last span
     for lo, hi in row_slices(offsets):
         clean = np.zeros(hi - lo)
-        for words in windows(data, offsets, lo, hi):
-            p, pair = marginals(field.theta(field.features(words)), first_marks(words), field.moves)
+        ahead, forward, hot = -1, None, False  # row, forward vector and mark of the token ahead of a part
+        for words, after in zip(windows(data, offsets, lo, hi), behind(field, data, offsets, lo, hi), strict=True):
+            if not len(words.row):
+                continue
+            first = first_marks(words)
+            goes_on = words.row[0] == ahead
+            first[0] = not goes_on
+            p, pair, forward = chain_marginals(field.theta(field.features(words)), first, field.moves, forward if goes_on else None, after)
             clean += log_clean(p, pair, words.row, hi - lo)
             hits = np.flatnonzero(p >= cut)
+            joins, ahead, hot = goes_on and hot and p[0] >= cut, words.row[-1], p[-1] >= cut
             runs = np.split(hits, np.flatnonzero((np.diff(hits) > 1) | (np.diff(words.row[hits]) != 0)) + 1) if len(hits) else []
             for run in runs:
                 row, begin, end = int(words.row[run[0]]) + lo, int(words.start[run[0]]), int(words.end[run[-1]])
@@ -231,7 +283,10 @@ def tag(field: Field, column: pa.Array, cut: float = 0.5) -> tuple[list[float],
                     at = (row, int(offsets[row]), 0)
                 start = at[2] + code_points(data, at[1], begin)
                 at = (row, end, start + code_points(data, begin, end))
-                spans[row].append({"start": start, "end": at[2], "p": float(p[run].max())})
+                if joins and run[0] == 0:
+                    spans[row][-1].update(end=at[2], p=max(spans[row][-1]["p"], float(p[run].max())))
+                else:
+                    spans[row].append({"start": start, "end": at[2], "p": float(p[run].max())})
         scores[lo:hi] = -np.expm1(clean)
     return scores.tolist(), spans
 
@@ -268,7 +323,7 @@ def score_texts(docs: DataFrame, field: Field | None, text_col: str = "text", na
     """docs with two more columns, the score and the toxic spans.
 
     Null and empty texts and those without words score 0; so does every text without a field (no labels of both kinds).
-    Texts longer than SLICE bytes are scored whole, in parts that are chains of their own. The score is a function of
+    Texts longer than PART bytes are scored whole, as one chain whose state is carried over the parts it is read in. The score is a function of
     the text alone: equal texts tie, repeated rows are scored each. An empty table gives an empty result. Extra columns pass
     through, but for those of the names given, which are replaced.
     """

@@ -140,9 +140,27 @@ def test_long_rows_are_scored_in_parts(monkeypatch):
     field = toxicity.fit(pa.array(texts), np.array([0] * 60 + [1] * 30))
     long = pa.array(["stay calm " * 300 + "zorgle " + "stay calm " * 300, "calm"])
     whole, spans = toxicity.tag(field, long)
-    monkeypatch.setattr(toxicity, "windows", lambda *a: (w for w in Words.parts(*a, prefixes=toxicity.PREFIXES, alnum_only=True, most=2500)))
+    monkeypatch.setattr(toxicity, "PART", 2500)
     parts, same = toxicity.tag(field, long)
-    assert len(list(toxicity.windows(*as_bytes(long), 0, 2))) == 3 and np.allclose(whole, parts, atol=0.02) and [(x["start"], x["end"]) for x in spans[0]] == [(x["start"], x["end"]) for x in same[0]] == [(3000, 3006)]
+    assert len(list(toxicity.windows(*as_bytes(long), 0, 2))) == 3 and np.allclose(whole, parts, atol=1e-9) and [(x["start"], x["end"]) for x in spans[0]] == [(x["start"], x["end"]) for x in same[0]] == [(3000, 3006)]
+
+
+def test_parts_of_a_text_are_one_chain(monkeypatch):
+    """Scores, spans and their chances do not depend on where a text is cut: within spans, in runs of spaces, between rows."""
+    texts = [f"you are a friend said {i} stay calm today" for i in range(60)] + [f"you are a zorgle blorx! said {i} today" for i in range(30)]
+    field = toxicity.fit(pa.array(texts), np.array([0] * 60 + [1] * 30))
+    field.moves[:] = [[0.0, -1.0], [-0.5, 1.5]]
+    rng = np.random.default_rng(2)
+    words = ["calm", "zorgle", "é", "blorx", "today", "you", "friend", " " * 90]
+    rows = [" ".join(words[i] for i in rng.choice(8, 60, p=[0.3, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1])) for _ in range(6)] + [None, "", "   ", "zorgle " * 40]
+    whole, spans = toxicity.tag(field, pa.array(rows))
+    assert sum(len(x) for x in spans) > 10
+    for part in (3, 40, 100, 333):
+        monkeypatch.setattr(toxicity, "PART", part)
+        scores, same = toxicity.tag(field, pa.array(rows))
+        assert np.allclose(scores, whole, rtol=0, atol=1e-9)
+        assert [[(s["start"], s["end"]) for s in x] for x in same] == [[(s["start"], s["end"]) for s in x] for x in spans]
+        assert np.allclose([s["p"] for x in same for s in x], [s["p"] for x in spans for s in x], atol=1e-9)
 
 
 # language --------------------------------------------------------------------------------------------

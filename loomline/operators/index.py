@@ -37,7 +37,7 @@ def postings_of(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def keyword_index(docs: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]:
-    """blocks (term, slice, block, postings, max_tf, min_dl, n, cf), terms (term, df, max_tf, min_dl, cf), corpus (n, avgdl), postings (term, key, tf, dl).
+    """blocks (term, slice, block, postings, max_tf, min_dl, n, cf), terms (term, df, max_tf, min_dl, cf), corpus (n, avgdl, blocks), postings (term, key, tf, dl).
 
     A document's terms are counted in its row; one exchange deals them by term and slice, and a block gathers the postings of a term in some BLOCK_DOCS
     documents that a hash of the key chooses, with what bounds their scores: the largest tf and the least length. Blocks are written once, bucketed
@@ -60,7 +60,7 @@ def keyword_index(docs: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]:
     packed = merged.groupBy("term", "slice", "block").agg(F.collect_list(F.struct("key", "tf", "dl")).alias("postings"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.count("*").alias("n"), F.sum("tf").alias("cf"))
     stored_blocks = bucketed(packed, "blocks", buckets, by, ["term", "block"])
     terms = stored(stored_blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"), F.sum("cf").alias("cf")), "terms")
-    corpus = terms.agg(F.lit(n).cast("long").alias("n"), (F.coalesce(F.sum("cf"), F.lit(0)) / F.lit(max(n, 1))).alias("avgdl"))
+    corpus = terms.agg(F.lit(n).cast("long").alias("n"), (F.coalesce(F.sum("cf"), F.lit(0)) / F.lit(max(n, 1))).alias("avgdl"), F.lit(blocks).alias("blocks"))
     return {"blocks": stored_blocks, "terms": terms, "corpus": corpus, "postings": postings_of(stored_blocks, key).select("term", key, "tf", "dl")}
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +18,10 @@ from loomline.functions.text import tokenize
 
 #: Query terms up to this many rows are broadcast to the postings; more shuffle.
 BROADCAST_TERMS = 500_000
-#: Postings of a query that a search with pruning adds up first, and how that grows; how far below the floor the last terms stay; what a comparison of scores leaves to rounding; postings in all from which pruning is worth its rounds.
-HEAD, GROWTH, REACH, SLACK, MANY_POSTINGS = 4000, 4, 0.85, 2e-6, 1_000_000_000
+#: Postings of a query that a search with pruning adds up first, and how that grows; how far below the floor the last terms stay; what a comparison of scores leaves to rounding.
+HEAD, GROWTH, REACH, SLACK = 4000, 4, 0.85, 2e-6
+#: Blocks and postings of a part of an index that meets a part of the queries in one group of a task, and query terms of such a part; scores that a task holds at once; entries of its matrix of frequent terms, and the share of the documents from which a term is one.
+PART_BLOCKS, PART_POSTINGS, PART_TERMS, SCORES, MATRIX, FREQUENT = 16, 4_000_000, 500_000, 2_000_000, 8_000_000, 1 / 16
 #: Queries and documents of a block of the exact search, and documents of a part of a cell of the other.
 QUERY_BLOCK, DOC_BLOCK, CELL_BLOCK = 16_384, 131_072, 131_072
 #: Queries that may be broadcast, in rows and bytes; documents of a part that meets them; bytes of a block of vectors.
@@ -120,17 +123,96 @@ def _looked_up(near: DataFrame, terms: DataFrame, blocks: DataFrame, k1: float,
     return met.select("query_id", "block", "doc_id", (F.col("weight") * _tf_part(F.col("tf"), F.col("dl"), k1, b)).alias("score"))
 
 
-def bm25_search(queries: DataFrame, index: dict[str, DataFrame], n: int = 10, k1: float = 1.5, b: float = 0.75, prune: bool | None = None) -> DataFrame:
+def _scored(held: pa.Table, asked: pa.Table, n: int, k1: float, b: float) -> pa.Table:
+    """query_id, doc_id, score of the n best documents of some blocks (term, postings) for each query of a table of terms (query_id, term, weight, avgdl).
+
+    Frequent terms, which make up most of what is added, are one product of matrices; the postings of the others are added one by one. Queries go through in slices of SCORES scores.
+    """
+    ids, flat = asked.column("query_id").combine_chunks(), held.column("postings").combine_chunks().flatten()
+    parts = [pa.table({"query_id": ids.slice(0, 0), "doc_id": flat.field("key").slice(0, 0), "score": pa.array([], pa.float64())})]
+    if not len(flat) or not len(ids):
+        return parts[0]
+    words, keys = held.column("term").combine_chunks().dictionary_encode(), flat.field("key").dictionary_encode(null_encoding="encode")
+    sizes = pc.list_value_length(held.column("postings").combine_chunks()).to_numpy(zero_copy_only=False)
+    of = np.repeat(words.indices.to_numpy(), sizes)
+    order = np.argsort(of, kind="stable")
+    of, at = of[order], keys.indices.to_numpy()[order]
+    tf, dl = flat.field("tf").to_numpy()[order].astype(np.float64), flat.field("dl").to_numpy()[order].astype(np.float64)
+    adds = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / asked.column("avgdl")[0].as_py()))
+    df = np.bincount(of, minlength=len(words.dictionary))
+    first = np.cumsum(df) - df
+    docs = len(keys.dictionary)
+    place = np.empty(docs, np.int64)
+    place[pc.array_sort_indices(keys.dictionary, null_placement="at_start").to_numpy()] = np.arange(docs)
+
+    term = pc.index_in(asked.column("term").combine_chunks(), words.dictionary)
+    here = pc.is_valid(term).to_numpy(zero_copy_only=False)
+    names = ids.dictionary_encode(null_encoding="encode")
+    query, term, weight = names.indices.to_numpy()[here], term.drop_null().to_numpy(), asked.column("weight").to_numpy()[here]
+    order = np.argsort(query, kind="stable")
+    query, term, weight = query[order], term[order], weight[order]
+
+    often = np.argsort(-df, kind="stable")[: max(1, MATRIX // docs)]
+    often = often[df[often] >= FREQUENT * docs]
+    column = np.full(len(df), -1)
+    column[often] = np.arange(len(often))
+    matrix, row = np.zeros((len(often), docs)), column[of]
+    matrix[row[row >= 0], at[row >= 0]] = adds[row >= 0]
+
+    step = max(1, SCORES // docs)
+    for lo in range(0, len(names.dictionary), step):
+        rows = slice(*np.searchsorted(query, [lo, lo + step]))
+        if rows.start == rows.stop:
+            continue
+        q, t, w = query[rows] - lo, term[rows], weight[rows]
+        much = column[t] >= 0
+        scores = np.zeros((q[-1] + 1, docs))
+        if much.any():
+            asks = np.zeros((q[-1] + 1, len(often)))
+            asks[q[much], column[t[much]]] = w[much]
+            scores = asks @ matrix
+        q, t, w = q[~much], t[~much], w[~much]
+        for some in np.array_split(np.arange(len(q)), -(-int(df[t].sum()) // SCORES) or 1):
+            k = df[t[some]]
+            post = np.repeat(first[t[some]] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            np.add.at(scores, (np.repeat(q[some], k), at[post]), np.repeat(w[some], k) * adds[post])
+        scores[scores <= 0] = -np.inf
+        q, best = _best(scores, place, n)
+        parts.append(pa.table({"query_id": names.dictionary.take(pa.array(q + lo)), "doc_id": keys.dictionary.take(pa.array(best)), "score": pa.array(scores[q, best], pa.float64())}))
+    return pa.concat_tables(parts)
+
+
+def _best_of_blocks(known: DataFrame, index: dict[str, DataFrame], n: int, k1: float, b: float) -> DataFrame:
+    """query_id, doc_id, score: each query's n best of each part of the index, over all postings of its terms.
+
+    The blocks that hold a term asked for are dealt into parts of PART_BLOCKS blocks and PART_POSTINGS postings at most (a block at least), the queries by a hash into parts of some PART_TERMS terms.
+    Each pair of parts is a group, scored in one task: what a task holds does not grow with the tables, and no row is made for a document that is not among its part's best.
+    """
+    terms = known.groupBy("term").agg(F.max("df").alias("df"), F.count("*").alias("asked"))
+    asked, words, postings = terms.agg(F.coalesce(F.sum("asked"), F.lit(0)), F.count("*"), F.coalesce(F.sum("df"), F.lit(0))).first()
+    blocks, cores = index["corpus"].first()["blocks"], known.sparkSession.sparkContext.defaultParallelism
+    over = max(1, -(-asked // PART_TERMS))
+    down = min(blocks, max(-(-blocks // PART_BLOCKS), -(-postings // PART_POSTINGS), -(-2 * cores // over)))
+    dealt = 3 * over * down  # so that few groups fall together by their hash
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+
+    held = index["blocks"].join(F.broadcast(terms.select("term")) if words <= BROADCAST_TERMS else terms.select("term"), "term", "left_semi")
+    left = held.select("term", "postings", (F.col("block") % down).alias("_d"), every(over).alias("_q")).repartition(dealt, "_d", "_q")
+    right = known.select("query_id", "term", "weight", "avgdl", F.pmod(F.xxhash64("query_id"), F.lit(over)).cast("int").alias("_q"), every(down).alias("_d")).repartition(dealt, "_d", "_q")
+    key = index["blocks"].schema["postings"].dataType.elementType["key"].dataType.simpleString()
+    schema = f"query_id {dict(known.dtypes)['query_id']}, doc_id {key}, score double"
+    return left.groupBy("_d", "_q").cogroup(right.groupBy("_d", "_q")).applyInArrow(lambda held, asked: _scored(held, asked, n, k1, b), schema)
+
+
+def bm25_search(queries: DataFrame, index: dict[str, DataFrame], n: int = 10, k1: float = 1.5, b: float = 0.75, prune: bool = False) -> DataFrame:
     """Okapi ranking of every query (query_id, text) in one job, exact.
 
-    Query terms count with multiplicity; idf = ln(1 + (N - df + 0.5) / (df + 0.5)); only scores over 0 rank. With `prune`, postings that cannot bring a document among the n best are not
-    scored (see _pruned); without it all postings of the terms are. Both give the same rows; by default the number of postings decides, as rounds take a few jobs each.
+    Query terms count with multiplicity; idf = ln(1 + (N - df + 0.5) / (df + 0.5)); only scores over 0 rank. All postings of the terms are scored, by parts of the index (see _best_of_blocks). With `prune`, postings that
+    cannot bring a document among the n best are not (see _pruned): for few queries of an index so large that reading their postings outweighs some rounds of jobs. Both give the same rows.
     """
     known = _asked_terms(queries, index, k1, b)
-    if prune is None:
-        prune = (known.agg(F.sum("df")).first()[0] or 0) >= MANY_POSTINGS
-    scored = _pruned(known, index, n, k1, b)[0] if prune else _added_up(known, index["blocks"], k1, b).select("query_id", "doc_id", "score")
-    return top(scored.filter("score > 0"), n)
+    scored = _pruned(known, index, n, k1, b)[0].filter("score > 0") if prune else _best_of_blocks(known, index, n, k1, b)
+    return top(scored, n)
 
 
 def bm25_work(queries: DataFrame, index: dict[str, DataFrame], n: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -141,15 +223,14 @@ def bm25_work(queries: DataFrame, index: dict[str, DataFrame], n: int = 10, k1:
     return known.groupBy("query_id").agg(F.sum("df").alias("postings")).join(added.groupBy("query_id").agg(F.sum("scored").alias("scored")), "query_id")
 
 
-def _best(scores: np.ndarray, names: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of each row's n best by rounded score, ties by name; entries of -inf are none."""
-    rounded = np.round(scores, 6)
-    if rounded.shape[1] > n:
-        worst = -np.partition(-rounded, n - 1, axis=1)[:, n - 1]
-        rounded = np.where(rounded >= worst[:, None], rounded, -np.inf)
-    q, at = np.nonzero(rounded > -np.inf)
-    place = np.argsort(np.argsort(names, kind="stable"), kind="stable")
-    order = np.lexsort((place[at], -rounded[q, at], q))
+def _best(scores: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each row's n best by rounded score, ties by the columns' place; entries of -inf are none."""
+    known = scores > -np.inf
+    if scores.shape[1] > n:
+        worst = -np.partition(-scores, n - 1, axis=1)[:, n - 1]
+        known &= scores >= worst[:, None] - SLACK  # all that can round to as much
+    q, at = np.nonzero(known)
+    order = np.lexsort((place[at], -np.round(scores[q, at], 6), q))
     q, at = q[order], at[order]
     rank = np.arange(len(q)) - np.searchsorted(q, q)
     return q[rank < n], at[rank < n]
@@ -160,10 +241,12 @@ def _met(docs: pa.Table, queries: pa.Table, n: int) -> pa.Table:
     parts = []
     if docs.num_rows and queries.num_rows:
         x, names = _unit(docs.column("vector").to_numpy()), docs.column("doc_id").to_numpy()
-        for lo in range(0, queries.num_rows, 256):
-            asked = queries.slice(lo, 256)
+        place = np.argsort(np.argsort(names, kind="stable"), kind="stable")
+        step = max(1, min(256, SCORES // len(x)))
+        for lo in range(0, queries.num_rows, step):
+            asked = queries.slice(lo, step)
             scores = _unit(asked.column("vector").to_numpy()) @ x.T
-            q, at = _best(scores, names, n)
+            q, at = _best(scores, place, n)
             parts.append(pa.table({"query_id": asked.column("query_id").take(pa.array(q)), "doc_id": docs.column("doc_id").take(pa.array(at)), "score": pa.array(scores[q, at], pa.float64())}))
     none = pa.table({"query_id": queries.column("query_id").slice(0, 0), "doc_id": docs.column("doc_id").slice(0, 0), "score": pa.array([], pa.float64())})
     return pa.concat_tables(parts) if parts else none
@@ -340,10 +423,11 @@ def ann_candidates(queries: DataFrame, docs: DataFrame, n: int = 10, budget: int
         if docs.num_rows and queries.num_rows:
             codes = np.frombuffer(b"".join(docs.column("code").to_pylist()), np.uint8).reshape(docs.num_rows, -1)
             cell, names = docs.column("cell")[0].as_py(), docs.column("doc_id").to_numpy()
+            place = np.argsort(np.argsort(names, kind="stable"), kind="stable")
             for lo in range(0, queries.num_rows, 64):
                 own = queries.slice(lo, 64)
                 scores = shared.value.scores(_unit(own.column("vector").to_numpy()), cell, codes)
-                q, at = _best(scores, names, budget)
+                q, at = _best(scores, place, budget)
                 parts.append(pa.table({"query_id": own.column("query_id").take(pa.array(q)), "doc_id": docs.column("doc_id").take(pa.array(at)), "score": pa.array(scores[q, at], pa.float64())}))
         none = pa.table({"query_id": queries.column("query_id").slice(0, 0), "doc_id": docs.column("doc_id").slice(0, 0), "score": pa.array([], pa.float64())})
         return pa.concat_tables(parts) if parts else none

@@ -1,6 +1,7 @@
 """Every query of the library against its SQL on the smallest tables."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,34 @@ def test_candidates_of_a_query_do_not_follow_the_rows(spark):
         near = {(r["query_id"], r["doc_id"]): r["score"] for r in search.ann_search(asked, docs, 5, budget=60).collect()}
         assert len(exact.keys() & near.keys()) >= 0.9 * len(exact) and all(abs(near[k] - exact[k]) < 1e-9 for k in exact.keys() & near.keys())
     assert search.ann_search(asked, docs.limit(0), 5).count() == 0
+
+
+@pytest.mark.parametrize("scores", [2_000_000, 50])
+def test_keyword_search_by_parts_equals_scoring_a_row_a_posting(spark, monkeypatch, scores):
+    monkeypatch.setattr(index, "BLOCK_DOCS", 16)
+    docs, asked = _collection(spark, 4)
+    asked = asked.union(spark.createDataFrame([(None, "w1 w250")], "query_id long, text string"))
+    made = index.keyword_index(docs)
+    for name, value in {"PART_BLOCKS": 3, "PART_TERMS": 40, "SCORES": scores, "MATRIX": 1000}.items():
+        monkeypatch.setattr(search, name, value)
+    found = search.bm25_search(asked, made, 5)
+    known = search._asked_terms(asked, made, 1.5, 0.75)
+    by_row = search.top(search._added_up(known, made["blocks"], 1.5, 0.75).filter("score > 0"), 5)
+    assert rows_of(*_rows(found)) == rows_of(*_rows(by_row.select(found.columns)))
+    assert "Generate inline" not in found._jdf.queryExecution().optimizedPlan().toString()  # no row a posting
+
+
+def test_exact_vector_search_holds_a_bounded_number_of_scores(spark, monkeypatch):
+    shapes, best = [], search._best
+
+    def seen(scores, place, n):
+        shapes.append(scores.size)
+        return best(scores, place, n)
+
+    monkeypatch.setattr(search, "_best", seen)
+    monkeypatch.setattr(search, "SCORES", 100)
+    x = np.random.default_rng(0).normal(size=(40, 4))
+    table = pa.table({"doc_id": pa.array(range(40)), "vector": pa.array(x.tolist())})
+    made = search._met(table, pa.table({"query_id": pa.array(range(9)), "vector": pa.array(x[:9].tolist())}), 3)
+    assert made.num_rows == 27 and max(shapes) <= 100
+    assert [r["doc_id"] for r in made.to_pylist()[::3]] == list(range(9))

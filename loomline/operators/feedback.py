@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from decimal import Decimal
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.functions.scratch import stored
+from loomline.functions.sizing import broadcast_if_small
 from loomline.functions.text import tokenize, word_count
 
 #: Labels of ratings, and the right-open bins of answer lengths.
 LABELS = {1: "helpful", -1: "not helpful"}
-#: Size of a quantile sketch: larger is nearer.
-SKETCH = 4096
+#: Size of a quantile sketch: larger is nearer. Units of time by quantiles that may be broadcast to the log.
+SKETCH, BROADCAST_BANDS = 4096, 100_000
 BINS = (0, 50, 100, 150, 200, 300, 500, 1000)
 
 
@@ -92,6 +96,32 @@ def latency_quantiles(sketches: DataFrame, unit: str = "day", quantiles: dict[st
     return merged.select(unit, "n", *[F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(name) for name, q in wanted.items()], "longest")
 
 
+def exact_quantiles(parsed: DataFrame, sketches: DataFrame, unit: str = "day", quantiles: dict[str, float] | None = None, k: int = SKETCH) -> DataFrame:
+    """As latency_quantiles(), exact for any number of rows: the sketches say between which values a quantile lies, and the log is read for those alone.
+
+    What lies below such a band is only counted and its values are grouped, so a unit's values are not sorted as a whole. Should a sketch be so far off that a rank lies outside its band, bands are widened.
+    """
+    wanted = quantiles or {"p50": 0.5, "p95": 0.95}
+    at = lambda c: F.to_date(F.date_trunc(unit, c)).alias(unit)
+    log = latency_series(parsed).select(at("ts"), F.col("retrieval_ms").cast("double").alias("v"))
+    merged = stored(sketches.groupBy(at("day")).agg(F.sum("n").alias("n"), F.max("longest").alias("longest"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch")), "merged")
+    share, units = 8 / k, merged.count()
+    while True:
+        edge = lambda q: F.kll_sketch_get_quantile_double("sketch", F.lit(float(min(max(q, 0), 1)))) if share < 1 else F.lit(None).cast("double")
+        rank = lambda q: F.greatest(F.ceil(F.col("n").cast("decimal(20,0)") * F.lit(Decimal(str(q)))).cast("long"), F.lit(1))
+        bands = merged.select(unit, F.inline(F.array(*[F.struct(F.lit(name).alias("name"), rank(q).alias("rank"), edge(q - share).alias("lo"), edge(q + share).alias("hi")) for name, q in wanted.items()])))
+        met = log.join(broadcast_if_small(bands, BROADCAST_BANDS), unit).filter("hi is null or v <= hi")
+        counts = met.groupBy(unit, "name", "rank", F.when(F.col("lo").isNull() | (F.col("v") >= F.col("lo")), F.col("v")).alias("v")).agg(F.count("*").alias("rows"))
+        so_far = F.sum("rows").over(Window.partitionBy(unit, "name").orderBy(F.col("v").asc_nulls_first()))
+        found = counts.withColumn("upto", so_far).filter("v is not null and upto >= rank and upto - rows < rank")
+        found = stored(found.select(unit, "name", "v"), "found")
+        if share >= 1 or found.count() == units * len(wanted):
+            break
+        share *= 8
+    values = found.groupBy(unit).agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in wanted])
+    return merged.join(values, unit).select(unit, "n", *wanted, "longest")
+
+
 def latency_by_day(parsed: DataFrame) -> DataFrame:
-    """day, n, p50, p95, longest; see latency_quantiles()."""
-    return latency_quantiles(latency_sketches(parsed))
+    """day, n, p50, p95, longest; exact, see exact_quantiles()."""
+    return exact_quantiles(parsed, stored(latency_sketches(parsed), "sketches"))

@@ -174,8 +174,8 @@ def latency_by_day(spark, d):
 
 @query(with_ctes("feedback") + "SELECT date_trunc('week', ts)::DATE AS week," + _LATENCY)
 def latency_by_week(spark, d):
-    """Sketches of days, stored and merged by week without the log."""
-    return B.latency_quantiles(stored(B.latency_sketches(_parsed(spark, d)), "sketches"), "week")
+    """Sketches of days, stored and merged by week; the log gives the values between which they place a quantile."""
+    return B.exact_quantiles(_parsed(spark, d), stored(B.latency_sketches(_parsed(spark, d)), "sketches"), "week")
 
 
 @query(with_ctes("feedback") + "SELECT feedback_id, rating, question, model, array_to_string([k || '-01-001', (k + 1) || '-02-002'], ',') AS doc_ids FROM feedback")

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.operators import index, search
+from loomline.operators import feedback, index, search
 from loomline.plans import registry
 
 from .conftest import SMALL, rows_of
@@ -135,3 +135,17 @@ def test_exact_vector_search_holds_a_bounded_number_of_scores(spark, monkeypatch
     made = search._met(table, pa.table({"query_id": pa.array(range(9)), "vector": pa.array(x[:9].tolist())}), 3)
     assert made.num_rows == 27 and max(shapes) <= 100
     assert [r["doc_id"] for r in made.to_pylist()[::3]] == list(range(9))
+
+
+def test_latency_quantiles_are_exact_beyond_a_sketch(spark):
+    rows = spark.range(30_000).selectExpr("timestamp_seconds(id * 10) AS ts", "cast(pmod(xxhash64(id), 100003) AS double) AS retrieval_ms")
+    rows = rows.union(spark.sql("SELECT timestamp_seconds(5 * id), 7D FROM range(2000)")).union(spark.sql("SELECT timestamp_seconds(0), CAST(null AS double)"))
+    for k in (8, 4096):  # at 8, bands are no narrower than all
+        for unit in ("day", "week"):
+            made = feedback.exact_quantiles(rows, feedback.latency_sketches(rows, k), unit, {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}, k)
+            by = {}
+            for r in rows.filter("retrieval_ms is not null").selectExpr(f"cast(date_trunc('{unit}', ts) as date) AS at", "retrieval_ms AS v").collect():
+                by.setdefault(r["at"], []).append(r["v"])
+            want = {at: (len(v), *[sorted(v)[max(1, -(-len(v) * q // 100)) - 1] for q in (0, 50, 95, 100)], max(v)) for at, v in by.items()}
+            assert {r[0]: tuple(r)[1:] for r in made.collect()} == want
+    assert max(len(v) for v in by.values()) > 4096

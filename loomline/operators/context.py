@@ -44,8 +44,8 @@ def questions_to_rewrite(questions: DataFrame, cache: DataFrame, model: str) ->
     return asked.join(cache.filter(F.col("rewrite_model") == model).select("q_hash").distinct(), "q_hash", "left_anti")
 
 
-def rewrite_lookup(questions: DataFrame, cache: DataFrame, model: str) -> DataFrame:
-    """questions with retrieve_query: the cached rewrite, else the question."""
-    known = cache.filter(F.col("rewrite_model") == model).groupBy("q_hash").agg(F.min("rewritten").alias("rewritten"))
-    asked = questions.withColumn("q_hash", F.sha1("question")).join(known, "q_hash", "left")
+def rewrite_lookup(questions: DataFrame, cache: DataFrame, model: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """questions with retrieve_query: the cached rewrite, else the question. within: columns of both tables, where a cache is kept for each of their values (each episode, say) and holds for that alone."""
+    known = cache.filter(F.col("rewrite_model") == model).groupBy("q_hash", *within).agg(F.min("rewritten").alias("rewritten"))
+    asked = questions.withColumn("q_hash", F.sha1("question")).join(known, ["q_hash", *within], "left")
     return asked.withColumn("retrieve_query", F.coalesce("rewritten", "question")).drop("rewritten", "q_hash")

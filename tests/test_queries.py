@@ -149,3 +149,13 @@ def test_latency_quantiles_are_exact_beyond_a_sketch(spark):
             want = {at: (len(v), *[sorted(v)[max(1, -(-len(v) * q // 100)) - 1] for q in (0, 50, 95, 100)], max(v)) for at, v in by.items()}
             assert {r[0]: tuple(r)[1:] for r in made.collect()} == want
     assert max(len(v) for v in by.values()) > 4096
+
+
+def test_rewritten_questions_match_the_sql_where_episodes_share_them(spark, duck, tmp_path):
+    turns = "SELECT 10 * e + c AS conv_id, 0L AS turn, 'user' AS role, concat('the question ', c) AS text FROM (SELECT explode(sequence(0L, 3L)) AS e), (SELECT explode(sequence(0L, 1L)) AS c)"
+    spark.sql(turns).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = registry.QUERIES["rewrite_lookup"](spark, str(tmp_path))
+    con = duck.cursor()
+    con.execute(f"CREATE TEMP VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(registry.ORACLE_SQL["rewrite_lookup"]).fetchall()
+    assert sorted(map(tuple, got.select("query_id", "retrieve_query").collect())) == sorted(want) and len(want) == 8

@@ -23,7 +23,7 @@ BLOCK_DOCS, SLICE_BLOCKS, BUCKETS = 1024, 64, 4096
 
 def term_counts(terms: Column) -> Column:
     """term and tf of each distinct term of an array, counted as runs of the sorted array: no shuffle and no row a term."""
-    whole = F.array_sort(terms)
+    whole = F.sort_array(terms)  # array_sort compares by an interpreted function
     starts = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
     runs = lambda s, at: F.transform(at, lambda i, j: F.struct(F.element_at(s, i).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(s) + 1) - i).alias("tf")))
     counted = lambda s: F.element_at(F.transform(F.array(starts(s)), lambda at: runs(s, at)), 1)
@@ -45,7 +45,7 @@ def keyword_index(docs: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]:
     Documents without a term still count in n and avgdl. `postings` unfolds the blocks.
     """
     docs = spread(docs)
-    n = docs.count()
+    n, keys, nulls = docs.agg(F.count("*"), F.count_distinct(key), F.count_if(F.col(key).isNull())).first()
     blocks = max(1, -(-n // BLOCK_DOCS))
     slices = max(1, blocks // SLICE_BLOCKS)
     buckets = min(BUCKETS, max(docs.sparkSession.sparkContext.defaultParallelism, blocks // 8))
@@ -57,6 +57,8 @@ def keyword_index(docs: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]:
     # inline_outer: for the inner form the optimizer filters on the whole expression, which would count every text several times
     rows = counted.select("key", "block", "dl", F.inline_outer("counts")).filter("term is not null").withColumn("slice", F.col("block") % slices).repartition(buckets, *by)
     merged = rows.groupBy("term", "slice", "block", "key").agg(F.sum("tf").alias("tf"), F.sum("dl").alias("dl"))
+    if n == keys + min(nulls, 1):  # a row a key: nothing to merge
+        merged = rows.select("term", "slice", "block", "key", F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"))
     packed = merged.groupBy("term", "slice", "block").agg(F.collect_list(F.struct("key", "tf", "dl")).alias("postings"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.count("*").alias("n"), F.sum("tf").alias("cf"))
     stored_blocks = bucketed(packed, "blocks", buckets, by, ["term", "block"])
     terms = stored(stored_blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"), F.sum("cf").alias("cf")), "terms")

@@ -159,3 +159,15 @@ def test_rewritten_questions_match_the_sql_where_episodes_share_them(spark, duck
     con.execute(f"CREATE TEMP VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     want = con.execute(registry.ORACLE_SQL["rewrite_lookup"]).fetchall()
     assert sorted(map(tuple, got.select("query_id", "retrieve_query").collect())) == sorted(want) and len(want) == 8
+
+
+def test_index_of_one_row_a_key_groups_its_postings_once(spark, monkeypatch):
+    seen, kept = [], index.bucketed
+    monkeypatch.setattr(index, "bucketed", lambda df, *a: seen.append(df) or kept(df, *a))
+    rows = [(1, "red fox red"), (2, "owl"), (None, "fox"), (3, None)]
+    made = [index.keyword_index(spark.createDataFrame(more, "doc_id long, text string")) for more in (rows, [*rows, (2, "owl sees"), (None, "fox")])]
+    groups = [df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") for df in seen]
+    assert groups == [1, 2] and seen[0].dtypes == seen[1].dtypes
+    got = [sorted((r["term"], r["doc_id"] or 0, r["tf"], r["dl"]) for r in m["postings"].collect()) for m in made]
+    assert got[0] == [("fox", 0, 1, 1), ("fox", 1, 1, 3), ("owl", 2, 1, 1), ("red", 1, 2, 3)]
+    assert got[1] == [("fox", 0, 2, 2), ("fox", 1, 1, 3), ("owl", 2, 2, 3), ("red", 1, 2, 3), ("sees", 2, 1, 2)]

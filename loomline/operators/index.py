@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ Encoder = Callable[[list[str]], np.ndarray]
 
 #: Documents of a block of postings, blocks of a slice of a term (so that no bucket holds all of a frequent one), and buckets at most.
 BLOCK_DOCS, SLICE_BLOCKS, BUCKETS = 1024, 64, 4096
+#: Distinct terms of queries that are sent to the documents, and their bytes; documents of which a task counts the terms at once.
+ASKED_TERMS, ASKED_BYTES, COUNT_DOCS = 500_000, 64 << 20, 512
 
 
 def term_counts(terms: Column) -> Column:
@@ -66,6 +70,50 @@ def keyword_index(docs: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]:
     return {"blocks": stored_blocks, "terms": terms, "corpus": corpus, "postings": postings_of(stored_blocks, key).select("term", key, "tf", "dl")}
 
 
+def _counts_of(names: pa.Array, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """doc_id, dl, codes, tfs of documents (doc_id, terms): how often each holds which of the names."""
+    terms = batch.column("terms")
+    sizes = pc.list_value_length(terms).to_numpy(zero_copy_only=False)
+    codes = pc.index_in(terms.flatten(), names.cast(terms.type.value_type)).fill_null(-1).to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(len(sizes)), sizes)[codes >= 0]
+    pairs, tf = np.unique(doc * len(names) + codes[codes >= 0], return_counts=True)
+    doc, code = np.divmod(pairs, max(len(names), 1))
+    ends = pa.array(np.searchsorted(doc, np.arange(len(sizes) + 1)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (code, tf)]
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes.astype(np.int64)), *lists], ["doc_id", "dl", "codes", "tfs"])
+
+
+def asked_index(docs: DataFrame, queries: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]:
+    """For a search of all `docs` by these `queries` alone: rows (key, dl, codes, tfs), terms (term, code, df), corpus (n, avgdl).
+
+    A document stays a row, with its length over all terms and its counts of the terms that some query asks for; no posting is moved or sorted, so a task holds one batch. The distinct terms of
+    the queries, ASKED_TERMS and ASKED_BYTES at most, are sent to the documents. Where there are more, or where rows share a key, this is the keyword_index.
+    """
+    words = stored(queries.select(F.explode(F.array_distinct(tokenize(F.coalesce("text", F.lit(""))))).alias("term")).distinct(), "words")
+    count, size = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    if count > ASKED_TERMS or size > ASKED_BYTES:
+        return keyword_index(docs, key)
+    spark = docs.sparkSession
+    names = words.orderBy("term").toArrow().column("term").combine_chunks()
+    shared = spark.sparkContext.broadcast(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, COUNT_DOCS):
+                yield _counts_of(shared.value, batch.slice(lo, COUNT_DOCS))
+
+    texts = spread(docs.select(F.col(key).alias("doc_id"), "text")).select("doc_id", tokenize(F.coalesce("text", F.lit(""))).alias("terms"))
+    rows = stored(texts.mapInArrow(run, f"doc_id {dict(docs.dtypes)[key]}, dl long, codes array<int>, tfs array<int>"), "rows")
+    n, keys, nulls, total = rows.agg(F.count("*"), F.count_distinct("doc_id"), F.count_if(F.col("doc_id").isNull()), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    if n != keys + min(nulls, 1):
+        return keyword_index(docs, key)
+    coded = spark.createDataFrame(pa.table({"term": names, "code": pa.array(np.arange(len(names), dtype=np.int32))}), "term string, code int")
+    df = rows.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("df"))
+    terms = stored(coded.join(F.broadcast(df), "code"), "terms")  # ASKED_TERMS at most
+    corpus = spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(total / max(n, 1)).alias("avgdl"))
+    return {"rows": rows, "terms": terms, "corpus": corpus}
+
+
 def new_chunks(chunks: DataFrame, index: DataFrame, model: str, cap: int, force: bool = False, known: DataFrame | None = None) -> DataFrame:
     """Chunks whose id the index does not hold under the same configuration; all with force. known: a key_filter of those ids, which spares the join what it rules out."""
     if force:

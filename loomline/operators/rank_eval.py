@@ -29,9 +29,8 @@ def map_ground_truth(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 def query_hits(ranked: DataFrame, gold: DataFrame, methods: list[str]) -> DataFrame:
     """method, query_id, first_hit (rank or null), found, n_gold for every query with gold under every method."""
     wanted = gold.groupBy("query_id").agg(F.count("*").alias("n_gold"))
-    names = ranked.sparkSession.createDataFrame([(m,) for m in methods], "method string")
     hits = ranked.join(gold, ["query_id", "doc_id"]).groupBy("method", "query_id").agg(F.min("rank").alias("first_hit"), F.count("*").alias("found"))
-    every = wanted.crossJoin(F.broadcast(names))  # a few names
+    every = wanted.withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
     return every.join(hits, ["method", "query_id"], "left").select("method", "query_id", "first_hit", F.coalesce("found", F.lit(0)).alias("found"), "n_gold")
 
 

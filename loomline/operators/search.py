@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 
 from loomline.functions.scratch import stored
 from loomline.functions.sizing import broadcast_if_small as small
-from loomline.functions.sizing import is_small
+from loomline.functions.sizing import is_small, spread
 from loomline.functions.text import tokenize
 
 #: Query terms up to this many rows are broadcast to the postings; more shuffle.
 BROADCAST_TERMS = 500_000
 #: Postings of a query that a search with pruning adds up first, and how that grows; how far below the floor the last terms stay; what a comparison of scores leaves to rounding.
 HEAD, GROWTH, REACH, SLACK = 4000, 4, 0.85, 2e-6
-#: Blocks and postings of a part of an index that meets a part of the queries in one group of a task, and query terms of such a part; scores that a task holds at once; entries of its matrix of frequent terms, and the share of the documents from which a term is one.
-PART_BLOCKS, PART_POSTINGS, PART_TERMS, SCORES, MATRIX, FREQUENT = 16, 4_000_000, 500_000, 2_000_000, 8_000_000, 1 / 16
+#: Blocks and postings of a part of an index that meets a part of the queries in one group of a task, documents of a part of an index of rows, and query terms of a part of the queries; scores that a task holds at once.
+PART_BLOCKS, PART_POSTINGS, PART_DOCS, PART_TERMS, SCORES = 16, 4_000_000, 16_384, 500_000, 2_000_000
+#: Entries of a task's matrix of frequent terms, and the share of the pairs of a query and a document that hold a term from which it is one: a product of matrices pays for all pairs. Of so many documents the first one gives the scores that the others have to reach.
+MATRIX, FREQUENT, LEAD = 8_000_000, 1 / 100, 8
 #: Queries and documents of a block of the exact search, and documents of a part of a cell of the other.
 QUERY_BLOCK, DOC_BLOCK, CELL_BLOCK = 16_384, 131_072, 131_072
 #: Queries that may be broadcast, in rows and bytes; documents of a part that meets them; bytes of a block of vectors.
@@ -37,11 +39,14 @@ def top(scored: DataFrame, n: int, method: str | None = None, digits: int = 6) -
 
 
 def _asked_terms(queries: DataFrame, index: dict[str, DataFrame], k1: float, b: float) -> DataFrame:
-    """query_id, term, weight (qtf * idf), df, avgdl, most (the largest score that a posting of the term can add), stored."""
+    """query_id, term, weight (qtf * idf), df, avgdl and, of an index of blocks, most (the largest score that a posting of the term can add), of one of rows code; stored."""
     asked = queries.select("query_id", F.explode_outer(tokenize(F.coalesce("text", F.lit("")))).alias("term")).filter("term is not null").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     known = asked.join(index["terms"], "term").crossJoin(F.broadcast(index["corpus"].select("n", "avgdl")))  # one row
     weight = F.col("qtf") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = known.withColumn("weight", weight).withColumn("most", F.col("weight") * _tf_part(F.col("max_tf"), F.col("min_dl"), k1, b))
+    known = known.withColumn("weight", weight)
+    if "rows" in index:
+        return stored(known.select("query_id", "term", "weight", "df", "avgdl", "code"), "asked")
+    known = known.withColumn("most", F.col("weight") * _tf_part(F.col("max_tf"), F.col("min_dl"), k1, b))
     return stored(known.select("query_id", "term", "weight", "df", "avgdl", "most"), "asked")
 
 
@@ -124,36 +129,52 @@ def _looked_up(near: DataFrame, terms: DataFrame, blocks: DataFrame, k1: float,
 
 
 def _scored(held: pa.Table, asked: pa.Table, n: int, k1: float, b: float) -> pa.Table:
-    """query_id, doc_id, score of the n best documents of some blocks (term, postings) for each query of a table of terms (query_id, term, weight, avgdl).
+    """query_id, doc_id, score of the n best documents of some blocks (term, postings) for each query of a table of terms (query_id, term, weight, avgdl)."""
+    flat = held.column("postings").combine_chunks().flatten()
+    words, keys = held.column("term").combine_chunks().dictionary_encode(), flat.field("key").dictionary_encode(null_encoding="encode")
+    sizes = pc.list_value_length(held.column("postings").combine_chunks()).to_numpy(zero_copy_only=False)
+    term = pc.index_in(asked.column("term").combine_chunks(), words.dictionary)
+    asks = asked.select(["query_id", "weight", "avgdl"]).append_column("code", term).filter(pc.is_valid(term))
+    postings = np.repeat(words.indices.to_numpy(), sizes), keys.indices.to_numpy(), flat.field("tf").to_numpy(), flat.field("dl").to_numpy()
+    return _best_of_postings(*postings, keys.dictionary, asks, n, k1, b)
+
+
+def _scored_rows(held: pa.Table, asked: pa.Table, n: int, k1: float, b: float) -> pa.Table:
+    """As _scored(), of rows (doc_id, dl, codes, tfs) and a table of terms by code (query_id, code, weight, avgdl)."""
+    codes, tfs = held.column("codes").combine_chunks(), held.column("tfs").combine_chunks()
+    sizes = pc.list_value_length(codes).to_numpy(zero_copy_only=False)
+    at = np.repeat(np.arange(len(sizes)), sizes)
+    postings = codes.flatten().to_numpy(), at, tfs.flatten().to_numpy(), held.column("dl").to_numpy()[at]
+    return _best_of_postings(*postings, held.column("doc_id").combine_chunks(), asked, n, k1, b)
+
+
+def _best_of_postings(of: np.ndarray, at: np.ndarray, tf: np.ndarray, dl: np.ndarray, keys: pa.Array, asked: pa.Table, n: int, k1: float, b: float) -> pa.Table:
+    """query_id, doc_id, score of the n best documents (keys) for each query of a table of terms (query_id, code, weight, avgdl); of, at, tf, dl: term, place of the document, count and length of each posting.
 
-    Frequent terms, which make up most of what is added, are one product of matrices; the postings of the others are added one by one. Queries go through in slices of SCORES scores.
+    Terms that many queries share and many documents hold are one product of matrices; the postings of the others are added up query by query. Queries go through in slices of SCORES scores.
     """
-    ids, flat = asked.column("query_id").combine_chunks(), held.column("postings").combine_chunks().flatten()
-    parts = [pa.table({"query_id": ids.slice(0, 0), "doc_id": flat.field("key").slice(0, 0), "score": pa.array([], pa.float64())})]
-    if not len(flat) or not len(ids):
+    ids = asked.column("query_id").combine_chunks()
+    parts = [pa.table({"query_id": ids.slice(0, 0), "doc_id": keys.slice(0, 0), "score": pa.array([], pa.float64())})]
+    if not len(of) or not len(ids):
         return parts[0]
-    words, keys = held.column("term").combine_chunks().dictionary_encode(), flat.field("key").dictionary_encode(null_encoding="encode")
-    sizes = pc.list_value_length(held.column("postings").combine_chunks()).to_numpy(zero_copy_only=False)
-    of = np.repeat(words.indices.to_numpy(), sizes)
     order = np.argsort(of, kind="stable")
-    of, at = of[order], keys.indices.to_numpy()[order]
-    tf, dl = flat.field("tf").to_numpy()[order].astype(np.float64), flat.field("dl").to_numpy()[order].astype(np.float64)
+    of, at, tf, dl = of[order], at[order], tf[order].astype(np.float64), dl[order].astype(np.float64)
     adds = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / asked.column("avgdl")[0].as_py()))
-    df = np.bincount(of, minlength=len(words.dictionary))
-    first = np.cumsum(df) - df
-    docs = len(keys.dictionary)
-    place = np.empty(docs, np.int64)
-    place[pc.array_sort_indices(keys.dictionary, null_placement="at_start").to_numpy()] = np.arange(docs)
-
-    term = pc.index_in(asked.column("term").combine_chunks(), words.dictionary)
-    here = pc.is_valid(term).to_numpy(zero_copy_only=False)
     names = ids.dictionary_encode(null_encoding="encode")
-    query, term, weight = names.indices.to_numpy()[here], term.drop_null().to_numpy(), asked.column("weight").to_numpy()[here]
+    query, term, weight = names.indices.to_numpy(), asked.column("code").to_numpy(), asked.column("weight").to_numpy()
+    df = np.bincount(of, minlength=max(of[-1], term.max()) + 1)
+    first = np.cumsum(df) - df
+    here = df[term] > 0
+    query, term, weight = query[here], term[here], weight[here]
     order = np.argsort(query, kind="stable")
     query, term, weight = query[order], term[order], weight[order]
+    docs = len(keys)
+    place = np.empty(docs, np.int64)
+    place[pc.array_sort_indices(keys, null_placement="at_start").to_numpy()] = np.arange(docs)
 
-    often = np.argsort(-df, kind="stable")[: max(1, MATRIX // docs)]
-    often = often[df[often] >= FREQUENT * docs]
+    pairs = df * np.bincount(term, minlength=len(df)).astype(np.float64)
+    often = np.argsort(-pairs, kind="stable")[: max(1, MATRIX // docs)]
+    often = often[pairs[often] >= FREQUENT * docs * len(names.dictionary)]
     column = np.full(len(df), -1)
     column[often] = np.arange(len(often))
     matrix, row = np.zeros((len(often), docs)), column[of]
@@ -166,19 +187,18 @@ def _scored(held: pa.Table, asked: pa.Table, n: int, k1: float, b: float) -> pa.
             continue
         q, t, w = query[rows] - lo, term[rows], weight[rows]
         much = column[t] >= 0
-        scores = np.zeros((q[-1] + 1, docs))
-        if much.any():
-            asks = np.zeros((q[-1] + 1, len(often)))
-            asks[q[much], column[t[much]]] = w[much]
-            scores = asks @ matrix
+        asks = np.zeros((q[-1] + 1, len(often)))
+        asks[q[much], column[t[much]]] = w[much]
+        scores = asks @ matrix
         q, t, w = q[~much], t[~much], w[~much]
-        for some in np.array_split(np.arange(len(q)), -(-int(df[t].sum()) // SCORES) or 1):
-            k = df[t[some]]
-            post = np.repeat(first[t[some]] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-            np.add.at(scores, (np.repeat(q[some], k), at[post]), np.repeat(w[some], k) * adds[post])
-        scores[scores <= 0] = -np.inf
-        q, best = _best(scores, place, n)
-        parts.append(pa.table({"query_id": names.dictionary.take(pa.array(q + lo)), "doc_id": keys.dictionary.take(pa.array(best)), "score": pa.array(scores[q, best], pa.float64())}))
+        ends = np.searchsorted(q, np.arange(len(scores) + 1))
+        for i in np.flatnonzero(np.diff(ends)):
+            own = slice(ends[i], ends[i + 1])
+            spans = [slice(x, x + k) for x, k in zip(first[t[own]], df[t[own]], strict=True)]
+            adding = np.concatenate([adds[x] for x in spans]) * np.repeat(w[own], df[t[own]])
+            scores[i] += np.bincount(np.concatenate([at[x] for x in spans]), adding, docs)
+        q, best = _best(scores, place, n, 0.0)
+        parts.append(pa.table({"query_id": names.dictionary.take(pa.array(q + lo)), "doc_id": keys.take(pa.array(best)), "score": pa.array(scores[q, best], pa.float64())}))
     return pa.concat_tables(parts)
 
 
@@ -204,13 +224,59 @@ def _best_of_blocks(known: DataFrame, index: dict[str, DataFrame], n: int, k1: f
     return left.groupBy("_d", "_q").cogroup(right.groupBy("_d", "_q")).applyInArrow(lambda held, asked: _scored(held, asked, n, k1, b), schema)
 
 
+def _best_of_rows(known: DataFrame, index: dict[str, DataFrame], n: int, k1: float, b: float) -> DataFrame:
+    """query_id, doc_id, score: each query's n best of each part of an index of rows, over all terms.
+
+    Queries of up to PART_TERMS terms are broadcast and the rows do not move; a task scores PART_DOCS of them at a time. More queries are dealt by a hash into parts of some PART_TERMS terms, the rows into parts of some
+    PART_DOCS, and each pair of parts is a group, scored in one task.
+    """
+    rows, spark = index["rows"], known.sparkSession
+    kind_q, kind_d = dict(known.dtypes)["query_id"], dict(rows.dtypes)["doc_id"]
+    schema, asking = f"query_id {kind_q}, doc_id {kind_d}, score double", known.select("query_id", "code", "weight", "avgdl")
+    asked, size = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("query_id").cast("string"))), F.lit(0))).first()
+    if asked <= PART_TERMS and size <= QUERY_BYTES:
+        sink = pa.BufferOutputStream()
+        few = asking.toArrow()
+        with pa.ipc.new_stream(sink, few.schema) as writer:
+            writer.write_table(few)
+        shared = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())  # PART_TERMS rows and QUERY_BYTES of ids at most
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            queries = pa.ipc.open_stream(shared.value).read_all()
+            held, docs, postings = [], 0, 0
+            for batch in batches:
+                for lo in range(0, batch.num_rows, PART_DOCS // 16):
+                    held.append(batch.slice(lo, PART_DOCS // 16))
+                    docs, postings = docs + held[-1].num_rows, postings + len(held[-1].column("codes").flatten())
+                    if docs >= PART_DOCS or postings >= PART_POSTINGS:
+                        yield from _scored_rows(pa.Table.from_batches(held), queries, n, k1, b).to_batches()
+                        held, docs, postings = [], 0, 0
+            if held:
+                yield from _scored_rows(pa.Table.from_batches(held), queries, n, k1, b).to_batches()
+
+        return spread(rows).mapInArrow(run, schema)
+
+    docs, postings = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("codes")), F.lit(0))).first()
+    over = max(1, -(-asked // PART_TERMS))
+    down = max(1, -(-docs // PART_DOCS), -(-postings // PART_POSTINGS), min(-(-2 * spark.sparkContext.defaultParallelism // over), -(-docs // 1024)))
+    dealt = 3 * over * down  # so that few groups fall together by their hash
+    block = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = rows.withColumns({"_d": block("doc_id", down), "_q": every(over)}).repartition(dealt, "_d", "_q")
+    right = asking.withColumn("_q", block("query_id", over)).withColumn("_d", every(down)).repartition(dealt, "_d", "_q")
+    return left.groupBy("_d", "_q").cogroup(right.groupBy("_d", "_q")).applyInArrow(lambda held, asked: _scored_rows(held, asked, n, k1, b), schema)
+
+
 def bm25_search(queries: DataFrame, index: dict[str, DataFrame], n: int = 10, k1: float = 1.5, b: float = 0.75, prune: bool = False) -> DataFrame:
     """Okapi ranking of every query (query_id, text) in one job, exact.
 
-    Query terms count with multiplicity; idf = ln(1 + (N - df + 0.5) / (df + 0.5)); only scores over 0 rank. All postings of the terms are scored, by parts of the index (see _best_of_blocks). With `prune`, postings that
-    cannot bring a document among the n best are not (see _pruned): for few queries of an index so large that reading their postings outweighs some rounds of jobs. Both give the same rows.
+    Query terms count with multiplicity; idf = ln(1 + (N - df + 0.5) / (df + 0.5)); only scores over 0 rank. All postings of the terms are scored, by parts of the index (see _best_of_blocks, and _best_of_rows for an index
+    that index.asked_index() made for these queries). With `prune`, postings of a keyword_index that
+    cannot bring a document among the n best are not (see _pruned): for few queries of an index so large that reading their postings outweighs some rounds of jobs. All give the same rows.
     """
     known = _asked_terms(queries, index, k1, b)
+    if "rows" in index:
+        return top(_best_of_rows(known, index, n, k1, b), n)
     scored = _pruned(known, index, n, k1, b)[0].filter("score > 0") if prune else _best_of_blocks(known, index, n, k1, b)
     return top(scored, n)
 
@@ -223,13 +289,16 @@ def bm25_work(queries: DataFrame, index: dict[str, DataFrame], n: int = 10, k1:
     return known.groupBy("query_id").agg(F.sum("df").alias("postings")).join(added.groupBy("query_id").agg(F.sum("scored").alias("scored")), "query_id")
 
 
-def _best(scores: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of each row's n best by rounded score, ties by the columns' place; entries of -inf are none."""
-    known = scores > -np.inf
+def _best(scores: np.ndarray, place: np.ndarray, n: int, over: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each row's n best by rounded score, ties by the columns' place; entries that are not over `over` are none.
+
+    The n-th best of a row's first columns is a floor that is cheap to find, and few of the others reach it; only those are sorted.
+    """
+    floor = np.full(len(scores), np.nextafter(over, np.inf))
     if scores.shape[1] > n:
-        worst = -np.partition(-scores, n - 1, axis=1)[:, n - 1]
-        known &= scores >= worst[:, None] - SLACK  # all that can round to as much
-    q, at = np.nonzero(known)
+        worst = -np.partition(-scores[:, : max(n, scores.shape[1] // LEAD)], n - 1, axis=1)[:, n - 1]
+        floor = np.fmax(floor, worst - SLACK)  # all that can round to as much
+    q, at = np.divmod(np.flatnonzero(scores >= floor[:, None]), max(scores.shape[1], 1))
     order = np.lexsort((place[at], -np.round(scores[q, at], 6), q))
     q, at = q[order], at[order]
     rank = np.arange(len(q)) - np.searchsorted(q, q)
@@ -477,18 +546,25 @@ def hybrid_search(text_queries: DataFrame, index: dict[str, DataFrame], vector_q
 
 def term_overlap(query: Column, text: Column) -> Column:
     """Default pair score: the share of the query's distinct terms that the text has."""
-    asked = F.array_distinct(tokenize(query))
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(asked, tokenize(text))).cast("double"), F.size(asked).cast("double")), F.lit(0.0))
+    return _overlap(F.array_distinct(tokenize(query)), tokenize(text))
+
+
+def _overlap(asked: Column, terms: Column) -> Column:
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(asked, terms)).cast("double"), F.size(asked).cast("double")), F.lit(0.0))
 
 
 def rerank(ranked: DataFrame, queries: DataFrame, docs: DataFrame, n: int = 5, scorer: Callable[[pd.Series, pd.Series], pd.Series] | None = None) -> DataFrame:
     """Candidates rescored on (query text, document text), the n best; ties keep the former rank. Candidates without a document go.
 
-    `scorer` takes batches of both texts; without one, term overlap is scored in the JVM. Ids are joined first, texts last.
+    `scorer` takes batches of both texts; without one, term overlap is scored in the JVM, from terms that are taken once a query and once a document that is a candidate. Ids are joined first, texts last.
     """
+    if not scorer:
+        wanted = small(ranked.select("doc_id").distinct(), BROADCAST_TERMS)
+        docs = stored(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("doc_id", F.array_distinct(tokenize(F.col("text"))).alias("text")), "terms")
+        queries = stored(queries.select("query_id", F.array_distinct(tokenize(F.col("text"))).alias("text")), "terms")
     texts = queries.select("query_id", F.col("text").alias("q_text"))
     pairs = ranked.select("query_id", "doc_id", F.col("rank").alias("was")).join(docs.select("doc_id", "text"), "doc_id").join(texts, "query_id")
-    score = F.pandas_udf(scorer, "double")("q_text", "text") if scorer else term_overlap(F.col("q_text"), F.col("text"))
+    score = F.pandas_udf(scorer, "double")("q_text", "text") if scorer else _overlap(F.col("q_text"), F.col("text"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "was", "doc_id")
     return pairs.select("query_id", "doc_id", "was", score.alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).drop("was")
 

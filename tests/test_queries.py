@@ -137,6 +137,50 @@ def test_exact_vector_search_holds_a_bounded_number_of_scores(spark, monkeypatch
     assert [r["doc_id"] for r in made.to_pylist()[::3]] == list(range(9))
 
 
+def test_the_best_are_found_from_a_floor_of_the_first_columns():
+    rng = np.random.default_rng(6)
+    for over in (-np.inf, 0.0):
+        scores = np.round(rng.normal(size=(20, 500)), 1)  # with ties
+        scores[0], scores[1, 7:], scores[2, :400] = np.arange(500), -1.0, -np.inf
+        scores[3, :100] = np.nan
+        place = rng.permutation(500)
+        q, at = search._best(scores, place, 5, over)
+        for i, row in enumerate(scores):
+            want = sorted((j for j in range(500) if row[j] > over), key=lambda j: (-row[j], place[j]))[:5]  # noqa: B023
+            assert at[q == i].tolist() == want
+    assert [x.size for x in search._best(np.zeros((3, 0)), place[:0], 5)] == [0, 0]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"PART_TERMS": 40, "PART_DOCS": 32, "SCORES": 50, "MATRIX": 1000}, {"PART_DOCS": 32, "FREQUENT": 0.5}])
+def test_keyword_search_by_rows_equals_that_by_blocks(spark, monkeypatch, sizes):
+    docs, asked = _collection(spark, 5)
+    docs = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(spark.createDataFrame([(10**9, None), (None, "w1 w2 w2")], docs.schema))
+    asked = asked.union(spark.createDataFrame([(None, "w1 w250")], "query_id long, text string"))
+    want = [search.bm25_search(asked, index.keyword_index(docs), 5, *k).collect() for k in ((1.5, 0.75), (1.2, 0.0))]
+    for name, value in sizes.items():
+        monkeypatch.setattr(search, name, value)
+    made = index.asked_index(docs, asked)
+    assert "blocks" not in made
+    for k, rows in zip(((1.5, 0.75), (1.2, 0.0)), want, strict=True):
+        found = search.bm25_search(asked, made, 5, *k)
+        assert rows_of(*_rows(found)) == rows_of(rows[0].__fields__, [tuple(r) for r in rows])
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert ("FlatMapCoGroupsInArrow" in plan) == ("PART_TERMS" in sizes)  # else documents do not move
+    monkeypatch.setattr(index, "ASKED_TERMS", 3)
+    assert "blocks" in index.asked_index(docs, asked)
+    monkeypatch.undo()
+    assert "blocks" in index.asked_index(docs.union(docs.limit(1)), asked)
+
+
+def test_reranking_takes_the_terms_of_a_text_once(spark):
+    docs = spark.createDataFrame([(1, "red fox Red"), (2, "owl"), (3, None), (4, "fox owl")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "a red, red owl"), (8, "?"), (9, None)], "query_id long, text string")
+    ranked = spark.createDataFrame([(q, d, r) for q in (7, 8, 9) for r, d in enumerate((3, 2, 1, 5), 1)], "query_id long, doc_id long, rank int")
+    made = search.rerank(ranked, asked, docs, 2)
+    assert "regexp_extract_all" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 6)) for r in made.collect()) == [(7, 1, 2, 0.333333), (7, 2, 1, 0.333333), (8, 1, 3, 0.0), (8, 2, 2, 0.0), (9, 1, 3, 0.0), (9, 2, 2, 0.0)]
+
+
 def test_latency_quantiles_are_exact_beyond_a_sketch(spark):
     rows = spark.range(30_000).selectExpr("timestamp_seconds(id * 10) AS ts", "cast(pmod(xxhash64(id), 100003) AS double) AS retrieval_ms")
     rows = rows.union(spark.sql("SELECT timestamp_seconds(5 * id), 7D FROM range(2000)")).union(spark.sql("SELECT timestamp_seconds(0), CAST(null AS double)"))

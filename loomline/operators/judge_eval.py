@@ -29,15 +29,17 @@ def stratified_sample(rows: DataFrame, n: int, seed: int, key: str = "id", strat
 
 
 def eval_worklist(records: DataFrame, models: DataFrame, results: DataFrame) -> DataFrame:
-    """Records by models less the pairs already scored good or bad. Models are a short list, broadcast if it is."""
+    """Records by models less the pairs already scored good or bad. Models are a short list, broadcast if it is. What is scored is the hashed side, so the pairs stream by and none is sorted or held."""
     asked = broadcast_if_small(models.select("answer_model").distinct(), BROADCAST_MODELS)
     done = results.filter(F.col("score").isin("good", "bad")).select("faq_id", "answer_model").distinct()
-    return records.crossJoin(asked).join(done, ["faq_id", "answer_model"], "left_anti")
+    return records.crossJoin(asked).join(done.hint("shuffle_hash"), ["faq_id", "answer_model"], "left_anti")
 
 
 def drop_stale_results(results: DataFrame, worklist: DataFrame) -> DataFrame:
-    """Results that will not be made again."""
-    return results.join(worklist.select("faq_id", "answer_model").distinct(), ["faq_id", "answer_model"], "left_anti")
+    """Results that will not be made again. The work list, which may be many times longer, streams by the pairs that have a result, and only those of it are gathered."""
+    pair = ["faq_id", "answer_model"]
+    again = worklist.select(*pair).join(results.select(*pair).distinct().hint("shuffle_hash"), pair, "left_semi").distinct()
+    return results.join(again, pair, "left_anti")
 
 
 def results_compatible(results: DataFrame, config: dict[str, object]) -> DataFrame:

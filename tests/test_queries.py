@@ -181,6 +181,20 @@ def test_reranking_takes_the_terms_of_a_text_once(spark):
     assert sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 6)) for r in made.collect()) == [(7, 1, 2, 0.333333), (7, 2, 1, 0.333333), (8, 1, 3, 0.0), (8, 2, 2, 0.0), (9, 1, 3, 0.0), (9, 2, 2, 0.0)]
 
 
+def test_a_work_list_is_neither_sorted_nor_gathered(spark):
+    from loomline.operators import judge_eval as J
+
+    results = spark.createDataFrame([(1, "a", "good"), (1, "a", "failed"), (2, "a", "failed"), (2, None, "good"), (None, "a", "bad"), (3, "b", "bad"), (9, "a", "failed")], "faq_id long, answer_model string, score string")
+    records = spark.createDataFrame([(1,), (2,), (3,), (None,)], "faq_id long")
+    models = spark.createDataFrame([("a",), ("b",), (None,)], "answer_model string")
+    work = J.eval_worklist(records, models, results)
+    done = {(1, "a"), (3, "b")}
+    assert sorted(str(tuple(r)) for r in work.select("faq_id", "answer_model").collect()) == sorted(str((f, m)) for f in (1, 2, 3, None) for m in ("a", "b", None) if (f, m) not in done)
+    kept = J.drop_stale_results(results, work)
+    assert sorted(str(tuple(r)) for r in kept.select("faq_id", "answer_model", "score").collect()) == sorted(map(str, [(1, "a", "good"), (1, "a", "failed"), (2, None, "good"), (None, "a", "bad"), (3, "b", "bad"), (9, "a", "failed")]))
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ShuffledHashJoin") >= 2
+
+
 def test_latency_quantiles_are_exact_beyond_a_sketch(spark):
     rows = spark.range(30_000).selectExpr("timestamp_seconds(id * 10) AS ts", "cast(pmod(xxhash64(id), 100003) AS double) AS retrieval_ms")
     rows = rows.union(spark.sql("SELECT timestamp_seconds(5 * id), 7D FROM range(2000)")).union(spark.sql("SELECT timestamp_seconds(0), CAST(null AS double)"))

@@ -10,8 +10,21 @@ from loomline.sources.documents import read_json
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """path, html: one row per file of a folder or pattern."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
+    """path, html: one row per file of a pattern, or of a folder and all folders in it; Spark gives none for an empty file.
+
+    Each file costs some calls to the store, whatever its size; many pages are best packed once.
+    """
+    return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
+
+
+def pack_pages(pages: DataFrame, path: str) -> None:
+    """Pages (path, html), say those of read_pages(), in as few files as tasks write them: each is a row under its own path, so files grow with bytes and not with pages."""
+    pages.select("path", "html").write.mode("append").parquet(path)
+
+
+def read_packed_pages(spark: SparkSession, path: str) -> DataFrame:
+    """path, html: the pages that pack_pages() wrote, in parts of files."""
+    return spark.read.schema("path string, html string").parquet(path)
 
 
 def read_episodes(spark: SparkSession, path: str) -> DataFrame:

@@ -276,6 +276,24 @@ def test_episode_and_qa_files(spark, tmp_path):
     assert sorted((r["faq_id"], r["episode"]) for r in files.read_qa(spark, f"file://{tmp_path}/qa").collect()) == [("7-q1", 7), ("z", 8)]
 
 
+def test_pages_are_packed_and_their_files_do_not_grow_with_them(spark, tmp_path):
+    odd = [" ", "\n", "a\r\nb\n\n", "\u2028é😀", '"\\', "x" * 300_000]
+    for i, html in enumerate(odd):
+        (tmp_path / "in" / str(i % 2)).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / str(i % 2) / f"{i}.html").write_text(html, newline="")
+    loose = files.read_pages(spark, f"file://{tmp_path}/in")
+    files.pack_pages(loose, f"{tmp_path}/packed")
+    read = lambda rows: sorted((r["path"].rsplit("/", 1)[1], r["html"]) for r in rows.collect())
+    assert read(files.read_packed_pages(spark, f"{tmp_path}/packed")) == read(loose) == [(f"{i}.html", html) for i, html in enumerate(odd)]
+
+    from loomline.plans.registry import QUERIES
+
+    spark.range(-1500, 1500).selectExpr("id + 1500 AS page_id", "concat('<p>', id, '\n\n') AS html").repartition(3).write.parquet(f"{tmp_path}/many/pages.parquet")
+    made = QUERIES["read_pages"](spark, f"{tmp_path}/many")
+    assert len(made.inputFiles()) < 20
+    assert sorted(tuple(r) for r in made.collect()) == [(i, f"<p>{i - 1500}\n\n") for i in range(3000)]
+
+
 def test_indented_files_and_lines_are_read(spark, tmp_path):
     import json
 

@@ -20,14 +20,20 @@ from loomline.functions.text import tokenize
 BROADCAST_TERMS = 500_000
 #: Postings of a query that a search with pruning adds up first, and how that grows; how far below the floor the last terms stay; what a comparison of scores leaves to rounding.
 HEAD, GROWTH, REACH, SLACK = 4000, 4, 0.85, 2e-6
-#: Blocks and postings of a part of an index that meets a part of the queries in one group of a task, documents of a part of an index of rows, and query terms of a part of the queries; scores that a task holds at once.
-PART_BLOCKS, PART_POSTINGS, PART_DOCS, PART_TERMS, SCORES = 16, 4_000_000, 16_384, 500_000, 2_000_000
+#: Blocks and postings of a part of an index that meets a part of the queries in one group of a task, documents of a part of an index of rows, and query terms of a part of the queries (12 bytes each); scores that a task holds at once.
+PART_BLOCKS, PART_POSTINGS, PART_DOCS, PART_TERMS, SCORES = 16, 4_000_000, 32_768, 6_000_000, 4_000_000
+#: Query terms, and queries of a search by vectors, from which scoring outweighs dealing the documents and queries evenly over all cores.
+MANY_TERMS, MANY_QUERIES = 100_000, 4096
 #: Entries of a task's matrix of frequent terms, and the share of the pairs of a query and a document that hold a term from which it is one: a product of matrices pays for all pairs. Of so many documents the first one gives the scores that the others have to reach.
-MATRIX, FREQUENT, LEAD = 8_000_000, 1 / 100, 8
+MATRIX, FREQUENT, LEAD = 8_000_000, 1 / 400, 16
+#: Numbers that are gathered at once to score what single precision leaves over, and how far a sum of k products of it may be off, as a share of what the absolute products add up to: k + ROUNDED times EPS.
+GATHERED, ROUNDED, EPS = 4_000_000, 8, 2.0**-23
 #: Queries and documents of a block of the exact search, and documents of a part of a cell of the other.
 QUERY_BLOCK, DOC_BLOCK, CELL_BLOCK = 16_384, 131_072, 131_072
 #: Queries that may be broadcast, in rows and bytes; documents of a part that meets them; bytes of a block of vectors.
-QUERY_ROWS, QUERY_BYTES, DOC_PART, BLOCK_BYTES = 4096, 64 << 20, 8192, 128 << 20
+QUERY_ROWS, QUERY_BYTES, DOC_PART, BLOCK_BYTES = 262_144, 64 << 20, 65_536, 128 << 20
+#: Documents and queries of a product that stays in a core's cache.
+DOC_TILE, QUERY_TILE = 1024, 256
 
 
 def top(scored: DataFrame, n: int, method: str | None = None, digits: int = 6) -> DataFrame:
@@ -135,53 +141,94 @@ def _scored(held: pa.Table, asked: pa.Table, n: int, k1: float, b: float) -> pa.
     sizes = pc.list_value_length(held.column("postings").combine_chunks()).to_numpy(zero_copy_only=False)
     term = pc.index_in(asked.column("term").combine_chunks(), words.dictionary)
     asks = asked.select(["query_id", "weight", "avgdl"]).append_column("code", term).filter(pc.is_valid(term))
+    ids = asks.column("query_id").combine_chunks().dictionary_encode(null_encoding="encode")
+    order = np.argsort(ids.indices.to_numpy(), kind="stable")
+    terms = [x[order] for x in (ids.indices.to_numpy(), asks.column("code").to_numpy(), asks.column("weight").to_numpy())]
     postings = np.repeat(words.indices.to_numpy(), sizes), keys.indices.to_numpy(), flat.field("tf").to_numpy(), flat.field("dl").to_numpy()
-    return _best_of_postings(*postings, keys.dictionary, asks, n, k1, b)
+    avgdl = asks.column("avgdl")[0].as_py() if asks.num_rows else 1.0
+    return _best_of_postings(*postings, keys.dictionary, ids.dictionary, *terms, avgdl, n, k1, b)
 
 
-def _scored_rows(held: pa.Table, asked: pa.Table, n: int, k1: float, b: float) -> pa.Table:
-    """As _scored(), of rows (doc_id, dl, codes, tfs) and a table of terms by code (query_id, code, weight, avgdl)."""
+def _unfolded(asked: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, float]:
+    """Ids of the queries of a table (query_id, codes, weights, avgdl); place of the query, code and weight of each of their terms; avgdl."""
+    codes, weights = asked.column("codes").combine_chunks(), asked.column("weights").combine_chunks()
+    query = np.repeat(np.arange(asked.num_rows, dtype=np.int32), pc.list_value_length(codes).to_numpy(zero_copy_only=False))
+    avgdl = asked.column("avgdl")[0].as_py() if asked.num_rows else 1.0
+    return asked.column("query_id").combine_chunks(), query, codes.flatten().to_numpy(), weights.flatten().to_numpy(), avgdl
+
+
+def _scored_rows(held: pa.Table, asked: tuple, n: int, k1: float, b: float, floors: np.ndarray | None = None) -> pa.Table:
+    """As _scored(), of rows (doc_id, dl, codes, tfs) and unfolded queries."""
     codes, tfs = held.column("codes").combine_chunks(), held.column("tfs").combine_chunks()
     sizes = pc.list_value_length(codes).to_numpy(zero_copy_only=False)
     at = np.repeat(np.arange(len(sizes)), sizes)
     postings = codes.flatten().to_numpy(), at, tfs.flatten().to_numpy(), held.column("dl").to_numpy()[at]
-    return _best_of_postings(*postings, held.column("doc_id").combine_chunks(), asked, n, k1, b)
+    return _best_of_postings(*postings, held.column("doc_id").combine_chunks(), *asked, n, k1, b, floors)
+
 
+def _dots(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of rows i of a with rows j of b, in double precision."""
+    step = max(1, GATHERED // max(1, a.shape[1]))
+    parts = [np.einsum("ij,ij->i", a[i[lo : lo + step]], b[j[lo : lo + step]]) for lo in range(0, len(i), step)]
+    return np.concatenate(parts) if parts else np.zeros(0)
 
-def _best_of_postings(of: np.ndarray, at: np.ndarray, tf: np.ndarray, dl: np.ndarray, keys: pa.Array, asked: pa.Table, n: int, k1: float, b: float) -> pa.Table:
-    """query_id, doc_id, score of the n best documents (keys) for each query of a table of terms (query_id, code, weight, avgdl); of, at, tf, dl: term, place of the document, count and length of each posting.
 
-    Terms that many queries share and many documents hold are one product of matrices; the postings of the others are added up query by query. Queries go through in slices of SCORES scores.
+def _likely(q: np.ndarray, rough: np.ndarray, n: int, slack: float, queries: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs with scores that may be off by half of slack: which may be among their query's n best, and what each query's others have to reach."""
+    if not len(q):
+        return np.zeros(0, bool), np.full(queries, -np.inf, np.float32)
+    span = 2 * float(np.abs(rough).max()) + 1
+    key = np.sort(q * span - rough.astype(np.float64))  # by query, then falling
+    counts = np.bincount(q, minlength=queries)
+    nth = np.minimum(np.cumsum(counts) - counts + n - 1, len(key) - 1)
+    least = np.where(counts >= n, np.arange(queries) * span - key[nth] - slack, -np.inf).astype(np.float32)
+    return rough >= least[q], least
+
+
+def _first(q: np.ndarray, at: np.ndarray, scores: np.ndarray, place: np.ndarray, n: int, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of scores of pairs, each query's n best by rounded score, ties by place; raises the queries' floors to the n-th."""
+    order = np.lexsort((place[at], -np.round(scores, 6), q))
+    q, at, scores = q[order], at[order], scores[order]
+    rank = np.arange(len(q)) - np.searchsorted(q, q)
+    nth = rank == n - 1
+    floors[q[nth]] = np.fmax(floors[q[nth]], scores[nth])
+    return q[rank < n], at[rank < n], scores[rank < n]
+
+
+def _best_of_postings(of: np.ndarray, at: np.ndarray, tf: np.ndarray, dl: np.ndarray, keys: pa.Array, names: pa.Array, query: np.ndarray, term: np.ndarray, weight: np.ndarray, avgdl: float, n: int, k1: float, b: float, floors: np.ndarray | None = None) -> pa.Table:
+    """query_id, doc_id, score of the n best documents (keys) for each query (names); of, at, tf, dl: term, place of the document, count and length of each posting; query, term, weight: the queries' terms, by query.
+
+    Terms that many queries share and many documents hold are one product of matrices in single precision; the postings of the others are added up query by query, in double. What such a sum, with all that it may be
+    off, leaves below a query's floor cannot rank; only the others are scored in double precision throughout. Floors are the n-th best scores that are known of each query, here those of the first documents, and are raised for the next call.
     """
-    ids = asked.column("query_id").combine_chunks()
-    parts = [pa.table({"query_id": ids.slice(0, 0), "doc_id": keys.slice(0, 0), "score": pa.array([], pa.float64())})]
-    if not len(of) or not len(ids):
+    parts = [pa.table({"query_id": names.slice(0, 0), "doc_id": keys.slice(0, 0), "score": pa.array([], pa.float64())})]
+    if not len(of) or not len(query):
         return parts[0]
-    order = np.argsort(of, kind="stable")
-    of, at, tf, dl = of[order], at[order], tf[order].astype(np.float64), dl[order].astype(np.float64)
-    adds = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / asked.column("avgdl")[0].as_py()))
-    names = ids.dictionary_encode(null_encoding="encode")
-    query, term, weight = names.indices.to_numpy(), asked.column("code").to_numpy(), asked.column("weight").to_numpy()
+    floors = np.full(len(names), -np.inf) if floors is None else floors
+    order = np.sort(of.astype(np.int64) << 32 | np.arange(len(of))) & 0xFFFFFFFF  # as a stable argsort, but sorted as plain numbers
+    of, at, tf, dl = of[order], at[order].astype(np.intp), tf[order].astype(np.float64), dl[order].astype(np.float64)
+    adds = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+    both = np.stack([at, adds], 1)  # so that a span is cut out once
     df = np.bincount(of, minlength=max(of[-1], term.max()) + 1)
     first = np.cumsum(df) - df
     here = df[term] > 0
     query, term, weight = query[here], term[here], weight[here]
-    order = np.argsort(query, kind="stable")
-    query, term, weight = query[order], term[order], weight[order]
     docs = len(keys)
     place = np.empty(docs, np.int64)
     place[pc.array_sort_indices(keys, null_placement="at_start").to_numpy()] = np.arange(docs)
 
     pairs = df * np.bincount(term, minlength=len(df)).astype(np.float64)
     often = np.argsort(-pairs, kind="stable")[: max(1, MATRIX // docs)]
-    often = often[pairs[often] >= FREQUENT * docs * len(names.dictionary)]
+    often = often[pairs[often] >= FREQUENT * docs * len(names)]
     column = np.full(len(df), -1)
     column[often] = np.arange(len(often))
-    matrix, row = np.zeros((len(often), docs)), column[of]
-    matrix[row[row >= 0], at[row >= 0]] = adds[row >= 0]
+    matrix, row = np.zeros((docs, len(often))), column[of]
+    matrix[at[row >= 0], row[row >= 0]] = adds[row >= 0]
+    rough, most, lead = matrix.astype(np.float32).T, adds.max(), max(n, docs // LEAD)
 
     step = max(1, SCORES // docs)
-    for lo in range(0, len(names.dictionary), step):
+    held, none, plain = np.empty((min(step, len(names)), docs), np.float32), np.zeros(docs), np.empty(docs, np.float32)
+    for lo in range(0, len(names), step):
         rows = slice(*np.searchsorted(query, [lo, lo + step]))
         if rows.start == rows.stop:
             continue
@@ -189,16 +236,31 @@ def _best_of_postings(of: np.ndarray, at: np.ndarray, tf: np.ndarray, dl: np.nda
         much = column[t] >= 0
         asks = np.zeros((q[-1] + 1, len(often)))
         asks[q[much], column[t[much]]] = w[much]
-        scores = asks @ matrix
+        scores = np.matmul(asks.astype(np.float32), rough, out=held[: len(asks)])
+        slack = SLACK + 2 * (len(often) + ROUNDED) * EPS * most * np.bincount(q, w, len(asks))
         q, t, w = q[~much], t[~much], w[~much]
-        ends = np.searchsorted(q, np.arange(len(scores) + 1))
-        for i in np.flatnonzero(np.diff(ends)):
+        ends, starts, counts = np.searchsorted(q, np.arange(len(asks) + 1)).tolist(), first[t].tolist(), df[t]
+        stops, found, rest = (first[t] + counts).tolist(), [], []
+        for i, sums in enumerate(scores):
             own = slice(ends[i], ends[i + 1])
-            spans = [slice(x, x + k) for x, k in zip(first[t[own]], df[t[own]], strict=True)]
-            adding = np.concatenate([adds[x] for x in spans]) * np.repeat(w[own], df[t[own]])
-            scores[i] += np.bincount(np.concatenate([at[x] for x in spans]), adding, docs)
-        q, best = _best(scores, place, n, 0.0)
-        parts.append(pa.table({"query_id": names.dictionary.take(pa.array(q + lo)), "doc_id": keys.take(pa.array(best)), "score": pa.array(scores[q, best], pa.float64())}))
+            less = none
+            if own.start < own.stop:
+                cut = np.concatenate([both[x:y] for x, y in zip(starts[own], stops[own], strict=True)])
+                less = np.bincount(cut[:, 0].astype(np.intp), cut[:, 1] * np.repeat(w[own], counts[own]), docs)
+                plain[:] = less
+                sums += plain
+            floor = floors[lo + i]
+            if docs > n:
+                floor = max(floor, np.partition(sums[:lead], lead - n)[lead - n])
+            hit = np.flatnonzero(sums >= np.float32(max(floor - slack[i], 1e-30)))
+            if len(hit) > n:
+                likely = sums[hit]
+                hit = hit[likely >= np.partition(likely, len(hit) - n)[len(hit) - n] - slack[i]]
+            found.append(hit)
+            rest.append(less[hit])
+        q, best = np.repeat(np.arange(len(found)), [len(x) for x in found]), np.concatenate(found)
+        q, best, exact = _first(q, best, np.concatenate(rest) + _dots(asks, q, matrix, best), place, n, floors[lo : lo + step])
+        parts.append(pa.table({"query_id": names.take(pa.array(q + lo)), "doc_id": keys.take(pa.array(best)), "score": pa.array(exact, pa.float64())}))
     return pa.concat_tables(parts)
 
 
@@ -224,37 +286,63 @@ def _best_of_blocks(known: DataFrame, index: dict[str, DataFrame], n: int, k1: f
     return left.groupBy("_d", "_q").cogroup(right.groupBy("_d", "_q")).applyInArrow(lambda held, asked: _scored(held, asked, n, k1, b), schema)
 
 
+def _dealt(docs: DataFrame, rows: int, per: int) -> tuple[DataFrame, int]:
+    """docs with _p, a partition for each of its values, one a core; and into how many parts (_p modulo that) the queries that meet a partition are cut.
+
+    Documents are dealt by a hash into no more parts than `per` asks for, as every part sends on its best of all queries; where those are fewer than the cores, each part is there once for each part of the queries.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    down = next(k for k in range(1, cores + 1) if cores % k == 0 and (k == cores or 0.75 * k * per >= rows))
+    over = cores // down
+    part = F.explode(F.sequence(F.lit(0), F.lit(over - 1)))
+    dealt = docs.withColumn("_p", part).withColumn("_p", F.pmod(F.xxhash64("doc_id"), F.lit(down)).cast("int") * over + F.col("_p"))
+    return dealt.repartitionById(cores, "_p"), over
+
+
+def _part_of(queries: pa.Table, batch: pa.RecordBatch, over: int) -> pa.Table:
+    """The part of the queries that meets the partition of a batch."""
+    part = batch.column("_p")[0].as_py() % over
+    lo, hi = (queries.num_rows * k // over for k in (part, part + 1))
+    return queries.slice(lo, hi - lo)
+
+
 def _best_of_rows(known: DataFrame, index: dict[str, DataFrame], n: int, k1: float, b: float) -> DataFrame:
     """query_id, doc_id, score: each query's n best of each part of an index of rows, over all terms.
 
-    Queries of up to PART_TERMS terms are broadcast and the rows do not move; a task scores PART_DOCS of them at a time. More queries are dealt by a hash into parts of some PART_TERMS terms, the rows into parts of some
-    PART_DOCS, and each pair of parts is a group, scored in one task.
+    Queries of up to PART_TERMS terms are broadcast, a row a query, and meet the rows where they are or, where queries are many, dealt evenly over all cores; a task scores PART_DOCS rows at a time, and what it found sets the floor
+    that the next ones have to reach. More queries are dealt by a hash into parts of some PART_TERMS terms, the rows into parts of some PART_DOCS, and each pair of parts is a group, scored in one task.
     """
     rows, spark = index["rows"], known.sparkSession
     kind_q, kind_d = dict(known.dtypes)["query_id"], dict(rows.dtypes)["doc_id"]
-    schema, asking = f"query_id {kind_q}, doc_id {kind_d}, score double", known.select("query_id", "code", "weight", "avgdl")
+    schema = f"query_id {kind_q}, doc_id {kind_d}, score double"
+    terms = F.collect_list(F.struct("code", "weight"))
+    asking = known.groupBy("query_id").agg(terms.alias("terms"), F.first("avgdl").alias("avgdl")).select("query_id", F.col("terms.code").alias("codes"), F.col("terms.weight").alias("weights"), "avgdl")
     asked, size = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("query_id").cast("string"))), F.lit(0))).first()
     if asked <= PART_TERMS and size <= QUERY_BYTES:
         sink = pa.BufferOutputStream()
         few = asking.toArrow()
         with pa.ipc.new_stream(sink, few.schema) as writer:
             writer.write_table(few)
-        shared = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())  # PART_TERMS rows and QUERY_BYTES of ids at most
+        shared = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())  # PART_TERMS terms and QUERY_BYTES of ids at most
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            queries = pa.ipc.open_stream(shared.value).read_all()
-            held, docs, postings = [], 0, 0
+            queries, floors, held, docs, postings = None, None, [], 0, 0
             for batch in batches:
+                if queries is None and batch.num_rows:
+                    queries = pa.ipc.open_stream(shared.value).read_all()
+                    queries = _unfolded(_part_of(queries, batch, over) if over else queries)
+                    floors = np.full(len(queries[0]), -np.inf)
                 for lo in range(0, batch.num_rows, PART_DOCS // 16):
                     held.append(batch.slice(lo, PART_DOCS // 16))
                     docs, postings = docs + held[-1].num_rows, postings + len(held[-1].column("codes").flatten())
                     if docs >= PART_DOCS or postings >= PART_POSTINGS:
-                        yield from _scored_rows(pa.Table.from_batches(held), queries, n, k1, b).to_batches()
+                        yield from _scored_rows(pa.Table.from_batches(held), queries, n, k1, b, floors).to_batches()
                         held, docs, postings = [], 0, 0
             if held:
-                yield from _scored_rows(pa.Table.from_batches(held), queries, n, k1, b).to_batches()
+                yield from _scored_rows(pa.Table.from_batches(held), queries, n, k1, b, floors).to_batches()
 
-        return spread(rows).mapInArrow(run, schema)
+        rows, over = _dealt(rows, rows.count(), PART_DOCS) if asked > MANY_TERMS else (spread(rows), 0)
+        return rows.mapInArrow(run, schema)
 
     docs, postings = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("codes")), F.lit(0))).first()
     over = max(1, -(-asked // PART_TERMS))
@@ -264,7 +352,7 @@ def _best_of_rows(known: DataFrame, index: dict[str, DataFrame], n: int, k1: flo
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     left = rows.withColumns({"_d": block("doc_id", down), "_q": every(over)}).repartition(dealt, "_d", "_q")
     right = asking.withColumn("_q", block("query_id", over)).withColumn("_d", every(down)).repartition(dealt, "_d", "_q")
-    return left.groupBy("_d", "_q").cogroup(right.groupBy("_d", "_q")).applyInArrow(lambda held, asked: _scored_rows(held, asked, n, k1, b), schema)
+    return left.groupBy("_d", "_q").cogroup(right.groupBy("_d", "_q")).applyInArrow(lambda held, asked: _scored_rows(held, _unfolded(asked), n, k1, b), schema)
 
 
 def bm25_search(queries: DataFrame, index: dict[str, DataFrame], n: int = 10, k1: float = 1.5, b: float = 0.75, prune: bool = False) -> DataFrame:
@@ -305,20 +393,47 @@ def _best(scores: np.ndarray, place: np.ndarray, n: int, over: float = -np.inf)
     return q[rank < n], at[rank < n]
 
 
-def _met(docs: pa.Table, queries: pa.Table, n: int) -> pa.Table:
-    """query_id, doc_id, score of the n best of a block of documents for each query of a block."""
-    parts = []
+def _met(docs: pa.Table, queries: pa.Table, n: int, vectors: np.ndarray | None = None, floors: np.ndarray | None = None) -> pa.Table:
+    """query_id, doc_id, score of the n best of a block of documents for each query of a block. vectors: the queries' unit vectors, where they are made already; floors: the n-th best scores known of them, which this raises.
+
+    The first documents are scored in double precision and give a floor, unless one is known. The others are in single precision, and only what may reach the floor is scored again.
+    """
+    ids, keys = queries.column("query_id").combine_chunks(), docs.column("doc_id").combine_chunks()
+    parts = [pa.table({"query_id": ids.slice(0, 0), "doc_id": keys.slice(0, 0), "score": pa.array([], pa.float64())})]
     if docs.num_rows and queries.num_rows:
         x, names = _unit(docs.column("vector").to_numpy()), docs.column("doc_id").to_numpy()
+        vectors = _unit(queries.column("vector").to_numpy()) if vectors is None else vectors
+        floors = np.full(len(vectors), -np.inf) if floors is None else floors
         place = np.argsort(np.argsort(names, kind="stable"), kind="stable")
-        step = max(1, min(256, SCORES // len(x)))
-        for lo in range(0, queries.num_rows, step):
-            asked = queries.slice(lo, step)
-            scores = _unit(asked.column("vector").to_numpy()) @ x.T
-            q, at = _best(scores, place, n)
-            parts.append(pa.table({"query_id": asked.column("query_id").take(pa.array(q)), "doc_id": docs.column("doc_id").take(pa.array(at)), "score": pa.array(scores[q, at], pa.float64())}))
-    none = pa.table({"query_id": queries.column("query_id").slice(0, 0), "doc_id": docs.column("doc_id").slice(0, 0), "score": pa.array([], pa.float64())})
-    return pa.concat_tables(parts) if parts else none
+        rough, slack = x.astype(np.float32), SLACK + (x.shape[1] + ROUNDED) * EPS
+        tile = min(DOC_TILE, len(x))
+        step = max(1, min(QUERY_TILE, SCORES // tile))
+        held = np.empty(step * tile, np.float32)
+        steps = [min(len(x), tile * k) for k in (1, 2, 5, 12, 30)]  # documents after which the floors are raised
+        for lo in range(0, len(vectors), step):
+            own, floor = vectors[lo : lo + step], floors[lo : lo + step]
+            start, q, at, likely = 0, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+            if not (floor > -np.inf).all():
+                scores, start = own @ x[:tile].T, tile
+                q, at = _best(scores, place[:tile], n)
+                likely = scores[q, at].astype(np.float32)
+                _first(q, at, scores[q, at], place, n, floor)
+            reach, small = (floor - slack).astype(np.float32), own.astype(np.float32)
+            found = [(q, at, likely)]
+            for d in range(start, len(x), tile):
+                width = min(tile, len(x) - d)
+                scores = np.matmul(small, rough[d : d + width].T, out=held[: len(own) * width].reshape(len(own), width))
+                hit = np.flatnonzero(scores >= reach[:, None])
+                q, at = np.divmod(hit, width)
+                found.append((q, at + d, scores.ravel()[hit]))
+                if d + width in steps or d + width == len(x):
+                    q, at, likely = (np.concatenate(c) for c in zip(*found, strict=True))
+                    kept, least = _likely(q, likely, n, 2 * slack, len(own))
+                    found, reach = [(q[kept], at[kept], likely[kept])], np.fmax(reach, least)
+            q, at, _ = (np.concatenate(c) for c in zip(*found, strict=True))
+            q, at, exact = _first(q, at, _dots(own, q, x, at), place, n, floor)
+            parts.append(pa.table({"query_id": ids.take(pa.array(q + lo)), "doc_id": keys.take(pa.array(at)), "score": pa.array(exact, pa.float64())}))
+    return pa.concat_tables(parts)
 
 
 def _few(queries: DataFrame) -> pa.Table | None:
@@ -328,24 +443,31 @@ def _few(queries: DataFrame) -> pa.Table | None:
 
 
 def _best_of_parts(docs: DataFrame, asked: pa.Table, n: int, schema: str) -> DataFrame:
-    """query_id, doc_id, score of the n best of each part of DOC_PART documents: documents stay where they are, the queries are sent to them."""
+    """query_id, doc_id, score of the n best of each part of DOC_PART documents, over what the parts before it in its task left: the queries are sent to the documents, which stay where they are or, where queries are many, are dealt evenly over all cores."""
+    over = 0
+    if asked.num_rows > MANY_QUERIES:
+        docs = stored(docs, "docs")
+        docs, over = _dealt(docs, docs.count(), DOC_PART)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, asked.schema) as writer:
         writer.write_table(asked)
     shared = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())  # QUERY_BYTES at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = pa.ipc.open_stream(shared.value).read_all()
-        held, rows = [], 0
+        queries, vectors, floors, held, rows = None, None, None, [], 0
         for batch in batches:
+            if queries is None and batch.num_rows:
+                queries = pa.ipc.open_stream(shared.value).read_all()
+                queries = _part_of(queries, batch, over) if over else queries
+                vectors, floors = _unit(queries.column("vector").to_numpy()) if queries.num_rows else None, np.full(queries.num_rows, -np.inf)
             for lo in range(0, batch.num_rows, DOC_PART):
                 held.append(batch.slice(lo, DOC_PART))
                 rows += held[-1].num_rows
                 if rows >= DOC_PART:
-                    yield from _met(pa.Table.from_batches(held), queries, n).to_batches()
+                    yield from _met(pa.Table.from_batches(held), queries, n, vectors, floors).to_batches()
                     held, rows = [], 0
         if held:
-            yield from _met(pa.Table.from_batches(held), queries, n).to_batches()
+            yield from _met(pa.Table.from_batches(held), queries, n, vectors, floors).to_batches()
 
     return docs.mapInArrow(run, schema)
 
@@ -353,7 +475,7 @@ def _best_of_parts(docs: DataFrame, asked: pa.Table, n: int, schema: str) -> Dat
 def vector_search(queries: DataFrame, docs: DataFrame, n: int = 10) -> DataFrame:
     """Exact cosine ranking of queries (query_id, vector) against docs (doc_id, vector); negative scores rank too. Null vectors rank nowhere.
 
-    Queries of up to QUERY_ROWS rows and QUERY_BYTES are broadcast: documents are read once and do not move, and each part of a task sends on its n best. More queries are cut into blocks by a hash,
+    Queries of up to QUERY_ROWS rows and QUERY_BYTES are broadcast: documents are read once, and each part of a task sends on its n best. More queries are cut into blocks by a hash,
     as are the documents (written first, so that what makes them runs once); each pair of blocks meets in a task as matrix products. Blocks are bounded in bytes.
     """
     queries = stored(queries.select("query_id", "vector").filter("vector is not null"), "queries")

@@ -229,3 +229,40 @@ def test_index_of_one_row_a_key_groups_its_postings_once(spark, monkeypatch):
     got = [sorted((r["term"], r["doc_id"] or 0, r["tf"], r["dl"]) for r in m["postings"].collect()) for m in made]
     assert got[0] == [("fox", 0, 1, 1), ("fox", 1, 1, 3), ("owl", 2, 1, 1), ("red", 1, 2, 3)]
     assert got[1] == [("fox", 0, 2, 2), ("fox", 1, 1, 3), ("owl", 2, 2, 3), ("red", 1, 2, 3), ("sees", 2, 1, 2)]
+
+
+def test_many_queries_and_documents_meet_without_groups(spark, monkeypatch):
+    docs, asked = _collection(spark, 8)
+    docs = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    asked = asked.union(spark.createDataFrame([(None, "w1 w250")], "query_id long, text string"))
+    few = rows_of(*_rows(search.bm25_search(asked, index.asked_index(docs, asked), 5)))
+    x = np.random.default_rng(8).integers(-3, 4, (5000, 6)).astype(float)  # with equal scores, and vectors of nothing but zeros
+    x[7] = np.nan
+    held = spark.createDataFrame([(i, v) for i, v in enumerate(x[:700].tolist())], "doc_id long, vector array<double>")
+    wanted = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "query_id long, vector array<double>")
+    monkeypatch.setattr(search, "QUERY_ROWS", 0)
+    grouped = rows_of(*_rows(search.vector_search(wanted, held, 5)))
+    monkeypatch.undo()
+    found = search.vector_search(wanted, held, 5)
+    assert "CoGroups" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert rows_of(*_rows(found)) == grouped and len(grouped[1]) == 4999 * 5
+    for name, value in {"MANY_TERMS": 0, "MANY_QUERIES": 0, "PART_DOCS": 64, "DOC_PART": 64, "DOC_TILE": 16, "MATRIX": 4000}.items():
+        monkeypatch.setattr(search, name, value)
+    assert rows_of(*_rows(search.bm25_search(asked, index.asked_index(docs, asked), 5))) == few
+    assert rows_of(*_rows(search.vector_search(wanted, held, 5))) == grouped
+
+
+def test_what_cannot_reach_a_known_floor_is_not_sent_on():
+    x = np.random.default_rng(9).normal(size=(300, 8))
+    table = lambda lo, hi: pa.table({"doc_id": pa.array(range(lo, hi)), "vector": pa.array(x[lo:hi].tolist())})
+    asked = pa.table({"query_id": pa.array(range(20)), "vector": pa.array(x[:20].tolist())})
+    floors = np.full(20, -np.inf)
+    first = search._met(table(0, 200), asked, 5, floors=floors)
+    then = search._met(table(200, 300), asked, 5, floors=floors)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = unit[:20] @ unit.T
+    assert first.num_rows == 100 and then.num_rows < 60
+    got = sorted((r["query_id"], r["doc_id"], round(r["score"], 6)) for r in pa.concat_tables([first, then]).to_pylist())
+    for q in range(20):
+        best = sorted((-round(s, 6), d) for _, d, s in (r for r in got if r[0] == q))[:5]
+        assert [d for _, d in best] == np.argsort(-scores[q])[:5].tolist()

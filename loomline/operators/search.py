@@ -31,7 +31,7 @@ GATHERED, ROUNDED, EPS = 4_000_000, 8, 2.0**-23
 #: Queries and documents of a block of the exact search, and documents of a part of a cell of the other.
 QUERY_BLOCK, DOC_BLOCK, CELL_BLOCK = 16_384, 131_072, 131_072
 #: Queries that may be broadcast, in rows and bytes; documents of a part that meets them; bytes of a block of vectors.
-QUERY_ROWS, QUERY_BYTES, DOC_PART, BLOCK_BYTES = 262_144, 64 << 20, 65_536, 128 << 20
+QUERY_ROWS, QUERY_BYTES, DOC_PART, BLOCK_BYTES = 262_144, 128 << 20, 65_536, 128 << 20
 #: Documents and queries of a product that stays in a core's cache.
 DOC_TILE, QUERY_TILE = 1024, 256
 

@@ -426,10 +426,14 @@ def _met(docs: pa.Table, queries: pa.Table, n: int, vectors: np.ndarray | None =
                 hit = np.flatnonzero(scores >= reach[:, None])
                 q, at = np.divmod(hit, width)
                 found.append((q, at + d, scores.ravel()[hit]))
-                if d + width in steps or d + width == len(x):
+                if d + width in steps or d + width == len(x) or sum(len(c[0]) for c in found) > SCORES // 4:
                     q, at, likely = (np.concatenate(c) for c in zip(*found, strict=True))
                     kept, least = _likely(q, likely, n, 2 * slack, len(own))
                     found, reach = [(q[kept], at[kept], likely[kept])], np.fmax(reach, least)
+                    if len(found[0][0]) > SCORES // 8:  # many equal scores: only their order by place tells who stays
+                        q, at, _ = found[0]
+                        q, at, exact = _first(q, at, _dots(own, q, x, at), place, n, floor)
+                        found = [(q, at, exact.astype(np.float32))]
             q, at, _ = (np.concatenate(c) for c in zip(*found, strict=True))
             q, at, exact = _first(q, at, _dots(own, q, x, at), place, n, floor)
             parts.append(pa.table({"query_id": ids.take(pa.array(q + lo)), "doc_id": keys.take(pa.array(at)), "score": pa.array(exact, pa.float64())}))

@@ -266,3 +266,14 @@ def test_what_cannot_reach_a_known_floor_is_not_sent_on():
     for q in range(20):
         best = sorted((-round(s, 6), d) for _, d, s in (r for r in got if r[0] == q))[:5]
         assert [d for _, d in best] == np.argsort(-scores[q])[:5].tolist()
+
+
+def test_crowds_of_equal_vectors_are_cut_down_on_the_way(monkeypatch):
+    seen, first = [], search._first
+    monkeypatch.setattr(search, "_first", lambda q, *a: seen.append(len(q)) or first(q, *a))
+    monkeypatch.setattr(search, "SCORES", 400)
+    monkeypatch.setattr(search, "DOC_TILE", 20)
+    docs = pa.table({"doc_id": pa.array(range(1000, 0, -1)), "vector": pa.array([[1.0, 2.0]] * 1000)})
+    found = search._met(docs, pa.table({"query_id": pa.array(range(4)), "vector": pa.array([[2.0, 1.0]] * 4)}), 3)
+    assert sorted((r["query_id"], r["doc_id"]) for r in found.to_pylist()) == [(q, d) for q in range(4) for d in (1, 2, 3)]
+    assert max(seen) <= 400

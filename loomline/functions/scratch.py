@@ -6,10 +6,16 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: What stored() and bucketed() made in each passing() that is open: folder, frame and table.
+_open: list[list[tuple[str, DataFrame, str | None]]] = []
+#: Spark's setting to delete a job's shuffle files when it ends; without it they stay until the driver collects its garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,11 +50,40 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _made(path: str, df: DataFrame, table: str | None = None) -> DataFrame:
+    if _open:
+        _open[-1].append((path, df, table))
+    return df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to a new folder and read again: made once, however many later steps read it, and read again after executors are lost."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written to a new folder and read again: made once, however many later steps read it, and read again after executors are lost. Shuffle files of the job go when it ends."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    was = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if was is None else spark.conf.set(FREE_SHUFFLES, was)
+    return _made(path, spark.read.schema(df.schema).parquet(path))
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what stored() and bucketed() wrote inside, but for the frames given to the function it yields; so what is returned from inside has to be stored itself."""
+    _open.append([])
+    kept: list[DataFrame] = []
+    try:
+        yield lambda df: kept.append(df) or df
+    finally:
+        for path, df, table in _open.pop():
+            if any(df is k for k in kept):
+                _made(path, df, table)
+                continue
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def bucketed(df: DataFrame, name: str, buckets: int, by: list[str], order: list[str]) -> DataFrame:
@@ -58,8 +93,9 @@ def bucketed(df: DataFrame, name: str, buckets: int, by: list[str], order: list[
     """
     spark = df.sparkSession
     table = f"loomline_{name}_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("path", scratch(spark, name)).bucketBy(buckets, *by).sortBy(*order).saveAsTable(table)
-    return spark.table(table)
+    path = scratch(spark, name)
+    df.write.format("parquet").option("path", path).bucketBy(buckets, *by).sortBy(*order).saveAsTable(table)
+    return _made(path, spark.table(table), table)
 
 
 def clear(spark: SparkSession) -> None:

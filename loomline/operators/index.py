@@ -21,8 +21,10 @@ Encoder = Callable[[list[str]], np.ndarray]
 
 #: Documents of a block of postings, blocks of a slice of a term (so that no bucket holds all of a frequent one), and buckets at most.
 BLOCK_DOCS, SLICE_BLOCKS, BUCKETS = 1024, 64, 4096
-#: Distinct terms of queries that are sent to the documents, and their bytes; documents of which a task counts the terms at once.
-ASKED_TERMS, ASKED_BYTES, COUNT_DOCS = 500_000, 64 << 20, 512
+#: Distinct terms of queries that are sent to the documents, and their bytes; terms of documents that a task counts at once.
+ASKED_TERMS, ASKED_BYTES, COUNT_TERMS = 4_000_000, 64 << 20, 1_000_000
+#: Terms up to which their document counts are broadcast.
+BROADCAST_COUNTS = 500_000
 
 
 def term_counts(terms: Column) -> Column:
@@ -83,6 +85,14 @@ def _counts_of(names: pa.Array, batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes.astype(np.int64)), *lists], ["doc_id", "dl", "codes", "tfs"])
 
 
+def counted(names: pa.Array, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _counts_of(), over batches, some COUNT_TERMS terms at a time: every call looks over all names."""
+    for batch in batches:
+        step = max(1, batch.num_rows * COUNT_TERMS // max(len(batch.column("terms").flatten()), 1))
+        for lo in range(0, batch.num_rows, step):
+            yield _counts_of(names, batch.slice(lo, step))
+
+
 def asked_index(docs: DataFrame, queries: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]:
     """For a search of all `docs` by these `queries` alone: rows (key, dl, codes, tfs), terms (term, code, df), corpus (n, avgdl).
 
@@ -97,19 +107,14 @@ def asked_index(docs: DataFrame, queries: DataFrame, key: str = "doc_id") -> dic
     names = words.orderBy("term").toArrow().column("term").combine_chunks()
     shared = spark.sparkContext.broadcast(names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, COUNT_DOCS):
-                yield _counts_of(shared.value, batch.slice(lo, COUNT_DOCS))
-
     texts = spread(docs.select(F.col(key).alias("doc_id"), "text")).select("doc_id", tokenize(F.coalesce("text", F.lit(""))).alias("terms"))
-    rows = stored(texts.mapInArrow(run, f"doc_id {dict(docs.dtypes)[key]}, dl long, codes array<int>, tfs array<int>"), "rows")
+    rows = stored(texts.mapInArrow(lambda batches: counted(shared.value, batches), f"doc_id {dict(docs.dtypes)[key]}, dl long, codes array<int>, tfs array<int>"), "rows")
     n, keys, nulls, total = rows.agg(F.count("*"), F.count_distinct("doc_id"), F.count_if(F.col("doc_id").isNull()), F.coalesce(F.sum("dl"), F.lit(0))).first()
     if n != keys + min(nulls, 1):
         return keyword_index(docs, key)
     coded = spark.createDataFrame(pa.table({"term": names, "code": pa.array(np.arange(len(names), dtype=np.int32))}), "term string, code int")
     df = rows.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("df"))
-    terms = stored(coded.join(F.broadcast(df), "code"), "terms")  # ASKED_TERMS at most
+    terms = stored(coded.join(F.broadcast(df) if count <= BROADCAST_COUNTS else df, "code"), "terms")
     corpus = spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(total / max(n, 1)).alias("avgdl"))
     return {"rows": rows, "terms": terms, "corpus": corpus}
 

@@ -15,6 +15,7 @@ from loomline.functions.scratch import stored
 from loomline.functions.sizing import broadcast_if_small as small
 from loomline.functions.sizing import is_small, spread
 from loomline.functions.text import tokenize
+from loomline.operators.index import counted
 
 #: Query terms up to this many rows are broadcast to the postings; more shuffle.
 BROADCAST_TERMS = 500_000
@@ -22,16 +23,18 @@ BROADCAST_TERMS = 500_000
 HEAD, GROWTH, REACH, SLACK = 4000, 4, 0.85, 2e-6
 #: Blocks and postings of a part of an index that meets a part of the queries in one group of a task, documents of a part of an index of rows, and query terms of a part of the queries (12 bytes each); scores that a task holds at once.
 PART_BLOCKS, PART_POSTINGS, PART_DOCS, PART_TERMS, SCORES = 16, 4_000_000, 32_768, 6_000_000, 4_000_000
-#: Query terms, and queries of a search by vectors, from which scoring outweighs dealing the documents and queries evenly over all cores.
+#: Query terms, and queries of a search by vectors, from which blocks of queries meet all documents in a task each; fewer are broadcast.
 MANY_TERMS, MANY_QUERIES = 100_000, 4096
 #: Entries of a task's matrix of frequent terms, and the share of the pairs of a query and a document that hold a term from which it is one: a product of matrices pays for all pairs. Of so many documents the first one gives the scores that the others have to reach.
 MATRIX, FREQUENT, LEAD = 8_000_000, 1 / 400, 16
 #: Numbers that are gathered at once to score what single precision leaves over, and how far a sum of k products of it may be off, as a share of what the absolute products add up to: k + ROUNDED times EPS.
 GATHERED, ROUNDED, EPS = 4_000_000, 8, 2.0**-23
-#: Queries and documents of a block of the exact search, and documents of a part of a cell of the other.
-QUERY_BLOCK, DOC_BLOCK, CELL_BLOCK = 16_384, 131_072, 131_072
-#: Queries that may be broadcast, in rows and bytes; documents of a part that meets them; bytes of a block of vectors.
-QUERY_ROWS, QUERY_BYTES, DOC_PART, BLOCK_BYTES = 262_144, 128 << 20, 65_536, 128 << 20
+#: Queries of a block, documents of a packed row that meets them and its bytes, and documents of a part of a cell of the search by cells.
+QUERY_BLOCK, DOC_BLOCK, PACK_BYTES, CELL_BLOCK = 32_768, 8192, 8 << 20, 131_072
+#: Queries that may be broadcast, in rows and bytes; documents of a part that meets them; bytes of a block of vectors, and of the packed rows that are scored at once.
+QUERY_ROWS, QUERY_BYTES, DOC_PART, BLOCK_BYTES, PART_BYTES = 262_144, 128 << 20, 65_536, 128 << 20, 32 << 20
+#: A task that meets documents part by part keeps up to so many times n rows a query before it cuts them down to n.
+KEPT = 3
 #: Documents and queries of a product that stays in a core's cache.
 DOC_TILE, QUERY_TILE = 1024, 256
 
@@ -45,17 +48,38 @@ def top(scored: DataFrame, n: int, method: str | None = None, digits: int = 6) -
 
 
 def _asked_terms(queries: DataFrame, index: dict[str, DataFrame], k1: float, b: float) -> DataFrame:
-    """query_id, term, weight (qtf * idf), df, avgdl and, of an index of blocks, most (the largest score that a posting of the term can add), of one of rows code; stored."""
+    """query_id, term, weight (qtf * idf), df, avgdl and most (the largest score that a posting of the term can add), of an index of blocks; stored."""
     asked = queries.select("query_id", F.explode_outer(tokenize(F.coalesce("text", F.lit("")))).alias("term")).filter("term is not null").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     known = asked.join(index["terms"], "term").crossJoin(F.broadcast(index["corpus"].select("n", "avgdl")))  # one row
     weight = F.col("qtf") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     known = known.withColumn("weight", weight)
-    if "rows" in index:
-        return stored(known.select("query_id", "term", "weight", "df", "avgdl", "code"), "asked")
     known = known.withColumn("most", F.col("weight") * _tf_part(F.col("max_tf"), F.col("min_dl"), k1, b))
     return stored(known.select("query_id", "term", "weight", "df", "avgdl", "most"), "asked")
 
 
+def _asked_rows(queries: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
+    """query_id, codes, weights (qtf * idf), avgdl: a row a query that asks for a term of an index of rows; stored. The index's terms are sent to the queries, so no row is made for a term."""
+    spark = queries.sparkSession
+    rows, keys, nulls = queries.agg(F.count("*"), F.count_distinct("query_id"), F.count_if(F.col("query_id").isNull())).first()
+    if rows != keys + min(nulls, 1):  # rows of one id are one query
+        queries = queries.groupBy("query_id").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
+    n, avgdl = index["corpus"].select("n", "avgdl").first()
+    terms = index["terms"].select("term", "code", "df").toArrow()  # as many as index.asked_index() allows
+    df = terms.column("df").to_numpy()
+    shared = spark.sparkContext.broadcast((terms.column("term").combine_chunks(), terms.column("code").to_numpy(), np.log(1 + (n - df + 0.5) / (df + 0.5))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, codes, idf = shared.value
+        for made in counted(names, batches):
+            at, qtf = (made.column(c).flatten().to_numpy() for c in ("codes", "tfs"))
+            ends = made.column("codes").offsets
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (codes[at], qtf * idf[at])]
+            yield pa.RecordBatch.from_arrays([made.column("doc_id"), *lists], ["query_id", "codes", "weights"]).filter(pc.greater(pc.list_value_length(lists[0]), 0))
+
+    texts = spread(queries.select(F.col("query_id").alias("doc_id"), "text")).select("doc_id", tokenize(F.coalesce("text", F.lit(""))).alias("terms"))
+    return stored(texts.mapInArrow(run, f"query_id {dict(queries.dtypes)['query_id']}, codes array<int>, weights array<double>").withColumn("avgdl", F.lit(avgdl)), "asked")
+
+
 def _tf_part(tf: Column, dl: Column, k1: float, b: float) -> Column:
     """Grows with tf and falls with dl."""
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
@@ -286,63 +310,123 @@ def _best_of_blocks(known: DataFrame, index: dict[str, DataFrame], n: int, k1: f
     return left.groupBy("_d", "_q").cogroup(right.groupBy("_d", "_q")).applyInArrow(lambda held, asked: _scored(held, asked, n, k1, b), schema)
 
 
-def _dealt(docs: DataFrame, rows: int, per: int) -> tuple[DataFrame, int]:
-    """docs with _p, a partition for each of its values, one a core; and into how many parts (_p modulo that) the queries that meet a partition are cut.
+def _bytes(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _packed(rows: DataFrame, name: str, docs: int | None = None) -> DataFrame:
+    """A binary column `name`: the rows of each partition as packed tables, of up to `docs` rows and PACK_BYTES where `docs` is given, else one a partition."""
 
-    Documents are dealt by a hash into no more parts than `per` asks for, as every part sends on its best of all queries; where those are fewer than the cores, each part is there once for each part of the queries.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, full = [], 0, 0
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array([_bytes(pa.Table.from_batches(held))], pa.binary())], [name])
+        for batch in batches:
+            step = max(1, min(docs, batch.num_rows * PACK_BYTES // max(batch.nbytes, 1))) if docs else max(1, batch.num_rows)
+            for lo in range(0, batch.num_rows, step):
+                held.append(batch.slice(lo, step))
+                size, full = size + held[-1].num_rows, full + held[-1].nbytes
+                if docs and (size >= docs or full >= PACK_BYTES):
+                    yield pack()
+                    held, size, full = [], 0, 0
+        if held:
+            yield pack()
+
+    return rows.mapInArrow(run, f"{name} binary")
+
+
+def _first_rows(found: pa.Table, n: int) -> pa.Table:
+    """Each query's n best rows by rounded score, ties by document."""
+    q = found.column("query_id").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    place = np.empty(len(q), np.int64)
+    place[pc.array_sort_indices(found.column("doc_id").combine_chunks(), null_placement="at_start").to_numpy()] = np.arange(len(q))
+    q, at, _ = _first(q, np.arange(len(q)), found.column("score").to_numpy(), place, n, np.full(len(q), -np.inf))
+    return found.take(pa.array(at))
+
+
+def _product(docs: DataFrame, queries: DataFrame, blocks: int, per: int, begin: Callable[[pa.Table], tuple[Callable[[pa.Table], None], Callable[[], pa.Table]]], schema: str) -> DataFrame:
+    """What becomes of blocks of queries (query_id, ...) that each meet all documents, part by part, in a task. begin(block) gives what is called for each part of the documents, and what gives the rows at the end.
+
+    Queries are dealt by a hash into blocks, a row and a partition each. Documents lie packed in storage and every block's task reads them from there, so neither side is copied on disk for the other; parts have some `per`
+    documents or PART_BYTES.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        add, end, held, rows, size = None, None, [], 0, 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if add is None:  # one block is all that a task meets
+                    add, end = begin(pa.ipc.open_stream(batch.column("asked")[i].as_buffer()).read_all())
+                held.append(pa.ipc.open_stream(batch.column("held")[i].as_buffer()).read_all())
+                rows, size = rows + held[-1].num_rows, size + held[-1].nbytes
+                if rows >= per or size >= PART_BYTES:
+                    add(pa.concat_tables(held))
+                    held, rows, size = [], 0, 0
+        if held:
+            add(pa.concat_tables(held))
+        if add:
+            yield from end().to_batches()
+
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    down = next(k for k in range(1, cores + 1) if cores % k == 0 and (k == cores or 0.75 * k * per >= rows))
-    over = cores // down
-    part = F.explode(F.sequence(F.lit(0), F.lit(over - 1)))
-    dealt = docs.withColumn("_p", part).withColumn("_p", F.pmod(F.xxhash64("doc_id"), F.lit(down)).cast("int") * over + F.col("_p"))
-    return dealt.repartitionById(cores, "_p"), over
+    blocks = cores * max(1, -(-blocks // cores))
+    dealt = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).repartitionById(blocks, "_q").drop("_q")
+    held = stored(_packed(docs, "held", DOC_BLOCK), "held")
+    return held.coalesce(1).hint("shuffle_replicate_nl").crossJoin(_packed(dealt, "asked")).mapInArrow(run, schema)
+
 
+def _best_of(score: Callable[[pa.Table, np.ndarray], pa.Table], asked: int, n: int) -> tuple[Callable[[pa.Table], None], Callable[[], pa.Table]]:
+    """For _product(): each of so many queries' n best. score(docs, floors) raises the queries' floors, so what a part leaves is what the next has to reach; no more than KEPT * n rows a query are held."""
+    floors, found = np.full(asked, -np.inf), []
 
-def _part_of(queries: pa.Table, batch: pa.RecordBatch, over: int) -> pa.Table:
-    """The part of the queries that meets the partition of a batch."""
-    part = batch.column("_p")[0].as_py() % over
-    lo, hi = (queries.num_rows * k // over for k in (part, part + 1))
-    return queries.slice(lo, hi - lo)
+    def add(held: pa.Table) -> None:
+        found.append(score(held, floors))
+        if sum(x.num_rows for x in found) > KEPT * n * asked:
+            found[:] = [end()]
 
+    def end() -> pa.Table:
+        return _first_rows(pa.concat_tables(found), n)
 
-def _best_of_rows(known: DataFrame, index: dict[str, DataFrame], n: int, k1: float, b: float) -> DataFrame:
-    """query_id, doc_id, score: each query's n best of each part of an index of rows, over all terms.
+    return add, end
 
-    Queries of up to PART_TERMS terms are broadcast, a row a query, and meet the rows where they are or, where queries are many, dealt evenly over all cores; a task scores PART_DOCS rows at a time, and what it found sets the floor
-    that the next ones have to reach. More queries are dealt by a hash into parts of some PART_TERMS terms, the rows into parts of some PART_DOCS, and each pair of parts is a group, scored in one task.
+
+def _best_of_rows(queries: DataFrame, index: dict[str, DataFrame], n: int, k1: float, b: float) -> DataFrame:
+    """query_id, doc_id, score: each query's n best of an index of rows, over all terms.
+
+    Where queries have many terms, blocks of them meet all rows in a task each (see _product). Fewer are broadcast, a row a query, and meet the rows where they are. A task scores PART_DOCS rows at a time, and what it found
+    sets the floor that the next ones have to reach. What is too much to be broadcast, and not many, is dealt by a hash into parts of some PART_TERMS terms, the rows into parts of some PART_DOCS, and each pair of parts is a group.
     """
-    rows, spark = index["rows"], known.sparkSession
-    kind_q, kind_d = dict(known.dtypes)["query_id"], dict(rows.dtypes)["doc_id"]
-    schema = f"query_id {kind_q}, doc_id {kind_d}, score double"
-    terms = F.collect_list(F.struct("code", "weight"))
-    asking = known.groupBy("query_id").agg(terms.alias("terms"), F.first("avgdl").alias("avgdl")).select("query_id", F.col("terms.code").alias("codes"), F.col("terms.weight").alias("weights"), "avgdl")
-    asked, size = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("query_id").cast("string"))), F.lit(0))).first()
+    rows, spark = index["rows"], queries.sparkSession
+    asking = _asked_rows(queries, index)
+    schema = f"query_id {dict(asking.dtypes)['query_id']}, doc_id {dict(rows.dtypes)['doc_id']}, score double"
+    asked, size, count = asking.agg(F.coalesce(F.sum(F.size("codes")), F.lit(0)), F.coalesce(F.sum(F.octet_length(F.col("query_id").cast("string"))), F.lit(0)), F.count("*")).first()
+    if asked > MANY_TERMS:
+
+        def begin(block: pa.Table) -> tuple[Callable, Callable]:
+            own = _unfolded(block)
+            return _best_of(lambda held, floors: _scored_rows(held, own, n, k1, b, floors), block.num_rows, n)
+
+        return _product(rows, asking, max(-(-count // QUERY_BLOCK), -(-asked // PART_TERMS), -(-size // QUERY_BYTES)), PART_DOCS, begin, schema)
     if asked <= PART_TERMS and size <= QUERY_BYTES:
-        sink = pa.BufferOutputStream()
-        few = asking.toArrow()
-        with pa.ipc.new_stream(sink, few.schema) as writer:
-            writer.write_table(few)
-        shared = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())  # PART_TERMS terms and QUERY_BYTES of ids at most
+        shared = spark.sparkContext.broadcast(_bytes(asking.toArrow()))  # PART_TERMS terms and QUERY_BYTES of ids at most
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            queries, floors, held, docs, postings = None, None, [], 0, 0
+            own, floors, held, docs, postings = None, None, [], 0, 0
             for batch in batches:
-                if queries is None and batch.num_rows:
-                    queries = pa.ipc.open_stream(shared.value).read_all()
-                    queries = _unfolded(_part_of(queries, batch, over) if over else queries)
-                    floors = np.full(len(queries[0]), -np.inf)
+                if own is None and batch.num_rows:
+                    own = _unfolded(pa.ipc.open_stream(shared.value).read_all())
+                    floors = np.full(len(own[0]), -np.inf)
                 for lo in range(0, batch.num_rows, PART_DOCS // 16):
                     held.append(batch.slice(lo, PART_DOCS // 16))
                     docs, postings = docs + held[-1].num_rows, postings + len(held[-1].column("codes").flatten())
                     if docs >= PART_DOCS or postings >= PART_POSTINGS:
-                        yield from _scored_rows(pa.Table.from_batches(held), queries, n, k1, b, floors).to_batches()
+                        yield from _scored_rows(pa.Table.from_batches(held), own, n, k1, b, floors).to_batches()
                         held, docs, postings = [], 0, 0
             if held:
-                yield from _scored_rows(pa.Table.from_batches(held), queries, n, k1, b, floors).to_batches()
+                yield from _scored_rows(pa.Table.from_batches(held), own, n, k1, b, floors).to_batches()
 
-        rows, over = _dealt(rows, rows.count(), PART_DOCS) if asked > MANY_TERMS else (spread(rows), 0)
-        return rows.mapInArrow(run, schema)
+        return spread(rows).mapInArrow(run, schema)
 
     docs, postings = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("codes")), F.lit(0))).first()
     over = max(1, -(-asked // PART_TERMS))
@@ -362,9 +446,9 @@ def bm25_search(queries: DataFrame, index: dict[str, DataFrame], n: int = 10, k1
     that index.asked_index() made for these queries). With `prune`, postings of a keyword_index that
     cannot bring a document among the n best are not (see _pruned): for few queries of an index so large that reading their postings outweighs some rounds of jobs. All give the same rows.
     """
-    known = _asked_terms(queries, index, k1, b)
     if "rows" in index:
-        return top(_best_of_rows(known, index, n, k1, b), n)
+        return top(_best_of_rows(queries, index, n, k1, b), n)
+    known = _asked_terms(queries, index, k1, b)
     scored = _pruned(known, index, n, k1, b)[0].filter("score > 0") if prune else _best_of_blocks(known, index, n, k1, b)
     return top(scored, n)
 
@@ -440,29 +524,15 @@ def _met(docs: pa.Table, queries: pa.Table, n: int, vectors: np.ndarray | None =
     return pa.concat_tables(parts)
 
 
-def _few(queries: DataFrame) -> pa.Table | None:
-    """The queries, if they are few and small enough to be broadcast."""
-    rows, longest = queries.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
-    return queries.toArrow() if rows <= QUERY_ROWS and rows * longest * 8 <= QUERY_BYTES else None
-
-
 def _best_of_parts(docs: DataFrame, asked: pa.Table, n: int, schema: str) -> DataFrame:
-    """query_id, doc_id, score of the n best of each part of DOC_PART documents, over what the parts before it in its task left: the queries are sent to the documents, which stay where they are or, where queries are many, are dealt evenly over all cores."""
-    over = 0
-    if asked.num_rows > MANY_QUERIES:
-        docs = stored(docs, "docs")
-        docs, over = _dealt(docs, docs.count(), DOC_PART)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, asked.schema) as writer:
-        writer.write_table(asked)
-    shared = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())  # QUERY_BYTES at most
+    """query_id, doc_id, score of the n best of each part of DOC_PART documents, over what the parts before it in its task left: the queries are sent to the documents, which stay where they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bytes(asked))  # QUERY_BYTES at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, vectors, floors, held, rows = None, None, None, [], 0
         for batch in batches:
             if queries is None and batch.num_rows:
                 queries = pa.ipc.open_stream(shared.value).read_all()
-                queries = _part_of(queries, batch, over) if over else queries
                 vectors, floors = _unit(queries.column("vector").to_numpy()) if queries.num_rows else None, np.full(queries.num_rows, -np.inf)
             for lo in range(0, batch.num_rows, DOC_PART):
                 held.append(batch.slice(lo, DOC_PART))
@@ -479,28 +549,22 @@ def _best_of_parts(docs: DataFrame, asked: pa.Table, n: int, schema: str) -> Dat
 def vector_search(queries: DataFrame, docs: DataFrame, n: int = 10) -> DataFrame:
     """Exact cosine ranking of queries (query_id, vector) against docs (doc_id, vector); negative scores rank too. Null vectors rank nowhere.
 
-    Queries of up to QUERY_ROWS rows and QUERY_BYTES are broadcast: documents are read once, and each part of a task sends on its n best. More queries are cut into blocks by a hash,
-    as are the documents (written first, so that what makes them runs once); each pair of blocks meets in a task as matrix products. Blocks are bounded in bytes.
+    Queries of up to MANY_QUERIES rows and QUERY_BYTES are broadcast: documents are read once, and each part of a task sends on its n best. More queries are dealt into blocks, bounded in rows and
+    bytes, that meet all documents in a task each (see _product).
     """
     queries = stored(queries.select("query_id", "vector").filter("vector is not null"), "queries")
     docs = docs.select("doc_id", "vector").filter("vector is not null")
-    kind_q, kind_d = dict(queries.dtypes)["query_id"], dict(docs.dtypes)["doc_id"]
-    schema = f"query_id {kind_q}, doc_id {kind_d}, score double"
-    asked = _few(queries)
-    if asked is not None:
-        return top(_best_of_parts(docs, asked, n, schema), n)
-    docs = stored(docs, "docs")
-    rows, longest = docs.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
-    per = max(1, min(DOC_BLOCK, BLOCK_BYTES // (8 * longest)))
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    over, down = -(-queries.count() // min(QUERY_BLOCK, per)) or 1, max(-(-rows // per), min(cores, -(-rows // 4096)), 1)
-    block = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    left = docs.withColumns({"_d": block("doc_id", down), "_q": every(over)})
-    right = queries.withColumn("_q", block("query_id", over)).withColumn("_d", every(down))
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, doc_id {dict(docs.dtypes)['doc_id']}, score double"
+    rows, longest = queries.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    if rows <= min(MANY_QUERIES, QUERY_ROWS) and rows * longest * 8 <= QUERY_BYTES:
+        return top(_best_of_parts(docs, queries.toArrow(), n, schema), n)
+
+    def begin(block: pa.Table) -> tuple[Callable, Callable]:
+        vectors = _unit(block.column("vector").to_numpy())
+        return _best_of(lambda held, floors: _met(held, block, n, vectors, floors), block.num_rows, n)
 
-    pairs = left.groupBy("_d", "_q").cogroup(right.groupBy("_d", "_q"))
-    return top(pairs.applyInArrow(lambda docs, queries: _met(docs, queries, n), schema), n)
+    blocks = max(-(-rows // QUERY_BLOCK), -(-rows * longest * 8 // BLOCK_BYTES))
+    return top(_product(docs, queries, blocks, DOC_PART, begin, schema), n)
 
 
 def _nearness(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -679,20 +743,62 @@ def _overlap(asked: Column, terms: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(asked, terms)).cast("double"), F.size(asked).cast("double")), F.lit(0.0))
 
 
+def _shared_terms(held: pa.Table, block: pa.Table, names: pa.Array, codes: np.ndarray, pairs: pa.Table) -> pa.Table:
+    """query_id, doc_id, was, score: the term overlap of the pairs (at, doc_id, was) of queries of a block (query_id, terms) and a part of the documents (doc_id, terms). names, codes: the queries' terms, as places in a list of them."""
+    here = pa.table({"doc_id": held.column("doc_id"), "row": pa.array(np.arange(held.num_rows))})
+    here = pairs.join(here, "doc_id", join_type="inner", use_threads=False).combine_chunks()
+    rows, row = np.unique(here.column("row").to_numpy(), return_inverse=True)
+    terms = held.column("terms").combine_chunks().take(pa.array(rows))
+    found = pc.index_in(terms.flatten(), names).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    doc = np.repeat(np.arange(len(rows)), pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False))
+    known = np.sort((doc * len(names) + found)[found >= 0])
+    at = here.column("at").to_numpy()
+    sizes = pc.fill_null(pc.list_value_length(block.column("terms").combine_chunks()), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    first, count = (np.cumsum(sizes) - sizes)[at], sizes[at]
+    pair = np.repeat(np.arange(len(at)), count)
+    asked = row[pair] * len(names) + codes[np.arange(len(pair)) + np.repeat(first - (np.cumsum(count) - count), count)]
+    place = np.minimum(np.searchsorted(known, asked), max(len(known) - 1, 0))
+    hits = np.bincount(pair[known[place] == asked] if len(known) else pair[:0], minlength=len(at))
+    score = pa.array(hits / np.maximum(count, 1), pa.float64())
+    return pa.table({"query_id": block.column("query_id").take(pa.array(at)), "doc_id": here.column("doc_id"), "was": here.column("was"), "score": score})
+
+
+def _overlaps(ranked: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, doc_id, was, score: the term overlap of every candidate with a query and a document (both with terms). Blocks of queries, with their candidates, meet all documents in a task each (see _product): no terms are copied for a candidate."""
+    listed = ranked.groupBy("query_id").agg(F.collect_list(F.struct("doc_id", "rank")).alias("c"))
+    asked = stored(listed.join(queries, "query_id").select("query_id", "terms", F.col("c.doc_id").alias("docs"), F.col("c.rank").alias("ranks")), "candidates")
+    rows, terms, pairs = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0)), F.coalesce(F.sum(F.size("docs")), F.lit(0))).first()
+    schema = f"query_id {dict(asked.dtypes)['query_id']}, doc_id {dict(docs.dtypes)['doc_id']}, was {dict(ranked.dtypes)['rank']}, score double"
+
+    def begin(block: pa.Table) -> tuple[Callable, Callable]:
+        words = block.column("terms").combine_chunks().flatten().dictionary_encode()
+        names, codes = words.dictionary, words.indices.to_numpy().astype(np.int64)
+        listed = block.column("docs").combine_chunks()
+        at = np.repeat(np.arange(block.num_rows), pc.list_value_length(listed).to_numpy(zero_copy_only=False))
+        pairs = pa.table({"at": pa.array(at), "doc_id": listed.flatten(), "was": block.column("ranks").combine_chunks().flatten()})
+        found = []
+        return lambda held: found.append(_shared_terms(held, block, names, codes, pairs)), lambda: pa.concat_tables(found)
+
+    return _product(docs, asked, max(-(-rows // QUERY_BLOCK), -(-terms // PART_TERMS), -(-pairs // (16 * QUERY_BLOCK))), DOC_PART, begin, schema)
+
+
 def rerank(ranked: DataFrame, queries: DataFrame, docs: DataFrame, n: int = 5, scorer: Callable[[pd.Series, pd.Series], pd.Series] | None = None) -> DataFrame:
     """Candidates rescored on (query text, document text), the n best; ties keep the former rank. Candidates without a document go.
 
-    `scorer` takes batches of both texts; without one, term overlap is scored in the JVM, from terms that are taken once a query and once a document that is a candidate. Ids are joined first, texts last.
+    `scorer` takes batches of both texts, which are joined to the candidates; without one, term overlap is scored from terms that are taken once a query and once a document, and copied for no candidate.
     """
-    if not scorer:
-        wanted = small(ranked.select("doc_id").distinct(), BROADCAST_TERMS)
-        docs = stored(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("doc_id", F.array_distinct(tokenize(F.col("text"))).alias("text")), "terms")
-        queries = stored(queries.select("query_id", F.array_distinct(tokenize(F.col("text"))).alias("text")), "terms")
-    texts = queries.select("query_id", F.col("text").alias("q_text"))
-    pairs = ranked.select("query_id", "doc_id", F.col("rank").alias("was")).join(docs.select("doc_id", "text"), "doc_id").join(texts, "query_id")
-    score = F.pandas_udf(scorer, "double")("q_text", "text") if scorer else _overlap(F.col("q_text"), F.col("text"))
+    if scorer:
+        texts = queries.select("query_id", F.col("text").alias("q_text"))
+        pairs = ranked.select("query_id", "doc_id", F.col("rank").alias("was")).join(docs.select("doc_id", "text"), "doc_id").join(texts, "query_id")
+        pairs = pairs.select("query_id", "doc_id", "was", F.pandas_udf(scorer, "double")("q_text", "text").alias("score"))
+    else:
+        terms = F.array_distinct(tokenize(F.col("text"))).alias("terms")
+        wanted, docs = ranked.select("doc_id").distinct(), docs.select("doc_id", "text")
+        if is_small(wanted, BROADCAST_TERMS):  # else most documents are candidates, and finding which would move all texts
+            docs = docs.join(F.broadcast(wanted), "doc_id", "left_semi")
+        pairs = _overlaps(ranked, queries.select("query_id", terms), docs.select("doc_id", terms))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "was", "doc_id")
-    return pairs.select("query_id", "doc_id", "was", score.alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).drop("was")
+    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).drop("was")
 
 
 def lookup_chunks(ranked: DataFrame, chunks: DataFrame, key: str = "id") -> DataFrame:

@@ -277,3 +277,72 @@ def test_crowds_of_equal_vectors_are_cut_down_on_the_way(monkeypatch):
     found = search._met(docs, pa.table({"query_id": pa.array(range(4)), "vector": pa.array([[2.0, 1.0]] * 4)}), 3)
     assert sorted((r["query_id"], r["doc_id"]) for r in found.to_pylist()) == [(q, d) for q in range(4) for d in (1, 2, 3)]
     assert max(seen) <= 400
+
+
+def test_blocks_of_queries_send_on_n_rows_a_query_and_copy_no_documents(spark, monkeypatch):
+    docs, asked = _collection(spark, 12)
+    docs = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(spark.createDataFrame([(None, "w1 w2 w2")], docs.schema)).repartition(9)
+    asked = asked.union(spark.createDataFrame([(None, "w1 w250"), (3, "w0 w7"), (77, None), (78, "absent")], asked.schema))  # two rows of one query
+    want = rows_of(*_rows(search.bm25_search(asked, index.keyword_index(docs), 5)))
+    x = np.random.default_rng(12).integers(-2, 3, (300, 4)).astype(float)  # with equal scores
+    held = spark.createDataFrame([(f"d{i:03}", v) for i, v in enumerate(x.tolist())] + [("none", None)], "doc_id string, vector array<double>").repartition(7)
+    wanted = spark.createDataFrame([(i, v) for i, v in enumerate(x[:50].tolist())], "query_id long, vector array<double>")
+    near = rows_of(*_rows(search.vector_search(wanted, held, 3)))
+    for name, value in {"MANY_TERMS": 0, "MANY_QUERIES": 0, "PART_DOCS": 40, "DOC_PART": 40, "DOC_BLOCK": 16, "QUERY_BLOCK": 6, "KEPT": 1}.items():
+        monkeypatch.setattr(search, name, value)
+    monkeypatch.setattr(index, "COUNT_TERMS", 50)
+    made = index.asked_index(docs, asked)
+    best = search._best_of_rows(asked, made, 5, 1.5, 0.75)
+    assert max(r["count"] for r in best.groupBy("query_id").count().collect()) <= 5
+    assert "Cogroup" not in best._jdf.queryExecution().optimizedPlan().toString() and best._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # of the queries
+    assert rows_of(*_rows(search.bm25_search(asked, made, 5))) == want
+    assert rows_of(*_rows(search.vector_search(wanted, held, 3))) == near
+
+
+def test_rescoring_copies_no_terms_for_a_candidate(spark, monkeypatch):
+    docs, asked = _collection(spark, 13, 150)
+    asked = asked.union(spark.createDataFrame([(3, "w0 w7"), (None, "w1"), (77, None), (78, "?")], asked.schema))  # rows of one id are joined each
+    ranked = spark.createDataFrame([(q, (q * 7 + r * 11) % 160 if r else 0, r + 1) for q in (*range(25), 77, 78, 99) for r in range(6)], "query_id long, doc_id long, rank int")
+    share = lambda q, t: len(q & t) / len(q) if q else 0.0
+    plain = lambda q, t: [share(set((a or "").split()) - {"?"}, set((b or "").split())) for a, b in zip(q, t, strict=True)]
+    import pandas as pd
+
+    def scorer(q: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series(plain(q, t))
+
+    columns = ["query_id", "doc_id", "rank", "score"]
+    want = rows_of(*_rows(search.rerank(ranked, asked, docs, 20, scorer).select(columns)))
+    monkeypatch.setattr(search, "DOC_BLOCK", 16)
+    monkeypatch.setattr(search, "DOC_PART", 40)
+    for few in (500_000, 0):
+        monkeypatch.setattr(search, "BROADCAST_TERMS", few)
+        made = search.rerank(ranked, asked, docs, 20)
+        assert "Join Inner" not in made._jdf.queryExecution().optimizedPlan().toString()
+        assert rows_of(*_rows(made.select(columns))) == want and len(want[1]) > 150
+
+
+def test_what_a_step_needs_goes_when_it_ends(spark, tmp_path):
+    import time
+    from pathlib import Path
+
+    from loomline.functions import scratch
+
+    shuffles = lambda: sum("shuffle_" in f for f in str(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")).split())
+    was = shuffles()
+    with scratch.passing(spark) as keep:
+        first = scratch.stored(spark.range(1000).repartition(3, "id"), "first")
+        with scratch.passing(spark) as keep_inner:
+            second = keep_inner(scratch.stored(first.filter("id < 10"), "second"))
+            scratch.stored(second, "third")
+        last = keep(scratch.stored(second.groupBy("id").count(), "last"))
+    for _ in range(50):
+        if shuffles() <= was:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= was
+    there = {p.name.split("-")[0] for p in Path(scratch.session_dir(spark).removeprefix("file://")).iterdir() if p.name.startswith(("first-", "second-", "third-", "last-"))}
+    assert there == {"last"} and last.count() == 10 and spark.conf.get(scratch.FREE_SHUFFLES) == "false"
+    names = lambda: {p.name for p in Path(scratch.session_dir(spark).removeprefix("file://")).iterdir()}
+    before = names()
+    made = registry.QUERIES["recall_at_depth"](spark, SMALL)
+    assert not any(n.startswith(("segments-", "rows-", "words-", "queries-")) for n in names() - before) and made.count() == 5

@@ -62,7 +62,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     was = spark.conf.get(FREE_SHUFFLES, None)
     spark.conf.set(FREE_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(FREE_SHUFFLES) if was is None else spark.conf.set(FREE_SHUFFLES, was)
     return _made(path, spark.read.schema(df.schema).parquet(path))

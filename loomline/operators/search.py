@@ -724,6 +724,7 @@ def rrf_fuse(lists: list[DataFrame], k: int = 60, n: int = 10) -> DataFrame:
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
+    whole = whole.repartition("query_id")  # which serves the grouping and the ranking, so rows move once
     fused = whole.groupBy("query_id", "doc_id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"), F.min(F.struct("list_no", "rank")).alias("seen"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "seen", "doc_id")
     return fused.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("query_id", "doc_id", "score", "rank")
@@ -743,17 +744,16 @@ def _overlap(asked: Column, terms: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(asked, terms)).cast("double"), F.size(asked).cast("double")), F.lit(0.0))
 
 
-def _shared_terms(held: pa.Table, block: pa.Table, names: pa.Array, codes: np.ndarray, pairs: pa.Table) -> pa.Table:
-    """query_id, doc_id, was, score: the term overlap of the pairs (at, doc_id, was) of queries of a block (query_id, terms) and a part of the documents (doc_id, terms). names, codes: the queries' terms, as places in a list of them."""
+def _shared_terms(held: pa.Table, block: pa.Table, names: pa.Array, codes: np.ndarray, sizes: np.ndarray, pairs: pa.Table) -> pa.Table:
+    """query_id, doc_id, was, score: the term overlap of the pairs (at, doc_id, was) of queries of a block (query_id) and a part of the documents (doc_id, terms). names, codes, sizes: the queries' terms, as places in a list of them, and how many each has."""
     here = pa.table({"doc_id": held.column("doc_id"), "row": pa.array(np.arange(held.num_rows))})
     here = pairs.join(here, "doc_id", join_type="inner", use_threads=False).combine_chunks()
     rows, row = np.unique(here.column("row").to_numpy(), return_inverse=True)
-    terms = held.column("terms").combine_chunks().take(pa.array(rows))
+    terms = pc.split_pattern(held.column("terms").combine_chunks().take(pa.array(rows)), " ")
     found = pc.index_in(terms.flatten(), names).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-    doc = np.repeat(np.arange(len(rows)), pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False))
+    doc = np.repeat(np.arange(len(rows)), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
     known = np.sort((doc * len(names) + found)[found >= 0])
     at = here.column("at").to_numpy()
-    sizes = pc.fill_null(pc.list_value_length(block.column("terms").combine_chunks()), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     first, count = (np.cumsum(sizes) - sizes)[at], sizes[at]
     pair = np.repeat(np.arange(len(at)), count)
     asked = row[pair] * len(names) + codes[np.arange(len(pair)) + np.repeat(first - (np.cumsum(count) - count), count)]
@@ -764,22 +764,24 @@ def _shared_terms(held: pa.Table, block: pa.Table, names: pa.Array, codes: np.nd
 
 
 def _overlaps(ranked: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """query_id, doc_id, was, score: the term overlap of every candidate with a query and a document (both with terms). Blocks of queries, with their candidates, meet all documents in a task each (see _product): no terms are copied for a candidate."""
+    """query_id, doc_id, was, score: the term overlap of every candidate with a query and a document (both with terms, with spaces between them). Blocks of queries, with their candidates, meet all documents in a task each (see _product): no terms are copied for a candidate."""
     listed = ranked.groupBy("query_id").agg(F.collect_list(F.struct("doc_id", "rank")).alias("c"))
     asked = stored(listed.join(queries, "query_id").select("query_id", "terms", F.col("c.doc_id").alias("docs"), F.col("c.rank").alias("ranks")), "candidates")
-    rows, terms, pairs = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0)), F.coalesce(F.sum(F.size("docs")), F.lit(0))).first()
+    rows, size, pairs = asked.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("terms")), F.lit(0)), F.coalesce(F.sum(F.size("docs")), F.lit(0))).first()
     schema = f"query_id {dict(asked.dtypes)['query_id']}, doc_id {dict(docs.dtypes)['doc_id']}, was {dict(ranked.dtypes)['rank']}, score double"
 
     def begin(block: pa.Table) -> tuple[Callable, Callable]:
-        words = block.column("terms").combine_chunks().flatten().dictionary_encode()
+        terms = pc.split_pattern(block.column("terms").combine_chunks(), " ")
+        sizes, words = pc.list_value_length(terms).to_numpy(zero_copy_only=False).astype(np.int64), terms.flatten().dictionary_encode()
         names, codes = words.dictionary, words.indices.to_numpy().astype(np.int64)
+        names = pc.if_else(pc.equal(names, ""), pa.scalar(None, names.type), names)  # a text without terms shares none with another
         listed = block.column("docs").combine_chunks()
         at = np.repeat(np.arange(block.num_rows), pc.list_value_length(listed).to_numpy(zero_copy_only=False))
         pairs = pa.table({"at": pa.array(at), "doc_id": listed.flatten(), "was": block.column("ranks").combine_chunks().flatten()})
         found = []
-        return lambda held: found.append(_shared_terms(held, block, names, codes, pairs)), lambda: pa.concat_tables(found)
+        return lambda held: found.append(_shared_terms(held, block, names, codes, sizes, pairs)), lambda: pa.concat_tables(found)
 
-    return _product(docs, asked, max(-(-rows // QUERY_BLOCK), -(-terms // PART_TERMS), -(-pairs // (16 * QUERY_BLOCK))), DOC_PART, begin, schema)
+    return _product(docs, asked, max(-(-rows // QUERY_BLOCK), -(-size // BLOCK_BYTES), -(-pairs // (16 * QUERY_BLOCK))), DOC_PART, begin, schema)
 
 
 def rerank(ranked: DataFrame, queries: DataFrame, docs: DataFrame, n: int = 5, scorer: Callable[[pd.Series, pd.Series], pd.Series] | None = None) -> DataFrame:
@@ -792,7 +794,7 @@ def rerank(ranked: DataFrame, queries: DataFrame, docs: DataFrame, n: int = 5, s
         pairs = ranked.select("query_id", "doc_id", F.col("rank").alias("was")).join(docs.select("doc_id", "text"), "doc_id").join(texts, "query_id")
         pairs = pairs.select("query_id", "doc_id", "was", F.pandas_udf(scorer, "double")("q_text", "text").alias("score"))
     else:
-        terms = F.array_distinct(tokenize(F.col("text"))).alias("terms")
+        terms = F.array_join(F.array_distinct(tokenize(F.coalesce("text", F.lit("")))), " ").alias("terms")
         wanted, docs = ranked.select("doc_id").distinct(), docs.select("doc_id", "text")
         if is_small(wanted, BROADCAST_TERMS):  # else most documents are candidates, and finding which would move all texts
             docs = docs.join(F.broadcast(wanted), "doc_id", "left_semi")

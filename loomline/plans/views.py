@@ -42,7 +42,9 @@ def chunks(spark: SparkSession, sf_dir: str, cap: int = CAP, rows: DataFrame | N
 def golden_queries(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """Every user turn asks; its truth is at the clock of the turn after it. rows: the segments, where they are made already."""
     nxt = F.lead("timestamp").over(Window.partitionBy("episode", "chapter_index").orderBy("pos"))
-    rows = (segments(spark, sf_dir) if rows is None else rows).withColumn("next", nxt).filter(F.col("speaker") == HOST)
+    rows = segments(spark, sf_dir) if rows is None else rows
+    rows = rows.withColumn("text", F.when(F.col("speaker") == HOST, F.col("text")))  # no other text has to move
+    rows = rows.withColumn("next", nxt).filter(F.col("speaker") == HOST)
     name = F.format_string("%s-%s-%s", F.col("episode").cast("string"), F.col("chapter_index").cast("string"), F.col("pos").cast("string"))
     return rows.select(name.alias("query_id"), "episode", "text", F.when(F.col("next").isNotNull(), F.array("next")).otherwise(F.array().cast("array<string>")).alias("timestamps"))
 

@@ -586,3 +586,32 @@ def test_snapshots_keep_filters_of_touched_buckets(spark, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == [("k5", "text 5"), ("k6", "changed"), ("k900", "text 9")]
     snapshots.upsert(more, path)  # a bucket written without a filter: none is read
     assert snapshots.read_filter(spark, path) == (None, 0) and not membership.fits(None)
+
+
+def test_texts_of_chunks_move_once(spark):
+    rng = __import__("random").Random(3)
+    words = lambda n: " ".join(["w"] * n)
+    rows = [(e, c, f"c{c}", p, rng.choice(["s", None]), f"{p:08}", rng.choice([words(rng.randint(0, 6)), None])) for e in (1, 2, None) for c in (1, 2, 4, None) for p in range(rng.choice([1, 30]))]
+    rows += [(1, 2, "c2", 5, "t", "00000000", "x y"), (1, 2, "c2", None, "u", None, "z")]  # one place twice, and no place
+    rng.shuffle(rows)
+    guests = spark.createDataFrame([(1, "G")], "episode int, guest string")
+    made = chunking.chunk_segments(seg(spark, rows), guests, 10)
+    assert not [x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in x and "text" in x or "collect_list" in x]
+    want, n = [], {}
+    order = lambda v: (v is not None, v)
+    size = lambda r: len((r[6] or "").split())
+    for e, c in sorted({r[:2] for r in rows if None not in r[:2]}):
+        pack = []
+        packs = [pack]
+        for r in sorted((r for r in rows if r[:2] == (e, c)), key=lambda r: (order(r[3]), size(r))):
+            if pack and sum(map(size, pack)) + size(r) > 10:
+                packs.append(pack := [])
+            pack.append(r)
+        for pack in packs:
+            n[e] = n.get(e, 0) + 1
+            lines = sorted((order(r[3]), order(r[5]), f"{r[4] or 'Unknown'}: {r[6] or ''}") for r in pack)
+            want.append((f"{e}-{c:02}-{n[e]:03}", e, {1: "G"}.get(e), f"c{c}", c, lines[0][1][1], lines[-1][1][1], "\n".join(x[2] for x in lines)))
+    for records in ("10000", "3"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+        assert sorted(map(tuple, made.collect())) == sorted(want)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -22,7 +22,7 @@ Encoder = Callable[[list[str]], np.ndarray]
 #: Documents of a block of postings, blocks of a slice of a term (so that no bucket holds all of a frequent one), and buckets at most.
 BLOCK_DOCS, SLICE_BLOCKS, BUCKETS = 1024, 64, 4096
 #: Distinct terms of queries that are sent to the documents, and their bytes; terms of documents that a task counts at once.
-ASKED_TERMS, ASKED_BYTES, COUNT_TERMS = 4_000_000, 64 << 20, 1_000_000
+ASKED_TERMS, ASKED_BYTES, COUNT_TERMS = 4_000_000, 64 << 20, 250_000
 #: Terms up to which their document counts are broadcast.
 BROADCAST_COUNTS = 500_000
 

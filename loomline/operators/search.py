@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,17 +23,17 @@ BROADCAST_TERMS = 500_000
 #: Postings of a query that a search with pruning adds up first, and how that grows; how far below the floor the last terms stay; what a comparison of scores leaves to rounding.
 HEAD, GROWTH, REACH, SLACK = 4000, 4, 0.85, 2e-6
 #: Blocks and postings of a part of an index that meets a part of the queries in one group of a task, documents of a part of an index of rows, and query terms of a part of the queries (12 bytes each); scores that a task holds at once.
-PART_BLOCKS, PART_POSTINGS, PART_DOCS, PART_TERMS, SCORES = 16, 4_000_000, 32_768, 6_000_000, 4_000_000
+PART_BLOCKS, PART_POSTINGS, PART_DOCS, PART_TERMS, SCORES = 16, 4_000_000, 16_384, 6_000_000, 4_000_000
 #: Query terms, and queries of a search by vectors, from which blocks of queries meet all documents in a task each; fewer are broadcast.
 MANY_TERMS, MANY_QUERIES = 100_000, 4096
 #: Entries of a task's matrix of frequent terms, and the share of the pairs of a query and a document that hold a term from which it is one: a product of matrices pays for all pairs. Of so many documents the first one gives the scores that the others have to reach.
-MATRIX, FREQUENT, LEAD = 8_000_000, 1 / 400, 16
+MATRIX, FREQUENT, LEAD = 4_000_000, 1 / 400, 16
 #: Numbers that are gathered at once to score what single precision leaves over, and how far a sum of k products of it may be off, as a share of what the absolute products add up to: k + ROUNDED times EPS.
 GATHERED, ROUNDED, EPS = 4_000_000, 8, 2.0**-23
 #: Queries of a block, documents of a packed row that meets them and its bytes, and documents of a part of a cell of the search by cells.
 QUERY_BLOCK, DOC_BLOCK, PACK_BYTES, CELL_BLOCK = 32_768, 8192, 8 << 20, 131_072
 #: Queries that may be broadcast, in rows and bytes; documents of a part that meets them; bytes of a block of vectors, and of the packed rows that are scored at once.
-QUERY_ROWS, QUERY_BYTES, DOC_PART, BLOCK_BYTES, PART_BYTES = 262_144, 128 << 20, 65_536, 128 << 20, 32 << 20
+QUERY_ROWS, QUERY_BYTES, DOC_PART, BLOCK_BYTES, PART_BYTES = 262_144, 128 << 20, 32_768, 128 << 20, 32 << 20
 #: A task that meets documents part by part keeps up to so many times n rows a query before it cuts them down to n.
 KEPT = 3
 #: Documents and queries of a product that stays in a core's cache.
@@ -248,6 +249,7 @@ def _best_of_postings(of: np.ndarray, at: np.ndarray, tf: np.ndarray, dl: np.nda
     column[often] = np.arange(len(often))
     matrix, row = np.zeros((docs, len(often))), column[of]
     matrix[at[row >= 0], row[row >= 0]] = adds[row >= 0]
+    del order, of, tf, dl, row
     rough, most, lead = matrix.astype(np.float32).T, adds.max(), max(n, docs // LEAD)
 
     step = max(1, SCORES // docs)
@@ -318,11 +320,11 @@ def _bytes(table: pa.Table) -> bytes:
 
 
 def _packed(rows: DataFrame, name: str, docs: int | None = None) -> DataFrame:
-    """A binary column `name`: the rows of each partition as packed tables, of up to `docs` rows and PACK_BYTES where `docs` is given, else one a partition."""
+    """_q and a binary column `name`: the rows of each partition as packed tables, of up to `docs` rows and PACK_BYTES where `docs` is given, else one a partition. _q is the place of the partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, full = [], 0, 0
-        pack = lambda: pa.RecordBatch.from_arrays([pa.array([_bytes(pa.Table.from_batches(held))], pa.binary())], [name])
+        held, size, full, place = [], 0, 0, TaskContext.get().partitionId()
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([_bytes(pa.Table.from_batches(held))], pa.binary())], ["_q", name])
         for batch in batches:
             step = max(1, min(docs, batch.num_rows * PACK_BYTES // max(batch.nbytes, 1))) if docs else max(1, batch.num_rows)
             for lo in range(0, batch.num_rows, step):
@@ -334,7 +336,7 @@ def _packed(rows: DataFrame, name: str, docs: int | None = None) -> DataFrame:
         if held:
             yield pack()
 
-    return rows.mapInArrow(run, f"{name} binary")
+    return rows.mapInArrow(run, f"_q int, {name} binary")
 
 
 def _first_rows(found: pa.Table, n: int) -> pa.Table:
@@ -372,8 +374,11 @@ def _product(docs: DataFrame, queries: DataFrame, blocks: int, per: int, begin:
     cores = docs.sparkSession.sparkContext.defaultParallelism
     blocks = cores * max(1, -(-blocks // cores))
     dealt = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).repartitionById(blocks, "_q").drop("_q")
-    held = stored(_packed(docs, "held", DOC_BLOCK), "held")
-    return held.coalesce(1).hint("shuffle_replicate_nl").crossJoin(_packed(dealt, "asked")).mapInArrow(run, schema)
+    held = stored(_packed(docs, "held", DOC_BLOCK), "held").select("held")
+    asked = stored(_packed(dealt, "asked"), "blocks").repartitionById(blocks, "_q").select("asked")
+    met = held.coalesce(1).hint("shuffle_replicate_nl").crossJoin(asked)
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # of its partition; only that row takes the block along
+    return met.select("held", F.when(first, F.col("asked")).alias("asked")).mapInArrow(run, schema)
 
 
 def _best_of(score: Callable[[pa.Table, np.ndarray], pa.Table], asked: int, n: int) -> tuple[Callable[[pa.Table], None], Callable[[], pa.Table]]:

@@ -370,6 +370,7 @@ def _product(docs: DataFrame, queries: DataFrame, blocks: int, per: int, begin:
             add(pa.concat_tables(held))
         if add:
             yield from end().to_batches()
+        pa.default_memory_pool().release_unused()
 
     cores = docs.sparkSession.sparkContext.defaultParallelism
     blocks = cores * max(1, -(-blocks // cores))
@@ -569,7 +570,7 @@ def vector_search(queries: DataFrame, docs: DataFrame, n: int = 10) -> DataFrame
         return _best_of(lambda held, floors: _met(held, block, n, vectors, floors), block.num_rows, n)
 
     blocks = max(-(-rows // QUERY_BLOCK), -(-rows * longest * 8 // BLOCK_BYTES))
-    return top(_product(docs, queries, blocks, DOC_PART, begin, schema), n)
+    return top(_product(stored(docs, "docs"), queries, blocks, DOC_PART, begin, schema), n)  # stored, as a task that encodes and packs would hold two Python workers
 
 
 def _nearness(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
